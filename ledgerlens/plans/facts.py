@@ -123,3 +123,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+# A defective copy of orders_fact for the null / duplicate rules: discount is
+# missing where it is zero, region where the nation is NATION_0, and urgent
+# returned lines were posted twice.
+DIRTY_FACT_SQL = f"""
+SELECT * FROM (
+  SELECT order_id, customer_id, order_date, revenue, cost, profit, quantity, product, category,
+         nullif(region, 'NATION_0') AS region, courier, shipping_mode, rto, delivery_days,
+         nullif(discount, 0) AS discount
+  FROM ({ORDERS_FACT_SQL}) x) b
+UNION ALL
+SELECT * FROM (
+  SELECT order_id, customer_id, order_date, revenue, cost, profit, quantity, product, category,
+         nullif(region, 'NATION_0') AS region, courier, shipping_mode, rto, delivery_days,
+         nullif(discount, 0) AS discount
+  FROM ({ORDERS_FACT_SQL}) x) b2
+WHERE shipping_mode = '1-URGENT' AND rto
+"""
+
+
+def dirty_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = orders_fact(spark, sf_dir).withColumns({
+        "region": F.nullif(F.col("region"), F.lit("NATION_0")),
+        "discount": F.nullif(F.col("discount"), F.lit(0.0)),
+    })
+    return f.unionByName(f.where((F.col("shipping_mode") == "1-URGENT") & F.col("rto")))
+
+# Static schema of orders_fact (Spark simple type names), used to generate
+# per-column oracle SQL.
+FACT_SCHEMA = [
+    ("order_id", "bigint"), ("customer_id", "bigint"), ("order_date", "timestamp_ntz"),
+    ("revenue", "double"), ("cost", "double"), ("profit", "double"), ("quantity", "double"),
+    ("product", "string"), ("category", "string"), ("region", "string"), ("courier", "string"),
+    ("shipping_mode", "string"), ("rto", "boolean"), ("delivery_days", "int"), ("discount", "double"),
+]
+FACT_NUMERIC = [c for c, t in FACT_SCHEMA if t in ("bigint", "int", "double", "boolean")]
+FACT_TEXT = [c for c, t in FACT_SCHEMA if t == "string"]

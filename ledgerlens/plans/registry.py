@@ -68,5 +68,6 @@ def load_all() -> dict[str, tuple[Callable, str | None]]:
     # importing the suites fills REGISTRY
     from ledgerlens.plans import (  # noqa: F401
         suite_kpis,
+        suite_quality,
     )
     return REGISTRY
