@@ -161,3 +161,29 @@ FACT_SCHEMA = [
 ]
 FACT_NUMERIC = [c for c, t in FACT_SCHEMA if t in ("bigint", "int", "double", "boolean")]
 FACT_TEXT = [c for c, t in FACT_SCHEMA if t == "string"]
+
+
+# Text with whitespace runs, mixed case and pandas null tokens, derived from the
+# fact for the text-cleaning rules.
+TEXT_FACT_SQL = f"""
+SELECT order_id, customer_id, order_date, revenue, quantity,
+       '  ' || replace(product, ' ', chr(9) || '  ') || chr(10) AS product,
+       lower(courier) || ' ' || product || '-x1y' AS courier,
+       CASE WHEN region = 'NATION_1' THEN 'nan' WHEN region = 'NATION_2' THEN 'None'
+            WHEN region = 'NATION_3' THEN NULL ELSE region END AS region,
+       shipping_mode
+FROM ({ORDERS_FACT_SQL}) x
+"""
+
+
+def text_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = orders_fact(spark, sf_dir)
+    region = (F.when(F.col("region") == "NATION_1", F.lit("nan"))
+               .when(F.col("region") == "NATION_2", F.lit("None"))
+               .when(F.col("region") == "NATION_3", F.lit(None).cast("string"))
+               .otherwise(F.col("region")))
+    return f.select(
+        "order_id", "customer_id", "order_date", "revenue", "quantity",
+        F.concat(F.lit("  "), F.replace(F.col("product"), F.lit(" "), F.lit("\t  ")), F.lit("\n")).alias("product"),
+        F.concat(F.lower("courier"), F.lit(" "), F.col("product"), F.lit("-x1y")).alias("courier"),
+        region.alias("region"), "shipping_mode")

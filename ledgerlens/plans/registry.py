@@ -69,5 +69,6 @@ def load_all() -> dict[str, tuple[Callable, str | None]]:
     from ledgerlens.plans import (  # noqa: F401
         suite_kpis,
         suite_quality,
+        suite_cleaning,
     )
     return REGISTRY
