@@ -47,15 +47,19 @@ def sig_round(c, digits: int = SIG_DIGITS):
     digits on both the Spark and the oracle side makes the comparison stable
     whatever the magnitude.
     """
-    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - (digits - 1))
-    return F.when(c.isNull() | F.isnan(c) | (c == 0), c).otherwise(F.round(c / scale, 0) * scale)
+    k = F.floor(F.log10(F.abs(c))) - (digits - 1)
+    p = F.pow(F.lit(10.0), F.abs(k))  # exact: 10**n is a double for n <= 22
+    r = F.when(k < 0, F.round(c * p, 0) / p).otherwise(F.round(c / p, 0) * p)
+    return F.when(c.isNull() | F.isnan(c) | (c == 0), c).otherwise(r)
 
 
 def sig(expr: str, digits: int = SIG_DIGITS) -> str:
     """The DuckDB spelling of :func:`sig_round`."""
     e = f"CAST(({expr}) AS DOUBLE)"
-    k = f"pow(10.0, floor(log10(abs({e}))) - {digits - 1})"
-    return f"(CASE WHEN {e} IS NULL OR isnan({e}) OR {e} = 0 THEN {e} ELSE round({e} / {k}) * {k} END)"
+    k = f"(floor(log10(abs({e}))) - {digits - 1})"
+    p = f"pow(10.0, abs({k}))"
+    return (f"(CASE WHEN {e} IS NULL OR isnan({e}) OR {e} = 0 THEN {e} "
+            f"WHEN {k} < 0 THEN round({e} * {p}) / {p} ELSE round({e} / {p}) * {p} END)")
 
 
 def rounded(df: DataFrame, digits: int = SIG_DIGITS) -> DataFrame:
@@ -70,5 +74,6 @@ def load_all() -> dict[str, tuple[Callable, str | None]]:
         suite_kpis,
         suite_quality,
         suite_cleaning,
+        suite_reshape,
     )
     return REGISTRY
