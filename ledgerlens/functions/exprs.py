@@ -102,3 +102,9 @@ def kurt_corrected(c: Column) -> Column:
     n = F.count(c).cast("double")
     g2 = F.kurtosis(c)
     return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
+
+
+def np_round(c: Column, digits: int) -> Column:
+    """numpy/pandas ``round(digits)``: half-to-even on the binary value (rint(x*10^d)/10^d)."""
+    p = float(10 ** digits)
+    return F.rint(c * p) / p

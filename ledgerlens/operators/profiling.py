@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions.exprs import is_numeric_type, is_temporal_type, is_text_type, kurt_corrected, skew_corrected
+from ledgerlens.functions.exprs import np_round, is_numeric_type, is_temporal_type, is_text_type, kurt_corrected, skew_corrected
 from ledgerlens.operators._common import dtypes, empty
 
 PROFILE_SCHEMA = ("column STRING, type STRING, non_null BIGINT, nulls BIGINT, null_pct DOUBLE, unique BIGINT, "
@@ -98,7 +98,7 @@ def overview(df: DataFrame, exact_duplicates: bool = False) -> DataFrame:
     const_pct = F.col("constant_cols") / F.lit(max(ncols, 1)) * 100
     score = (F.lit(100.0) - F.least(F.col("missing_pct") * 1.5, F.lit(40.0))
              - F.least(dup_pct * 1.2, F.lit(25.0)) - F.least(const_pct * 0.3, F.lit(15.0)))
-    return base.withColumn("quality_score", F.greatest(F.round(score, 0), F.lit(0.0)).cast("int"))
+    return base.withColumn("quality_score", F.greatest(F.rint(score), F.lit(0.0)).cast("int"))
 
 
 def quality_score(df: DataFrame) -> DataFrame:
@@ -125,13 +125,13 @@ def column_profile(df: DataFrame, approx_unique: bool = False, top: int = 3) ->
     for i, (name, dt) in enumerate(types.items()):
         isnum = is_numeric_type(dt, allow_bool=True)
         rows = F.col("_rows")
-        r2 = (lambda col: F.bround(col, 2)) if isnum else None
+        r2 = (lambda col: np_round(col, 2)) if isnum else None
         entries.append(F.struct(
             F.lit(name).alias("column"), F.lit(dt.simpleString()).alias("type"),
             F.col(f"nn{i}").alias("non_null"), (rows - F.col(f"nn{i}")).alias("nulls"),
-            F.bround((rows - F.col(f"nn{i}")) / F.greatest(rows, F.lit(1)) * 100, 2).alias("null_pct"),
+            np_round((rows - F.col(f"nn{i}")) / F.greatest(rows, F.lit(1)) * 100, 2).alias("null_pct"),
             F.col(f"u{i}").cast("long").alias("unique"),
-            F.bround(F.col(f"u{i}") / F.greatest(rows, F.lit(1)) * 100, 2).alias("unique_pct"),
+            np_round(F.col(f"u{i}") / F.greatest(rows, F.lit(1)) * 100, 2).alias("unique_pct"),
             (r2(F.col(f"mn{i}")) if isnum else nulld).alias("min"),
             (r2(F.col(f"me{i}")) if isnum else nulld).alias("mean"),
             (r2(F.col(f"mx{i}")) if isnum else nulld).alias("max"),
@@ -180,7 +180,7 @@ def numeric_stats(df: DataFrame) -> DataFrame:
     wide = df.agg(*aggs)
 
     def r3(col):
-        return F.bround(F.nanvl(col.cast("double"), F.lit(None).cast("double")), 3)
+        return np_round(F.nanvl(col.cast("double"), F.lit(None).cast("double")), 3)
 
     entries = [F.struct(
         F.lit(c).alias("column"), r3(F.col(f"n{i}")).alias("count"), r3(F.col(f"me{i}")).alias("mean"),
@@ -212,7 +212,7 @@ def correlation_matrix(df: DataFrame) -> DataFrame:
                 lo, hi = min(a, b), max(a, b)
                 val = F.col(f"r{lo}_{hi}")
             entries.append(F.struct(F.lit(cols[a]).alias("feature_a"), F.lit(cols[b]).alias("feature_b"),
-                                    F.bround(F.nanvl(val, F.lit(None).cast("double")), 3).alias("correlation")))
+                                    np_round(F.nanvl(val, F.lit(None).cast("double")), 3).alias("correlation")))
     return wide.select(F.inline(F.array(*entries)))
 
 
@@ -239,5 +239,5 @@ def missing_summary(df: DataFrame) -> DataFrame:
     out = wide.select(F.col("_rows"), F.inline(F.array(*entries)))
     return (out.where(F.col("missing") > 0)
                .select("column", "missing",
-                       F.bround(F.col("missing") / F.greatest(F.col("_rows"), F.lit(1)) * 100, 2).alias("missing_pct"))
+                       np_round(F.col("missing") / F.greatest(F.col("_rows"), F.lit(1)) * 100, 2).alias("missing_pct"))
                .orderBy(F.desc("missing"), "column"))

@@ -57,7 +57,7 @@ def validation_score(checks: DataFrame) -> DataFrame:
     failed = F.filter(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.struct("seq", "name")))),
                       lambda x: x.isNotNull())
     return checks.agg(
-        F.when(n == 0, F.lit(100)).otherwise(F.round(passed / n * 100, 0)).cast("int").alias("score"),
+        F.when(n == 0, F.lit(100.0)).otherwise(F.rint(passed / n * 100)).cast("int").alias("score"),
         n.alias("checks"), passed.alias("passed"),
         F.count_if(~F.col("passed") & (F.col("severity") == "critical")).alias("critical_failures"),
         F.array_join(F.transform(failed, lambda x: x["name"]), ", ").alias("failed_checks"),

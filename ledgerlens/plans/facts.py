@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.exprs import np_round
 from ledgerlens.session import scratch_path
 
 # role -> column of orders_fact (profit is present but deliberately unmapped)
@@ -31,13 +32,21 @@ EVENTS_ROLES = {
     "region": None,
 }
 
-ORDERS_FACT_SQL = """
+def cents(expr: str) -> str:
+    """Money rounded to cents, binary half-even (same arithmetic as ``np_round(x, 2)``)."""
+    return f"(round_even(CAST(({expr}) AS DOUBLE) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE))"
+
+
+# Money columns are kept in cents so that sums are exact up to float noise far
+# below half a cent; this makes the Spark/DuckDB comparison independent of the
+# order of addition.
+ORDERS_FACT_SQL = f"""
 SELECT l.l_orderkey AS order_id,
        o.o_custkey AS customer_id,
        o.o_orderdate AS order_date,
-       l.l_extendedprice * (1 - l.l_discount) AS revenue,
-       l.l_quantity * p.p_retailprice AS cost,
-       l.l_extendedprice * (1 - l.l_discount) - l.l_quantity * p.p_retailprice AS profit,
+       {cents('l.l_extendedprice * (1 - l.l_discount)')} AS revenue,
+       {cents('l.l_quantity * p.p_retailprice')} AS cost,
+       {cents('l.l_extendedprice * (1 - l.l_discount)')} - {cents('l.l_quantity * p.p_retailprice')} AS profit,
        l.l_quantity AS quantity,
        p.p_name AS product,
        p.p_brand AS category,
@@ -46,7 +55,7 @@ SELECT l.l_orderkey AS order_id,
        o.o_orderpriority AS shipping_mode,
        l.l_returnflag = 'R' AS rto,
        CAST(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(l.l_shipdate AS DATE)) AS INTEGER) AS delivery_days,
-       l.l_discount * 100 AS discount
+       round_even(l.l_discount * CAST(100 AS DOUBLE), 0) AS discount
 FROM lineitem l
 JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN customer c ON o.o_custkey = c.c_custkey
@@ -80,8 +89,8 @@ def orders_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
            .join(F.broadcast(na), cu.c_nationkey == na.n_nationkey)
            .join(pa, li.l_partkey == pa.p_partkey)
            .join(su, li.l_suppkey == su.s_suppkey))
-    rev = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    cost = F.col("l_quantity") * F.col("p_retailprice")
+    rev = np_round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2)
+    cost = np_round(F.col("l_quantity") * F.col("p_retailprice"), 2)
     return j.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
@@ -97,7 +106,7 @@ def orders_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("shipping_mode"),
         (F.col("l_returnflag") == "R").alias("rto"),
         F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")).alias("delivery_days"),
-        (F.col("l_discount") * 100).alias("discount"),
+        F.rint(F.col("l_discount") * 100.0).alias("discount"),
     )
 
 

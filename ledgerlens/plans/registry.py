@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.functions.exprs import np_round
 from ledgerlens.plans.facts import ORDERS_FACT_SQL, EVENTS_FACT_SQL
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
@@ -37,34 +38,27 @@ def with_events(body: str) -> str:
     return f"WITH e AS ({EVENTS_FACT_SQL})\n{body}"
 
 
-SIG_DIGITS = 9
+DIGITS = 2
 
 
-def sig_round(c, digits: int = SIG_DIGITS):
-    """Round a DOUBLE to ``digits`` significant digits (0, NULL, NaN unchanged).
+def sig(expr: str, digits: int = DIGITS) -> str:
+    """The DuckDB spelling of :func:`rounded` for one expression."""
+    return np_round_sql(expr, digits)
 
-    Double sums depend on the order of addition; rounding to significant
-    digits on both the Spark and the oracle side makes the comparison stable
-    whatever the magnitude.
-    """
-    k = F.floor(F.log10(F.abs(c))) - (digits - 1)
-    p = F.pow(F.lit(10.0), F.abs(k))  # exact: 10**n is a double for n <= 22
-    r = F.when(k < 0, F.round(c * p, 0) / p).otherwise(F.round(c / p, 0) * p)
-    return F.when(c.isNull() | F.isnan(c) | (c == 0), c).otherwise(r)
 
+def np_round_sql(expr: str, digits: int) -> str:
+    """DuckDB spelling of :func:`ledgerlens.functions.exprs.np_round` (binary half-even)."""
+    p = f"CAST({10 ** digits} AS DOUBLE)"
+    return f"(round_even(CAST(({expr}) AS DOUBLE) * {p}, 0) / {p})"
 
-def sig(expr: str, digits: int = SIG_DIGITS) -> str:
-    """The DuckDB spelling of :func:`sig_round`."""
-    e = f"CAST(({expr}) AS DOUBLE)"
-    k = f"(floor(log10(abs({e}))) - {digits - 1})"
-    p = f"pow(10.0, abs({k}))"
-    return (f"(CASE WHEN {e} IS NULL OR isnan({e}) OR {e} = 0 THEN {e} "
-            f"WHEN {k} < 0 THEN round({e} * {p}) / {p} ELSE round({e} / {p}) * {p} END)")
 
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Round every DOUBLE column half-even on the binary value (numpy ``round``).
 
-def rounded(df: DataFrame, digits: int = SIG_DIGITS) -> DataFrame:
-    """Round every DOUBLE column to significant digits."""
-    return df.select(*[sig_round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+    Money is in cents, so a double sum sits on the cent grid up to noise far
+    below half a cent and rounds identically whatever the order of addition.
+    """
+    return df.select(*[np_round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
                        else F.col(f.name) for f in df.schema.fields])
 
 
@@ -75,5 +69,6 @@ def load_all() -> dict[str, tuple[Callable, str | None]]:
         suite_quality,
         suite_cleaning,
         suite_reshape,
+        suite_customers,
     )
     return REGISTRY
