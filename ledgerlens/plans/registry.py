@@ -70,5 +70,6 @@ def load_all() -> dict[str, tuple[Callable, str | None]]:
         suite_cleaning,
         suite_reshape,
         suite_customers,
+        suite_forecast,
     )
     return REGISTRY
