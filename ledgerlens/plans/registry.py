@@ -71,5 +71,6 @@ def load_all() -> dict[str, tuple[Callable, str | None]]:
         suite_reshape,
         suite_customers,
         suite_forecast,
+        suite_insights,
     )
     return REGISTRY
