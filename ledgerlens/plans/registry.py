@@ -72,5 +72,6 @@ def load_all() -> dict[str, tuple[Callable, str | None]]:
         suite_customers,
         suite_forecast,
         suite_insights,
+        suite_sources,
     )
     return REGISTRY
