@@ -152,9 +152,10 @@ def detect_isolation_forest(df: DataFrame, columns: Sequence[str], contamination
                             n_trees: int = 200, sample_size: int = 256, seed: int = 42) -> DataFrame:
     """A3: isolation forest; rows whose score is below the contamination quantile.
 
-    Nulls -> 0; fewer than 10 rows -> empty.  Each tree sees at most
-    ``sample_size`` rows drawn by a seeded Spark sample, so the driver-side
-    growth is bounded (n_trees x sample_size rows) whatever the table size.
+    Nulls -> 0; fewer than 10 rows -> empty.  Trees are grown on the driver
+    from a seeded sample of about 1.2 x sample_size x n_trees rows (bounded
+    whatever the table size); every row is then scored in parallel by a
+    pandas UDF with the trees broadcast.
     Output: the input rows plus ``_anomaly_score`` (negative = anomalous).
     """
     types = dtypes(df)
@@ -163,24 +164,22 @@ def detect_isolation_forest(df: DataFrame, columns: Sequence[str], contamination
     if n < 10:
         return df.limit(0).withColumn("_anomaly_score", F.lit(None).cast("double"))
     psi = min(sample_size, n)
-    frac = min(1.0, 1.2 * psi * n_trees / n) if n > psi else 1.0
-    # one seeded sample, each row tagged with a tree; rows beyond psi per tree dropped
-    tagged = (df.select(*[f.alias(f"_f{i}") for i, f in enumerate(feats)])
-                .sample(withReplacement=False, fraction=frac, seed=seed)
-                .withColumn("_tree", (F.rand(seed) * n_trees).cast("int"))
-                .withColumn("_r", F.rand(seed + 1)))
-    w = Window.partitionBy("_tree").orderBy("_r")
-    sample = tagged.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= psi).drop("_r", "_k").toPandas()
+    # One seeded Bernoulli sample of about 1.2 * psi * n_trees rows (bounded, whatever n is);
+    # each tree then draws psi rows from it without replacement, as the method prescribes.
+    pool_size = int(1.2 * psi * n_trees)
+    frac = min(1.0, pool_size / n)
+    pool = (df.select(*[f.alias(f"_f{i}") for i, f in enumerate(feats)])
+              .sample(withReplacement=False, fraction=frac, seed=seed).limit(pool_size).toPandas()
+              .to_numpy(dtype=float))
     rng = np.random.default_rng(seed)
     limit = int(math.ceil(math.log2(max(psi, 2))))
     trees = []
-    for t in range(n_trees):
-        x = sample.loc[sample["_tree"] == t, [f"_f{i}" for i in range(len(columns))]].to_numpy(dtype=float)
-        if len(x) == 0:
-            continue
+    for _ in range(n_trees):
+        take = min(psi, len(pool))
+        x = pool[rng.choice(len(pool), size=take, replace=False)]
         nodes: list = []
         _grow(x, rng, 0, limit, nodes)
-        trees.append((np.array(nodes, dtype=float), len(x)))
+        trees.append((np.array(nodes, dtype=float), take))
     bc = df.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf(T.DoubleType())

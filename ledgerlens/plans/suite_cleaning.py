@@ -158,8 +158,7 @@ def _py_title(e):
 
 def _case_sql(fn):
     def expr(c):
-        inner = fn(c)
-        return f"CASE WHEN {inner} IN ('nan', 'None') THEN NULL ELSE {inner} END"
+        return f"CASE WHEN {c} IN ('nan', 'None') THEN NULL ELSE {fn(c)} END"
     return TX(f"SELECT {sel({'courier': expr('courier'), 'region': expr('region')}, _TXT_COLS, _TXT_TYPES)} FROM t")
 
 
