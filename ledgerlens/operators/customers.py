@@ -27,9 +27,15 @@ def rfm_base(df: DataFrame, mapping: dict) -> DataFrame | None:
     work = df.select(F.col(cust).alias("customer"), ts(df, date).alias("_d"), num(df, rev).alias("_rev"),
                      *([F.col(order).alias("_order")] if order else []))
     work = work.where(F.col("_d").isNotNull() & F.col("customer").isNotNull())
-    freq = F.count_distinct("_order") if order else F.count("*")
-    per = work.groupBy("customer").agg(F.max("_d").alias("_last"), freq.alias("frequency"),
-                                       sum0(F.col("_rev")).alias("monetary"))
+    if order:
+        # two-level aggregate instead of a grouped count_distinct (no Expand):
+        # (customer, order) first, then customer; null orders are not counted
+        per_order = work.groupBy("customer", "_order").agg(F.max("_d").alias("_d"), F.sum("_rev").alias("_rev"))
+        per = per_order.groupBy("customer").agg(F.max("_d").alias("_last"), F.count("_order").alias("frequency"),
+                                                sum0(F.col("_rev")).alias("monetary"))
+    else:
+        per = work.groupBy("customer").agg(F.max("_d").alias("_last"), F.count("*").alias("frequency"),
+                                           sum0(F.col("_rev")).alias("monetary"))
     snap = work.agg((F.max("_d") + F.expr("INTERVAL 1 DAY")).alias("_snap"))
     return (per.crossJoin(F.broadcast(snap))
                .select("customer", F.timestamp_diff("DAY", F.col("_last"), F.col("_snap")).alias("recency"),

@@ -41,6 +41,7 @@ def compute_core_kpis(df: DataFrame, mapping: dict) -> DataFrame:
     order_c, cust_c, date_c, qty_c = (mapping.get("order_id"), mapping.get("customer_id"),
                                       mapping.get("date"), mapping.get("quantity"))
     aggs = [F.count("*").cast("double").alias("rows")]
+    distinct = []
     rows: list[tuple[str, str, str | None]] = [("Total Rows", "rows", None)]
     if rev_c:
         aggs += [sum0(num(df, rev_c)).alias("rev"), F.avg(num(df, rev_c)).alias("rev_mean")]
@@ -54,14 +55,14 @@ def compute_core_kpis(df: DataFrame, mapping: dict) -> DataFrame:
         aggs.append(sum0(num(df, rev_c) - num(df, cost_c)).alias("profit"))
         rows += [("Total Profit (est.)", "profit", None), ("Profit Margin % (est.)", "margin", None)]
     if order_c:
-        aggs.append(F.count_distinct(F.col(order_c)).cast("double").alias("orders"))
+        distinct.append(F.count_distinct(F.col(order_c)).cast("double").alias("orders"))
         rows.append(("Total Orders", "orders", None))
         if rev_c:
             rows.append(("Avg Order Value", "aov", None))
     elif rev_c:
         rows.append(("Avg Order Value", "rev_mean", None))
     if cust_c:
-        aggs.append(F.count_distinct(F.col(cust_c)).cast("double").alias("customers"))
+        distinct.append(F.count_distinct(F.col(cust_c)).cast("double").alias("customers"))
         rows.append(("Unique Customers", "customers", None))
         if rev_c:
             rows.append(("Revenue / Customer", "rev_per_cust", None))
@@ -70,6 +71,8 @@ def compute_core_kpis(df: DataFrame, mapping: dict) -> DataFrame:
         rows.append(("Units Sold", "units", None))
 
     base = df.agg(*aggs)
+    if distinct:  # separate aggregate: avoids carrying the plain inputs through the distinct Expand
+        base = base.crossJoin(df.agg(*distinct))
     if rev_c and date_c:
         base = base.crossJoin(_monthly_delta(df, date_c, num(df, rev_c), "d_rev"))
     if profit_c and date_c:

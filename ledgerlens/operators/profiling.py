@@ -111,15 +111,18 @@ def column_profile(df: DataFrame, approx_unique: bool = False, top: int = 3) ->
     types = dtypes(df)
     names = list(types)
     aggs = [F.count("*").alias("_rows")]
+    uniq = []
     for i, (name, dt) in enumerate(types.items()):
         c = _present(F.col(name), dt)
         aggs.append(F.count(c).alias(f"nn{i}"))
-        aggs.append((F.approx_count_distinct(c) if approx_unique else F.count_distinct(c)).alias(f"u{i}"))
+        uniq.append((F.approx_count_distinct(c) if approx_unique else F.count_distinct(c)).alias(f"u{i}"))
         if is_numeric_type(dt, allow_bool=True):
             d = _as_double(name, dt)
             aggs += [F.min(d).alias(f"mn{i}"), F.avg(d).alias(f"me{i}"), F.max(d).alias(f"mx{i}"),
                      F.stddev_samp(d).alias(f"sd{i}")]
-    wide = df.agg(*aggs)
+    # distinct counts in their own aggregate: mixed with plain aggregates, Spark's
+    # distinct rewrite carries every plain input through a wide Expand
+    wide = df.agg(*aggs).crossJoin(df.agg(*uniq))
     nulld = F.lit(None).cast("double")
     entries = []
     for i, (name, dt) in enumerate(types.items()):
