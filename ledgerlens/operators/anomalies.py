@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import as_number, np_round, sum0
+from ledgerlens.operators import ranking
 from ledgerlens.operators._common import dtypes, empty, num, ts
 
 
@@ -36,7 +37,8 @@ def detect_zscore(df: DataFrame, column: str, threshold: float = 3.0) -> DataFra
 
 def iqr_flag(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     x = as_number(F.col(column), dtypes(df)[column])
-    stats = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    q = ranking.quantiles(df.select(x.alias("_x")), ["_x"], [0.25, 0.75])
+    stats = q.select(F.array("_x_q0", "_x_q1").alias("_q"))
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
     lo, hi = q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
     return (df.crossJoin(F.broadcast(stats))
@@ -191,7 +193,7 @@ def detect_isolation_forest(df: DataFrame, columns: Sequence[str], contamination
         return pd.Series(-(2.0 ** (-mean_h / cn)))
 
     scored = df.withColumn("_raw", score(*feats))
-    cut = scored.agg(F.percentile("_raw", F.lit(contamination)).alias("_cut"))
+    cut = ranking.quantiles(scored, ["_raw"], [contamination]).select(F.col("_raw_q0").alias("_cut"))
     return (scored.crossJoin(F.broadcast(cut))
                   .withColumn("_anomaly_score", F.col("_raw") - F.col("_cut"))
                   .where(F.col("_anomaly_score") < 0)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import as_number, sum0
+from ledgerlens.operators import ranking
 from ledgerlens.operators._common import dtypes
 from ledgerlens.operators.kpis import top_n
 
@@ -33,8 +34,8 @@ def box_summary(df: DataFrame, y: str, x: str | None = None, factor: float = 1.5
     v = as_number(F.col(y), dtypes(df)[y])
     keys = [F.col(x)] if x else []
     work = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
-    q = work.groupBy(*keys).agg(F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = ranking.grouped_quantiles(work, [x] if x else [], "_v", [0.25, 0.5, 0.75])
+    q = q.select(*keys, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     q = q.withColumn("_lo", F.col("q1") - factor * (F.col("q3") - F.col("q1"))).withColumn(
         "_hi", F.col("q3") + factor * (F.col("q3") - F.col("q1")))
     j = work.join(q, [x], "left") if x else work.crossJoin(F.broadcast(q))
@@ -49,7 +50,8 @@ def box_outliers(df: DataFrame, y: str, x: str | None = None, factor: float = 1.
     """H2: the outlier points themselves (rows outside the fences of their group)."""
     v = as_number(F.col(y), dtypes(df)[y])
     keys = [x] if x else []
-    q = df.groupBy(*keys).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    q = ranking.grouped_quantiles(df.select(*keys, v.alias("_v")), keys, "_v", [0.25, 0.75])
+    q = q.select(*keys, F.array("q0", "q1").alias("_q"))
     lo = F.col("_q")[0] - factor * (F.col("_q")[1] - F.col("_q")[0])
     hi = F.col("_q")[1] + factor * (F.col("_q")[1] - F.col("_q")[0])
     j = df.join(q, keys, "left") if keys else df.crossJoin(F.broadcast(q))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import np_round, is_numeric_type, is_temporal_type, is_text_type, kurt_corrected, skew_corrected
+from ledgerlens.operators import ranking
 from ledgerlens.operators._common import dtypes, empty
 
 PROFILE_SCHEMA = ("column STRING, type STRING, non_null BIGINT, nulls BIGINT, null_pct DOUBLE, unique BIGINT, "
@@ -156,15 +157,23 @@ def column_profile(df: DataFrame, approx_unique: bool = False, top: int = 3) ->
 def top_values(df: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
     """(column, rank, value, count): the k most frequent non-null values per column.
 
-    Unpivot -> groupBy(column, value) (map-side combined) -> rank within each
-    column; ties by value.  Per-column groups hold only distinct values.
+    Unpivot -> groupBy(column, value) (map-side combined) -> for each column a
+    bounded top-k (TakeOrderedAndProject: k rows per partition, then merged),
+    so no task ever holds all distinct values of a column.  Ties by value.
     """
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p"))
     counts = pairs.select("p.*").where(F.col("value").isNotNull()).groupBy("column", "value").count()
+    parts = []
+    for c in columns:
+        top = counts.where(F.col("column") == c).orderBy(F.desc("count"), F.asc("value")).limit(k)
+        parts.append(top)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     from pyspark.sql import Window
     w = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w))  # at most k rows per column here
 
 
 def numeric_stats(df: DataFrame) -> DataFrame:
@@ -177,10 +186,14 @@ def numeric_stats(df: DataFrame) -> DataFrame:
     for i, c in enumerate(cols):
         d = _as_double(c, types[c])
         aggs += [F.count(d).alias(f"n{i}"), F.avg(d).alias(f"me{i}"), F.stddev_samp(d).alias(f"sd{i}"),
-                 F.min(d).alias(f"mn{i}"), F.percentile(d, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}"),
+                 F.min(d).alias(f"mn{i}"),
                  F.max(d).alias(f"mx{i}"), skew_corrected(d).alias(f"sk{i}"), kurt_corrected(d).alias(f"ku{i}"),
                  F.count_if(d == 0).alias(f"z{i}")]
-    wide = df.agg(*aggs)
+    qdf = df.select(*[_as_double(c, types[c]).alias(f"_c{i}") for i, c in enumerate(cols)])
+    q = ranking.quantiles(qdf, [f"_c{i}" for i in range(len(cols))], [0.25, 0.5, 0.75])
+    wide = df.agg(*aggs).crossJoin(q)
+    for i in range(len(cols)):
+        wide = wide.withColumn(f"p{i}", F.array(*[F.col(f"_c{i}_q{k}") for k in range(3)]))
 
     def r3(col):
         return np_round(F.nanvl(col.cast("double"), F.lit(None).cast("double")), 3)
