@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.exprs import sum0
 from ledgerlens.operators import ranking
 from ledgerlens.operators._common import empty, num, ts
+from ledgerlens.session import cut_lineage
 
 RFM_SCHEMA = ("customer STRING, recency BIGINT, frequency BIGINT, monetary DOUBLE, R INT, F INT, M INT, "
               "rfm_score INT, segment STRING")
@@ -57,11 +58,17 @@ def segment_expr(r: Column, f: Column, m: Column, score: Column) -> Column:
              .otherwise("Hibernating"))
 
 
-def rfm_analysis(df: DataFrame, mapping: dict) -> DataFrame:
-    """RFM table with quartile scores and segments (unordered; sort by monetary to display)."""
+def rfm_analysis(df: DataFrame, mapping: dict, checkpoint: bool = True) -> DataFrame:
+    """RFM table with quartile scores and segments (unordered; sort by monetary to display).
+
+    The per-customer table is read by two rankings and a quantile aggregate;
+    with ``checkpoint`` it is computed once and stored in the checkpoint folder.
+    """
     base = rfm_base(df, mapping)
     if base is None:
         return empty(df.sparkSession, RFM_SCHEMA)
+    if checkpoint:
+        base = cut_lineage(base)
     stats = base.agg(F.percentile("recency", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
                      F.count("*").alias("_n"))
     ranked = ranking.row_number(base, ["frequency", "customer"], out="_rf")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.exprs import np_round, sum0
 from ledgerlens.operators import ranking
 from ledgerlens.operators._common import empty, num
+from ledgerlens.session import cut_lineage
 
 
-def abc_classification(df: DataFrame, mapping: dict) -> DataFrame:
+def abc_classification(df: DataFrame, mapping: dict, checkpoint: bool = True) -> DataFrame:
     """Revenue per product (null product kept), cumulative share in revenue-desc order.
 
     A <= 80 %, B <= 95 %, else C; a single product above 80 % is therefore B.
@@ -20,6 +21,8 @@ def abc_classification(df: DataFrame, mapping: dict) -> DataFrame:
     if not prod or not rev:
         return empty(df.sparkSession, "product STRING, revenue DOUBLE, cum_pct DOUBLE, class STRING, revenue_share_pct DOUBLE")
     grouped = df.groupBy(F.col(prod)).agg(sum0(num(df, rev)).alias("revenue"))
+    if checkpoint:  # read by the range sampling, the shuffle and the total
+        grouped = cut_lineage(grouped)
     total = grouped.agg(F.sum("revenue").alias("_tot")).select(
         F.when(F.coalesce(F.col("_tot"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("_tot")).alias("_tot"))
     run = ranking.running_sum(grouped, [F.col("revenue").desc(), F.col(prod).asc_nulls_first()], "revenue", "_cum")

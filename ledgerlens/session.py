@@ -53,3 +53,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the checkpoint folder for a materialised table."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/ledgerlens/{name}-{os.getpid()}-{os.urandom(4).hex()}"
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (runs a job now).
+
+    Used for aggregated tables that later plans read several times (range
+    sampling plus shuffle), so the raw data is aggregated once and a lost
+    executor re-reads the checkpoint instead of recomputing from the source.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
