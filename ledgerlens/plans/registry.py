@@ -73,5 +73,6 @@ def load_all() -> dict[str, tuple[Callable, str | None]]:
         suite_forecast,
         suite_insights,
         suite_sources,
+        suite_roles,
     )
     return REGISTRY
