@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ledgerlens.functions.exprs import as_number, np_round, sum0
 from ledgerlens.operators import ranking
 from ledgerlens.operators._common import dtypes, empty, num, ts
+from ledgerlens.session import cut_lineage
 
 
 def zscore_column(df: DataFrame, column: str) -> DataFrame:
@@ -192,7 +193,9 @@ def detect_isolation_forest(df: DataFrame, columns: Sequence[str], contamination
         cn = np.mean([_c(size) for _, size in forest])
         return pd.Series(-(2.0 ** (-mean_h / cn)))
 
-    scored = df.withColumn("_raw", score(*feats))
+    # scored once and checkpointed: the cutoff quantile (range sampling + shuffle) and the
+    # final filter would otherwise each re-run the 200-tree UDF
+    scored = cut_lineage(df.withColumn("_raw", score(*feats)))
     cut = ranking.quantiles(scored, ["_raw"], [contamination]).select(F.col("_raw_q0").alias("_cut"))
     return (scored.crossJoin(F.broadcast(cut))
                   .withColumn("_anomaly_score", F.col("_raw") - F.col("_cut"))
