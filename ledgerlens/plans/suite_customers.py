@@ -87,8 +87,8 @@ def r7_segment_summary(spark, sf_dir):
 
 
 @register("r8_customer_counts", _rfm_ctes() +
-          "SELECT count(*) AS total_customers, count_if(segment = 'Champions') AS champions, "
-          "count_if(segment = 'At Risk') AS at_risk, count_if(churn_risk) AS churn_risk FROM clv2")
+          "SELECT count(*) AS total_customers, CAST(count_if(segment = 'Champions') AS BIGINT) AS champions, "
+          "CAST(count_if(segment = 'At Risk') AS BIGINT) AS at_risk, CAST(count_if(churn_risk) AS BIGINT) AS churn_risk FROM clv2")
 def r8_customer_counts(spark, sf_dir):
     return customers.customer_counts(_clv(spark, sf_dir))
 
@@ -158,7 +158,7 @@ _RTO = "coalesce(lower(CAST(rto AS VARCHAR)) IN ('1', 'true', 'yes', 'y'), false
 
 @register("l1_courier_performance", f"WITH f AS ({ORDERS_FACT_SQL})\n"
           f"SELECT courier, count(courier) AS orders, {sig('avg(delivery_days)')} AS avg_delivery_days, "
-          f"count_if({_RTO}) AS rto_count, {sig('coalesce(sum(revenue), 0)')} AS revenue, "
+          f"CAST(count_if({_RTO}) AS BIGINT) AS rto_count, {sig('coalesce(sum(revenue), 0)')} AS revenue, "
           f"{sig(np_round_sql(f'count_if({_RTO}) / nullif(count(courier), 0) * 100', 2))} AS rto_rate_pct FROM f GROUP BY courier")
 def l1_courier_performance(spark, sf_dir):
     return rounded(logistics.courier_performance(orders_fact(spark, sf_dir), FACT_ROLES, FACT_RETAIL_ROLES))
@@ -171,7 +171,7 @@ def l2_rto_flag(spark, sf_dir):
 
 
 @register("l3_rto_analysis", f"WITH f AS ({ORDERS_FACT_SQL})\n"
-          f"SELECT count(*) AS total_orders, count_if({_RTO}) AS rto_orders, "
+          f"SELECT count(*) AS total_orders, CAST(count_if({_RTO}) AS BIGINT) AS rto_orders, "
           f"{sig(np_round_sql(f'avg(CAST({_RTO} AS DOUBLE)) * 100', 2))} AS rto_rate_pct FROM f")
 def l3_rto_analysis(spark, sf_dir):
     return rounded(logistics.rto_analysis(orders_fact(spark, sf_dir), FACT_RETAIL_ROLES))

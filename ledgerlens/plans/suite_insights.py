@@ -55,7 +55,7 @@ _BOXQ = """, q AS (SELECT category, quantile_cont(revenue, 0.25) AS q1, quantile
 SELECT e.category, {sig('q1')} AS q1, {sig('median')} AS median, {sig('q3')} AS q3,
        {sig('min(revenue) FILTER (WHERE revenue >= lo AND revenue <= hi)')} AS whisker_low,
        {sig('max(revenue) FILTER (WHERE revenue >= lo AND revenue <= hi)')} AS whisker_high,
-       count_if(NOT (revenue >= lo AND revenue <= hi)) AS outliers
+       CAST(count_if(NOT (revenue >= lo AND revenue <= hi)) AS BIGINT) AS outliers
 FROM e JOIN qf ON e.category IS NOT DISTINCT FROM qf.category WHERE revenue IS NOT NULL
 GROUP BY e.category, q1, median, q3"""))
 def h2_box_summary(spark, sf_dir):

@@ -174,8 +174,8 @@ def v1_validate_dataset(spark, sf_dir):
 
 _SCORE_BODY = (f"""{V1_BODY.replace(chr(10) + 'SELECT 1 AS seq', chr(10) + ', v AS (SELECT 1 AS seq', 1)})
 , s AS (SELECT CAST(CASE WHEN count(*) = 0 THEN 100 ELSE round_even(count_if(passed) / count(*) * 100, 0) END AS INTEGER) AS score,
-       count(*) AS checks, count_if(passed) AS passed,
-       count_if(NOT passed AND severity = 'critical') AS critical_failures,
+       count(*) AS checks, CAST(count_if(passed) AS BIGINT) AS passed,
+       CAST(count_if(NOT passed AND severity = 'critical') AS BIGINT) AS critical_failures,
        coalesce(string_agg(CASE WHEN NOT passed THEN name END, ', ' ORDER BY seq), '') AS failed_checks
 FROM v)
 """)
