@@ -56,6 +56,37 @@ def duplicate_rows(df: DataFrame, exact: bool = False) -> DataFrame:
     return confirmed.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
+def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column index ``_ci``, ``unique``): exact non-null distinct count of every column in one shuffle.
+
+    Each value goes into one typed slot of a narrow (column, long, double,
+    text) record -- integers, booleans and times as long, floats as double,
+    the rest as text -- so the shuffle carries 4 fields instead of Spark's
+    distinct-rewrite Expand, which carries every column in every row.
+    """
+    types = dtypes(df)
+    cols = columns or list(types)
+    nl, nd, ns = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    ents = []
+    for i, c in enumerate(cols):
+        dt, x = types[c], F.col(c)
+        if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+            slot = (x.cast("long"), nd, ns)
+        elif isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            slot = (F.unix_micros(x.cast("timestamp")), nd, ns)
+        elif isinstance(dt, (T.DoubleType, T.FloatType)):
+            slot = (nl, _present(x, dt).cast("double"), ns)
+        elif isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
+            slot = (nl, nd, F.to_json(x))
+        else:
+            slot = (nl, nd, x.cast("string"))
+        present = x.isNotNull() if not isinstance(dt, (T.DoubleType, T.FloatType)) else _present(x, dt).isNotNull()
+        ents.append(F.when(present, F.struct(F.lit(i).alias("_ci"), slot[0].alias("_l"), slot[1].alias("_d"),
+                                              slot[2].alias("_s"))))
+    pairs = df.select(F.explode(F.array(*ents)).alias("_p")).where(F.col("_p").isNotNull()).select("_p.*")
+    return pairs.dropDuplicates(["_ci", "_l", "_d", "_s"]).groupBy("_ci").agg(F.count("*").alias("unique"))
+
+
 def _shape_aggs(df: DataFrame) -> list[Column]:
     out = [F.count("*").alias("_rows")]
     for i, (name, dt) in enumerate(dtypes(df).items()):
@@ -112,18 +143,21 @@ def column_profile(df: DataFrame, approx_unique: bool = False, top: int = 3) ->
     types = dtypes(df)
     names = list(types)
     aggs = [F.count("*").alias("_rows")]
-    uniq = []
     for i, (name, dt) in enumerate(types.items()):
         c = _present(F.col(name), dt)
         aggs.append(F.count(c).alias(f"nn{i}"))
-        uniq.append((F.approx_count_distinct(c) if approx_unique else F.count_distinct(c)).alias(f"u{i}"))
         if is_numeric_type(dt, allow_bool=True):
             d = _as_double(name, dt)
             aggs += [F.min(d).alias(f"mn{i}"), F.avg(d).alias(f"me{i}"), F.max(d).alias(f"mx{i}"),
                      F.stddev_samp(d).alias(f"sd{i}")]
-    # distinct counts in their own aggregate: mixed with plain aggregates, Spark's
-    # distinct rewrite carries every plain input through a wide Expand
-    wide = df.agg(*aggs).crossJoin(df.agg(*uniq))
+    if approx_unique:
+        uniq = df.agg(*[F.approx_count_distinct(_present(F.col(n), t)).alias(f"u{i}")
+                        for i, (n, t) in enumerate(types.items())])
+    else:
+        counts = distinct_counts(df, names)
+        uniq = counts.agg(*[F.coalesce(F.max(F.when(F.col("_ci") == i, F.col("unique"))), F.lit(0)).alias(f"u{i}")
+                            for i in range(len(names))])
+    wide = df.agg(*aggs).crossJoin(uniq)
     nulld = F.lit(None).cast("double")
     entries = []
     for i, (name, dt) in enumerate(types.items()):
