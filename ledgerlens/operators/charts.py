@@ -38,7 +38,9 @@ def box_summary(df: DataFrame, y: str, x: str | None = None, factor: float = 1.5
     q = q.select(*keys, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     q = q.withColumn("_lo", F.col("q1") - factor * (F.col("q3") - F.col("q1"))).withColumn(
         "_hi", F.col("q3") + factor * (F.col("q3") - F.col("q1")))
-    j = work.join(q, [x], "left") if x else work.crossJoin(F.broadcast(q))
+    # null-safe: a null category is a group of its own, as with groupBy
+    j = (work.join(q.withColumnRenamed(x, "_qk"), F.col(x).eqNullSafe(F.col("_qk")), "left").drop("_qk")
+         if x else work.crossJoin(F.broadcast(q)))
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     return j.groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
@@ -54,7 +56,8 @@ def box_outliers(df: DataFrame, y: str, x: str | None = None, factor: float = 1.
     q = q.select(*keys, F.array("q0", "q1").alias("_q"))
     lo = F.col("_q")[0] - factor * (F.col("_q")[1] - F.col("_q")[0])
     hi = F.col("_q")[1] + factor * (F.col("_q")[1] - F.col("_q")[0])
-    j = df.join(q, keys, "left") if keys else df.crossJoin(F.broadcast(q))
+    j = (df.join(q.withColumnRenamed(x, "_qk"), F.col(x).eqNullSafe(F.col("_qk")), "left").drop("_qk")
+         if keys else df.crossJoin(F.broadcast(q)))
     return j.where((v < lo) | (v > hi)).drop("_q")
 
 

@@ -52,3 +52,22 @@ def test_sample_of_queries_run(spark, sf):
     qs = entry.queries()
     for name in ("k1_core_kpis", "q2_overview", "v1_validate_dataset", "p1_abc_products", "c7_ffill", "h5_waterfall"):
         assert qs[name](spark, sf).count() >= 0
+
+
+def test_null_safe_merge_is_an_equi_join(spark, sf):
+    from pyspark.sql import functions as F
+    from ledgerlens.operators import reshape
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.nullif("o_custkey", F.lit(1)).alias("k"), "o_totalprice")
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.nullif("c_custkey", F.lit(2)).alias("k"), "c_name")
+    for how in ("inner", "left", "right", "outer"):
+        p = reshape.merge_datasets(o, c, "k", how)._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in p or "BroadcastHashJoin" in p or "ShuffledHashJoin" in p), p
+        assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
+
+
+def test_box_summary_keeps_null_group(spark):
+    from ledgerlens.operators import charts
+    df = spark.createDataFrame([(None, float(v)) for v in range(10)] + [("a", float(v)) for v in range(5)],
+                               "g string, v double")
+    out = {r.g: r for r in charts.box_summary(df, "v", "g").collect()}
+    assert out[None].median == 4.5 and out["a"].median == 2.0 and out[None].whisker_high == 9.0
