@@ -71,3 +71,17 @@ def test_box_summary_keeps_null_group(spark):
                                "g string, v double")
     out = {r.g: r for r in charts.box_summary(df, "v", "g").collect()}
     assert out[None].median == 4.5 and out["a"].median == 2.0 and out[None].whisker_high == 9.0
+
+
+def test_hot_group_is_split_across_range_partitions(spark):
+    """A group with a third of all rows must not land on one task in the distributed fill/rank."""
+    from pyspark.sql import functions as F
+    from ledgerlens.operators import ranking
+    n = 30000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 997).cast("string")).alias("g"),
+                               F.col("id").alias("k"))
+    parts = ranking._ranged(df, [F.col("g"), F.col("k")], 8).groupBy("_rk_pid").count().collect()
+    assert max(r["count"] for r in parts) < 0.2 * n
+    filled = ranking.fill(df.withColumn("v", F.when(F.col("k") % 5 == 0, F.col("k"))), ["v"], ["k"], ["g"], num_partitions=8)
+    hot = filled.where("g = 'hot'").orderBy("k").limit(7).collect()
+    assert [r.v for r in hot] == [0, 0, 0, 0, 0, 15, 15]
