@@ -33,6 +33,11 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric_type(f.dataType, allow_bool=True)]
 
 
+def number_columns(df: DataFrame) -> list[str]:
+    """numpy ``number`` dtypes (what ``select_dtypes(include=np.number)`` keeps): booleans excluded."""
+    return [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
+
+
 def _as_double(c: str, dt: T.DataType) -> Column:
     return _present(F.col(c).cast("double"), T.DoubleType())
 
@@ -211,8 +216,8 @@ def top_values(df: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame) -> DataFrame:
-    """Q4: describe() + bias-corrected skew/kurtosis + zero count, rounded to 3."""
-    cols = numeric_columns(df)
+    """Q4: describe() + bias-corrected skew/kurtosis + zero count, rounded to 3 (booleans excluded)."""
+    cols = number_columns(df)
     if not cols:
         return empty(df.sparkSession, "column STRING")
     types = dtypes(df)
@@ -242,8 +247,8 @@ def numeric_stats(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame) -> DataFrame:
-    """Q5/H6: Pearson r for every ordered pair (pairwise complete), rounded to 3."""
-    cols = numeric_columns(df)
+    """Q5/H6: Pearson r for every ordered pair (pairwise complete), rounded to 3 (booleans excluded)."""
+    cols = number_columns(df)
     if len(cols) < 2:
         return empty(df.sparkSession, "feature_a STRING, feature_b STRING, correlation DOUBLE")
     types = dtypes(df)
@@ -268,7 +273,7 @@ def correlation_matrix(df: DataFrame) -> DataFrame:
 
 def strong_correlations(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Q5: upper-triangle pairs with |r| >= threshold (after rounding), by |r| desc."""
-    cols = numeric_columns(df)
+    cols = number_columns(df)
     order = {c: i for i, c in enumerate(cols)}
     m = correlation_matrix(df)
     if len(cols) < 2:

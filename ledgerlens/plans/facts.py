@@ -170,6 +170,7 @@ FACT_SCHEMA = [
 ]
 FACT_NUMERIC = [c for c, t in FACT_SCHEMA if t in ("bigint", "int", "double", "boolean")]
 FACT_TEXT = [c for c, t in FACT_SCHEMA if t == "string"]
+FACT_NUMBERS = [c for c, t in FACT_SCHEMA if t in ("bigint", "int", "double")]  # numpy number: no booleans
 
 
 # Text with whitespace runs, mixed case and pandas null tokens, derived from the

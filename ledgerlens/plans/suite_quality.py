@@ -5,8 +5,8 @@ from __future__ import annotations
 from itertools import combinations
 
 from ledgerlens.operators import profiling, validation
-from ledgerlens.plans.facts import (DIRTY_FACT_SQL, FACT_NUMERIC, FACT_ROLES_WITH_PROFIT, FACT_SCHEMA, FACT_TEXT,
-                                    dirty_fact)
+from ledgerlens.plans.facts import (DIRTY_FACT_SQL, FACT_NUMBERS, FACT_NUMERIC, FACT_ROLES_WITH_PROFIT, FACT_SCHEMA,
+                                    FACT_TEXT, dirty_fact)
 from ledgerlens.plans.registry import register, rounded, sig
 from ledgerlens.sources.checks import upload_findings
 
@@ -83,7 +83,7 @@ def q3_column_profile(spark, sf_dir):
 
 def _stats_sql():
     parts = []
-    for c in FACT_NUMERIC:
+    for c in FACT_NUMBERS:
         x = _dbl(c)
 
         def r3(e):
@@ -104,9 +104,9 @@ def q4_numeric_stats(spark, sf_dir):
 
 def _corr_sql(strong: float | None = None):
     parts = []
-    idx = {c: i for i, c in enumerate(FACT_NUMERIC)}
-    for a in FACT_NUMERIC:
-        for b in FACT_NUMERIC:
+    idx = {c: i for i, c in enumerate(FACT_NUMBERS)}
+    for a in FACT_NUMBERS:
+        for b in FACT_NUMBERS:
             if a == b:
                 v = f"CASE WHEN count({_dbl(a)}) > 1 AND stddev_samp({_dbl(a)}) > 0 THEN 1.0 END"
             else:
