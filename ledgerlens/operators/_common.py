@@ -52,3 +52,16 @@ def agg_expr(fn: str, c: Column) -> Column:
     if fn == "std":
         return F.stddev_samp(c)
     raise ValueError(f"unknown aggregation {fn!r}")
+
+
+def attach(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row result (a global aggregate) to every row of ``df``.
+
+    The row travels as one struct-valued scalar subquery: Spark runs it once,
+    reuses it wherever it is referenced and inlines the value -- no join, and
+    nothing that grows with the data is broadcast.
+    """
+    names = row.columns
+    value = row.select(F.struct(*[F.col(c) for c in names])).scalar()
+    return df.withColumn("_attached", value).withColumns(
+        {c: F.col("_attached").getField(c) for c in names}).drop("_attached")

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import as_number, np_round, sum0
 from ledgerlens.operators import ranking
-from ledgerlens.operators._common import dtypes, empty, num, ts
+from ledgerlens.operators._common import attach, dtypes, empty, num, ts
 from ledgerlens.session import cut_lineage
 
 
@@ -28,7 +28,7 @@ def zscore_column(df: DataFrame, column: str) -> DataFrame:
     x = as_number(F.col(column), dtypes(df)[column])
     stats = df.agg(F.avg(x).alias("_zm"), F.stddev_samp(x).alias("_zs"))
     sd = F.when(F.col("_zs") == 0, F.lit(1.0)).otherwise(F.col("_zs"))
-    return (df.crossJoin(F.broadcast(stats)).withColumn("_zscore", (x - F.col("_zm")) / sd).drop("_zm", "_zs"))
+    return (attach(df, stats).withColumn("_zscore", (x - F.col("_zm")) / sd).drop("_zm", "_zs"))
 
 
 def detect_zscore(df: DataFrame, column: str, threshold: float = 3.0) -> DataFrame:
@@ -42,7 +42,7 @@ def iqr_flag(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     stats = q.select(F.array("_x_q0", "_x_q1").alias("_q"))
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
     lo, hi = q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
-    return (df.crossJoin(F.broadcast(stats))
+    return (attach(df, stats)
               .withColumn("_flag", F.coalesce((x < lo) | (x > hi), F.lit(False))).drop("_q"))
 
 
@@ -63,7 +63,7 @@ def anomaly_summary(anomalies: DataFrame, data: DataFrame) -> DataFrame:
     """A5: number of anomalies and their share of all rows (2 dp)."""
     a = anomalies.agg(F.count("*").alias("count"))
     t = data.agg(F.count("*").alias("_rows"))
-    return a.crossJoin(t).select(
+    return attach(a, t).select(
         "count", np_round(F.col("count") / F.greatest(F.col("_rows"), F.lit(1)) * 100, 2).alias("pct_of_data"))
 
 
@@ -197,7 +197,7 @@ def detect_isolation_forest(df: DataFrame, columns: Sequence[str], contamination
     # final filter would otherwise each re-run the 200-tree UDF
     scored = cut_lineage(df.withColumn("_raw", score(*feats)))
     cut = ranking.quantiles(scored, ["_raw"], [contamination]).select(F.col("_raw_q0").alias("_cut"))
-    return (scored.crossJoin(F.broadcast(cut))
+    return (attach(scored, cut)
                   .withColumn("_anomaly_score", F.col("_raw") - F.col("_cut"))
                   .where(F.col("_anomaly_score") < 0)
                   .drop("_raw", "_cut"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import as_number, sum0
 from ledgerlens.operators import ranking
-from ledgerlens.operators._common import dtypes
+from ledgerlens.operators._common import attach, dtypes
 from ledgerlens.operators.kpis import top_n
 
 
@@ -19,7 +19,7 @@ def histogram(df: DataFrame, column: str, nbins: int = 30) -> DataFrame:
     stats = df.agg(F.min(x).alias("_mn"), F.max(x).alias("_mx"))
     w = (F.col("_mx") - F.col("_mn")) / nbins
     b = F.when(w == 0, F.lit(0)).otherwise(F.least(F.lit(nbins - 1), F.floor((x - F.col("_mn")) / w).cast("int")))
-    counts = (df.crossJoin(F.broadcast(stats)).where(x.isNotNull())
+    counts = (attach(df, stats).where(x.isNotNull())
                 .groupBy(b.alias("bin")).agg(F.count("*").alias("count")))
     spine = stats.select("_mn", "_mx", F.explode(F.sequence(F.lit(0), F.lit(nbins - 1))).alias("bin"))
     width = (F.col("_mx") - F.col("_mn")) / nbins
@@ -40,7 +40,7 @@ def box_summary(df: DataFrame, y: str, x: str | None = None, factor: float = 1.5
         "_hi", F.col("q3") + factor * (F.col("q3") - F.col("q1")))
     # null-safe: a null category is a group of its own, as with groupBy
     j = (work.join(q.withColumnRenamed(x, "_qk"), F.col(x).eqNullSafe(F.col("_qk")), "left").drop("_qk")
-         if x else work.crossJoin(F.broadcast(q)))
+         if x else attach(work, q))
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     return j.groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
@@ -57,7 +57,7 @@ def box_outliers(df: DataFrame, y: str, x: str | None = None, factor: float = 1.
     lo = F.col("_q")[0] - factor * (F.col("_q")[1] - F.col("_q")[0])
     hi = F.col("_q")[1] + factor * (F.col("_q")[1] - F.col("_q")[0])
     j = (df.join(q.withColumnRenamed(x, "_qk"), F.col(x).eqNullSafe(F.col("_qk")), "left").drop("_qk")
-         if keys else df.crossJoin(F.broadcast(q)))
+         if keys else attach(df, q))
     return j.where((v < lo) | (v > hi)).drop("_q")
 
 
@@ -66,7 +66,7 @@ def pie_shares(df: DataFrame, names: str, values: str) -> DataFrame:
     v = as_number(F.col(values), dtypes(df)[values])
     g = df.groupBy(F.col(names)).agg(sum0(v).alias(values))
     tot = g.agg(F.sum(values).alias("_tot"))
-    return (g.crossJoin(F.broadcast(tot))
+    return (attach(g, tot)
              .withColumn("share_pct", F.try_divide(F.col(values), F.col("_tot")) * 100).drop("_tot"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import sum0
 from ledgerlens.operators import ranking
-from ledgerlens.operators._common import empty, num, ts
+from ledgerlens.operators._common import attach, empty, num, ts
 from ledgerlens.session import cut_lineage
 
 RFM_SCHEMA = ("customer STRING, recency BIGINT, frequency BIGINT, monetary DOUBLE, R INT, F INT, M INT, "
@@ -38,7 +38,7 @@ def rfm_base(df: DataFrame, mapping: dict) -> DataFrame | None:
         per = work.groupBy("customer").agg(F.max("_d").alias("_last"), F.count("*").alias("frequency"),
                                            sum0(F.col("_rev")).alias("monetary"))
     snap = work.agg((F.max("_d") + F.expr("INTERVAL 1 DAY")).alias("_snap"))
-    return (per.crossJoin(F.broadcast(snap))
+    return (attach(per, snap)
                .select("customer", F.timestamp_diff("DAY", F.col("_last"), F.col("_snap")).alias("recency"),
                        F.col("frequency").cast("long").alias("frequency"), "monetary"))
 
@@ -73,7 +73,7 @@ def rfm_analysis(df: DataFrame, mapping: dict, checkpoint: bool = True) -> DataF
                      F.count("*").alias("_n"))
     ranked = ranking.row_number(base, ["frequency", "customer"], out="_rf")
     ranked = ranking.row_number(ranked, ["monetary", "customer"], out="_rm")
-    j = ranked.crossJoin(F.broadcast(stats))
+    j = attach(ranked, stats)
     q = F.col("_q")
     r = (F.when(F.col("recency") <= q[0], 4).when(F.col("recency") <= q[1], 3)
           .when(F.col("recency") <= q[2], 2).otherwise(1)).cast("int")

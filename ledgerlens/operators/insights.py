@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import sum0
 from ledgerlens.operators import kpis, profiling
-from ledgerlens.operators._common import empty, num
+from ledgerlens.operators._common import attach, empty, num
 
 INSIGHT_SCHEMA = "seq INT, kind STRING, subject STRING, value DOUBLE"
 
@@ -49,7 +49,7 @@ def category_concentration(df: DataFrame, mapping: dict) -> DataFrame:
     cat, rev = mapping["category"], mapping["revenue"]
     lead = kpis.top_n(df, cat, rev, n=1)
     tot = df.agg(sum0(num(df, rev)).alias("_tot"))
-    j = lead.crossJoin(tot)
+    j = attach(lead, tot)
     share = F.when(F.col("_tot") != 0, F.col(rev) / F.col("_tot") * 100).otherwise(F.lit(0.0))
     return (_row(j, 3, "category_leader", F.col(cat), F.col(rev))
             .unionByName(_row(j, 4, "category_share_pct", F.col(cat), share)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import sum0
-from ledgerlens.operators._common import AGG_FUNCS, agg_expr, empty, num, ts
+from ledgerlens.operators._common import AGG_FUNCS, agg_expr, attach, empty, num, ts
 
 KPI_SCHEMA = "seq INT, name STRING, value DOUBLE, delta_pct DOUBLE"
 FREQ_UNITS = {"D": "day", "W": "week", "M": "month"}
@@ -72,11 +72,11 @@ def compute_core_kpis(df: DataFrame, mapping: dict) -> DataFrame:
 
     base = df.agg(*aggs)
     if distinct:  # separate aggregate: avoids carrying the plain inputs through the distinct Expand
-        base = base.crossJoin(df.agg(*distinct))
+        base = attach(base, df.agg(*distinct))
     if rev_c and date_c:
-        base = base.crossJoin(_monthly_delta(df, date_c, num(df, rev_c), "d_rev"))
+        base = attach(base, _monthly_delta(df, date_c, num(df, rev_c), "d_rev"))
     if profit_c and date_c:
-        base = base.crossJoin(_monthly_delta(df, date_c, num(df, profit_c), "d_profit"))
+        base = attach(base, _monthly_delta(df, date_c, num(df, profit_c), "d_profit"))
     derived = {}
     if rev_c and (profit_c or cost_c):
         derived["margin"] = F.when(F.col("rev") != 0, F.col("profit") / F.col("rev") * 100)

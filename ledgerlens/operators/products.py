@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import np_round, sum0
 from ledgerlens.operators import ranking
-from ledgerlens.operators._common import empty, num
+from ledgerlens.operators._common import attach, empty, num
 from ledgerlens.session import cut_lineage
 
 
@@ -26,7 +26,7 @@ def abc_classification(df: DataFrame, mapping: dict, checkpoint: bool = True) ->
     total = grouped.agg(F.sum("revenue").alias("_tot")).select(
         F.when(F.coalesce(F.col("_tot"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("_tot")).alias("_tot"))
     run = ranking.running_sum(grouped, [F.col("revenue").desc(), F.col(prod).asc_nulls_first()], "revenue", "_cum")
-    j = run.crossJoin(F.broadcast(total))
+    j = attach(run, total)
     cum = F.col("_cum") / F.col("_tot") * 100
     return j.select(F.col(prod), "revenue", cum.alias("cum_pct"),
                     F.when(cum <= 80, "A").when(cum <= 95, "B").otherwise("C").alias("class"),

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import np_round, is_numeric_type, is_temporal_type, is_text_type, kurt_corrected, skew_corrected
 from ledgerlens.operators import ranking
-from ledgerlens.operators._common import dtypes, empty
+from ledgerlens.operators._common import attach, dtypes, empty
 
 PROFILE_SCHEMA = ("column STRING, type STRING, non_null BIGINT, nulls BIGINT, null_pct DOUBLE, unique BIGINT, "
                   "unique_pct DOUBLE, min DOUBLE, mean DOUBLE, max DOUBLE, std DOUBLE, sample STRING")
@@ -118,7 +118,7 @@ def overview(df: DataFrame, exact_duplicates: bool = False) -> DataFrame:
     """Q2 + Q7: one-row structural overview with the 0-100 quality score."""
     types = dtypes(df)
     ncols = len(types)
-    base = df.agg(*_shape_aggs(df)).crossJoin(duplicate_rows(df, exact_duplicates))
+    base = attach(df.agg(*_shape_aggs(df)), duplicate_rows(df, exact_duplicates))
     rows = F.col("_rows")
     missing = sum((rows - F.col(f"_nn{i}") for i in range(ncols)), F.lit(0))
     constant = sum(_constant_flags(df), F.lit(0))
@@ -162,7 +162,7 @@ def column_profile(df: DataFrame, approx_unique: bool = False, top: int = 3) ->
         counts = distinct_counts(df, names)
         uniq = counts.agg(*[F.coalesce(F.max(F.when(F.col("_ci") == i, F.col("unique"))), F.lit(0)).alias(f"u{i}")
                             for i in range(len(names))])
-    wide = df.agg(*aggs).crossJoin(uniq)
+    wide = attach(df.agg(*aggs), uniq)
     nulld = F.lit(None).cast("double")
     entries = []
     for i, (name, dt) in enumerate(types.items()):
@@ -230,7 +230,7 @@ def numeric_stats(df: DataFrame) -> DataFrame:
                  F.count_if(d == 0).alias(f"z{i}")]
     qdf = df.select(*[_as_double(c, types[c]).alias(f"_c{i}") for i, c in enumerate(cols)])
     q = ranking.quantiles(qdf, [f"_c{i}" for i in range(len(cols))], [0.25, 0.5, 0.75])
-    wide = df.agg(*aggs).crossJoin(q)
+    wide = attach(df.agg(*aggs), q)
     for i in range(len(cols)):
         wide = wide.withColumn(f"p{i}", F.array(*[F.col(f"_c{i}_q{k}") for k in range(3)]))
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import as_number, as_timestamp
 from ledgerlens.operators import ranking
-from ledgerlens.operators._common import AGG_FUNCS, agg_expr, dtypes
+from ledgerlens.operators._common import AGG_FUNCS, agg_expr, attach, dtypes
 from ledgerlens.operators.cleaning import _as_text
 from ledgerlens.operators.profiling import _present
 
@@ -118,7 +118,7 @@ def bin_column(df: DataFrame, column: str, bins: int = 5, labels: Sequence[str]
     """
     x = as_number(F.col(column), dtypes(df)[column])
     stats = df.agg(F.min(x).alias("_bmin"), F.max(x).alias("_bmax"))
-    j = df.crossJoin(F.broadcast(stats))
+    j = attach(df, stats)
     w = (F.col("_bmax") - F.col("_bmin")) / bins
     idx = F.when(x.isNull(), None).when(w == 0, F.lit((bins + 1) // 2)).otherwise(
         F.least(F.lit(bins), F.greatest(F.lit(1), F.ceil((x - F.col("_bmin")) / w).cast("int"))))
@@ -135,7 +135,7 @@ def normalize_column(df: DataFrame, column: str, method: str = "minmax") -> Data
     else:
         stats = df.agg(F.min(x).alias("_a"), (F.max(x) - F.min(x)).alias("_b"))
         expr = (x - F.col("_a")) / F.when(F.col("_b") == 0, F.lit(1.0)).otherwise(F.col("_b"))
-    return df.crossJoin(F.broadcast(stats)).withColumn(f"{column}_norm", expr).drop("_a", "_b")
+    return attach(df, stats).withColumn(f"{column}_norm", expr).drop("_a", "_b")
 
 
 def create_calculated_column(df: DataFrame, name: str, expression: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators._common import dtypes, num, ts
+from ledgerlens.operators._common import attach, dtypes, num, ts
 from ledgerlens.operators.profiling import _present, duplicate_rows
 
 CHECK_SCHEMA = "seq INT, name STRING, passed BOOLEAN, count BIGINT, severity STRING, description STRING"
@@ -40,7 +40,7 @@ def validate_dataset(df: DataFrame, mapping: dict, as_of=None) -> DataFrame:
     missing = sum((F.count("*") - F.count(_present(F.col(c), t)) for c, t in types.items()), F.lit(0))
     wide = df.agg(missing.cast("long").alias("_missing"),
                   *[F.count_if(pred).alias(f"_r{i}") for i, (_, pred, _, _) in enumerate(rules)])
-    wide = wide.crossJoin(duplicate_rows(df))
+    wide = attach(wide, duplicate_rows(df))
     checks = [("Duplicate Rows", F.col("duplicate_rows"), "warning", "Exact duplicate rows in the dataset."),
               ("Missing Values", F.col("_missing"), "warning", "Empty cells across all columns.")]
     checks += [(name, F.col(f"_r{i}"), sev, desc) for i, (name, _, sev, desc) in enumerate(rules)]

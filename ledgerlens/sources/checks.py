@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators._common import dtypes
+from ledgerlens.operators._common import attach, dtypes
 from ledgerlens.operators.profiling import _constant_flags, _shape_aggs, duplicate_rows
 
 
@@ -20,7 +20,7 @@ def _row(seq, level, message, keep):
 def upload_findings(df: DataFrame) -> DataFrame:
     types = dtypes(df)
     names = list(types)
-    base = df.agg(*_shape_aggs(df)).crossJoin(duplicate_rows(df))
+    base = attach(df.agg(*_shape_aggs(df)), duplicate_rows(df))
     rows = F.col("_rows")
     null_pct = sum((1 - F.try_divide(F.col(f"_nn{i}"), rows) for i in range(len(names))), F.lit(0.0)) / max(len(names), 1) * 100
     flags = _constant_flags(df)
