@@ -194,25 +194,21 @@ def column_profile(df: DataFrame, approx_unique: bool = False, top: int = 3) ->
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
-    """(column, rank, value, count): the k most frequent non-null values per column.
+    """(column, rank, value, count): the k most frequent non-null values per column, ties by value.
 
-    Unpivot -> groupBy(column, value) (map-side combined) -> for each column a
-    bounded top-k (TakeOrderedAndProject: k rows per partition, then merged),
-    so no task ever holds all distinct values of a column.  Ties by value.
+    Unpivot -> groupBy(column, value) (map-side combined) -> one distributed
+    numbering in (column, count desc, value) order; the rank inside a column is
+    its number minus the column's first number.  One pass over the source, and
+    no task ever holds all distinct values of a column.
     """
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p"))
     counts = pairs.select("p.*").where(F.col("value").isNotNull()).groupBy("column", "value").count()
-    parts = []
-    for c in columns:
-        top = counts.where(F.col("column") == c).orderBy(F.desc("count"), F.asc("value")).limit(k)
-        parts.append(top)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    from pyspark.sql import Window
-    w = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
-    return out.withColumn("rank", F.row_number().over(w))  # at most k rows per column here
+    numbered = ranking.row_number(counts, [F.col("column"), F.col("count").desc(), F.col("value")], "_tv")
+    firsts = numbered.groupBy("column").agg(F.min("_tv").alias("_tv0"))  # one row per column
+    return (numbered.join(F.broadcast(firsts), "column")
+                    .withColumn("rank", (F.col("_tv") - F.col("_tv0") + 1).cast("int"))
+                    .where(F.col("rank") <= k).drop("_tv", "_tv0"))
 
 
 def numeric_stats(df: DataFrame) -> DataFrame:
