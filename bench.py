@@ -14,6 +14,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -47,7 +48,8 @@ def headline(fact):
 def main() -> None:
     spark = get_session(f"local[{CPUS}]", app="ledgerlens-bench", **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.sql.shuffle.partitions": str(int(CPUS) * 2), "spark.driver.memory": "16g"})
+        "spark.sql.shuffle.partitions": str(int(CPUS) * 2), "spark.driver.memory": "16g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="ledgerlens-bench-")})
     spark.sparkContext.setLogLevel("ERROR")
     run(orders_fact(spark, SF_DIR))  # warm-up (JVM, codegen, file listing); not timed
     t0 = time.perf_counter()

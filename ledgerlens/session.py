@@ -37,12 +37,16 @@ def get_session(master: str | None = None, app: str = "ledgerlens", **conf: str)
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a private
-    scratch folder is created and registered.
+    Where it is unset, a scratch folder is used if everything runs in this one
+    process (master ``local[...]``, as in tests).  On a cluster that would put
+    each executor's part on its own disk, so there it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = "file://" + tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)

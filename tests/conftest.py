@@ -14,10 +14,9 @@ def spark():
     from ledgerlens.session import get_session
     s = get_session("local[4]", app="ledgerlens-tests", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="ledgerlens-test-")})
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ledgerlens-test-"))
     yield s
 
 
