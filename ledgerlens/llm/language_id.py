@@ -17,9 +17,8 @@ back as often as they were given; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
-from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import id_and_text, offsets, per_batch, raw
+from ledgerlens.llm.grams import SPACE, buckets, code_points, grams, letters
 
 UNKNOWN = "und"
 #: Hashed features per language.
-BUCKETS = 1 << 15
+BITS = 15
+BUCKETS = 1 << BITS
+#: A word's mean score counts for this many features at most.
+LONGEST = 12
 #: Cost of a switch of language, in nats of the summed word scores.
 SWITCH = 12.0
 #: A language is a candidate for a script that holds at least this share of its words.
@@ -49,22 +52,42 @@ SCRIPT_RANGES = (
     (0x2E80, "Han"), (0x3040, "Kana"), (0x3100, "Han"), (0x3130, "Hangul"), (0x3200, "Han"), (0xA000, "Other"),
     (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0x20000, "Han"), (0x30000, "Other"),
 )
-_FIRSTS = [a for a, _ in SCRIPT_RANGES]
+_FIRSTS = np.array([a for a, _ in SCRIPT_RANGES])
 SCRIPTS = tuple(dict.fromkeys(n for _, n in SCRIPT_RANGES))
+_SCRIPT_OF_RANGE = np.array([SCRIPTS.index(n) for _, n in SCRIPT_RANGES])
 
 
-def script_of(word: str) -> str | None:
-    """The script of most letters of a word; None without a letter; of equals, the one met first."""
-    found = Counter(SCRIPT_RANGES[bisect_right(_FIRSTS, ord(c)) - 1][1] for c in word if c.isalpha())
-    return found.most_common(1)[0][0] if found else None
+class Words:
+    """Arrays about a list of words: ``letters`` and ``script`` per word, and its hashed features.
 
+    A word's features are the 1- to 4-grams of its lower-cased letters, with
+    borders, and the whole of them.  The script is that of most of its letters,
+    the first in ``SCRIPTS`` of equals; -1 without a letter.
+    """
 
-def features(word: str) -> list[int]:
-    """Buckets of a word: its 1- to 4-grams with borders, and the whole word."""
-    w = "".join(c for c in word.lower() if c.isalpha() or c in "'-")
-    marked = f"<{w}>"
-    grams = [marked[i: i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)] + [f"={w}"]
-    return [zlib.crc32(g.encode()) & (BUCKETS - 1) for g in grams]
+    def __init__(self, words: list[bytes]):
+        points = code_points(" " + b" ".join(words).decode().lower() + " ")
+        # lower-casing never makes a space, so words stay where they are
+        letter, space = letters()[points], points == SPACE
+        word = np.cumsum(space) - 1
+        of = word[letter]
+        script = _SCRIPT_OF_RANGE[np.searchsorted(_FIRSTS, points[letter], side="right") - 1]
+        table = np.bincount(of * len(SCRIPTS) + script, minlength=len(words) * len(SCRIPTS)).reshape(len(words), -1)
+        self.letters = table.sum(axis=1)
+        self.script = np.where(self.letters > 0, table.argmax(axis=1), -1)
+        self._points, self._size = points[letter | space], len(words)
+
+    def features(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word, bucket) arrays, one pair per kind of feature."""
+        space = self._points == SPACE
+        word = np.cumsum(space) - 1
+        for at, bucket in grams(self._points, (1, 2, 3, 4), BITS):
+            yield word[at], bucket
+        begin = np.flatnonzero(space)[:-1]
+        place = np.arange(len(self._points)) - begin[np.minimum(word, len(begin) - 1)]
+        power = np.cumprod(np.full(int(place.max()) + 1, 0xC2B2AE3D27D4EB4F, np.uint64))
+        values = np.where(space, np.uint64(0), self._points.astype(np.uint64)) * power[place]
+        yield np.arange(self._size), buckets(np.add.reduceat(values, begin), BITS)
 
 
 def training_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -75,17 +98,17 @@ def training_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def flushed():
             out: list[list] = [[], [], []]
             for lang, found in words.items():
-                table, scripts = np.zeros(BUCKETS, np.int64), Counter()
-                for word, n in found.items():
-                    text = word.decode()
-                    script = script_of(text)
-                    if script:
-                        scripts[script] += n
-                        np.add.at(table, features(text), n)
-                at = np.flatnonzero(table)
-                out[0] += [lang] * (len(at) + len(scripts))
-                out[1] += at.tolist() + [-1 - SCRIPTS.index(s) for s in scripts]
-                out[2] += table[at].tolist() + list(scripts.values())
+                table, seen = np.zeros(BUCKETS, np.int64), np.fromiter(found.values(), np.int64, len(found))
+                if not len(seen):
+                    continue
+                about = Words(list(found))
+                for word, bucket in about.features():
+                    table += np.bincount(bucket, weights=seen[word] * (about.letters[word] > 0), minlength=BUCKETS).astype(np.int64)
+                scripts = np.bincount(about.script + 1, weights=seen, minlength=len(SCRIPTS) + 1)[1:].astype(np.int64)
+                at, there = np.flatnonzero(table), np.flatnonzero(scripts)
+                out[0] += [lang] * (len(at) + len(there))
+                out[1] += at.tolist() + (-1 - there).tolist()
+                out[2] += table[at].tolist() + scripts[there].tolist()
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()),
                                                pa.array(out[2], pa.int64())], ["lang", "bucket", "n"])
@@ -105,11 +128,11 @@ def training_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 @dataclass
 class Model:
-    """Log-probabilities (bucket, language) and the allowed languages per script."""
+    """Log-probabilities (bucket, language) and the languages allowed (script, language)."""
 
     langs: list[str]
     logp: np.ndarray
-    allowed: dict[str, np.ndarray]
+    allowed: np.ndarray
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -125,7 +148,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     np.add.at(scripts, (-1 - bucket[~grams], row[~grams]), n[~grams])
     share = scripts / np.maximum(1, scripts.sum(axis=0))
     return Model(langs, np.log(table / table.sum(axis=0)).astype(np.float32),
-                 {s: share[i] >= SCRIPT_SHARE for i, s in enumerate(SCRIPTS)})
+                 share >= SCRIPT_SHARE)
 
 
 class WordScores:
@@ -137,29 +160,30 @@ class WordScores:
 
     def _reset(self) -> None:
         self._rows: dict[bytes, int] = {}
-        self._scores = np.zeros((1024, len(self._model.langs)), np.float32)
-        self._letters = np.zeros(1024, np.int32)
-
-    def _add(self, word: bytes) -> int:
-        at = self._rows[word] = len(self._rows)
-        if at == len(self._letters):
-            self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
-            self._letters = np.concatenate([self._letters, np.zeros_like(self._letters)])
-        text = word.decode()
-        script = script_of(text)
-        if script:
-            self._letters[at] = sum(c.isalpha() for c in text)
-            allowed = self._model.allowed[script]
-            if allowed.any():
-                grams = features(text)
-                self._scores[at] = np.where(allowed, self._model.logp[grams].mean(axis=0) * min(len(grams), 12), -1e4)
-        return at
+        self._scores = np.zeros((0, len(self._model.langs)), np.float32)
+        self._letters = np.zeros(0, np.int64)
+
+    def _add(self, words: list[bytes]) -> None:
+        about, size = Words(words), len(words)
+        total, count = np.zeros((size, len(self._model.langs))), np.zeros(size, np.int64)
+        for word, bucket in about.features():
+            for k in range(total.shape[1]):
+                total[:, k] += np.bincount(word, weights=self._model.logp[bucket, k], minlength=size)
+            count += np.bincount(word, minlength=size)
+        scores = total / np.maximum(count, 1)[:, None] * np.minimum(count, LONGEST)[:, None]
+        allowed = self._model.allowed[about.script][:, : len(self._model.langs)]
+        scores[allowed.any(axis=1)[:, None] & ~allowed] = -1e4
+        scores[(about.script < 0) | ~allowed.any(axis=1)] = 0
+        self._rows.update(zip(words, range(len(self._rows), len(self._rows) + size), strict=True))
+        self._scores = np.concatenate([self._scores, scores.astype(np.float32)])
+        self._letters = np.concatenate([self._letters, about.letters])
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self._rows) > self._limit:
             self._reset()
-        rows, known = self._rows, self._rows.get
-        at = np.fromiter((r if (r := known(w)) is not None else self._add(w) for w in words), np.int64, len(words))
+        if new := list({w: None for w in words if w not in self._rows}):
+            self._add(new)
+        at = np.fromiter(map(self._rows.__getitem__, words), np.int64, len(words))
         return self._scores[at], self._letters[at]
 
 

@@ -19,7 +19,7 @@ as often as they were given; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
-import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,22 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Memo, id_and_text, per_batch, raw, stored
+from ledgerlens.llm.common import id_and_text, per_batch, raw, stored
+from ledgerlens.llm.grams import code_points, grams
 
-BUCKETS = 1 << 18
-#: Features kept for the regression.
-KEPT = 1 << 14
+BITS = 18
+BUCKETS = 1 << BITS
+#: Features kept for the regression, at most, and what each must tell about the label (log-likelihood ratio / 2).
+KEPT = 1 << 11
+GAIN = 3.0
 #: Labelled rows used by the fit, at most.
 SAMPLE = 100_000
 THRESHOLD = 0.7
 SIZES = (3, 4, 5, 6)
-
-
-def grams(word: bytes) -> np.ndarray:
-    """Buckets of a word's n-grams."""
-    marked = f"<{word.decode().lower()}>"
-    found = {zlib.crc32(marked[i: i + n].encode()) & (BUCKETS - 1) for n in SIZES for i in range(max(1, len(marked) - n + 1))}
-    return np.fromiter(found, np.int64, len(found))
+#: Words whose n-grams are hashed at once, which bounds the memory for very long texts.
+WORDS_AT_ONCE = 1 << 16
 
 
 @dataclass
@@ -54,9 +52,30 @@ class Model:
     key: str = field(default_factory=lambda: os.urandom(8).hex())
 
 
-def _present(text: bytes | None, buckets: Memo) -> np.ndarray:
-    words = set((text or b"").split())
-    return np.unique(np.concatenate([buckets[w] for w in words])) if words else np.zeros(0, np.int64)
+def pieces(text: bytes | None) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of a text, some at a time; a bucket may come more than once."""
+    words = (text or b"").decode().lower().split()
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        points = code_points(" " + " ".join(words[at: at + WORDS_AT_ONCE]) + " ")
+        for _, found in grams(points, SIZES, BITS):
+            yield found
+
+
+class Present:
+    """The different buckets of a text, sorted, among those that ``wanted`` allows."""
+
+    def __init__(self, wanted: np.ndarray | None = None):
+        self._seen, self._wanted = np.zeros(BUCKETS, bool), wanted
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        if self._wanted is not None:
+            found = [x[self._wanted[x]] for x in pieces(text)]
+            return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        for found in pieces(text):
+            self._seen[found] = True
+        at = np.flatnonzero(self._seen)
+        self._seen[at] = False
+        return at
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id",
@@ -68,14 +87,14 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", sam
     return id_and_text(docs, id_col, text_col).join(marks, "doc_id").select("text", "label")
 
 
-def fit(texts: DataFrame, alpha: float = 1.0, penalty: float = 1e-4, steps: int = 300) -> Model:
+def fit(texts: DataFrame, alpha: float = 1.0, penalty: float = 1e-3, steps: int = 150) -> Model:
     """Train on (text, label); see :func:`labelled_texts` for the bound on its rows."""
     def counted(batches):
-        buckets = Memo(grams, 1 << 18)
+        present = Present()
         table, texts_seen = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
             for text, label in zip(raw(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                table[label][_present(text, buckets)] += 1
+                table[label][present(text)] += 1
                 texts_seen[label] += 1
         at = np.flatnonzero(table.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(table[0, at], texts_seen[0])),
@@ -100,16 +119,16 @@ def fit(texts: DataFrame, alpha: float = 1.0, penalty: float = 1e-4, steps: int
         for k in (0, 1):
             gain += there[k] * np.log(np.maximum(there[k], 1e-9) * total.sum() / np.maximum(both * total[k], 1e-9))
     order = np.lexsort((np.arange(BUCKETS), -gain))[:KEPT]
-    kept = np.sort(order[n.sum(axis=0)[order] >= 2])
+    kept = np.sort(order[gain[order] >= GAIN])
     place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     shared = texts.sparkSession.sparkContext.broadcast(place)
 
     def rows(batch_iter):
-        buckets = Memo(lambda w: (p := shared.value[grams(w)])[p >= 0], 1 << 18)
+        present = Present(shared.value >= 0)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [_present(t, buckets).astype(np.int32).tobytes() for t in raw(batch.column(0))]
+            found = [shared.value[present(t)].tobytes() for t in raw(batch.column(0))]
             return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["found", "label"])
 
         yield from per_batch(one)(batch_iter)
@@ -143,22 +162,13 @@ def _regress(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray,
 
 
 class Scorer:
-    """Scores texts with a model; words are memoised with the weighted buckets they hold."""
+    """Scores texts with a model."""
 
     def __init__(self, model: Model):
-        weight = model.weight
-        self._model = model
-
-        def weighted(word: bytes) -> tuple[int, ...]:
-            found = grams(word)
-            return tuple(found[weight[found] != 0].tolist())
-
-        self._buckets = Memo(weighted, 1 << 18)
+        self._model, self._present = model, Present(model.weight != 0)
 
     def __call__(self, text: bytes | None) -> float:
-        words = set((text or b"").split())
-        found = set().union(*map(self._buckets.__getitem__, words)) if words else ()
-        z = self._model.bias + float(self._model.weight[sorted(found)].sum()) if found else self._model.bias
+        z = self._model.bias + float(self._model.weight[self._present(text)].sum())
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
