@@ -17,7 +17,6 @@ back as often as they were given; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,8 +38,10 @@ LONGEST = 12
 SWITCH = 12.0
 #: A language is a candidate for a script that holds at least this share of its words.
 SCRIPT_SHARE = 0.001
-#: Words handled at once, which bounds the memory for very long texts' neighbours in a batch.
-WORDS_AT_ONCE = 1 << 19
+#: Words handled at once (a longer text is one block), which bounds the memory.
+WORDS_AT_ONCE = 1 << 20
+#: Words whose features are computed at once.
+FEATURES_OF = 1 << 14
 
 #: First code point of each script range, in ascending order (Unicode block bounds).
 SCRIPT_RANGES = (
@@ -58,9 +59,9 @@ _SCRIPT_OF_RANGE = np.array([SCRIPTS.index(n) for _, n in SCRIPT_RANGES])
 
 
 class Words:
-    """Arrays about a list of words: ``letters`` and ``script`` per word, and its hashed features.
+    """Arrays about words laid end to end: ``letters`` and ``script`` per word, and their hashed features.
 
-    A word's features are the 1- to 4-grams of its lower-cased letters, with
+    A word's features are the 2- and 3-grams of its lower-cased letters, with
     borders, and the whole of them.  The script is that of most of its letters,
     the first in ``SCRIPTS`` of equals; -1 without a letter.
     """
@@ -70,56 +71,63 @@ class Words:
         # lower-casing never makes a space, so words stay where they are
         letter, space = letters()[points], points == SPACE
         word = np.cumsum(space) - 1
-        of = word[letter]
-        script = _SCRIPT_OF_RANGE[np.searchsorted(_FIRSTS, points[letter], side="right") - 1]
-        table = np.bincount(of * len(SCRIPTS) + script, minlength=len(words) * len(SCRIPTS)).reshape(len(words), -1)
-        self.letters = table.sum(axis=1)
-        self.script = np.where(self.letters > 0, table.argmax(axis=1), -1)
-        self._points, self._size = points[letter | space], len(words)
+        of, found = word[letter], points[letter]
+        self.letters = np.bincount(of, minlength=len(words))
+        if len(found) and int(found.max()) < _FIRSTS[1]:  # one script only
+            self.script = np.where(self.letters > 0, 0, -1)
+        else:
+            script = _SCRIPT_OF_RANGE[np.searchsorted(_FIRSTS, found, side="right") - 1]
+            table = np.bincount(of * len(SCRIPTS) + script, minlength=len(words) * len(SCRIPTS)).reshape(len(words), -1)
+            self.script = np.where(self.letters > 0, table.argmax(axis=1), -1)
+        kept = letter | space
+        self._points, self._word, self._size = points[kept], word[kept], len(words)
 
     def features(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(word, bucket) arrays, one pair per kind of feature."""
-        space = self._points == SPACE
-        word = np.cumsum(space) - 1
-        for at, bucket in grams(self._points, (1, 2, 3, 4), BITS):
-            yield word[at], bucket
-        begin = np.flatnonzero(space)[:-1]
-        place = np.arange(len(self._points)) - begin[np.minimum(word, len(begin) - 1)]
+        """(word, bucket) arrays, one pair per kind of feature; words ascend."""
+        for at, bucket in grams(self._points, (2, 3), BITS):
+            yield self._word[at], bucket
+        begin = np.flatnonzero(self._points == SPACE)
+        place = np.arange(len(self._points)) - begin[self._word]
         power = np.cumprod(np.full(int(place.max()) + 1, 0xC2B2AE3D27D4EB4F, np.uint64))
-        values = np.where(space, np.uint64(0), self._points.astype(np.uint64)) * power[place]
-        yield np.arange(self._size), buckets(np.add.reduceat(values, begin), BITS)
+        values = self._points.astype(np.uint64) * power[place]
+        yield np.arange(self._size), buckets(np.add.reduceat(values, begin[:-1]), BITS)
 
 
-def training_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, bucket, n): feature counts of all labelled rows; negative buckets count scripts."""
-    def run(batches):
-        words: dict[str, Counter] = {}
+def _blocks(texts: list[bytes | None]) -> Iterator[list[list[bytes]]]:
+    """The words of texts, some texts at a time."""
+    block, held = [], 0
+    for text in texts:
+        words = (text or b"").split()
+        if block and held + len(words) > WORDS_AT_ONCE:
+            yield block
+            block, held = [], 0
+        block.append(words)
+        held += len(words)
+    if block:
+        yield block
 
-        def flushed():
-            out: list[list] = [[], [], []]
-            for lang, found in words.items():
-                table, seen = np.zeros(BUCKETS, np.int64), np.fromiter(found.values(), np.int64, len(found))
-                if not len(seen):
-                    continue
-                about = Words(list(found))
-                for word, bucket in about.features():
-                    table += np.bincount(bucket, weights=seen[word] * (about.letters[word] > 0), minlength=BUCKETS).astype(np.int64)
-                scripts = np.bincount(about.script + 1, weights=seen, minlength=len(SCRIPTS) + 1)[1:].astype(np.int64)
-                at, there = np.flatnonzero(table), np.flatnonzero(scripts)
-                out[0] += [lang] * (len(at) + len(there))
-                out[1] += at.tolist() + (-1 - there).tolist()
-                out[2] += table[at].tolist() + scripts[there].tolist()
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()),
-                                               pa.array(out[2], pa.int64())], ["lang", "bucket", "n"])
 
+def training_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, bucket, n): feature counts of all labelled rows; the buckets after the last count scripts."""
+    def run(batches):
+        tables: dict[str, np.ndarray] = {}  # features, then scripts
         for batch in batches:
+            texts: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(1).to_pylist(), raw(batch.column(0)), strict=True):
-                words.setdefault(lang, Counter()).update(text.split())
-            if sum(map(len, words.values())) > 1 << 19:
-                yield flushed()
-        if words:
-            yield flushed()
+                texts.setdefault(lang, []).append(text)
+            for lang, mine in texts.items():
+                table = tables.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
+                for block in _blocks(mine):
+                    words = [w for part in block for w in part]
+                    for i in range(0, len(words), FEATURES_OF):
+                        about = Words(words[i: i + FEATURES_OF])
+                        for word, bucket in about.features():
+                            table[:BUCKETS] += np.bincount(bucket[about.letters[word] > 0], minlength=BUCKETS)
+                        table[BUCKETS:] += np.bincount(about.script + 1, minlength=len(SCRIPTS) + 1)[1:]
+        for lang, table in tables.items():
+            at = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)),
+                                              pa.array(table[at])], ["lang", "bucket", "n"])
 
     labelled = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         "text IS NOT NULL AND lang IS NOT NULL")
@@ -128,7 +136,7 @@ def training_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 @dataclass
 class Model:
-    """Log-probabilities (bucket, language) and the languages allowed (script, language)."""
+    """Log-probabilities (language, bucket) and the languages allowed (script, language)."""
 
     langs: list[str]
     logp: np.ndarray
@@ -142,49 +150,36 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     row = np.array([langs.index(x) for x in found.column("lang").to_pylist()], np.int64)
     bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy().astype(np.float64)
     table = np.full((BUCKETS, max(1, len(langs))), 0.5)
-    grams = bucket >= 0
-    np.add.at(table, (bucket[grams], row[grams]), n[grams])
+    feature = bucket < BUCKETS
+    np.add.at(table, (bucket[feature], row[feature]), n[feature])
     scripts = np.zeros((len(SCRIPTS), max(1, len(langs))))
-    np.add.at(scripts, (-1 - bucket[~grams], row[~grams]), n[~grams])
+    np.add.at(scripts, (bucket[~feature] - BUCKETS, row[~feature]), n[~feature])
     share = scripts / np.maximum(1, scripts.sum(axis=0))
-    return Model(langs, np.log(table / table.sum(axis=0)).astype(np.float32),
+    return Model(langs, np.log(table / table.sum(axis=0)).astype(np.float32).T.copy(),
                  share >= SCRIPT_SHARE)
 
 
-class WordScores:
-    """Scores (language) and letters of words, kept in tables that start anew when full."""
-
-    def __init__(self, model: Model, limit: int = 1 << 18):
-        self._model, self._limit = model, limit
-        self._reset()
-
-    def _reset(self) -> None:
-        self._rows: dict[bytes, int] = {}
-        self._scores = np.zeros((0, len(self._model.langs)), np.float32)
-        self._letters = np.zeros(0, np.int64)
-
-    def _add(self, words: list[bytes]) -> None:
-        about, size = Words(words), len(words)
-        total, count = np.zeros((size, len(self._model.langs))), np.zeros(size, np.int64)
-        for word, bucket in about.features():
-            for k in range(total.shape[1]):
-                total[:, k] += np.bincount(word, weights=self._model.logp[bucket, k], minlength=size)
-            count += np.bincount(word, minlength=size)
-        scores = total / np.maximum(count, 1)[:, None] * np.minimum(count, LONGEST)[:, None]
-        allowed = self._model.allowed[about.script][:, : len(self._model.langs)]
-        scores[allowed.any(axis=1)[:, None] & ~allowed] = -1e4
-        scores[(about.script < 0) | ~allowed.any(axis=1)] = 0
-        self._rows.update(zip(words, range(len(self._rows), len(self._rows) + size), strict=True))
-        self._scores = np.concatenate([self._scores, scores.astype(np.float32)])
-        self._letters = np.concatenate([self._letters, about.letters])
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._rows) > self._limit:
-            self._reset()
-        if new := list({w: None for w in words if w not in self._rows}):
-            self._add(new)
-        at = np.fromiter(map(self._rows.__getitem__, words), np.int64, len(words))
-        return self._scores[at], self._letters[at]
+def word_scores(model: Model, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores (word, language) and the number of letters per word.
+
+    A word's score is its mean log-probability, times its number of features up to ``LONGEST``.
+    """
+    if len(words) > FEATURES_OF:  # arrays that fit the processor's cache
+        parts = [word_scores(model, words[i: i + FEATURES_OF]) for i in range(0, len(words), FEATURES_OF)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    size, k = len(words), len(model.langs)
+    about = Words(words)
+    total, count = np.zeros((k, size)), np.zeros(size)
+    for word, bucket in about.features():
+        count += np.bincount(word, minlength=size)
+        for j in range(k):
+            total[j] += np.bincount(word, weights=model.logp[j][bucket], minlength=size)
+    scores = (total * (np.minimum(count, LONGEST) / np.maximum(count, 1))).T.astype(np.float32)
+    allowed = model.allowed[about.script][:, :k]
+    some = allowed.any(axis=1)
+    scores[some[:, None] & ~allowed] = -1e4
+    scores[(about.script < 0) | ~some] = 0
+    return scores, about.letters
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float) -> np.ndarray:
@@ -198,26 +193,25 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float) -> np.ndarray
     steps = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")  # texts that have a word at each step
     k = scores.shape[1]
-    came = np.zeros((len(scores), k), np.uint8 if k < 256 else np.uint16)
-    value = np.zeros((len(order), k), np.float32)
+    stays, best = np.zeros((len(scores), k), bool), np.zeros(len(scores), np.int32)
+    value, every = np.zeros((len(order), k)), np.arange(len(order))
     for t in range(steps):
         n = active[t]
-        at = first[:n] + t
+        at, v = first[:n] + t, value[:n]
         if t:
-            best = value[:n].argmax(axis=1)
-            moved = value[np.arange(n), best][:, None] - np.float32(switch)
-            stay = value[:n] >= moved
-            came[at] = np.where(stay, np.arange(k), best[:, None])
-            value[:n] = np.where(stay, value[:n], moved)
-        value[:n] += scores[at]
-        value[:n] -= value[:n].max(axis=1, keepdims=True)  # keeps the sums small
+            top = v.argmax(axis=1)
+            moved = (v[every[:n], top] - switch)[:, None]
+            best[at], stays[at] = top, v >= moved
+            np.maximum(v, moved, out=v)
+        v += scores[at]
     path = np.zeros(len(scores), np.int64)
     now = value.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         n = active[t]
         at = first[:n] + t
-        path[at] = now[:n]
-        now[:n] = came[at, now[:n]] if t else now[:n]
+        path[at] = here = now[:n]
+        if t:
+            now[:n] = np.where(stays[at, here], here, best[at])
     return path
 
 
@@ -226,10 +220,11 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, id_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
-    def some(scorer: WordScores, langs: list[str], parts: list[list[bytes]], out: list[list]) -> None:
-        starts = offsets(np.array([len(p) for p in parts], np.int64))
-        scores, letters = scorer([w for p in parts for w in p])
-        path = viterbi(scores, starts, switch) if len(langs) else np.zeros(len(letters), np.int64)
+    def some(model: Model, parts: list[list[bytes]], out: list[list]) -> None:
+        langs, starts = model.langs, offsets(np.array([len(p) for p in parts], np.int64))
+        words = [w for p in parts for w in p]
+        scores, letters = word_scores(model, words) if words else (np.zeros((0, len(langs))), np.zeros(0, np.int64))
+        path = viterbi(scores, starts, switch) if langs else np.zeros(len(words), np.int64)
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             mine, weight = path[a:b], letters[a:b]
             if not langs or not weight.any():
@@ -243,20 +238,10 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, id_col: str
             out[2].append([{"start": i, "end": j, "lang": langs[mine[i]]} for i, j in zip(edge, edge[1:], strict=False)])
 
     def run(batches):
-        scorer = WordScores(shared.value)
-
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[list] = [[], [], []]
-            parts, held = [], 0
-            for text in raw(batch.column(1)):
-                words = (text or b"").split()
-                if parts and held + len(words) > WORDS_AT_ONCE:
-                    some(scorer, shared.value.langs, parts, out)
-                    parts, held = [], 0
-                parts.append(words)
-                held += len(words)
-            if parts:
-                some(scorer, shared.value.langs, parts, out)
+            for parts in _blocks(raw(batch.column(1))):
+                some(shared.value, parts, out)
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()),
                                                pa.array(out[2], pa.list_(span))], ["doc_id", "lang_pred", "score", "spans"])
 

@@ -40,7 +40,7 @@ SAMPLE = 100_000
 THRESHOLD = 0.7
 SIZES = (3, 4, 5, 6)
 #: Words whose n-grams are hashed at once, which bounds the memory for very long texts.
-WORDS_AT_ONCE = 1 << 16
+WORDS_AT_ONCE = 1 << 14
 
 
 @dataclass
