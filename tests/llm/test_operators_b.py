@@ -209,7 +209,7 @@ def test_warc_members_and_sidecar(spark, tmpdir_path):
     import glob
     import json
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1)
-    manifest = warc.write_monolithic(warc.with_revisits(pages).coalesce(1), f"{tmpdir_path}/m", roll=100_000)
+    manifest = warc.write_monolithic(warc.with_revisits(pages).coalesce(1), f"{tmpdir_path}/m", roll=500)
     paths = [r.path for r in manifest.collect()]
     warc.normalise(spark.createDataFrame([(p,) for p in paths], "path string"), f"{tmpdir_path}/n").collect()
     whole = b"".join(gzip.decompress(open(p, "rb").read()) for p in sorted(paths))
