@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Text tokens that pandas' astype(str) produces for missing
-# values, and the default date formats tried (in order) when parsing text.
+# values, and the default date formats tried (in order) when parsing text:
+# an ambiguous date has its month first, as pandas reads it.
 NULL_TEXT_TOKENS = ("nan", "None")
 DATE_FORMATS = (
     "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd",
-    "dd-MM-yyyy", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "yyyyMMdd",
+    "MM-dd-yyyy", "MM/dd/yyyy", "MM.dd.yyyy", "dd-MM-yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "yyyyMMdd",
     "d MMM yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy",
 )
 # Text treated as true by the generic boolean conversion and by
@@ -34,13 +35,18 @@ def is_text_type(dt: T.DataType) -> bool:
     return isinstance(dt, (T.StringType, T.VarcharType, T.CharType))
 
 
+#: What counts as a number in text: no type suffixes (``12D``), no hexadecimal forms.
+NUMBER_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+
+
 def as_number(c: str | Column, dt: T.DataType | None = None) -> Column:
     """pandas ``to_numeric(errors='coerce')``: junk -> NULL, NaN -> NULL, as DOUBLE."""
     col = F.col(c) if isinstance(c, str) else c
     if dt is not None and is_numeric_type(dt, allow_bool=True):
         out = col.cast("double")
     else:
-        out = col.cast("string").try_cast("double")
+        text = col.cast("string")
+        out = F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
     return F.nanvl(out, F.lit(None).cast("double"))
 
 
@@ -72,8 +78,8 @@ def py_capitalize(c: Column) -> Column:
 
 
 def squeeze_spaces(c: Column) -> Column:
-    """strip + collapse inner whitespace runs (tabs and newlines included)."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """strip + collapse inner whitespace runs (tabs, newlines and Unicode spaces included)."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def truthy(c: Column, tokens=BOOL_TRUE_TOKENS) -> Column:

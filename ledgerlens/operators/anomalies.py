@@ -1,10 +1,10 @@
 """Anomaly detection.
 
-z-score and IQR: one aggregate for the scalars, cross-joined back (broadcast
-of a one-row frame).  Isolation forest: trees are grown on bounded subsamples
-(<= 256 rows per tree by the published method) and scored on every row with a
-pandas UDF.  Daily anomalies run a 7-row rolling window over the daily series,
-which holds one row per distinct date.
+z-score: one aggregate for the scalars, attached as a scalar subquery; IQR: the
+quartiles of ``ranking.quantiles``.  Isolation forest: trees are grown in tasks
+on bounded subsamples (<= 256 rows per tree by the published method) and scored
+on every row with a pandas UDF.  Daily anomalies run a 7-row rolling window over
+the daily series, which holds one row per day.
 """
 
 from __future__ import annotations
@@ -71,13 +71,15 @@ def daily_series(df: DataFrame, mapping: dict) -> DataFrame | None:
     date_c, rev_c = mapping.get("date"), mapping.get("revenue")
     if not date_c or not rev_c:
         return None
-    d = ts(df, date_c)
+    d = F.date_trunc("day", ts(df, date_c)).cast("timestamp_ntz")
     return df.where(d.isNotNull()).groupBy(d.alias("date")).agg(sum0(num(df, rev_c)).alias("value"))
 
 
 def detect_time_series_anomalies(df: DataFrame, mapping: dict, threshold: float = 3.0,
                                  include_current: bool = True, window: int = 7, min_periods: int = 3) -> DataFrame:
-    """A4: dates whose sum deviates from the rolling 7-row mean by > threshold rolling stds.
+    """A4: days whose sum deviates from the rolling 7-row mean by > threshold rolling stds.
+
+    Instants are truncated to days first, so the ordered window has a row per day.
 
     ``include_current=True`` is the pandas rolling window (the point is inside
     its own window, so |z| <= 6/sqrt(7) and 3.0 never fires); ``False`` uses the
@@ -151,14 +153,37 @@ def _path_lengths(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _tree_samples(feats: DataFrame, n: int, psi: int, n_trees: int, seed: int) -> DataFrame:
+    """(tree, features...): ``psi`` distinct rows for each tree, chosen by hashes of the rows.
+
+    Every row draws as many trees as it takes to give each about 1.5 * psi rows
+    (less than one draw on average for a large table); each tree keeps the psi
+    rows with the smallest hash, which Spark limits per task before the shuffle.
+    """
+    share = 1.5 * psi * n_trees / n
+    draws = min(n_trees, max(1, math.ceil(share)))
+    row = F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *feats.columns)
+    rows = feats.withColumn("_row", row)
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64("_row", F.lit("take")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # all trees for a small table, else some of them
+    tree = F.col("_j") if draws == n_trees else F.pmod(F.xxhash64("_row", "_j"), F.lit(n_trees))
+    drawn = (rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("tree", tree.cast("int"))
+             .withColumn("_h", F.xxhash64("_row", "tree")))
+    if 1 < draws < n_trees:  # a row can draw a tree twice
+        drawn = drawn.dropDuplicates(["_row", "tree"])
+    first = Window.partitionBy("tree").orderBy("_h", "_row")
+    return drawn.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= psi).select("tree", *feats.columns)
+
+
 def detect_isolation_forest(df: DataFrame, columns: Sequence[str], contamination: float = 0.03,
                             n_trees: int = 200, sample_size: int = 256, seed: int = 42) -> DataFrame:
     """A3: isolation forest; rows whose score is below the contamination quantile.
 
-    Nulls -> 0; fewer than 10 rows -> empty.  Trees are grown on the driver
-    from a seeded sample of about 1.2 x sample_size x n_trees rows (bounded
-    whatever the table size); every row is then scored in parallel by a
-    pandas UDF with the trees broadcast.
+    Nulls -> 0; fewer than 10 rows -> empty.  Each tree is grown in a task from
+    its own sample of ``sample_size`` rows; only the trees come to the driver
+    (at most 2 * sample_size nodes each, whatever the table size) and are
+    broadcast to score every row in parallel.
     Output: the input rows plus ``_anomaly_score`` (negative = anomalous).
     """
     types = dtypes(df)
@@ -167,34 +192,29 @@ def detect_isolation_forest(df: DataFrame, columns: Sequence[str], contamination
     if n < 10:
         return df.limit(0).withColumn("_anomaly_score", F.lit(None).cast("double"))
     psi = min(sample_size, n)
-    # One seeded Bernoulli sample of about 1.2 * psi * n_trees rows (bounded, whatever n is);
-    # each tree then draws psi rows from it without replacement, as the method prescribes.
-    pool_size = int(1.2 * psi * n_trees)
-    frac = min(1.0, pool_size / n)
-    pool = (df.select(*[f.alias(f"_f{i}") for i, f in enumerate(feats)])
-              .sample(withReplacement=False, fraction=frac, seed=seed).limit(pool_size).toPandas()
-              .to_numpy(dtype=float))
-    rng = np.random.default_rng(seed)
-    limit = int(math.ceil(math.log2(max(psi, 2))))
-    trees = []
-    for _ in range(n_trees):
-        take = min(psi, len(pool))
-        x = pool[rng.choice(len(pool), size=take, replace=False)]
+    limit = math.ceil(math.log2(max(psi, 2)))
+    names = [f"_f{i}" for i in range(len(columns))]
+    samples = _tree_samples(df.select(*[f.alias(k) for f, k in zip(feats, names, strict=True)]), n, psi, n_trees, seed)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
         nodes: list = []
-        _grow(x, rng, 0, limit, nodes)
-        trees.append((np.array(nodes, dtype=float), take))
-    bc = df.sparkSession.sparkContext.broadcast(trees)
+        _grow(pdf.sort_values(names)[names].to_numpy(dtype=float), np.random.default_rng([seed, tree]), 0, limit, nodes)
+        return pd.DataFrame({"tree": [tree], "size": [len(pdf)], "nodes": [np.array(nodes, dtype=float).tobytes()]})
+
+    grown = samples.groupBy("tree").applyInPandas(grow, "tree INT, size INT, nodes BINARY").orderBy("tree").collect()
+    bc = df.sparkSession.sparkContext.broadcast([(np.frombuffer(r["nodes"]).reshape(-1, 6), r["size"]) for r in grown])
 
     @F.pandas_udf(T.DoubleType())
     def score(*cols: pd.Series) -> pd.Series:
         x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        forest = bc.value
-        mean_h = np.mean([_path_lengths(tree, x) for tree, _ in forest], axis=0)
-        cn = np.mean([_c(size) for _, size in forest])
-        return pd.Series(-(2.0 ** (-mean_h / cn)))
+        total = np.zeros(len(x))
+        for tree, _ in bc.value:
+            total += _path_lengths(tree, x)
+        cn = np.mean([_c(size) for _, size in bc.value])
+        return pd.Series(-(2.0 ** (-total / len(bc.value) / cn)))
 
-    # scored once and checkpointed: the cutoff quantile (range sampling + shuffle) and the
-    # final filter would otherwise each re-run the 200-tree UDF
+    # scored once and checkpointed: the cutoff and the final filter would otherwise each run the trees again
     scored = cut_lineage(df.withColumn("_raw", score(*feats)))
     cut = ranking.quantiles(scored, ["_raw"], [contamination]).select(F.col("_raw_q0").alias("_cut"))
     return (attach(scored, cut)

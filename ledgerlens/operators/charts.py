@@ -82,17 +82,18 @@ def hierarchy(df: DataFrame, path: Sequence[str], values: str) -> DataFrame:
 
 def waterfall(df: DataFrame, category: str, value: str, n: int = 12) -> DataFrame:
     """H5: top-n categories by sum with running total; the last bar is flagged ``total``
-    as the reference does, and a true grand-total row is appended."""
+    as the reference does, and a row with the total over all categories is appended."""
     top = top_n(df, category, value, n=n)
-    w = Window.orderBy(F.desc(value), F.col(category).asc_nulls_first())
+    w = Window.orderBy(F.desc(value), F.col(category).asc_nulls_first())  # n rows
     ranked = top.withColumn("seq", F.row_number().over(w))
     cnt = Window.partitionBy(F.lit(1))
     bars = ranked.select(
         "seq", F.col(category).cast("string").alias("category"), F.col(value).alias("value"),
         F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running"),
         F.when(F.col("seq") == F.max("seq").over(cnt), "total").otherwise("relative").alias("measure"))
-    total = top.agg(F.lit(n + 1).alias("seq"), F.lit("Total").alias("category"), F.sum(value).alias("value"),
-                    F.sum(value).alias("running"), F.lit("grand_total").alias("measure"))
+    whole = sum0(as_number(F.col(value), dtypes(df)[value]))
+    total = df.agg(F.lit(n + 1).alias("seq"), F.lit("Total").alias("category"), whole.alias("value"), whole.alias("running"),
+                   F.lit("grand_total").alias("measure"))
     return bars.unionByName(total)
 
 

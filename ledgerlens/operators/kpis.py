@@ -6,26 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import sum0
-from ledgerlens.operators._common import AGG_FUNCS, agg_expr, attach, empty, num, ts
+from ledgerlens.operators._common import AGG_FUNCS, agg_expr, empty, num, q, ts
+from ledgerlens.operators.reshape import with_medians
 
 KPI_SCHEMA = "seq INT, name STRING, value DOUBLE, delta_pct DOUBLE"
 FREQ_UNITS = {"D": "day", "W": "week", "M": "month"}
 
 
-def _monthly_delta(df: DataFrame, date_c: str, value: Column, alias: str) -> DataFrame:
-    """K2: % change of the last vs the previous existing month (one-row frame).
+def _month_change(months: Column, field: str) -> Column:
+    """K2: % change of the last vs the previous existing month, from an array of structs in descending order."""
+    last, prev = F.get(months, F.lit(0))[field], F.get(months, F.lit(1))[field]
+    return F.when((F.size(months) >= 2) & (prev != 0), (last - prev) / F.abs(prev) * 100).cast("double")
+
 
-    Month sums are aggregated in parallel; only the two newest months survive a
-    bounded top-2 (TakeOrderedAndProject), so nothing grows with the data.
-    """
+def _monthly_delta(df: DataFrame, date_c: str, value: Column, alias: str) -> DataFrame:
+    """One-row frame with the change of the last month; one row per month is folded."""
     month = F.date_trunc("month", ts(df, date_c))
-    monthly = (df.where(ts(df, date_c).isNotNull())
-                 .groupBy(month.alias("_m")).agg(sum0(value).alias("_v"))
-                 .orderBy(F.desc("_m")).limit(2))
-    last = F.max_by("_v", "_m")
-    prev = F.min_by("_v", "_m")
-    delta = F.when((F.count("*") >= 2) & (prev != 0), (last - prev) / F.abs(prev) * 100)
-    return monthly.agg(delta.cast("double").alias(alias))
+    monthly = df.where(ts(df, date_c).isNotNull()).groupBy(month.alias("_m")).agg(sum0(value).alias("_v"))
+    months = F.sort_array(F.collect_list(F.struct("_m", "_v")), asc=False)
+    return monthly.agg(_month_change(months, "_v").alias(alias))
 
 
 def period_over_period(df: DataFrame, mapping: dict, role: str = "revenue") -> DataFrame:
@@ -36,47 +35,60 @@ def period_over_period(df: DataFrame, mapping: dict, role: str = "revenue") -> D
 
 
 def compute_core_kpis(df: DataFrame, mapping: dict) -> DataFrame:
-    """K1: the headline KPI rows (seq, name, value, delta_pct) from one aggregate."""
+    """K1: the headline KPI rows (seq, name, value, delta_pct) from one scan of the data."""
     rev_c, profit_c, cost_c = mapping.get("revenue"), mapping.get("profit"), mapping.get("cost")
     order_c, cust_c, date_c, qty_c = (mapping.get("order_id"), mapping.get("customer_id"),
                                       mapping.get("date"), mapping.get("quantity"))
-    aggs = [F.count("*").cast("double").alias("rows")]
-    distinct = []
+    rev, profit = num(df, rev_c) if rev_c else None, None
     rows: list[tuple[str, str, str | None]] = [("Total Rows", "rows", None)]
+    metrics = {"rows": F.lit(1.0)}
     if rev_c:
-        aggs += [sum0(num(df, rev_c)).alias("rev"), F.avg(num(df, rev_c)).alias("rev_mean")]
+        metrics |= {"rev": rev, "rev_n": rev.isNotNull().cast("double")}
         rows.append(("Total Revenue", "rev", "d_rev" if date_c else None))
     if profit_c:
-        aggs.append(sum0(num(df, profit_c)).alias("profit"))
+        profit = num(df, profit_c)
         rows.append(("Total Profit", "profit", "d_profit" if date_c else None))
         if rev_c:
             rows.append(("Profit Margin %", "margin", None))
     elif rev_c and cost_c:
-        aggs.append(sum0(num(df, rev_c) - num(df, cost_c)).alias("profit"))
+        profit = rev - num(df, cost_c)
         rows += [("Total Profit (est.)", "profit", None), ("Profit Margin % (est.)", "margin", None)]
+    if profit is not None:
+        metrics["profit"] = profit
     if order_c:
-        distinct.append(F.count_distinct(F.col(order_c)).cast("double").alias("orders"))
         rows.append(("Total Orders", "orders", None))
         if rev_c:
             rows.append(("Avg Order Value", "aov", None))
     elif rev_c:
         rows.append(("Avg Order Value", "rev_mean", None))
     if cust_c:
-        distinct.append(F.count_distinct(F.col(cust_c)).cast("double").alias("customers"))
         rows.append(("Unique Customers", "customers", None))
         if rev_c:
             rows.append(("Revenue / Customer", "rev_per_cust", None))
     if qty_c:
-        aggs.append(sum0(num(df, qty_c)).alias("units"))
+        metrics["units"] = num(df, qty_c)
         rows.append(("Units Sold", "units", None))
 
-    base = df.agg(*aggs)
-    if distinct:  # separate aggregate: avoids carrying the plain inputs through the distinct Expand
-        base = attach(base, df.agg(*distinct))
-    if rev_c and date_c:
-        base = attach(base, _monthly_delta(df, date_c, num(df, rev_c), "d_rev"))
+    # one scan, one shuffle: each row counts once for its month (with its sums), its order and its customer
+    nothing = {m: F.lit(None).cast("double").alias(m) for m in metrics}
+    month = F.date_trunc("month", ts(df, date_c)).cast("string") if date_c else F.lit(None).cast("string")
+    records = [F.struct(F.lit(0).alias("kind"), month.alias("key"), *[v.alias(m) for m, v in metrics.items()])]
+    for kind, c in ((1, order_c), (2, cust_c)):
+        if c:
+            key = F.col(q(c)).cast("string")
+            records.append(F.when(key.isNotNull(), F.struct(F.lit(kind).alias("kind"), key.alias("key"), *nothing.values())))
+    parts = (df.select(F.explode(F.array_compact(F.array(*records))).alias("r")).select("r.*")
+             .groupBy("kind", "key").agg(*[F.sum(m).alias(m) for m in metrics]))
+    by_month = F.struct("key", *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in metrics])
+    months = F.sort_array(F.collect_list(F.when((F.col("kind") == 0) & F.col("key").isNotNull(), by_month)), asc=False)
+    base = parts.agg(*[sum0(F.col(m)).alias(m) for m in metrics], F.count_if(F.col("kind") == 1).cast("double").alias("orders"),
+                     F.count_if(F.col("kind") == 2).cast("double").alias("customers"), months.alias("months"))
+    if rev_c:
+        base = base.withColumn("rev_mean", F.try_divide("rev", "rev_n"))
+        if date_c:
+            base = base.withColumn("d_rev", _month_change(F.col("months"), "rev"))
     if profit_c and date_c:
-        base = attach(base, _monthly_delta(df, date_c, num(df, profit_c), "d_profit"))
+        base = base.withColumn("d_profit", _month_change(F.col("months"), "profit"))
     derived = {}
     if rev_c and (profit_c or cost_c):
         derived["margin"] = F.when(F.col("rev") != 0, F.col("profit") / F.col("rev") * 100)
@@ -111,10 +123,12 @@ def top_n(df: DataFrame, group_c: str, value_c: str, n: int = 10, agg: str = "su
         return empty(df.sparkSession, "group STRING, value DOUBLE")
     if agg not in AGG_FUNCS:
         raise ValueError(f"aggregation must be one of {AGG_FUNCS}")
-    v = agg_expr(agg, num(df, value_c))
-    if agg in ("count", "nunique"):
-        v = v.cast("long")
-    out = df.groupBy(F.col(group_c)).agg(v.alias(value_c))
+    if agg == "median":
+        values = df.select(F.col(group_c), num(df, value_c).alias("_md"))
+        out = with_medians(values.select(group_c).distinct(), values, [group_c], "_md", value_c)
+    else:
+        v = agg_expr(agg, num(df, value_c))
+        out = df.groupBy(F.col(group_c)).agg((v.cast("long") if agg in ("count", "nunique") else v).alias(value_c))
     key = F.col(value_c).asc_nulls_last() if ascending else F.col(value_c).desc_nulls_last()
     return out.orderBy(key, F.col(group_c).asc_nulls_first()).limit(n)
 

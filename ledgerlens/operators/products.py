@@ -15,7 +15,7 @@ def abc_classification(df: DataFrame, mapping: dict, checkpoint: bool = True) ->
     """Revenue per product (null product kept), cumulative share in revenue-desc order.
 
     A <= 80 %, B <= 95 %, else C; a single product above 80 % is therefore B.
-    The cumulative sum is the distributed running sum (range partitioned).
+    The cumulative sum is the distributed running sum (bucketed on the order key).
     """
     prod, rev = mapping.get("product"), mapping.get("revenue")
     if not prod or not rev:
@@ -25,7 +25,7 @@ def abc_classification(df: DataFrame, mapping: dict, checkpoint: bool = True) ->
         grouped = cut_lineage(grouped)
     total = grouped.agg(F.sum("revenue").alias("_tot")).select(
         F.when(F.coalesce(F.col("_tot"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("_tot")).alias("_tot"))
-    run = ranking.running_sum(grouped, [F.col("revenue").desc(), F.col(prod).asc_nulls_first()], "revenue", "_cum")
+    run = ranking.running_sum(grouped, [("revenue", "desc"), prod], "revenue", "_cum")
     j = attach(run, total)
     cum = F.col("_cum") / F.col("_tot") * 100
     return j.select(F.col(prod), "revenue", cum.alias("cum_pct"),

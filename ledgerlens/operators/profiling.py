@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import np_round, is_numeric_type, is_temporal_type, is_text_type, kurt_corrected, skew_corrected
 from ledgerlens.operators import ranking
-from ledgerlens.operators._common import attach, dtypes, empty
+from ledgerlens.operators._common import attach, dtypes, empty, q
 
 PROFILE_SCHEMA = ("column STRING, type STRING, non_null BIGINT, nulls BIGINT, null_pct DOUBLE, unique BIGINT, "
                   "unique_pct DOUBLE, min DOUBLE, mean DOUBLE, max DOUBLE, std DOUBLE, sample STRING")
@@ -61,35 +61,37 @@ def duplicate_rows(df: DataFrame, exact: bool = False) -> DataFrame:
     return confirmed.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
-def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column index ``_ci``, ``unique``): exact non-null distinct count of every column in one shuffle.
+def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column index ``_ci``, value, ``_n``): how often each present value of each column occurs, in one shuffle.
 
-    Each value goes into one typed slot of a narrow (column, long, double,
-    text) record -- integers, booleans and times as long, floats as double,
-    the rest as text -- so the shuffle carries 4 fields instead of Spark's
-    distinct-rewrite Expand, which carries every column in every row.
+    Each value goes into one typed slot of a narrow record -- integers and
+    booleans as long ``_l``, floats as double ``_d``, the rest as text ``_s``
+    -- so the shuffle carries 4 fields instead of Spark's distinct-rewrite
+    Expand, which carries every column in every row.
     """
     types = dtypes(df)
     cols = columns or list(types)
     nl, nd, ns = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
     ents = []
     for i, c in enumerate(cols):
-        dt, x = types[c], F.col(c)
+        dt, x = types[c], F.col(q(c))
         if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
             slot = (x.cast("long"), nd, ns)
-        elif isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            slot = (F.unix_micros(x.cast("timestamp")), nd, ns)
         elif isinstance(dt, (T.DoubleType, T.FloatType)):
             slot = (nl, _present(x, dt).cast("double"), ns)
         elif isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
             slot = (nl, nd, F.to_json(x))
         else:
             slot = (nl, nd, x.cast("string"))
-        present = x.isNotNull() if not isinstance(dt, (T.DoubleType, T.FloatType)) else _present(x, dt).isNotNull()
-        ents.append(F.when(present, F.struct(F.lit(i).alias("_ci"), slot[0].alias("_l"), slot[1].alias("_d"),
-                                              slot[2].alias("_s"))))
+        ents.append(F.when(_present(x, dt).isNotNull(), F.struct(
+            F.lit(i).alias("_ci"), slot[0].alias("_l"), slot[1].alias("_d"), slot[2].alias("_s"))))
     pairs = df.select(F.explode(F.array(*ents)).alias("_p")).where(F.col("_p").isNotNull()).select("_p.*")
-    return pairs.dropDuplicates(["_ci", "_l", "_d", "_s"]).groupBy("_ci").agg(F.count("*").alias("unique"))
+    return pairs.groupBy("_ci", "_l", "_d", "_s").agg(F.count("*").alias("_n"))
+
+
+def distinct_counts(counts: DataFrame) -> DataFrame:
+    """(``_ci``, ``unique``, ``_rows``) from :func:`value_counts`."""
+    return counts.groupBy("_ci").agg(F.count("*").alias("unique"), F.sum("_n").alias("_rows"))
 
 
 def _shape_aggs(df: DataFrame) -> list[Column]:
@@ -147,6 +149,7 @@ def column_profile(df: DataFrame, approx_unique: bool = False, top: int = 3) ->
     """Q3: one row per column; numeric stats rounded to 2, else the top-3 values."""
     types = dtypes(df)
     names = list(types)
+    counts = value_counts(df, names)  # one shuffle feeds the distinct counts and the samples
     aggs = [F.count("*").alias("_rows")]
     for i, (name, dt) in enumerate(types.items()):
         c = _present(F.col(name), dt)
@@ -159,9 +162,8 @@ def column_profile(df: DataFrame, approx_unique: bool = False, top: int = 3) ->
         uniq = df.agg(*[F.approx_count_distinct(_present(F.col(n), t)).alias(f"u{i}")
                         for i, (n, t) in enumerate(types.items())])
     else:
-        counts = distinct_counts(df, names)
-        uniq = counts.agg(*[F.coalesce(F.max(F.when(F.col("_ci") == i, F.col("unique"))), F.lit(0)).alias(f"u{i}")
-                            for i in range(len(names))])
+        uniq = distinct_counts(counts).agg(*[F.coalesce(F.max(F.when(F.col("_ci") == i, F.col("unique"))), F.lit(0)).alias(f"u{i}")
+                                             for i in range(len(names))])
     wide = attach(df.agg(*aggs), uniq)
     nulld = F.lit(None).cast("double")
     entries = []
@@ -185,30 +187,22 @@ def column_profile(df: DataFrame, approx_unique: bool = False, top: int = 3) ->
             and not isinstance(types[n], (T.MapType, T.ArrayType, T.StructType, T.BinaryType))]
     if not text:
         return stats.withColumn("sample", F.lit(""))
-    samples = top_values(df, text, top).groupBy("column").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]),
-                     ", ").alias("sample"))
-    return (stats.join(samples, "column", "left")
-                 .withColumn("sample", F.coalesce(F.col("sample"), F.lit("")))
+    best = top_values(counts, top).groupBy("_ci").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_s"))), lambda s: s["_s"]), ", ").alias("_text"))
+    position = F.array_position(F.lit(names), F.col("column")) - 1
+    shown = F.when(F.col("column").isin(text), F.coalesce(F.col("_text"), F.lit(""))).otherwise(F.lit(""))
+    return (stats.join(best, position == F.col("_ci"), "left").withColumn("sample", shown)
                  .select(*[c.split()[0] for c in PROFILE_SCHEMA.split(", ")]))
 
 
-def top_values(df: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
-    """(column, rank, value, count): the k most frequent non-null values per column, ties by value.
+def top_values(counts: DataFrame, k: int = 3) -> DataFrame:
+    """(``_ci``, rank, ``_s``, ``_n``): the k most frequent values per column of :func:`value_counts`, ties by text.
 
-    Unpivot -> groupBy(column, value) (map-side combined) -> one distributed
-    numbering in (column, count desc, value) order; the rank inside a column is
-    its number minus the column's first number.  One pass over the source, and
-    no task ever holds all distinct values of a column.
+    Spark limits each task to its k best rows per column before the shuffle,
+    so no task holds the values of a column.
     """
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p"))
-    counts = pairs.select("p.*").where(F.col("value").isNotNull()).groupBy("column", "value").count()
-    numbered = ranking.row_number(counts, [F.col("column"), F.col("count").desc(), F.col("value")], "_tv")
-    firsts = numbered.groupBy("column").agg(F.min("_tv").alias("_tv0"))  # one row per column
-    return (numbered.join(F.broadcast(firsts), "column")
-                    .withColumn("rank", (F.col("_tv") - F.col("_tv0") + 1).cast("int"))
-                    .where(F.col("rank") <= k).drop("_tv", "_tv0"))
+    w = Window.partitionBy("_ci").orderBy(F.desc("_n"), "_s", "_l", "_d")
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def numeric_stats(df: DataFrame) -> DataFrame:
@@ -225,8 +219,7 @@ def numeric_stats(df: DataFrame) -> DataFrame:
                  F.max(d).alias(f"mx{i}"), skew_corrected(d).alias(f"sk{i}"), kurt_corrected(d).alias(f"ku{i}"),
                  F.count_if(d == 0).alias(f"z{i}")]
     qdf = df.select(*[_as_double(c, types[c]).alias(f"_c{i}") for i, c in enumerate(cols)])
-    q = ranking.quantiles(qdf, [f"_c{i}" for i in range(len(cols))], [0.25, 0.5, 0.75])
-    wide = attach(df.agg(*aggs), q)
+    wide = attach(df.agg(*aggs), ranking.quantiles(qdf, [f"_c{i}" for i in range(len(cols))], [0.25, 0.5, 0.75]))
     for i in range(len(cols)):
         wide = wide.withColumn(f"p{i}", F.array(*[F.col(f"_c{i}_q{k}") for k in range(3)]))
 

@@ -11,41 +11,64 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import as_number, as_timestamp
 from ledgerlens.operators import ranking
-from ledgerlens.operators._common import AGG_FUNCS, agg_expr, attach, dtypes
+from ledgerlens.operators._common import AGG_FUNCS, agg_expr, attach, dtypes, q
 from ledgerlens.operators.cleaning import _as_text
 from ledgerlens.operators.profiling import _present
 
-MAX_PIVOT_VALUES = 1000
+def with_medians(out: DataFrame, rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``out`` (one row per ``keys``) with the exact median of ``value`` over ``rows``."""
+    med = ranking.grouped_quantiles(rows, keys, value, [0.5]).select(
+        *[F.col(q(k)).alias(f"_mk{i}") for i, k in enumerate(keys)], F.col("q0").alias(name))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(q(k)).eqNullSafe(F.col(f"_mk{i}"))
+    return out.join(med, on, "left").drop(*[f"_mk{i}" for i in range(len(keys))])
 
 
 def group_and_aggregate(df: DataFrame, group_cols: Sequence[str], agg_map: dict[str, str]) -> DataFrame:
-    """``groupBy(...).agg`` with pandas names ``<col>_<fn>``; the null group is kept."""
+    """``groupBy(...).agg`` with pandas names ``<col>_<fn>``; the null group is kept.
+
+    Medians come from :func:`ranking.grouped_quantiles`, so no task holds all values of a group.
+    """
     types = dtypes(df)
-    aggs = []
-    for c, fn in agg_map.items():
-        if fn not in AGG_FUNCS:
-            raise ValueError(f"aggregation must be one of {AGG_FUNCS}")
-        aggs.append(agg_expr(fn, _present(F.col(c), types[c])).alias(f"{c}_{fn}"))
-    return df.groupBy(*group_cols).agg(*aggs)
+    unknown = [fn for fn in agg_map.values() if fn not in AGG_FUNCS]
+    if unknown:
+        raise ValueError(f"aggregation must be one of {AGG_FUNCS}")
+    present = {c: _present(F.col(q(c)), types[c]) for c in agg_map}
+    plain = [agg_expr(fn, present[c]).alias(f"{c}_{fn}") for c, fn in agg_map.items() if fn != "median"]
+    out = df.groupBy(*group_cols).agg(*plain) if plain else df.select(*group_cols).distinct()
+    for c in (c for c, fn in agg_map.items() if fn == "median"):
+        out = with_medians(out, df.select(*group_cols, present[c].alias("_md")), list(group_cols), "_md", f"{c}_median")
+    return out.select(*group_cols, *[f"{c}_{fn}" for c, fn in agg_map.items()])
+
 
+def _sorted_values(df: DataFrame, column: str) -> list:
+    """Every non-null value of a column, sorted; it names the output columns of a wide form."""
+    return [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).collect()]
 
-def _distinct_values(df: DataFrame, column: str, cap: int) -> list:
-    vals = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().limit(cap + 1).collect()]
-    if len(vals) > cap:
-        raise ValueError(f"{column!r} has more than {cap} distinct values; pass them explicitly")
-    return sorted(vals)
+
+def pivot_long(df: DataFrame, index: str, columns: str, values: str, aggfunc: str = "sum") -> DataFrame:
+    """T2, long form: (index, header, value) for the cells that have rows; no limit on the number of headers."""
+    fn = {"sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max}[aggfunc]
+    v = _present(F.col(values), dtypes(df)[values])
+    return (df.where(F.col(index).isNotNull() & F.col(columns).isNotNull())
+            .groupBy(F.col(index), F.col(columns).cast("string").alias("header")).agg(fn(v).alias("value")))
 
 
 def pivot(df: DataFrame, index: str, columns: str, values: str, aggfunc: str = "sum",
-          column_values: Sequence | None = None, max_values: int = MAX_PIVOT_VALUES) -> DataFrame:
-    """Pivot table; empty cells 0, null index / header values dropped, headers sorted."""
+          column_values: Sequence | None = None) -> DataFrame:
+    """Pivot table; empty cells 0, null index / header values dropped, headers sorted.
+
+    The wide form has a column per header (given, or all that occur); :func:`pivot_long`
+    is the form for a column with very many values.
+    """
     fn = {"sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max}[aggfunc]
-    vals = sorted(column_values) if column_values is not None else _distinct_values(df, columns, max_values)
-    types = dtypes(df)
-    out = (df.where(F.col(index).isNotNull() & F.col(columns).isNotNull())
-             .groupBy(index).pivot(columns, vals).agg(fn(_present(F.col(values), types[values]))))
-    heads = [c for c in out.columns if c != index]
-    return out.na.fill(0, subset=heads).toDF(index, *[str(h) for h in heads])
+    vals = sorted(column_values) if column_values is not None else _sorted_values(df, columns)
+    v = _present(F.col(values), dtypes(df)[values])
+    rows = df.where(F.col(index).isNotNull() & F.col(columns).isNotNull())
+    cells = rows.groupBy(index, columns).agg(fn(v).alias("_cell"))  # one row per cell, combined before the wide form
+    out = cells.groupBy(index).agg(*[F.max(F.when(F.col(columns) == F.lit(x), F.col("_cell"))).alias(str(x)) for x in vals])
+    return out.na.fill(0, subset=[str(x) for x in vals]) if vals else out
 
 
 def merge_datasets(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how: str = "inner") -> DataFrame:
@@ -53,6 +76,7 @@ def merge_datasets(left: DataFrame, right: DataFrame, on: Sequence[str] | str, h
 
     ``<=>`` stays an equi-join (Spark plans it on (coalesce(k), isnull(k)))
     so Catalyst/AQE still choose broadcast or sort-merge and split skewed keys.
+    As in pandas, n null keys on one side and m on the other give n * m rows.
     """
     keys = [on] if isinstance(on, str) else list(on)
     how = {"outer": "full_outer", "full": "full_outer"}.get(how, how)
@@ -67,7 +91,12 @@ def merge_datasets(left: DataFrame, right: DataFrame, on: Sequence[str] | str, h
     for i in range(len(keys)):
         e = F.col(f"_lk{i}").eqNullSafe(F.col(f"_rk{i}"))
         cond = e if cond is None else cond & e
-    j = l.join(r, cond, how)
+    if how == "full_outer":
+        # a full outer join is not split on a hot key; a left join and an anti join are
+        rest = r.join(l.select(*[f"_lk{i}" for i in range(len(keys))]), cond, "left_anti")
+        j = l.join(r, cond, "left").unionByName(rest, allowMissingColumns=True)
+    else:
+        j = l.join(r, cond, how)
     if how == "right":
         key_out = [F.col(f"_rk{i}").alias(k) for i, k in enumerate(keys)]
     elif how == "full_outer":
@@ -143,18 +172,19 @@ def create_calculated_column(df: DataFrame, name: str, expression: str) -> DataF
     return df.withColumn(name, F.expr(expression))
 
 
-def one_hot(df: DataFrame, column: str, values: Sequence | None = None, max_values: int = MAX_PIVOT_VALUES) -> DataFrame:
-    """One boolean column ``<col>_<value>`` per non-null value (sorted); null -> all false."""
-    vals = sorted(values) if values is not None else _distinct_values(df, column, max_values)
-    return df.withColumns({f"{column}_{v}": F.coalesce(F.col(column) == F.lit(v), F.lit(False)) for v in vals})
+def one_hot(df: DataFrame, column: str, values: Sequence | None = None) -> DataFrame:
+    """One boolean column ``<col>_<value>`` per non-null value (given, or all, sorted); null -> all false."""
+    vals = sorted(values) if values is not None else _sorted_values(df, column)
+    return df.select("*", *[F.coalesce(F.col(column) == F.lit(v), F.lit(False)).alias(f"{column}_{v}") for v in vals])
 
 
 def label_encode(df: DataFrame, column: str, order_by: Sequence[str]) -> DataFrame:
     """Codes in order of first appearance (by ``order_by``), null -> -1."""
     first = (df.where(F.col(column).isNotNull())
                .groupBy(F.col(column).alias("_le_v"))
-               .agg(F.min(F.struct(*[F.col(c) for c in order_by])).alias("_le_first")))
-    codes = ranking.row_number(first, ["_le_first", "_le_v"], out="_le_rn").select(
+               .agg(F.min(F.struct(*[F.col(c).alias(f"_le_o{i}") for i, c in enumerate(order_by)])).alias("_le_first"))
+               .select("_le_v", "_le_first.*"))
+    codes = ranking.row_number(first, [*[f"_le_o{i}" for i in range(len(order_by))], "_le_v"], out="_le_rn").select(
         "_le_v", (F.col("_le_rn") - 1).alias("_le_code"))
     j = df.join(codes, df[column] == codes["_le_v"], "left")
     return j.withColumn(f"{column}_encoded", F.coalesce(F.col("_le_code"), F.lit(-1)).cast("long")).drop("_le_v", "_le_code")

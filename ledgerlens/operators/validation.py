@@ -67,9 +67,10 @@ def validation_score(checks: DataFrame) -> DataFrame:
 def invalid_rows(df: DataFrame, mapping: dict) -> DataFrame:
     """V3: offending rows with a ``check`` column (a row can fail several checks).
 
-    Predicate checks take one scan (explode of the failed names); duplicate
-    groups are found by an aggregate and a null-safe left-semi join, which AQE
-    can split when one group is very large.
+    Predicate checks take one scan (explode of the failed names).  Duplicates
+    are found by a row hash first (8-byte key, combined map-side); only rows
+    whose hash repeats are counted on all columns, and each group gives its row
+    as often as it occurs.
     """
     rules = [r for r in _rules(df, mapping, F.lit(None)) if r[0] in
              ("Selling Below Cost", "Negative Revenue", "Negative Profit", "Invalid Quantity")]
@@ -78,9 +79,13 @@ def invalid_rows(df: DataFrame, mapping: dict) -> DataFrame:
     if rules:
         names = F.filter(F.array(*[F.when(pred, F.lit(name)) for name, pred, _, _ in rules]), lambda x: x.isNotNull())
         parts.append(df.select(*cols, F.explode(names).alias("check")))
-    groups = df.groupBy(*cols).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    cond = [df[c].eqNullSafe(groups[c]) for c in cols]
-    parts.append(df.join(groups, cond, "left_semi").withColumn("check", F.lit("Duplicate Rows")))
+    h = F.xxhash64(*[F.col(c) for c in cols], *[F.isnull(c) for c in cols])
+    hashed = df.withColumn("_h", h)
+    again = hashed.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
+    # rows with a repeated hash, counted exactly: only these are grouped on all columns
+    same = (hashed.join(again, "_h", "left_semi").groupBy("_h", *cols).agg(F.count("*").alias("_n")).where("_n > 1"))
+    copies = same.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    parts.append(copies.select(*cols, F.lit("Duplicate Rows").alias("check")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

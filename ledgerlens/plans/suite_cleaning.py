@@ -292,3 +292,11 @@ def c17_auto_clean_report(spark, sf_dir):
 def c18_step_message(spark, sf_dir):
     d = dirty_fact(spark, sf_dir)
     return cleaning.step_message(d, cleaning.remove_duplicates(d), "Removed {n} duplicate rows.")
+
+
+@register("c18_step_message_imputed", D(
+    "SELECT 'Imputed ' || format('{:,}', count(*) - count(discount) + count(*) - count(region)) || ' cells.' AS message FROM d"))
+def c18_step_message_imputed(spark, sf_dir):
+    d = dirty_fact(spark, sf_dir)
+    filled = cleaning.handle_missing(cleaning.handle_missing(d, "zero", ["discount"]), "constant", ["region"], fill_value="x")
+    return cleaning.step_message(d, filled, "Imputed {cells} cells.")

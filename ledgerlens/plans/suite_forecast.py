@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ledgerlens.operators import anomalies, forecast
+from ledgerlens.operators._common import attach
 from ledgerlens.plans.facts import (EVENTS_FACT_SQL, EVENTS_ROLES, FACT_ROLES, ORDERS_FACT_SQL, events_fact,
                                     orders_fact)
 from ledgerlens.plans.registry import np_round_sql, register, rounded, sig
@@ -46,6 +49,20 @@ def a3_isolation_forest(spark, sf_dir):
     return anomalies.detect_isolation_forest(f, ["revenue", "cost"], contamination=0.03)
 
 
+@register("a3_isolation_forest_properties", f"""WITH f AS ({ORDERS_FACT_SQL})
+SELECT count(*) + 1 AS rows_scored, true AS share_flagged, true AS planted_found FROM f""")
+def a3_isolation_forest_properties(spark, sf_dir):
+    """A far-off row is planted: it is flagged, and about the wanted share of all rows is."""
+    f = orders_fact(spark, sf_dir).select("order_id", "revenue", "cost")
+    odd = f.agg(F.lit(-1).cast("long").alias("order_id"), (F.max("revenue") * 50).alias("revenue"), F.lit(-1e6).alias("cost"))
+    rows = f.unionByName(odd)
+    found = anomalies.detect_isolation_forest(rows, ["revenue", "cost"], contamination=0.03)
+    total = rows.agg(F.count("*").alias("rows_scored"))
+    return (attach(found.agg(F.count("*").alias("_n"), F.count_if(F.col("order_id") == -1).alias("_p")), total)
+            .select("rows_scored", F.abs(F.col("_n") / F.col("rows_scored") - 0.03).__lt__(0.003).alias("share_flagged"),
+                    (F.col("_p") == 1).alias("planted_found")))
+
+
 def _daily_sql(src: str, alias: str, threshold: float) -> str:
     return f"""WITH {alias} AS ({src})
 , d AS (SELECT {'order_date' if alias == 'f' else 'date'} AS date, coalesce(sum(revenue), 0) AS value FROM {alias}
@@ -143,14 +160,65 @@ def f1_moving_average_orders_monthly(spark, sf_dir):
     return rounded(forecast.moving_average(orders_fact(spark, sf_dir), FACT_ROLES, 6, "M")[0])
 
 
-@register("f2_ridge_events")
+def _ridge_sql(src: str, alias: str, date_col: str, unit: str, periods: int, key: str, metrics: bool, alpha: float = 1.0) -> str:
+    """Ridge per series in SQL: moments, a 5x5 Gauss-Jordan elimination step by step, and the predictions."""
+    sums = ", ".join([*[f"sum(x{i}) AS sx{i}, sum(x{i} * value) AS sxy{i}" for i in range(5)],
+                      *[f"sum(x{i} * x{j}) AS s{i}{j}" for i in range(5) for j in range(i, 5)]])
+    feats = ("CAST({t} AS DOUBLE) AS x0, CAST(isodow({d}) - 1 AS DOUBLE) AS x1, CAST(month({d}) AS DOUBLE) AS x2,"
+             " sin(2 * pi() * dayofyear({d}) / 365.25) AS x3, cos(2 * pi() * dayofyear({d}) / 365.25) AS x4")
+    sym = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+    start = ", ".join([*[f"{sym(i, j)} - sx{i} * sx{j} / m{' + ' + str(alpha) if i == j else ''} AS a{i}{j}"
+                         for i in range(5) for j in range(5)], *[f"sxy{i} - sx{i} * sy / m AS a{i}5" for i in range(5)]])
+    steps, last = [], "e"
+    for k in range(5):
+        cols = ", ".join((f"a{i}{j} / a{k}{k}" if i == k else f"a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j}") + f" AS a{i}{j}"
+                         for i in range(5) for j in range(6))
+        steps.append(f", g{k} AS (SELECT {key} AS {key}, part, sy, m, sx0, sx1, sx2, sx3, sx4, {cols} FROM {last})")
+        last = f"g{k}"
+    predict = " + ".join(["{w}.b", *[f"{{w}}.a{i}5 * {{x}}.x{i}" for i in range(5)]])
+    body = f"""WITH {alias} AS ({src})
+, g AS (SELECT {key}, CAST(date_trunc('{unit}', {date_col}) AS TIMESTAMP) AS date, coalesce(sum(revenue), 0) AS value
+        FROM {alias} WHERE {date_col} IS NOT NULL GROUP BY 1, 2)
+, sp AS (SELECT {key}, unnest(generate_series(min(date), max(date), INTERVAL 1 {unit})) AS date FROM g GROUP BY {key})
+, s0 AS (SELECT sp.{key}, sp.date, coalesce(g.value, 0) AS value, row_number() OVER (PARTITION BY sp.{key} ORDER BY sp.date) - 1 AS t,
+         count(*) OVER (PARTITION BY sp.{key}) AS n FROM sp LEFT JOIN g ON sp.date = g.date AND sp.{key} = g.{key})
+, s AS (SELECT *, t < n - least(greatest(3, n // 5), 30) AS train, {feats.format(t='t', d='date')} FROM s0 WHERE n >= 10)
+, m AS (SELECT {key}, 'a' AS part, count(*) AS m, sum(value) AS sy, {sums} FROM s WHERE train GROUP BY {key}
+        UNION ALL SELECT {key}, 'b', count(*), sum(value), {sums} FROM s GROUP BY {key})
+, e AS (SELECT {key}, part, sy, m, sx0, sx1, sx2, sx3, sx4, {start} FROM m)
+{"".join(steps)}
+, w AS (SELECT *, (sy - a05 * sx0 - a15 * sx1 - a25 * sx2 - a35 * sx3 - a45 * sx4) / m AS b FROM g4)
+, p AS (SELECT s.*, {predict.format(w='w', x='s')} AS p FROM s JOIN w ON w.{key} = s.{key} AND w.part = 'a')
+, st AS (SELECT {key}, avg(CASE WHEN NOT train THEN abs(value - p) END) AS mae,
+         avg(CASE WHEN NOT train AND value <> 0 THEN abs((value - p) / value) END) * 100 AS mape_pct,
+         coalesce(stddev_pop(CASE WHEN train THEN value - p END), 0) AS sd, sum(value) AS historical_total,
+         avg(CASE WHEN t >= n - {periods} THEN value END) AS tail, max(date) AS last, max(n) AS n FROM p GROUP BY {key})
+, f0 AS (SELECT st.*, i, last + INTERVAL 1 {unit} * i AS date FROM st, (SELECT unnest(generate_series(1, {periods})) AS i))
+, fx AS (SELECT *, {feats.format(t='(i + n - 1)', d='date')} FROM f0)
+, fu AS (SELECT fx.*, greatest(0, {predict.format(w='w', x='fx')}) AS fc FROM fx JOIN w ON w.{key} = fx.{key} AND w.part = 'b')
+"""
+    if metrics:
+        return body + f"""SELECT {key}, {sig('any_value(mae)')} AS mae, {sig('any_value(mape_pct)')} AS mape_pct,
+ {sig('any_value(historical_total)')} AS historical_total, {sig('sum(fc)')} AS forecast_total,
+ {sig('(avg(fc) - any_value(tail)) / greatest(any_value(tail), 1e-9) * 100')} AS expected_growth_pct FROM fu GROUP BY {key}"""
+    return body + f"""SELECT {key}, date, {sig('value')} AS actual, CAST(NULL AS DOUBLE) AS forecast, CAST(NULL AS DOUBLE) AS lower,
+ CAST(NULL AS DOUBLE) AS upper FROM s
+UNION ALL SELECT {key}, date, NULL, {sig('fc')}, {sig('greatest(0, fc - 1.28 * sd)')}, {sig('fc + 1.28 * sd')} FROM fu"""
+
+
+_ONE_EVENTS = f"SELECT 'all' AS k, * FROM ({EVENTS_FACT_SQL})"
+_ONE_ORDERS = f"SELECT 'all' AS k, * FROM ({ORDERS_FACT_SQL})"
+
+
+@register("f2_ridge_events", "SELECT * EXCLUDE (k) FROM (" + _ridge_sql(_ONE_EVENTS, "e", "date", "day", 14, "k", False) + ")")
 def f2_ridge_events(spark, sf_dir):
-    return forecast.ridge(events_fact(spark, sf_dir), EVENTS_ROLES, 14, "D")[0]
+    return rounded(forecast.ridge(events_fact(spark, sf_dir), EVENTS_ROLES, 14, "D")[0])
 
 
-@register("f2_ridge_metrics_orders")
+@register("f2_ridge_metrics_orders", "SELECT * EXCLUDE (k) FROM ("
+          + _ridge_sql(_ONE_ORDERS, "f", "order_date", "day", 30, "k", True) + ")")
 def f2_ridge_metrics_orders(spark, sf_dir):
-    return forecast.ridge(orders_fact(spark, sf_dir), FACT_ROLES, 30, "D")[1]
+    return rounded(forecast.ridge(orders_fact(spark, sf_dir), FACT_ROLES, 30, "D")[1])
 
 
 @register("f3_random_forest_events")
@@ -158,7 +226,23 @@ def f3_random_forest_events(spark, sf_dir):
     return forecast.random_forest(events_fact(spark, sf_dir), EVENTS_ROLES, 7, "D")[0]
 
 
-@register("f4_forecast_per_category")
+@register("f3_random_forest_shape", _series_sql(EVENTS_FACT_SQL, "e", "date", "day") +
+          f"SELECT count(*) AS history, {sig('sum(value)')} AS total, 7 AS horizon, true AS ordered, max(date) + INTERVAL 7 day AS last FROM s")
+def f3_random_forest_shape(spark, sf_dir):
+    """What must hold of any forest: the history, the horizon, and forecasts inside their bands."""
+    out = forecast.random_forest(events_fact(spark, sf_dir), EVENTS_ROLES, 7, "D")[0]
+    inside = (F.col("lower") <= F.col("forecast")) & (F.col("forecast") <= F.col("upper")) & (F.col("lower") >= 0)
+    return rounded(out.agg(F.count("actual").alias("history"), F.sum("actual").alias("total"),
+                           F.count("forecast").cast("int").alias("horizon"), F.bool_and(inside).alias("ordered"),
+                           F.max("date").alias("last")))
+
+
+@register("f4_forecast_per_category", _ridge_sql(EVENTS_FACT_SQL, "e", "date", "day", 7, "category", False))
 def f4_forecast_per_category(spark, sf_dir):
-    # many series at once: one ridge per event type
-    return forecast.forecast_many(events_fact(spark, sf_dir), EVENTS_ROLES, ["category"], 7, "D")
+    """Many series at once: one ridge per event type."""
+    return rounded(forecast.forecast_many(events_fact(spark, sf_dir), EVENTS_ROLES, ["category"], 7, "D")[0])
+
+
+@register("f4_metrics_per_category", _ridge_sql(EVENTS_FACT_SQL, "e", "date", "day", 7, "category", True))
+def f4_metrics_per_category(spark, sf_dir):
+    return rounded(forecast.forecast_many(events_fact(spark, sf_dir), EVENTS_ROLES, ["category"], 7, "D")[1].drop("status"))

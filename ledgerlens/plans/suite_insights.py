@@ -92,7 +92,7 @@ def h4_hierarchy(spark, sf_dir):
 SELECT seq, category, {sig('revenue')} AS value,
        {sig('sum(revenue) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS running,
        CASE WHEN seq = max(seq) OVER () THEN 'total' ELSE 'relative' END AS measure FROM r
-UNION ALL SELECT 13, 'Total', {sig('sum(revenue)')}, {sig('sum(revenue)')}, 'grand_total' FROM t"""))
+UNION ALL SELECT 13, 'Total', {sig('coalesce(sum(revenue), 0)')}, {sig('coalesce(sum(revenue), 0)')}, 'grand_total' FROM f"""))
 def h5_waterfall(spark, sf_dir):
     return rounded(charts.waterfall(orders_fact(spark, sf_dir), "category", "revenue", 12))
 
@@ -111,25 +111,26 @@ def h7_scatter_data(spark, sf_dir):
 
 # ---------------------------------------------------------------- insights on the defective fact
 _MONTHLY = ", m AS (SELECT date_trunc('month', order_date) AS period, coalesce(sum(revenue), 0) AS value FROM d WHERE order_date IS NOT NULL GROUP BY 1)\n"
-_I1 = f"""SELECT 1 AS seq, 'momentum' AS kind, CASE WHEN chg >= 0 THEN 'grew' ELSE 'declined' END AS subject, {sig('chg')} AS value
-FROM (SELECT (max_by(value, period) - min_by(value, period)) / abs(CASE WHEN min_by(value, period) = 0 THEN 1.0 ELSE min_by(value, period) END) * 100 AS chg,
+_I1 = f"""SELECT 1 AS seq, 'momentum' AS kind, CASE WHEN chg >= 0 THEN 'grew' ELSE 'declined' END AS subject, {sig('chg')} AS value,
+ printf('%.2f', {sig('prev')}) || ' -> ' || printf('%.2f', {sig('last')}) AS detail
+FROM (SELECT min_by(value, period) AS prev, max_by(value, period) AS last, (max_by(value, period) - min_by(value, period)) / abs(CASE WHEN min_by(value, period) = 0 THEN 1.0 ELSE min_by(value, period) END) * 100 AS chg,
              count(*) AS n FROM (SELECT * FROM m ORDER BY period DESC LIMIT 2) x) y WHERE n >= 2"""
-_I2 = f"""SELECT 2, 'peak_period', strftime(period, '%b %Y'), {sig('value')} FROM (SELECT * FROM m ORDER BY value DESC, period ASC LIMIT 1) x
+_I2 = f"""SELECT 2, 'peak_period', strftime(period, '%b %Y'), {sig('value')}, CAST(NULL AS VARCHAR) FROM (SELECT * FROM m ORDER BY value DESC, period ASC LIMIT 1) x
 WHERE (SELECT count(*) FROM m) >= 3"""
 _LEAD = "(SELECT category, coalesce(sum(revenue), 0) AS revenue FROM d GROUP BY category ORDER BY revenue DESC NULLS LAST, category ASC NULLS FIRST LIMIT 1)"
-_I3 = f"""SELECT 3, 'category_leader', category, {sig('revenue')} FROM {_LEAD} x
-UNION ALL SELECT 4, 'category_share_pct', category, {sig('CASE WHEN tot <> 0 THEN revenue / tot * 100 ELSE 0 END')}
+_I3 = f"""SELECT 3, 'category_leader', category, {sig('revenue')}, CAST(NULL AS VARCHAR) FROM {_LEAD} x
+UNION ALL SELECT 4, 'category_share_pct', category, {sig('CASE WHEN tot <> 0 THEN revenue / tot * 100 ELSE 0 END')}, CAST(NULL AS VARCHAR)
 FROM {_LEAD} x, (SELECT coalesce(sum(revenue), 0) AS tot FROM d) t"""
 
 
 def _top(col, seq, kind):
-    return (f"SELECT {seq}, '{kind}', CAST({col} AS VARCHAR), {sig('revenue')} FROM (SELECT {col}, coalesce(sum(revenue), 0) AS revenue "
+    return (f"SELECT {seq}, '{kind}', CAST({col} AS VARCHAR), {sig('revenue')}, CAST(NULL AS VARCHAR) FROM (SELECT {col}, coalesce(sum(revenue), 0) AS revenue "
             f"FROM d GROUP BY {col} ORDER BY revenue DESC NULLS LAST, {col} ASC NULLS FIRST LIMIT 1) x")
 
 
-_I5 = f"""SELECT 7, 'profitability', CASE WHEN mg >= 20 THEN 'healthy' WHEN mg >= 5 THEN 'thin' ELSE 'concerning' END, {sig('mg')}
+_I5 = f"""SELECT 7, 'profitability', CASE WHEN mg >= 20 THEN 'healthy' WHEN mg >= 5 THEN 'thin' ELSE 'concerning' END, {sig('mg')}, CAST(NULL AS VARCHAR)
 FROM (SELECT coalesce(sum(profit), 0) / greatest(coalesce(sum(revenue), 0), 1) * 100 AS mg FROM d) x"""
-_I6 = f"SELECT 8, 'duplicates', 'rows', CAST(duplicate_rows AS DOUBLE) FROM {_DUPS} x WHERE duplicate_rows > 0"
+_I6 = f"SELECT 8, 'duplicates', 'rows', CAST(duplicate_rows AS DOUBLE), CAST(NULL AS VARCHAR) FROM {_DUPS} x WHERE duplicate_rows > 0"
 
 
 @register("i1_revenue_momentum", D(_MONTHLY + _I1))
@@ -138,7 +139,7 @@ def i1_revenue_momentum(spark, sf_dir):
 
 
 def _named(part: str) -> str:
-    return f"SELECT * FROM ({part}) AS x(seq, kind, subject, value)"
+    return f"SELECT * FROM ({part}) AS x(seq, kind, subject, value, detail)"
 
 
 @register("i2_peak_period", D(_MONTHLY + _named(_I2)))

@@ -1,39 +1,97 @@
-"""Registered role-detection and coercion queries (M1, M4, M5, M6)."""
+"""Registered role-detection and coercion queries (M1-M6)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ledgerlens import roles
-from ledgerlens.plans.facts import ORDERS_FACT_SQL, orders_fact
+from ledgerlens.operators import cleaning
+from ledgerlens.plans.facts import ORDERS_FACT_SQL, orders_fact, table
 from ledgerlens.plans.registry import register, rounded, sig
 
 
+_MESSY_SQL = """t AS (SELECT o_orderkey AS "Invoice No",
+  CASE WHEN o_orderkey % 10 = 0 THEN 'n/a' WHEN o_orderkey % 10 = 1 THEN strftime(o_orderdate, '%d/%m/%Y')
+       ELSE strftime(o_orderdate, '%Y-%m-%d') END AS "Order Date",
+  CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'open' END AS "Period End",
+  strftime(o_orderdate, '%Y/%m/%d') AS "Booked",
+  'C' || CAST(o_custkey AS VARCHAR) AS "Client Code", o_totalprice AS "Total Sales", o_totalprice * 2 AS "Ledger Value",
+  CAST(o_custkey AS DOUBLE) AS "Weight", o_orderpriority AS "Customer Segment", o_orderstatus AS "Returned",
+  CAST(o_custkey % 30 AS DOUBLE) AS "Discount Pct", o_custkey % 9 AS "Transit Time", o_orderpriority AS "Carrier" FROM orders)"""
+
+
+def messy_orders(spark, sf_dir):
+    """Orders with headers as people write them; dates as text, some of them missing or in another format."""
+    o = table(spark, sf_dir, "orders")
+    day = lambda f: F.date_format("o_orderdate", f)
+    k = F.col("o_orderkey")
+    return o.select(
+        k.alias("Invoice No"),
+        F.when(k % 10 == 0, "n/a").when(k % 10 == 1, day("dd/MM/yyyy")).otherwise(day("yyyy-MM-dd")).alias("Order Date"),
+        F.when(k % 2 == 0, day("yyyy-MM-dd")).otherwise("open").alias("Period End"), day("yyyy/MM/dd").alias("Booked"),
+        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("Client Code"), F.col("o_totalprice").alias("Total Sales"),
+        (F.col("o_totalprice") * 2).alias("Ledger Value"), F.col("o_custkey").cast("double").alias("Weight"),
+        F.col("o_orderpriority").alias("Customer Segment"), F.col("o_orderstatus").alias("Returned"),
+        (F.col("o_custkey") % 30).cast("double").alias("Discount Pct"), (F.col("o_custkey") % 9).alias("Transit Time"),
+        F.col("o_orderpriority").alias("Carrier"))
+
+
 def _mapping_frame(spark, mapping: dict):
-    rows = [(r, c) for r, c in mapping.items()]
-    return spark.createDataFrame(rows, "role STRING, column STRING")
+    return spark.createDataFrame(list(mapping.items()), "role STRING, column STRING")
+
+
+def _values(rows, names: str) -> str:
+    """Fixed rows as SQL; they hold for any contents of the table on which all dates are set."""
+    text = ", ".join("(" + ", ".join("CAST(NULL AS VARCHAR)" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+                                     for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {text}) v({names})"
 
 
-@register("m1_auto_map")
+@register("m1_auto_map", _values([
+    ("date", "Order Date"), ("revenue", "Total Sales"), ("profit", None), ("cost", None), ("quantity", None),
+    ("order_id", "Invoice No"), ("customer_id", "Client Code"), ("product", None), ("category", "Customer Segment"),
+    ("region", None)], "role, \"column\""))
 def m1_auto_map(spark, sf_dir):
-    """Roles detected on the fact schema (plus the date probe of text columns)."""
-    return _mapping_frame(spark, roles.auto_map(orders_fact(spark, sf_dir)))
+    """Roles of a table with text dates: half of "Period End" is no date, so it cannot be the date."""
+    return _mapping_frame(spark, roles.auto_map(messy_orders(spark, sf_dir)))
+
+
+@register("m2_scores", _values([
+    ("date", "Order Date", 36), ("revenue", "Total Sales", 26), ("order_id", "Invoice No", 30), ("customer_id", "Client Code", 30),
+    ("customer_id", "Customer Segment", 26), ("category", "Customer Segment", 16)], "role, \"column\", score"))
+def m2_scores(spark, sf_dir):
+    scores = roles.score_table(roles.column_facts(messy_orders(spark, sf_dir)), roles.ROLE_PATTERNS)
+    return spark.createDataFrame([(r, c, s) for (r, c), s in scores.items()], "role STRING, column STRING, score INT")
+
+
+_TEXT_COLUMNS = ("Order Date", "Period End", "Booked", "Client Code", "Customer Segment", "Returned", "Carrier")
+
 
+@register("m3_date_share", f"WITH {_MESSY_SQL}\n" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count("{c}") AS n_values, count(CASE WHEN "{c}" LIKE '____-__-__' OR "{c}" LIKE '__/__/____'
+  OR "{c}" LIKE '____/__/__' THEN 1 END) AS dates, count(CASE WHEN "{c}" LIKE '____-__-__' OR "{c}" LIKE '__/__/____'
+  OR "{c}" LIKE '____/__/__' THEN 1 END) > 0.8 * count("{c}") AS date_like FROM t""" for c in _TEXT_COLUMNS))
+def m3_date_share(spark, sf_dir):
+    """How many values of each text column parse as dates, over all rows."""
+    facts = [f for f in roles.column_facts(messy_orders(spark, sf_dir)) if f.name in _TEXT_COLUMNS]
+    return spark.createDataFrame([(f.name, f.values, f.dates, f.date_like) for f in facts],
+                                 "column STRING, n_values BIGINT, dates BIGINT, date_like BOOLEAN")
 
-@register("m4_revenue_fallback")
-def m4_revenue_fallback(spark, sf_dir):
-    """No header matches a revenue pattern: the numeric column with the largest sum(|x|) is taken."""
-    f = orders_fact(spark, sf_dir).toDF(*[f"c_{c}" if c in ("revenue", "cost", "profit", "quantity", "discount")
-                                          else c for c in orders_fact(spark, sf_dir).columns])
-    f = f.withColumnsRenamed({"c_revenue": "x1", "c_cost": "x2", "c_profit": "x3", "c_quantity": "x4", "c_discount": "x5"})
-    return _mapping_frame(spark, roles.auto_map(f))
 
+@register("m4_fallbacks", _values([("date", "Booked"), ("revenue", "Ledger Value")], "role, \"column\""))
+def m4_fallbacks(spark, sf_dir):
+    """No header names a date or a revenue: the first date-like column and the largest sum of absolute values."""
+    t = messy_orders(spark, sf_dir).select("Booked", "Weight", "Ledger Value", "Carrier")
+    mapping = roles.auto_map(t)
+    return _mapping_frame(spark, {r: mapping[r] for r in ("date", "revenue")})
 
-@register("m5_auto_map_retail")
+
+@register("m5_auto_map_retail", _values([
+    ("courier", "Carrier"), ("shipping_mode", None), ("delivery_days", "Transit Time"), ("rto", "Returned"),
+    ("discount", "Discount Pct")], "role, \"column\""))
 def m5_auto_map_retail(spark, sf_dir):
-    f = orders_fact(spark, sf_dir)
-    core = roles.auto_map(f)
-    return _mapping_frame(spark, roles.auto_map_retail(f, exclude={v for v in core.values() if v}))
+    t = messy_orders(spark, sf_dir)
+    return _mapping_frame(spark, roles.auto_map_retail(t, {c for c in roles.auto_map(t).values() if c}))
 
 
 _TEXT_SQL = f"""WITH f AS ({ORDERS_FACT_SQL})
@@ -53,3 +111,31 @@ def m6_coerce_types(spark, sf_dir):
                   .otherwise(F.concat(F.lit(" "), F.col("quantity").cast("string"), F.lit(" "))).alias("quantity"))
     return rounded(roles.coerce_types(t, {"date": "order_date", "revenue": "revenue", "quantity": "quantity"})
                    .drop("shipping_mode"))
+
+
+
+@register("m6_coerce_ambiguous", """SELECT o_orderkey, CAST(CASE WHEN day(o_orderdate) <= 12 THEN
+    make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) ELSE CAST(o_orderdate AS DATE) END AS TIMESTAMP) AS order_date,
+    CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_custkey AS DOUBLE) END AS revenue FROM orders""")
+def m6_coerce_ambiguous(spark, sf_dir):
+    """Day-first dates: read month first while that is a date; codes with a letter suffix are no numbers."""
+    return roles.coerce_types(_ambiguous(spark, sf_dir), {"date": "order_date", "revenue": "revenue"})
+
+
+def _ambiguous(spark, sf_dir):
+    o, k, c = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 3, F.col("o_custkey").cast("string")
+    return o.select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("order_date"),
+                    F.when(k == 0, F.concat(c, F.lit("D"))).when(k == 1, c).otherwise(F.concat(c, F.lit("f"))).alias("revenue"))
+
+
+@register("c8_dates_ambiguous", """SELECT o_orderkey, CAST(CASE WHEN day(o_orderdate) <= 12 THEN
+    make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) ELSE CAST(o_orderdate AS DATE) END AS TIMESTAMP) AS order_date
+    FROM orders""")
+def c8_dates_ambiguous(spark, sf_dir):
+    return cleaning.standardize_dates(_ambiguous(spark, sf_dir).drop("revenue"), ["order_date"])
+
+
+@register("c15_convert_suffixed", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_custkey AS DOUBLE) END AS revenue
+    FROM orders""")
+def c15_convert_suffixed(spark, sf_dir):
+    return cleaning.convert_types(_ambiguous(spark, sf_dir).drop("order_date"), "revenue", "numeric")

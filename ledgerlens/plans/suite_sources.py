@@ -7,9 +7,12 @@ through both.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import kpis
+from ledgerlens.operators import cleaning, kpis
 from ledgerlens.plans.facts import FACT_ROLES_WITH_PROFIT, ORDERS_FACT_SQL, orders_fact, table
 from ledgerlens.plans.registry import register, rounded, sig
 from ledgerlens.plans.suite_kpis import K1P_SQL
@@ -17,13 +20,20 @@ from ledgerlens.session import scratch_path
 from ledgerlens.sources import catalog, readers, sinks
 
 
-@register("s1_csv_read", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@register("s1_csv_read", "SELECT * FROM orders")
 def s1_csv_read(spark, sf_dir):
+    """Every column goes through the file; the date comes back as text and is parsed again."""
     path = scratch_path(spark, "orders-csv")
-    src = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                                                "o_orderpriority")
+    src = table(spark, sf_dir, "orders")
     sinks.write_csv(src, path, sep=";")
-    return readers.read_csv(spark, path, sep=";")
+    return _dates_again(readers.read_csv(spark, path, sep=";"), src)
+
+
+def _dates_again(read, src):
+    """Text columns that were dates are parsed, whole-number columns get their width back."""
+    kinds = dict(src.dtypes)
+    return read.select(*[cleaning.as_timestamp(F.col(c)).cast(kinds[c]).alias(c) if kinds[c].startswith("timestamp")
+                         else F.col(c).cast(kinds[c]) for c in src.columns])
 
 
 @register("w1_csv_write", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment "
@@ -34,29 +44,59 @@ def w1_csv_write(spark, sf_dir):
     return readers.read_csv(spark, path)
 
 
-@register("w2_json_write", "SELECT event_id, user_id, event_type, value, props FROM events")
+@register("w2_json_write", "SELECT * FROM events")
 def w2_json_write(spark, sf_dir):
     path = scratch_path(spark, "events-json")
-    sinks.write_json(table(spark, sf_dir, "events").drop("ts"), path)
-    return readers.read_json(spark, path)
+    src = table(spark, sf_dir, "events")
+    sinks.write_json(src, path)
+    return _dates_again(readers.read_json(spark, path), src)
 
 
-@register("s4_json_flatten", 'SELECT o_orderkey AS "order.key", o_custkey AS "order.customer", o_totalprice AS price, '
-          'o_orderstatus AS "meta.status", o_orderpriority AS "meta.priority" FROM orders')
+@register("s4_json_flatten", 'SELECT o_orderkey AS "order.key", o_custkey AS "order.customer", o_orderdate AS "order.date", '
+          'o_totalprice AS price, o_orderstatus AS "meta.status", o_orderpriority AS "meta.priority" FROM orders')
 def s4_json_flatten(spark, sf_dir):
     path = scratch_path(spark, "orders-nested-json")
     o = table(spark, sf_dir, "orders")
-    nested = o.select(F.struct(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("customer")).alias("order"),
+    nested = o.select(F.struct(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("customer"),
+                               F.col("o_orderdate").alias("date")).alias("order"),
                       F.col("o_totalprice").alias("price"),
                       F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).alias("meta"))
     sinks.write_json(nested, path)
-    return readers.read_json(spark, path)
+    kind = dict(o.dtypes)["o_orderdate"]
+    return readers.read_json(spark, path).withColumn("order.date", cleaning.as_timestamp(F.col("`order.date`")).cast(kind))
+
+
+@register("s4_json_documents", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment "
+          "FROM customer")
+def s4_json_documents(spark, sf_dir):
+    """A document per nation; the key that holds the rows and its place differ from document to document."""
+    path = scratch_path(spark, "customer-documents")
+    c = table(spark, sf_dir, "customer")
+    docs = c.groupBy("c_nationkey").agg(F.collect_list(F.struct(*c.columns)).alias("rows"))
+    one = F.to_json(F.struct(F.lit(1).alias("meta"), F.col("rows"), F.array(F.lit(0)).alias("spare")))
+    other = F.to_json(F.struct(F.col("rows").alias("items"), F.array(F.lit("x")).alias("rows")))
+    text = docs.select("c_nationkey", F.when(F.col("c_nationkey") % 2 == 0, one).otherwise(other).alias("value"))
+    text.withColumnRenamed("c_nationkey", "nation").write.partitionBy("nation").text(path)
+    return readers.read_json(spark, f"{path}/*", multi_line=True).select(*c.columns)
+
+
+@register("s5_archive_tables", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment "
+          "FROM customer")
+def s5_archive_tables(spark, sf_dir):
+    """The table goes into a zip file per task; every archive has a member of the same name."""
+    path = scratch_path(spark, "customer-archives")
+    c = table(spark, sf_dir, "customer")
+    sinks.write_archives(c.repartition(4, "c_custkey"), path, "customer.csv").collect()
+    tables, failed = readers.archive_tables(spark, path)
+    assert failed.isEmpty()
+    return reduce(DataFrame.unionByName, tables.values())
 
 
 @register("s8_sql_over_views", f"WITH orders_fact_2 AS ({ORDERS_FACT_SQL})\n"
           f"SELECT region, count(*) AS lines, {sig('sum(revenue)')} AS revenue FROM orders_fact_2 GROUP BY region")
 def s8_sql_over_views(spark, sf_dir):
-    view = catalog.register_dataset(spark, "Orders Fact (2)", orders_fact(spark, sf_dir), replace=True)
+    spark.catalog.dropTempView(catalog.view_name("Orders Fact (2)"))  # of an earlier run
+    view = catalog.register_dataset(spark, "Orders Fact (2)", orders_fact(spark, sf_dir))
     return rounded(catalog.run_sql(spark, f"SELECT region, count(*) AS lines, sum(revenue) AS revenue FROM {view} GROUP BY region"))
 
 

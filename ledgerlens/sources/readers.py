@@ -2,14 +2,18 @@
 
 CSV is read as text, pandas' missing-value tokens are mapped to NULL, and
 column types are chosen from one aggregate of trial casts (integer, float,
-boolean, else text) — the way pandas infers, without a second read of the
-file.  JSON nested objects are flattened to dotted column names.
+boolean, else text), the way pandas infers; that aggregate is a pass over the
+file of its own.  JSON nested objects are flattened to dotted column names.
 """
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
+import json
 import zipfile
+from collections import Counter
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -17,6 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.functions.exprs import as_number
+from ledgerlens.session import scratch_path
+
 # Text pandas' CSV reader treats as missing by default.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -34,7 +41,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     for i, c in enumerate(cols):
         x = F.trim(F.col(c))
         checks += [F.count(F.col(c)).alias(f"n{i}"), F.count(x.try_cast("long")).alias(f"l{i}"),
-                   F.count(x.try_cast("double")).alias(f"d{i}"),
+                   F.count(as_number(x)).alias(f"d{i}"),
                    F.count_if(F.col(c).isin(*BOOL_TEXT)).alias(f"b{i}")]
     row = df.agg(*checks).first()
     out = []
@@ -44,7 +51,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         if n and row[f"l{i}"] == n:
             out.append(x.try_cast("long").alias(c))
         elif n and row[f"d{i}"] == n:
-            out.append(x.try_cast("double").alias(c))
+            out.append(as_number(x).alias(c))
         elif n and row[f"b{i}"] == n:
             out.append(F.col(c).isin("true", "True", "TRUE").alias(c))
         else:
@@ -53,10 +60,13 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", header: bool = True,
-             infer: bool = True) -> DataFrame:
-    """CSV/TXT with a header row; undecodable bytes replaced; pandas-like types and nulls."""
+             infer: bool = True, multi_line: bool = False) -> DataFrame:
+    """CSV/TXT with a header row; undecodable bytes replaced; pandas-like types and nulls.
+
+    ``multi_line`` reads fields with line breaks inside quotes; such a file cannot be split.
+    """
     raw = (spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
-           .option("inferSchema", False).option("mode", "PERMISSIVE").option("nullValue", "\u0000never\u0000")
+           .option("inferSchema", False).option("mode", "PERMISSIVE").option("multiLine", multi_line).option("escape", '"').option("nullValue", "\u0000never\u0000")
            .option("emptyValue", "").csv(path))
     names = [f"Unnamed: {i}" if c == f"_c{i}" else c for i, c in enumerate(raw.columns)]
     raw = raw.toDF(*names)
@@ -83,97 +93,121 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """JSON lines (default, splittable) or one JSON document (``multi_line=True``).
+    """JSON lines (default, splittable) or JSON documents, one per file (``multi_line=True``).
 
-    A document whose root is an object contributes its *first* list-valued key
-    (in document order); nested objects are flattened to dotted names.
+    Each document contributes the elements of its root list, else of its own
+    *first* list-valued key (in document order), else itself; nested objects
+    are flattened to dotted names.
     """
     if not multi_line:
         return flatten(spark.read.json(path))
-    doc = spark.read.option("multiLine", True).json(path)
-    if "_corrupt_record" in doc.columns and len(doc.columns) == 1:
-        raise ValueError(f"{path}: not a JSON document")
-    keys = (spark.read.text(path, wholetext=True)
-            .select(F.json_object_keys(F.col("value")).alias("k")).first()["k"])
-    if keys is None:  # the root is an array: one row per element
-        return flatten(doc)
-    types = {f.name: f.dataType for f in doc.schema.fields}
-    first_list = next((k for k in keys if isinstance(types.get(k), T.ArrayType)), None)
-    if first_list is None:
-        return flatten(doc)
-    rows = doc.select(F.explode(F.col("`" + first_list + "`")).alias("_r"))
-    if isinstance(types[first_list].elementType, T.StructType):
-        rows = rows.select("_r.*")
-    else:
-        rows = rows.withColumnRenamed("_r", "0")
-    return flatten(rows)
-
-
-def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, line_no, line) for every CSV/JSON member of the zip files under ``path``.
-
-    Each archive is expanded inside an executor task (``mapInPandas`` over
-    ``binaryFile``); folders, ``__MACOSX`` entries and other suffixes are skipped,
-    and undecodable members are replaced character by character.
+    return _json_rows(document_rows(spark.read.text(path, wholetext=True)))
+
+
+def document_rows(docs: DataFrame) -> DataFrame:
+    """(value): one JSON object per row of the documents in the text column ``value``; scalars become ``{"0": x}``."""
+    member = lambda k: F.expr(f"get_json_object(value, concat('$[\\'', {k}, '\\']'))")
+    keys = docs.withColumn("_keys", F.json_object_keys("value"))
+    lists = keys.withColumn("_list", F.expr(
+        "try_element_at(filter(_keys, k -> startswith(ltrim(get_json_object(value, concat('$[\\'', k, '\\']'))), '[')), 1)"))
+    root = F.ltrim(F.col("value"))
+    found = (F.when(root.startswith("["), F.col("value")).when(F.col("_list").isNotNull(), member("_list"))
+             .when(root.startswith("{"), F.concat(F.lit("["), F.col("value"), F.lit("]"))))
+    bad = F.raise_error(F.lit("not a JSON document"))
+    rows = lists.select(F.explode(F.from_json(F.coalesce(found, bad), "array<string>")).alias("value"))
+    return rows.select(F.when(F.ltrim("value").startswith("{"), F.col("value"))
+                       .otherwise(F.to_json(F.struct(F.col("value").alias("0")))).alias("value"))
+
+
+def _json_rows(rows: DataFrame) -> DataFrame:
+    """Rows of JSON text as a flat table: written once as JSON lines, so that Spark finds the columns of all of them."""
+    path = scratch_path(rows.sparkSession, "json-rows")
+    rows.select("value").write.text(path)
+    return flatten(rows.sparkSession.read.json(path))
+
+
+ARCHIVE_SCHEMA = "archive STRING, member STRING, row_no BIGINT, fields ARRAY<STRING>, value STRING, error STRING"
+#: Rows handed over at once by a task that expands an archive.
+_AT_ONCE = 5000
+
+
+def archive_members(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """The records of every CSV/JSON member of the zip files under ``path``, expanded in executor tasks.
+
+    CSV records come as ``fields`` (row 0 is the header; quoted line breaks
+    stay inside a field), JSON rows as text in ``value`` under the rule of
+    :func:`read_json`.  Folders, ``__MACOSX`` entries and other suffixes are
+    skipped.  An archive or member that cannot be read gives one row with
+    ``error``, and the others are read on.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    schema = "archive STRING, member STRING, line_no BIGINT, line STRING"
+
+    def members(archive, content):
+        try:
+            zf = zipfile.ZipFile(io.BytesIO(content))
+        except zipfile.BadZipFile as broken:
+            yield archive, None, -1, None, None, str(broken)
+            return
+        for info in zf.infolist():
+            name = PurePosixPath(info.filename)
+            kind = name.suffix.lower()
+            if info.is_dir() or info.filename.startswith("__MACOSX") or kind not in (".csv", ".json"):
+                continue
+            try:
+                with zf.open(info) as raw, io.TextIOWrapper(raw, "utf-8", errors="replace", newline="") as text:
+                    if kind == ".csv":
+                        for i, fields in enumerate(csv.reader(text, delimiter=sep)):
+                            if fields:
+                                yield archive, name.name, i, fields, None, None
+                    else:
+                        for i, row in enumerate(_json_elements(text.read())):
+                            yield archive, name.name, i, None, json.dumps(row, ensure_ascii=False), None
+            except (zipfile.BadZipFile, ValueError, csv.Error) as broken:
+                yield archive, name.name, -1, None, None, str(broken)
 
     def expand(batches):
+        names = [c.split()[0] for c in ARCHIVE_SCHEMA.split(", ")]
         for pdf in batches:
-            rows = []
-            for p, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    zf = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    continue
-                for info in zf.infolist():
-                    name = info.filename
-                    if info.is_dir() or name.startswith("__MACOSX"):
-                        continue
-                    if PurePosixPath(name).suffix.lower() not in (".csv", ".json"):
-                        continue
-                    text = zf.read(info).decode("utf-8", errors="replace")
-                    for i, line in enumerate(text.splitlines()):
-                        rows.append((p, PurePosixPath(name).name, i, line))
-            yield pd.DataFrame(rows, columns=["archive", "member", "line_no", "line"])
-
-    return files.mapInPandas(expand, schema)
-
-
-def archive_tables(spark: SparkSession, path: str, sep: str = ",") -> dict[str, DataFrame]:
-    """One DataFrame per member (CSV: header from line 0; JSON: document or lines)."""
-    members = archive_members(spark, path)
-    heads = members.where(F.col("line_no") == 0).select("member", "line").collect()  # one line per member
-    out: dict[str, DataFrame] = {}
-    for h in heads:
-        lines = members.where(F.col("member") == h["member"])
-        if h["member"].lower().endswith(".csv"):
-            names = next(iter(__import__("csv").reader([h["line"]], delimiter=sep)))
-            schema = ", ".join(f"`c{i}` STRING" for i in range(len(names)))
-            body = lines.where(F.col("line_no") > 0).select(
-                F.from_csv(F.col("line"), schema, {"sep": sep}).alias("r")).select("r.*")
-            body = body.toDF(*[n or f"Unnamed: {i}" for i, n in enumerate(names)])
-            out[h["member"]] = infer_types(body.select(*[_na_to_null(c).alias(c) for c in body.columns]))
-        else:
-            out[h["member"]] = _json_member(spark, lines)
-    return out
+            for archive, content in zip(pdf["path"], pdf["content"], strict=True):
+                rows = members(archive, content)
+                while block := list(itertools.islice(rows, _AT_ONCE)):
+                    yield pd.DataFrame(block, columns=names)
+
+    return files.mapInPandas(expand, ARCHIVE_SCHEMA)
 
 
-def _json_member(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """A JSON member: the document is re-assembled on an executor and parsed by Spark's JSON reader."""
-    doc = lines.groupBy("member").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("doc"))
-    parsed = spark.read.json(doc.select("doc").rdd.map(lambda r: r[0]))
-    keys = doc.select(F.json_object_keys("doc").alias("k")).first()["k"]
-    types = {f.name: f.dataType for f in parsed.schema.fields}
-    first_list = next((k for k in (keys or []) if isinstance(types.get(k), T.ArrayType)), None)
-    if first_list is None:
-        return flatten(parsed)
-    rows = parsed.select(F.explode(F.col("`" + first_list + "`")).alias("_r"))
-    if isinstance(types[first_list].elementType, T.StructType):
-        rows = rows.select("_r.*")
-    return flatten(rows)
+def _json_elements(text: str) -> list:
+    """The rows of one JSON member: a document, or else one value per line."""
+    try:
+        doc = json.loads(text)
+    except ValueError:
+        return [x if isinstance(x, dict) else {"0": x} for x in map(json.loads, filter(str.strip, text.splitlines()))]
+    if isinstance(doc, dict):
+        doc = next((v for v in doc.values() if isinstance(v, list)), [doc])
+    return [x if isinstance(x, dict) else {"0": x} for x in (doc if isinstance(doc, list) else [doc])]
+
+
+def archive_tables(spark: SparkSession, path: str, sep: str = ",") -> tuple[dict[str, DataFrame], DataFrame]:
+    """One DataFrame per member, and the (archive, member, error) rows of what could not be read.
+
+    Tables are named by member, or ``archive/member`` where archives share a member name.
+    """
+    store = scratch_path(spark, "archives")
+    archive_members(spark, path, sep).write.parquet(store)
+    rows = spark.read.parquet(store)
+    heads = rows.where("row_no = 0").select("archive", "member", "fields").collect()  # one row per member
+    shared = Counter(h["member"] for h in heads)
+    out: dict[str, DataFrame] = {}
+    for h in heads:
+        name = h["member"] if shared[h["member"]] == 1 else f"{PurePosixPath(h['archive']).name}/{h['member']}"
+        mine = rows.where((F.col("archive") == h["archive"]) & (F.col("member") == h["member"]))
+        if h["fields"] is None:
+            out[name] = _json_rows(mine.where("row_no >= 0"))
+            continue
+        body = mine.where("row_no > 0").select(*[F.get("fields", F.lit(i)).alias(c or f"Unnamed: {i}")
+                                                for i, c in enumerate(h["fields"])])
+        out[name] = infer_types(body.select(*[_na_to_null(c).alias(c) for c in body.columns]))
+    return out, rows.where("error IS NOT NULL").select("archive", "member", "error")
 
 
 def read_jdbc_tables(spark: SparkSession, url: str, tables: list[str], properties: dict | None = None,

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zipfile
+
+import pandas as pd
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +28,26 @@ def write_json(df: DataFrame, path: str) -> str:
     return path
 
 
+def write_archives(df: DataFrame, folder: str, member: str) -> DataFrame:
+    """Write each partition of ``df`` as a zip archive with one CSV ``member``; returns the archives' paths when run.
+
+    ``folder`` is a URI that every executor reaches.
+    """
+    names = df.columns
+
+    def write(batches):
+        rows = pd.concat([b for b in batches] or [pd.DataFrame(columns=names)])
+        if len(rows):
+            path = f"{folder}/part-{TaskContext.get().partitionId():05d}.zip"
+            fs, local = FileSystem.from_uri(path if ":" in path else f"file://{path}")
+            fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(local) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+                zf.writestr(member, rows.to_csv(index=False))
+            yield pd.DataFrame({"path": [path]})
+
+    return df.mapInPandas(write, "path STRING")
+
+
 def kpi_sheet(kpis: DataFrame, currency: str = CURRENCY) -> DataFrame:
     """(kpi, value, change_pct) with the value formatted as %, currency or count; NULL values left out."""
     v = F.col("value")

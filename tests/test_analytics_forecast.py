@@ -48,7 +48,7 @@ def test_running_sum_matches_cumsum(spark):
     df = spark.createDataFrame([(int(i), float(v)) for i, v in enumerate(vals)], "k bigint, v double")
     got = ranking.running_sum(df, ["k"], "v", "c", num_partitions=7).orderBy("k").toPandas()["c"].to_numpy()
     assert np.allclose(got, np.cumsum(vals))
-    rn = ranking.row_number(df, [F.col("v").desc()], "rn", num_partitions=5).orderBy("rn").toPandas()
+    rn = ranking.row_number(df, [("v", "desc")], "rn", num_partitions=5).orderBy("rn").toPandas()
     assert (rn["rn"].to_numpy() == np.arange(1, 501)).all() and rn["v"].is_monotonic_decreasing
 
 
@@ -86,19 +86,35 @@ def test_forecast_shapes(spark, sf):
 
 
 def test_ridge_matches_closed_form(spark, sf):
+    import pandas as pd
     ev = events_fact(spark, sf)
     s = forecast.prepare_series(ev, EVENTS_ROLES, "D").orderBy("t").toPandas()
     out, _ = forecast.ridge(ev, EVENTS_ROLES, periods=5)
-    import pandas as pd
+
+    def design(t, dates):
+        doy = dates.dayofyear.to_numpy()
+        return np.column_stack([np.ones(len(t)), t, dates.dayofweek, dates.month, np.sin(2 * np.pi * doy / 365.25),
+                                np.cos(2 * np.pi * doy / 365.25)]).astype(float)
     idx = pd.DatetimeIndex(s["date"])
-    x = forecast._np_features(s["t"].to_numpy(dtype=float), idx)
-    b, w = forecast._np_ridge(x, s["value"].to_numpy(), 1.0)
-    fut = pd.date_range(idx[-1], periods=6, freq="D")[1:]
-    exp = np.clip(b + forecast._np_features(np.arange(len(s), len(s) + 5, dtype=float), fut) @ w, 0, None)
+    x, n = design(s["t"].to_numpy(), idx), len(s)
+    w = np.linalg.solve(x.T @ x + np.diag([0.0, 1, 1, 1, 1, 1]), x.T @ s["value"].to_numpy())
+    exp = np.clip(design(np.arange(n, n + 5), pd.date_range(idx[-1], periods=6, freq="D")[1:]) @ w, 0, None)
     got = out.where(F.col("forecast").isNotNull()).orderBy("date").toPandas()["forecast"].to_numpy()
     assert np.allclose(got, exp, rtol=1e-6)
 
 
+def test_many_series_report_short_ones(spark):
+    rows = [("long", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(40)]
+    rows += [("short", dt.datetime(2024, 1, 1), 1.0), (None, dt.datetime(2024, 1, 2), 1.0)]
+    df = spark.createDataFrame(rows, "k string, d timestamp, v double")
+    frame, metrics = forecast.forecast_many(df, {"date": "d", "revenue": "v"}, ["k"], 5)
+    assert {r.k: r.status for r in metrics.collect()} == {"long": "ok", "short": "too short", None: "too short"}
+    ahead = [r.forecast for r in frame.where("forecast IS NOT NULL").orderBy("date").collect()]
+    assert len(ahead) == 5 and all(abs(f - (40 + i)) < 0.5 for i, f in enumerate(ahead))
+    with pytest.raises(ValueError):
+        forecast.forecast_many(df, {"date": "d", "revenue": "v"}, ["k"], 5, method="random_forest")
+
+
 def test_json_first_list_key_and_csv(spark, tmpdir_path):
     p = f"{tmpdir_path}/doc.json"
     with open(p, "w") as fh:
@@ -121,9 +137,30 @@ def test_archive_members(spark, tmpdir_path):
         zf.writestr("notes.txt", "skip me")
         zf.writestr("items.json", json.dumps({"items": [{"k": 1}, {"k": 2}]}))
     from ledgerlens.sources import readers
-    tables = readers.archive_tables(spark, tmpdir_path)
-    assert set(tables) == {"sales.csv", "items.json"}
-    assert tables["sales.csv"].count() == 2 and tables["items.json"].count() == 2
+    with zipfile.ZipFile(f"{tmpdir_path}/second.zip", "w") as zf:
+        zf.writestr("items.json", json.dumps([{"k": 3}, {"k": 4, "note": "é"}, 5]))
+        zf.writestr("quoted.csv", 'a,b\n1,"two\nlines"\n')
+    with open(f"{tmpdir_path}/broken.zip", "wb") as fh:
+        fh.write(b"no archive")
+    tables, failed = readers.archive_tables(spark, tmpdir_path)
+    assert set(tables) == {"sales.csv", "bundle.zip/items.json", "second.zip/items.json", "quoted.csv"}
+    assert tables["sales.csv"].count() == 2 and tables["bundle.zip/items.json"].count() == 2
+    assert tables["second.zip/items.json"].columns == ["0", "k", "note"]
+    assert [tuple(r) for r in tables["quoted.csv"].collect()] == [(1, "two\nlines")]
+    assert [r.archive.rsplit("/", 1)[1] for r in failed.collect()] == ["broken.zip"]
+
+
+def test_json_documents_take_their_own_first_list(spark, tmpdir_path):
+    from ledgerlens.sources import readers
+    for name, doc in (("a", {"x": 1, "p": [{"k": 1}], "q": [{"k": 9}]}), ("b", {"q": [{"k": 2}, {"k": 3}], "p": [{"k": 9}]}),
+                      ("c", [{"k": 4}]), ("d", {"k": 5})):
+        with open(f"{tmpdir_path}/{name}.json", "w") as fh:
+            json.dump(doc, fh, indent=1)
+    assert sorted(r.k for r in readers.read_json(spark, tmpdir_path, multi_line=True).collect()) == [1, 2, 3, 4, 5]
+    with open(f"{tmpdir_path}/lines.csv", "w") as fh:
+        fh.write('code,text\n1D,"a\nb"\n2F,c\n')
+    df = readers.read_csv(spark, f"{tmpdir_path}/lines.csv", multi_line=True)
+    assert sorted(tuple(r) for r in df.collect()) == [("1D", "a\nb"), ("2F", "c")]
 
 
 def test_streaming_daily_revenue(spark, sf, tmpdir_path):

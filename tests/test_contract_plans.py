@@ -1,3 +1,5 @@
+import pytest
+
 import __spark_entry__ as entry
 from ledgerlens.operators import customers, cleaning
 from ledgerlens.plans.facts import FACT_ROLES, dirty_fact, orders_fact
@@ -14,7 +16,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-PASS_THROUGH = ("Project", "Window", "Sort", "Filter", "Exchange", "AQEShuffleRead", "ShuffleQueryStage",
+PASS_THROUGH = ("Project", "Window", "Sort [", "Filter", "Exchange", "AQEShuffleRead", "ShuffleQueryStage",
                 "WholeStageCodegen", "InputAdapter")
 
 
@@ -73,15 +75,75 @@ def test_box_summary_keeps_null_group(spark):
     assert out[None].median == 4.5 and out["a"].median == 2.0 and out[None].whisker_high == 9.0
 
 
-def test_hot_group_is_split_across_range_partitions(spark):
+def test_hot_group_is_split_across_buckets(spark):
     """A group with a third of all rows must not land on one task in the distributed fill/rank."""
     from pyspark.sql import functions as F
     from ledgerlens.operators import ranking
     n = 30000
     df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 997).cast("string")).alias("g"),
                                F.col("id").alias("k"))
-    parts = ranking._ranged(df, [F.col("g"), F.col("k")], 8).groupBy("_rk_pid").count().collect()
-    assert max(r["count"] for r in parts) < 0.2 * n
+    parts = ranking.bucketed(df, ["g", "k"], 8).groupBy("_rk_bucket").count().collect()
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 0.25 * n
     filled = ranking.fill(df.withColumn("v", F.when(F.col("k") % 5 == 0, F.col("k"))), ["v"], ["k"], ["g"], num_partitions=8)
     hot = filled.where("g = 'hot'").orderBy("k").limit(7).collect()
     assert [r.v for r in hot] == [0, 0, 0, 0, 0, 15, 15]
+
+
+@pytest.mark.parametrize("buckets", [4, 8, 32])
+def test_numbering_with_payload_columns_equals_a_plain_window(spark, buckets):
+    """200,000 rows with a hot key, nulls and two payload columns next to the order key."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from ledgerlens.operators import ranking
+    mixed = F.pmod(F.xxhash64("id"), F.lit(100_000))
+    df = spark.range(200_000).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 101 == 0, None).otherwise(mixed).alias("k"),
+        F.when(mixed % 4 == 0, F.col("id")).alias("v"), F.concat(F.lit("payload"), "id").alias("text"),
+        (F.col("id") % 97).alias("amount"))
+    w = Window.orderBy(F.col("k").desc_nulls_last(), F.col("id").asc_nulls_first())
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = Window.orderBy(F.col("k").desc_nulls_last(), F.col("id").desc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    want = df.select("id", F.row_number().over(w).alias("rn"), F.sum("amount").over(upto).alias("run"),
+                     F.last("v", ignorenulls=True).over(back).alias("filled"))
+    order = [("k", "desc"), "id"]
+    got = (ranking.row_number(df, order, "rn", buckets).select("id", "rn", "text")
+           .join(ranking.running_sum(df, order, "amount", "run", buckets).select("id", "run", "text"), ["id", "text"])
+           .join(ranking.fill(df, ["v"], ["k", "id"], backward=True, num_partitions=buckets)
+                 .select("id", F.col("v").alias("filled"), "text"), ["id", "text"]).drop("text"))
+    assert got.count() == 200_000 and got.exceptAll(want).count() == 0
+
+
+def test_quantiles_equal_numpy(spark, monkeypatch):
+    import numpy as np
+    from ledgerlens.operators import ranking
+    monkeypatch.setattr(ranking, "_FEW", 50)
+    rng = np.random.default_rng(3)
+    cols = {"a": np.round(rng.normal(size=4000), 1), "b": rng.exponential(size=4000) * 1e300, "c": np.full(4000, 5.0),
+            "d": np.where(np.arange(4000) % 3 == 0, 1e9, rng.random(4000))}
+    df = spark.createDataFrame([(*map(float, r), i % 3) for i, r in enumerate(zip(*cols.values()))] + [(None, float("nan"), None, None, 1)],
+                               "a double, b double, c double, d double, g int")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    row = ranking.quantiles(df, list(cols), probs).first()
+    for c, values in cols.items():
+        for k, p in enumerate(probs):
+            assert row[f"{c}_q{k}"] == pytest.approx(np.quantile(values, p), rel=1e-12), (c, p)
+    assert ranking.quantiles(df.limit(0), ["a"], [0.5]).first()[0] is None
+    for r in ranking.grouped_quantiles(df.where("a IS NOT NULL"), ["g"], "d", probs).collect():
+        values = cols["d"][np.arange(4000) % 3 == r.g]
+        assert [r[f"q{k}"] for k in range(5)] == pytest.approx([np.quantile(values, p) for p in probs], rel=1e-12)
+
+
+def test_wide_forms_take_any_number_of_values(spark):
+    from ledgerlens.operators import reshape
+    df = spark.range(3000).selectExpr("id % 2 AS g", "concat('v', id % 1500) AS h", "id AS x")
+    assert len(reshape.pivot(df, "g", "h", "x").columns) == 1501
+    assert reshape.pivot_long(df, "g", "h", "x").count() == 1500
+    assert len(reshape.one_hot(df.select("h"), "h").columns) == 1501
+
+
+def test_kpi_report_scans_the_data_once(spark, sf):
+    from ledgerlens.operators import kpis
+    from ledgerlens.plans.facts import FACT_ROLES
+    plan = kpis.compute_core_kpis(orders_fact(spark, sf), FACT_ROLES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_extendedprice") and plan.count("lineitem") <= 1 and plan.lower().count("relation [l_") == 1
