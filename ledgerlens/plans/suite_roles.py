@@ -57,7 +57,7 @@ def m1_auto_map(spark, sf_dir):
 
 
 @register("m2_scores", _values([
-    ("date", "Order Date", 36), ("revenue", "Total Sales", 26), ("order_id", "Invoice No", 30), ("customer_id", "Client Code", 30),
+    ("date", "Order Date", 40), ("revenue", "Total Sales", 30), ("order_id", "Invoice No", 30), ("customer_id", "Client Code", 30),
     ("customer_id", "Customer Segment", 26), ("category", "Customer Segment", 16)], "role, \"column\", score"))
 def m2_scores(spark, sf_dir):
     scores = roles.score_table(roles.column_facts(messy_orders(spark, sf_dir)), roles.ROLE_PATTERNS)
