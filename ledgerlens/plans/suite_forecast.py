@@ -169,7 +169,7 @@ def _ridge_sql(src: str, alias: str, date_col: str, unit: str, periods: int, key
     sym = lambda i, j: f"s{min(i, j)}{max(i, j)}"
     start = ", ".join([*[f"{sym(i, j)} - sx{i} * sx{j} / m{' + ' + str(alpha) if i == j else ''} AS a{i}{j}"
                          for i in range(5) for j in range(5)], *[f"sxy{i} - sx{i} * sy / m AS a{i}5" for i in range(5)]])
-    steps, last = [], "e"
+    steps, last = [], "el"
     for k in range(5):
         cols = ", ".join((f"a{i}{j} / a{k}{k}" if i == k else f"a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j}") + f" AS a{i}{j}"
                          for i in range(5) for j in range(6))
@@ -185,7 +185,7 @@ def _ridge_sql(src: str, alias: str, date_col: str, unit: str, periods: int, key
 , s AS (SELECT *, t < n - least(greatest(3, n // 5), 30) AS train, {feats.format(t='t', d='date')} FROM s0 WHERE n >= 10)
 , m AS (SELECT {key}, 'a' AS part, count(*) AS m, sum(value) AS sy, {sums} FROM s WHERE train GROUP BY {key}
         UNION ALL SELECT {key}, 'b', count(*), sum(value), {sums} FROM s GROUP BY {key})
-, e AS (SELECT {key}, part, sy, m, sx0, sx1, sx2, sx3, sx4, {start} FROM m)
+, el AS (SELECT {key}, part, sy, m, sx0, sx1, sx2, sx3, sx4, {start} FROM m)
 {"".join(steps)}
 , w AS (SELECT *, (sy - a05 * sx0 - a15 * sx1 - a25 * sx2 - a35 * sx3 - a45 * sx4) / m AS b FROM g4)
 , p AS (SELECT s.*, {predict.format(w='w', x='s')} AS p FROM s JOIN w ON w.{key} = s.{key} AND w.part = 'a')

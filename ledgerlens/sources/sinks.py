@@ -12,19 +12,21 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import np_round
 
+#: Times are written to the microsecond, as Spark keeps them.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 CURRENCY = "₹"  # fixed value: the default currency symbol of the KPI sheet
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False, sep: str = ",") -> str:
     """CSV with a header, UTF-8, no index; ``single_file`` coalesces to one part (small outputs only)."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", "UTF-8").csv(path)
+    out.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", "UTF-8").options(**TIMES).csv(path)
     return path
 
 
 def write_json(df: DataFrame, path: str) -> str:
     """JSON records, one per line."""
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").options(**TIMES).json(path)
     return path
 
 
