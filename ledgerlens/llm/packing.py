@@ -23,15 +23,18 @@ are counted at the end of each piece's document (see ``loss_from``).
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ledgerlens.llm.common import Memo, id_and_text, raw
+from ledgerlens.llm.common import id_and_text, raw
 
 CAPACITY = 4096
 END = 2
@@ -144,25 +147,86 @@ def split_short(sequence: list[tuple], capacity: int) -> list[list[tuple]]:
 
 
 #: Tokenizers loaded by this Python worker.
-_LOADED: dict[str, Memo] = {}
+_LOADED: dict[str, WordIds] = {}
+#: Words looked up at once (a longer text is one block), and parts in one call of the library.
+WORDS_AT_ONCE, RUN = 1 << 17, 1 << 11
+#: Fixed value: what the last token of each word ends with in the vocabulary.
+END_OF_WORD = "</w>"
+#: Fixed value: the pattern by which this tokenizer cuts lower-cased text before it merges bytes.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-def word_ids(path: str) -> Memo:
-    """``memo[word]``: the token ids of a blank-free word, as little-endian 32-bit bytes.
+class WordIds:
+    """Token ids of blank-free words, as little-endian 32-bit bytes.
 
     White space is dropped by this tokenizer before it looks for words, so the
-    ids of a text are those of its words, end to end.
+    ids of a text are those of its words, end to end.  Words of printable
+    Latin-1 characters are cut into the tokenizer's own parts; the parts that
+    are new in a block of texts go to the library in long runs with blanks
+    between them, and the ids are cut again after each token that ends a word.
+    Any other word goes to the library by itself.
     """
-    if path not in _LOADED:
+
+    def __init__(self, path: str, limit: int = 1 << 19):
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
+        self._library = Tokenizer.from_file(path)
+        about = json.loads(self._library.to_str())
+        if (about["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != PARTS.pattern
+                or about["model"]["end_of_word_suffix"] != END_OF_WORD):
+            raise ValueError("the tokenizer cuts text in another way")
+        vocabulary = self._library.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
+        self._limit, self._words, self._parts = limit, {}, {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def texts(self, words: list[list[bytes]]) -> list[bytes]:
+        """The ids of each text, given its words."""
+        known, cut, whole = self._words, {}, []
+        if len(known) > self._limit:
+            known.clear()
+            self._parts.clear()
+        for w in {w for ws in words for w in ws if w not in known}:
+            text = w.decode()
+            if text.isprintable() and "<|" not in text and max(text) < "\u0100" and unicodedata.is_normalized("NFC", text):
+                low = text.lower()
+                cut[w] = (low,) if low.isalpha() else PARTS.findall(low)
+            else:
+                whole.append(w)
+        new = list({p for parts in cut.values() for p in parts if p not in self._parts})
+        for i in range(0, len(new), RUN):
+            run = new[i: i + RUN]
+            ids = self._encode([" ".join(run)])[0]
+            stops = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            self._parts.update(zip(run, (data[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+        parts = self._parts.__getitem__
+        known.update((w, b"".join(map(parts, ps))) for w, ps in cut.items())
+        known.update((w, self._encode([w.decode()])[0].tobytes()) for w in whole)
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _LOADED:
+        _LOADED[path] = WordIds(path)
+    return _LOADED[path]
 
-        def encode(word: bytes) -> bytes:
-            return np.array(library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-        _LOADED[path] = Memo(encode, 1 << 19)
-    return _LOADED[path]
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[list[bytes]]]]:
+    """Ids and words of the rows of a batch, some rows at a time."""
+    ids, words, held = [], [], 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
+        ids.append(doc_id)
+        words.append((text or b"").split())
+        held += len(words[-1])
+        if held >= WORDS_AT_ONCE:
+            yield ids, words
+            ids, words, held = [], [], 0
+    if ids:
+        yield ids, words
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_limit: int | None = None,
@@ -204,12 +268,13 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, segment
             return batch
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-                data = b"".join(map(ids.__getitem__, (text or b"").split())) + tail
-                number += 1
-                known[number] = [doc_id, data, len(data) // 4]
-                for placed in packer.add(number, len(data) // 4, round(len(data) // 4 * loss_share)):
-                    emit(placed)
+            for doc_ids, words in _blocks(batch):
+                for doc_id, text in zip(doc_ids, ids.texts(words), strict=True):
+                    data = text + tail
+                    number += 1
+                    known[number] = [doc_id, data, len(data) // 4]
+                    for placed in packer.add(number, len(data) // 4, round(len(data) // 4 * loss_share)):
+                        emit(placed)
             if rows[0]:
                 yield taken()
         for placed in packer.finish():
