@@ -167,7 +167,7 @@ class WordIds:
     Any other word goes to the library by itself.
     """
 
-    def __init__(self, path: str, limit: int = 1 << 19):
+    def __init__(self, path: str, limit: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
@@ -186,9 +186,9 @@ class WordIds:
     def texts(self, words: list[list[bytes]]) -> list[bytes]:
         """The ids of each text, given its words."""
         known, cut, whole = self._words, {}, []
-        if len(known) > self._limit:
-            known.clear()
-            self._parts.clear()
+        for table in (known, self._parts):
+            if len(table) > self._limit:
+                table.clear()
         for w in {w for ws in words for w in ws if w not in known}:
             text = w.decode()
             if text.isprintable() and "<|" not in text and max(text) < "\u0100" and unicodedata.is_normalized("NFC", text):
