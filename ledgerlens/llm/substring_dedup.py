@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Memo, id_and_text, offsets, per_batch, raw, stored
+from ledgerlens.llm.common import Memo, id_and_text, offsets, per_batch, raw, release, stored
 
 #: Perfect difference sets, by period.
 DIFFERENCE_SETS = {
@@ -188,6 +188,18 @@ def _cut(found: DataFrame, window: int) -> DataFrame:
                             " spans array<struct<start: long, end: long>>, kept_sha binary")
 
 
+def _anchored(texts: DataFrame, rows: DataFrame, window: int) -> DataFrame:
+    """(doc_id, text, places) of the documents to search, with the places of anchors that other documents hold too."""
+    places = anchors(texts, window)
+    shared = places.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    searched = rows.where((F.col("doc_id") == F.col("first_id")) & (F.col("n_words") >= window)).select("doc_id").distinct()
+    hits = stored(places.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+                  .join(searched, "doc_id", "left_semi"), "substring-anchors")
+    del places, shared
+    release(texts.sparkSession)
+    return stored(texts.join(hits, "doc_id").select("doc_id", "text", "places"), "substring-hits")
+
+
 def repeated_words(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: doc_id, n_words, n_removed, spans of removed words, and the SHA-256 of the kept words.
 
@@ -198,12 +210,8 @@ def repeated_words(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     first = meta.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
     rows = stored(meta.join(first, "sha"), "substring-rows")
 
-    places = anchors(texts, window)
-    shared = places.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    searched = rows.where((F.col("doc_id") == F.col("first_id")) & (F.col("n_words") >= window)).select("doc_id").distinct()
-    hits = (places.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-            .join(searched, "doc_id", "left_semi"))
-    found = stored(texts.join(hits, "doc_id").select("doc_id", "text", "places"), "substring-hits")
+    found = _anchored(texts, rows, window)
+    release(docs.sparkSession)  # the anchors' shuffles are done with
 
     windows = _windows(found, window)
     repeated = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
