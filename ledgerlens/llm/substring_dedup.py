@@ -200,6 +200,14 @@ def _anchored(texts: DataFrame, rows: DataFrame, window: int) -> DataFrame:
     return stored(texts.join(hits, "doc_id").select("doc_id", "text", "places"), "substring-hits")
 
 
+def _repeated(found: DataFrame, window: int) -> DataFrame:
+    """(doc_id, places) of the windows that also start in a document with a smaller id."""
+    windows = _windows(found, window)
+    repeated = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    return (windows.join(repeated.select("w1", "w2", "lo"), ["w1", "w2"]).where("lo < doc_id")
+            .groupBy("doc_id").agg(F.collect_set("place").alias("places")))
+
+
 def repeated_words(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: doc_id, n_words, n_removed, spans of removed words, and the SHA-256 of the kept words.
 
@@ -213,10 +221,8 @@ def repeated_words(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     found = _anchored(texts, rows, window)
     release(docs.sparkSession)  # the anchors' shuffles are done with
 
-    windows = _windows(found, window)
-    repeated = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    gone = (windows.join(repeated.select("w1", "w2", "lo"), ["w1", "w2"]).where("lo < doc_id")
-            .groupBy("doc_id").agg(F.collect_set("place").alias("places")))
+    gone = stored(_repeated(found, window), "substring-gone")
+    release(docs.sparkSession)  # so are the windows'
     cut = _cut(found.drop("places").join(gone, "doc_id").select("doc_id", "text", "places"), window).dropDuplicates(["doc_id", "sha"])
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window)
     return rows.join(cut, ["doc_id", "sha"], "left").select(
