@@ -10,11 +10,16 @@
    radius r some block is at most r // 4 bits off, so every item is entered under
    all block values that far away, and each window looks up its four block
    values among the items of its size.  No fingerprint within the radius is lost.
-4. Candidates are verified by the exact weighted shingle similarity: the sum of
+4. Fingerprints of similar windows can lie outside the radius.  Such pairs are
+   found by the key shingles of an item: a window as similar as asked misses at
+   most the share 1 - similarity of the item's shingles, so it holds at least one
+   of any set that counts more than that.  The rarest ones are taken, and the
+   result does not depend on the radius.
+5. Candidates are verified by the exact weighted shingle similarity: the sum of
    the smaller multiplicities over the sum of the larger ones.
 
-The benchmark is the stated query set.  Its shingles are broadcast in blocks of
-a bounded number of rows; more items make more blocks, not larger ones.
+The benchmark is the stated query set.  Its shingles and keys are broadcast in
+blocks of a bounded number of rows; more items make more blocks, not larger ones.
 
 Defined results: a null or empty document or item matches nothing; a null id
 cannot be reported; rows that repeat a doc_id are reported once, with the best
@@ -26,13 +31,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import id_and_text, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Of the SimHash search; pairs outside of it are found by key shingles.
 RADIUS = 15
 #: Benchmark shingles broadcast at once (about 32 bytes a row).
 BLOCK_ROWS = 200_000
@@ -92,16 +98,34 @@ def item_shingles(benchmark: DataFrame, shingle: int = SHINGLE, item_col: str =
             .select("item_id", F.size(words).alias("size"), shingles_of(words, shingle).alias("sh")).where("size > 0"))
 
 
+def in_blocks(rows: DataFrame, known: DataFrame, on: list[str], block_rows: int) -> DataFrame:
+    """``rows`` joined with ``known``, which has a column ``h`` and is broadcast in blocks of about ``block_rows`` rows."""
+    blocks = max(1, -(-known.count() // block_rows))
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(known.where(F.pmod("h", F.lit(blocks)) == b) if blocks > 1 else known), on)
+                                          for b in range(blocks)])
+
+
+def key_shingles(items: DataFrame, similarity: float) -> DataFrame:
+    """(item_id, size, h): of each item its rarest shingles, of which every window at least ``similarity`` to it holds one.
+
+    Counted with multiplicities they are more than the item's shingles that such a window can miss.
+    """
+    counts = (items.select("item_id", "size", F.xxhash64("sh").alias("it"), F.size("sh").alias("all"), F.explode("sh").alias("h"))
+              .groupBy("item_id", "size", "it", "all", "h").agg(F.count("*").alias("n")))
+    held = counts.groupBy("size", "h").agg(F.count("*").alias("holders"))
+    rarest = Window.partitionBy("item_id", "size", "it").orderBy("holders", "h").rowsBetween(Window.unboundedPreceding, -1)
+    return (counts.join(held, ["size", "h"]).withColumn("before", F.coalesce(F.sum("n").over(rarest), F.lit(0)))
+            .where(F.col("before") <= F.col("all") * F.lit(1 - similarity) + 1e-6).select("item_id", "size", "h").distinct())
+
+
 def windows(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, start, size, sh): the item-sized windows of the documents that share a shingle with the benchmark."""
     hashed = (docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
               .select("doc_id", shingles_of(words_of(F.col("text")), shingle).alias("sh")))
     known = items.select("size", F.posexplode("sh").alias("at", "h")).distinct()
-    blocks = max(1, -(-known.count() // block_rows))
-    places = hashed.select("doc_id", F.posexplode("sh").alias("p", "h"))
-    found = [places.join(F.broadcast(known.where(F.pmod("h", F.lit(blocks)) == b) if blocks > 1 else known), "h")
-             .select("doc_id", F.greatest(F.col("p") - F.col("at"), F.lit(0)).alias("start"), "size") for b in range(blocks)]
-    starts = (reduce(DataFrame.unionByName, found).distinct().groupBy("doc_id")
+    found = (in_blocks(hashed.select("doc_id", F.posexplode("sh").alias("p", "h")), known, ["h"], block_rows)
+             .select("doc_id", F.greatest(F.col("p") - F.col("at"), F.lit(0)).alias("start"), "size"))
+    starts = (found.distinct().groupBy("doc_id")
               .agg(F.collect_list(F.struct("start", "size")).alias("at")))
     cut = F.expr(f"slice(sh, x.start + 1, greatest(x.size - {shingle - 1}, 1))")
     return (hashed.join(starts, "doc_id").select("doc_id", "sh", F.explode("at").alias("x"))
@@ -124,7 +148,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
     looked = (with_fingerprint(laid, ["doc_id", "start", "size", "win"]).withColumn("x", F.explode(block_values("fp")))
               .select("doc_id", "start", "size", "win", "fp", "x.block", "x.value"))
     pairs = (looked.join(near, ["size", "block", "value"])
-             .where(F.expr(f"bit_count(fp ^ item_fp) <= {int(radius)}")).select("doc_id", "win", "item_id").distinct())
+             .where(F.expr(f"bit_count(fp ^ item_fp) <= {int(radius)}")).select("doc_id", "win", "item_id"))
+    keys = stored(key_shingles(items, similarity), "decontaminate-keys")
+    held = in_blocks(laid.select("doc_id", "win", "size", F.explode(F.array_distinct("sh")).alias("h")), keys, ["size", "h"], block_rows)
+    pairs = pairs.unionByName(held.select("doc_id", "win", "item_id")).distinct()
     checked = (pairs.join(laid, ["doc_id", "win"]).join(items.select("item_id", F.col("sh").alias("item_sh")), "item_id")
                .withColumn("similarity", bag_similarity("sh", "item_sh")).where(F.col("similarity") >= similarity))
     return (checked.groupBy("doc_id", "item_id")

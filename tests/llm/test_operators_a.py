@@ -211,6 +211,31 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_edits_inside_an_item_at_any_radius(spark):
+    rng = random.Random(16)
+    items = [(k, [f"w{rng.randrange(10_000)}" for _ in range(50 + k % 11)]) for k in range(40)]
+    items.append((40, (["say", "it", "again", "and"] * 15)[:57]))  # shingles that repeat
+    rows = []
+    for i in range(1600):
+        leak = list(items[i % 41][1])
+        leak[rng.randrange(5, len(leak) - 5)] = "other"
+        rows.append((i, " ".join(["before", *leak, *(f"after{j}" for j in range(60))])))
+    bags = {k: bag(w) for k, w in items}
+    want = {}
+    for i, t in rows:
+        w, k = t.split(), i % 41
+        s = max(similar(bag(w[p: p + len(items[k][1])]), bags[k]) for p in range(20))
+        if s >= 0.8:
+            want[i, k] = s
+    assert len(want) > 1500
+    docs = frame(spark, rows)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    for options in ({}, {"radius": 0, "block_rows": 50}):
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(docs, bench, **options).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_decontamination_bag_similarity_counts_repeats(spark):
     row = spark.sql("SELECT array(1L, 1L, 2L) AS a, array(1L, 2L, 2L) AS b")
     assert row.select(decontaminate.bag_similarity("a", "b")).first()[0] == 0.5
