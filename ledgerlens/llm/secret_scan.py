@@ -8,7 +8,8 @@ dictionary covers, whether it looks like a path, and what stands before it.
 The dictionary is counted over all documents and holds the most frequent words.
 
 The forest is grown in Spark tasks, a tree per task, from a bounded sample of
-labelled findings (``SAMPLE`` per label, in the order of a hash of the finding).
+labelled findings (``SAMPLE`` per label, in the order of a hash of the finding;
+equal findings count once, so copies of documents do not crowd out others).
 :func:`rule_labels` labels findings by narrow rules where no reviewed labels
 exist; any table with the same columns can take its place.
 
@@ -206,11 +207,11 @@ def grow(x: np.ndarray, y: np.ndarray, seed: int) -> tuple[np.ndarray, ...]:
 
 
 def fit(labelled: DataFrame, known: list[str], sample: int = SAMPLE, trees: int = TREES) -> Forest:
-    """Train on (value, before, after, label): at most ``sample`` findings of each label."""
+    """Train on (value, before, after, label): at most ``sample`` different findings of each label."""
     words = frozenset(known)
     labelled = stored(labelled.where("label IN (0, 1) AND value IS NOT NULL")
                       .select("value", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"),
-                              "label"), "secret-findings")
+                              "label").distinct(), "secret-findings")
     order = F.xxhash64("value", "before", "after")
     rows = [r for k in (0, 1) for r in labelled.where(F.col("label") == k).orderBy(order, "value", "before", "after").limit(sample)
             .toArrow().to_pylist()]

@@ -151,6 +151,16 @@ def test_secret_scan_finds_planted_and_masks(spark):
         assert dict(rows)[r.doc_id][r.start: r.end] == r.value
 
 
+def test_secret_model_does_not_change_with_copies(spark):
+    rows, _ = secret_rows()
+    found = secret_scan.rule_labels(frame(spark, rows)).collect()
+    kinds = "value string, before string, after string, label int"
+    once, copies = (spark.createDataFrame(found * n, kinds) for n in (1, 20))
+    known = ["the", "river", "stone", "archive"]
+    a, b = (secret_scan.fit(t, known, sample=20, trees=4) for t in (once, copies))
+    assert a.trees and all(np.array_equal(x, y) for s, t in zip(a.trees, b.trees, strict=True) for x, y in zip(s, t, strict=True))
+
+
 def test_secret_scan_without_labels_or_rows(spark):
     docs = frame(spark, [(1, "token = 0641917ea4e9feb9cda83477b57ac2654884f485")])
     none = secret_scan.fit(secret_scan.rule_labels(frame(spark, [])), [])
