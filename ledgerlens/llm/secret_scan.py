@@ -2,7 +2,9 @@
 
 A candidate is a run of at least ``SHORTEST`` characters of ``A-Za-z0-9+/_.~-``
 that is not part of a longer word and not just a plain lower-case or
-capitalised word.  Its features are length, shares and transitions of character
+capitalised word, or the whole value assigned to a credential's name, quoted
+or up to the next blank, of any length and characters.  Where candidates
+overlap, the longest one judged to be a secret is reported.  The features are length, shares and transitions of character
 classes, entropy, how much of it and of the words beside it the corpus
 dictionary covers, whether it looks like a path, and what stands before it.
 The dictionary is counted over all documents and holds the most frequent words.
@@ -48,11 +50,21 @@ CANDIDATE = re.compile(r"(?<![\w+/.~-])[A-Za-z0-9+/_.~-]{12,}+(?!\w)")
 #: What names a credential, and what marks a sample value.
 NAMED = re.compile(r"(key|token|secret|passw(or)?d|pwd|passphrase|auth|credential|bearer|apikey)", re.I)
 SAMPLED = re.compile(r"(example|sample|dummy|test|placeholder|changeme|xxxx|your[_-])", re.I)
-ASSIGNED = re.compile(r"[=:]\s*[\"']?$")
+ASSIGNED = re.compile(r"[=:]>?\s*[\"']?$")
+#: A sign of assignment, a value, quoted or up to the next blank, and what stands before the sign if it names a credential.
+SIGN = re.compile(r"[=:]+>?[ \t]*")
+VALUE = re.compile(r"""(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|["']?([^\s"'=:]\S*))""")
+CREDENTIAL = re.compile(r"(key|token|secret|passw(or)?d|pwd|passphrase|auth|credential|bearer)s?([_-]\w+)*[\"']?\s*$", re.I)
+#: Characters before the sign that are searched for a name.
+NAME = 48
 WORD = re.compile(r"[a-z]{3,12}")
 #: Shapes of well-known keys, used to label findings.
 KNOWN_SHAPE = re.compile(r"(AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}")
-NAMED_VALUE = re.compile(r"(key|token|secret|passw(or)?d|pwd)\s*[=:]\s*[\"']?$", re.I)
+NAMED_VALUE = re.compile(r"(key|token|secret|passw(or)?d|pwd)[\"']?\s*[=:]+>?\s*[\"']?$", re.I)
+#: Assigned values shorter than this are not labelled as secrets.
+LABELLED = 6
+
+TAIL, CLOSING = ".,;-~\"'", {")": "(", "]": "[", "}": "{", ">": "<"}
 
 FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "transitions", "distinct", "entropy", "longest_run", "hex",
             "covered", "path", "named", "assigned", "quoted", "beside_covered", "sampled")
@@ -90,15 +102,33 @@ def _plain(value: str) -> bool:
     return value.isalpha() and (value.islower() or value[1:].islower())
 
 
+def _assigned(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the values assigned to a credential's name."""
+    out, past = [], 0
+    for sign in SIGN.finditer(text):
+        if sign.start() < past or not CREDENTIAL.search(text[max(0, sign.start() - NAME): sign.start()]):
+            continue
+        m = VALUE.match(text, sign.end())
+        if m:
+            a, b = m.span(m.lastindex)
+            if m.lastindex == 3:  # not quoted: what closes the sentence or a bracket around it is not part of it
+                past, value = b, text[a:b].rstrip(TAIL)
+                while value[-1:] in CLOSING and value.count(value[-1]) > value.count(CLOSING[value[-1]]):
+                    value = value[:-1].rstrip(TAIL)
+                b = a + len(value)
+            if a < b:
+                out.append((a, b))
+    return out
+
+
 def candidates(text: str | None) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, value, text before, text after) of each candidate of a text."""
-    out = []
-    for m in CANDIDATE.finditer(text or ""):
+    """(start, end, value, text before, text after) of each candidate of a text, in order of their starts."""
+    text, spans = text or "", set()
+    for m in CANDIDATE.finditer(text):
         value = m.group().rstrip(".-~")
         if len(value) >= SHORTEST and not _plain(value):
-            a, b = m.start(), m.start() + len(value)
-            out.append((a, b, value, text[max(0, a - AROUND): a], text[b: b + AROUND]))
-    return out
+            spans.add((m.start(), m.start() + len(value)))
+    return [(a, b, text[a:b], text[max(0, a - AROUND): a], text[b: b + AROUND]) for a, b in sorted(spans.union(_assigned(text)))]
 
 
 def _kind(c: str) -> int:
@@ -132,15 +162,25 @@ def features(value: str, before: str, after: str, known: frozenset) -> list[floa
             sum(w in known for w in beside) / max(1, len(beside)), float(bool(SAMPLED.search(value) or SAMPLED.search(before[-16:])))]
 
 
+def _label(value: str, before: str) -> int | None:
+    if KNOWN_SHAPE.fullmatch(value):
+        return 1
+    if NAMED_VALUE.search(before) and not SAMPLED.search(value):
+        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+            return 1 if len(value) >= LABELLED else None
+        if len(value) >= SHORTEST and (value.isalpha() or not value.isalnum()):
+            return None
+    return 0
+
+
 def rule_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(value, before, after, label) of all candidates, labelled by narrow rules.
 
     1: the shape of a well-known key, or a value of mixed classes assigned to a credential's name.
+    Null, not used for training: an assigned value the rules cannot tell, such as a long one without digits.
     """
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(v, x, y, int(bool(KNOWN_SHAPE.fullmatch(v) or (NAMED_VALUE.search(x) and any(c.isdigit() for c in v)
-                                                                and any(c.isalpha() for c in v) and not SAMPLED.search(v)))))
-                for t in batch.column(1).to_pylist() for _, _, v, x, y in candidates(t)]
+        rows = [(v, x, y, _label(v, x)) for t in batch.column(1).to_pylist() for _, _, v, x, y in candidates(t)]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4,
                                           (pa.string(), pa.string(), pa.string(), pa.int32()), strict=True)],
                                           ["value", "before", "after", "label"])
@@ -239,7 +279,17 @@ def _judged(texts: list[str | None], forest: Forest, threshold: float) -> list[l
     found = [candidates(t) for t in texts]
     x = np.array([features(v, b, a, forest.known) for c in found for _, _, v, b, a in c]).reshape(-1, len(FEATURES))
     scores = iter(forest.predict(x).tolist() if len(x) else [])
-    return [[(a, b, v, s) for (a, b, v, _, _), s in [(c, next(scores)) for c in found_here] if s >= threshold] for found_here in found]
+    return [_longest([(a, b, v, s) for (a, b, v, _, _), s in [(c, next(scores)) for c in found_here] if s >= threshold])
+            for found_here in found]
+
+
+def _longest(hits: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """The hits in order of their starts, without those that lie inside another."""
+    out: list[tuple[int, int, str, float]] = []
+    for hit in sorted(hits, key=lambda h: (h[0], -h[1])):
+        if not out or hit[1] > out[-1][1]:
+            out.append(hit)
+    return out
 
 
 def secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,7 +316,13 @@ def masked_column(spark: SparkSession, forest: Forest, threshold: float = 0.5, t
         values = texts.to_pylist()
         out = []
         for text, hits in zip(values, _judged(values, shared.value, threshold), strict=True):
-            for a, b, _, _ in reversed(hits):
+            spans: list[list[int]] = []
+            for a, b, _, _ in hits:
+                if spans and a < spans[-1][1]:
+                    spans[-1][1] = b
+                else:
+                    spans.append([a, b])
+            for a, b in reversed(spans):
                 text = text[:a] + mask + text[b:]
             out.append(text)
         return pa.array(out, pa.string())

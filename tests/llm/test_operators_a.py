@@ -151,6 +151,36 @@ def test_secret_scan_finds_planted_and_masks(spark):
         assert dict(rows)[r.doc_id][r.start: r.end] == r.value
 
 
+def test_secret_scan_finds_short_and_punctuated_values(spark):
+    rows, planted = secret_rows()
+    rng = random.Random(15)
+    names = ('password = "{}"', "pwd = '{}'", "api_key: {}", '{{"secret": "{}"}}')
+    for i in range(400, 800):
+        if i % 2:
+            value = "".join(rng.sample("abcdefghijkmnpqrstuvwxyz", 5)) + rng.choice("!@#$%") + str(rng.randrange(10, 1000))
+            rows.append((i, f"the river stone {names[i % 4].format(value)} the archive"))
+            planted[i] = value
+        else:
+            rows.append((i, f"the river stone token: {rng.choice(['river', 'stone', 'archive'])} the archive"))
+    more = {900: ('password = "S3cr3t!9"', "S3cr3t!9"), 901: ("pwd = 'p@ss-w0rd#1'", "p@ss-w0rd#1"),
+            902: ('password = "qhzxkvjwpmrtgblc"', "qhzxkvjwpmrtgblc")}
+    rows += [(i, f"the river stone {t} the archive") for i, (t, _) in more.items()]
+    planted |= {i: v for i, (_, v) in more.items()}
+    docs = frame(spark, rows)
+    model = secret_scan.fit(secret_scan.rule_labels(docs), secret_scan.dictionary(docs))
+    assert {(r.doc_id, r.value) for r in secret_scan.secrets(docs, model).collect()} == set(planted.items())
+    for r in docs.withColumn("masked", secret_scan.masked_column(spark, model)).collect():
+        assert r.masked == (r.text.replace(planted[r.doc_id], secret_scan.MASK) if r.doc_id in planted else r.text)
+
+
+def test_assigned_values_are_candidates():
+    for text, want in (('password = "S3cr3t!9"', "S3cr3t!9"), ("(pwd=a(b)c!)", "a(b)c!"), ("auth_token: x9.", "x9"),
+                       ("key := 'a b c'", "a b c"), ('"secret" => "qhzxkvjwpmrtgblc"', "qhzxkvjwpmrtgblc"),
+                       ('dsn: "db?password=S3cr3t!9 x"', "S3cr3t!9"), ('password = "S3cr3t!9', "S3cr3t!9")):
+        assert [c[2] for c in secret_scan.candidates(text)] == [want]
+    assert secret_scan.candidates("the author: someone else = 3") == []
+
+
 def test_secret_model_does_not_change_with_copies(spark):
     rows, _ = secret_rows()
     found = secret_scan.rule_labels(frame(spark, rows)).collect()
