@@ -160,6 +160,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows without an id stay."""
-    bad = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__leaks")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == bad["__leaks"], "left_anti")
+    """``docs`` without the documents that hold a benchmark item; rows without an id stay.
+
+    Rows that share an id are judged each by its own text.
+    """
+    key = F.when(F.col(id_col).cast("long").isNotNull(), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
+    marked = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
+    bad = leaks(marked, benchmark, **options).select(F.col("doc_id").alias("__leaks")).distinct()
+    return docs.withColumn("__key", key).join(bad, F.col("__key") == F.col("__leaks"), "left_anti").select(docs.columns)

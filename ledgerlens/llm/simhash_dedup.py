@@ -25,7 +25,8 @@ Equal fingerprints are one class from the start, so copies are never expanded.
 Defined results: null text counts as empty; empty texts link to each other
 (fingerprint zero); a null id takes no part in links and gets the smallest id
 linked to its fingerprint, if any; repeated rows are returned as often as they
-come; an empty table gives an empty result.
+come; an empty table gives an empty result.  :func:`keep_one` tells rows that
+share an id apart by their texts.
 """
 
 from __future__ import annotations
@@ -72,13 +73,15 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(sum(1 << int(j) for j in np.flatnonzero(2 * ones > len(cut))))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long, one row per input row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", mark: bool = False) -> DataFrame:
+    """(doc_id, fp) with the fingerprint as a signed long, one row per input row; with ``mark`` also a hash of the text."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, shingle) for t in raw(batch.column(1))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], ["doc_id", "fp", "mark"][: batch.num_columns])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(per_batch(run), "doc_id long, fp long")
+    rows = id_and_text(docs, id_col, text_col)
+    return (rows.withColumn("mark", F.xxhash64("text")) if mark else rows).mapInArrow(
+        per_batch(run), "doc_id long, fp long" + ", mark long" * mark)
 
 
 def _syndrome_bytes() -> list[np.ndarray]:
@@ -193,10 +196,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id; every column stays.
 
-    Rows that repeat an id are one document and leave one row; rows without an id are kept.
+    Documents are told apart by id and text: rows that share only the id are judged each by its own
+    fingerprint, rows equal in both leave one row; rows without an id are kept.
     """
-    found = near_duplicates(docs, shingle, distance, id_col, text_col)
-    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__loser")).distinct()
-    kept = docs.join(losers, docs[id_col].cast("long") == losers["__loser"], "left_anti")
-    return (kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-            .unionByName(kept.where(F.col(id_col).isNull())))
+    fps = stored(fingerprints(docs, shingle, id_col, text_col, mark=True).where("doc_id IS NOT NULL"), "simhash")
+    classes = stored(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "fp", "mark")).alias("first"))
+                     .select("fp", F.col("fp").alias("rep"), "first"), "simhash-classes")
+    joined = components(linked_classes(classes, distance))
+    best = (classes.join(joined, classes["rep"] == joined["node"], "left").groupBy(F.coalesce("component", "rep"))
+            .agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.mark").alias("__mark")))
+    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__mark", F.xxhash64(F.col(text_col).cast("string")))
+    kept = keyed.where("__id IS NOT NULL").join(best, ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"])
+    return kept.select(docs.columns).unionByName(keyed.where("__id IS NULL").select(docs.columns))

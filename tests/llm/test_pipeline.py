@@ -79,3 +79,16 @@ def test_decontamination_matches_the_operator(spark, sf):
     bad = {r.doc_id for r in decontaminate.leaks(docs, bench).collect()}
     left = {r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, sf).collect()}
     assert bad and left == {r.doc_id for r in docs.select("doc_id").collect()} - bad
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, "a b c d"), (3, "A b  c d"), (3, "quite other words here now"), (3, "quite other words here now"),
+            (7, "yet another text of words"), (7, "and this one is different again"), (8, item), (8, "clean words in this row")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash_dedup.keep_one(docs)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted({rows[0], rows[2], *rows[4:]})
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    left = decontaminate.without_leaks(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted(r for r in rows if r[1] != item)
