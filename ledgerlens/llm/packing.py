@@ -11,9 +11,9 @@ allow it.
 Each partition packs its own rows, in bounded memory: pieces wait in a pool of
 at most ``pool`` pieces, and a sequence is emitted as soon as it is closed.
 Nothing is shuffled.  Since the order of rows within a file split is fixed, a
-task that is run again gives the same sequences.  At the end of a partition the
-last sequence may be left short; it is cut into lengths that are powers of two,
-which need no padding.
+task that is run again gives the same sequences.  A sequence that is closed
+short, at the limit on segments or loss-bearing tokens or at the end of a
+partition, is cut into lengths that are powers of two, which need no padding.
 
 Defined results: a null or empty text has only the end token; a null id packs
 like any other and stays null; rows that repeat an id are packed each; an empty
@@ -274,7 +274,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, segment
                     number += 1
                     known[number] = [doc_id, data, len(data) // 4]
                     for placed in packer.add(number, len(data) // 4, round(len(data) // 4 * loss_share)):
-                        emit(placed)
+                        for part in split_short(placed, capacity):
+                            emit(part)
             if rows[0]:
                 yield taken()
         for placed in packer.finish():

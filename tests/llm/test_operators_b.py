@@ -316,3 +316,10 @@ def test_packing_edges(spark):
     for _, parts in itertools.groupby(sorted(half, key=lambda r: r.sequence_id), key=lambda r: r.sequence_id):
         parts = list(parts)
         assert len(parts) <= 2 and sum(r.loss_tokens for r in parts) <= 1000
+
+
+def test_packing_very_short_documents_needs_no_padding(spark):
+    rows = [(i, "a b") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert check_pieces(packed, rows) == 0
