@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
     ann,
+    bpe,
     decontaminate,
     language_id,
     packing,
@@ -94,6 +95,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   end=2).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op13_bpe_codec": op13_bpe_codec,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
