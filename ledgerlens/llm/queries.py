@@ -13,6 +13,7 @@ from ledgerlens.llm import (
     bpe,
     decontaminate,
     language_id,
+    merkle,
     packing,
     secret_scan,
     simhash_dedup,
@@ -95,6 +96,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   end=2).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the id's crc32, a row is shown with one more in ``n_chars``."""
+    docs = table(spark, sf_dir, "documents")
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    shown = merkle.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), more, F.col("text")])
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = merkle.manifest(docs, presented=F.when(tampered, shown))
+    return (rows.withColumn("folded_root", merkle.folded(F.col("presented"), F.col("proof")))
+            .select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(merkle.siblings(F.col("proof")), ""), 256).alias("proof_sha256"),
+                    "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), "position"))
+
+
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -117,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_bpe_codec": op13_bpe_codec,
     "pipeline": pipeline,
 }
