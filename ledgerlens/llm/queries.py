@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
     ann,
     bpe,
+    conversation_repair,
     decontaminate,
     language_id,
     merkle,
@@ -96,6 +97,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   end=2).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def damaged(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """The conversations with planted faults, and how often each row counts (0: dropped, 2: repeated)."""
+    def or_blank(name):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    kind = F.crc32(F.concat(or_blank("conv_id"), F.lit(":"), or_blank("turn")).cast("binary")) % 20
+    text = (F.when(kind == 1, F.lit("")).when(kind == 2, F.regexp_replace(or_blank("text"), "[.!?]", "")).otherwise(or_blank("text")))
+    copies = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    found = rows.select("conv_id", "turn", F.when(kind == 4, F.lit("user")).otherwise(or_blank("role")).alias("role"), text.alias("text"),
+                        copies.alias("copies"))
+    return found, F.col("copies")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.counted(*damaged(table(spark, sf_dir, "conversations")))
+    return conversation_repair.digests(rows, conversation_repair.report(rows))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where 7 divides the id's crc32, a row is shown with one more in ``n_chars``."""
     docs = table(spark, sf_dir, "documents")
@@ -130,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_bpe_codec": op13_bpe_codec,
     "pipeline": pipeline,
