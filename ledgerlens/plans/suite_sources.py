@@ -29,6 +29,17 @@ def s1_csv_read(spark, sf_dir):
     return _dates_again(readers.read_csv(spark, path, sep=";"), src)
 
 
+@register("s1_csv_line_breaks", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, replace(o_orderpriority, '-', chr(10) || '\"') AS "
+          "o_orderpriority FROM orders")
+def s1_csv_line_breaks(spark, sf_dir):
+    """Every priority holds a line break and a quote, so no split of the file begins at a known place."""
+    path = scratch_path(spark, "orders-breaks-csv")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    sinks.write_csv(o.withColumn("o_orderpriority", F.replace("o_orderpriority", F.lit("-"), F.lit('\n"'))), path)
+    kinds = dict(o.dtypes)
+    return readers.read_csv(spark, path).select(*[F.col(c).cast(kinds[c]).alias(c) for c in o.columns])
+
+
 def _dates_again(read, src):
     """Text columns that were dates are parsed, whole-number columns get their width back."""
     kinds = dict(src.dtypes)

@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import as_number
+from ledgerlens.operators._common import q
 from ledgerlens.session import scratch_path
+from ledgerlens.sources import quoted
 
 # Text pandas' CSV reader treats as missing by default.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -39,38 +41,49 @@ def infer_types(df: DataFrame) -> DataFrame:
     cols = df.columns
     checks = []
     for i, c in enumerate(cols):
-        x = F.trim(F.col(c))
-        checks += [F.count(F.col(c)).alias(f"n{i}"), F.count(x.try_cast("long")).alias(f"l{i}"),
+        x = F.trim(F.col(q(c)))
+        checks += [F.count(F.col(q(c))).alias(f"n{i}"), F.count(x.try_cast("long")).alias(f"l{i}"),
                    F.count(as_number(x)).alias(f"d{i}"),
-                   F.count_if(F.col(c).isin(*BOOL_TEXT)).alias(f"b{i}")]
+                   F.count_if(F.col(q(c)).isin(*BOOL_TEXT)).alias(f"b{i}")]
     row = df.agg(*checks).first()
     out = []
     for i, c in enumerate(cols):
         n = row[f"n{i}"]
-        x = F.trim(F.col(c))
+        x = F.trim(F.col(q(c)))
         if n and row[f"l{i}"] == n:
             out.append(x.try_cast("long").alias(c))
         elif n and row[f"d{i}"] == n:
             out.append(as_number(x).alias(c))
         elif n and row[f"b{i}"] == n:
-            out.append(F.col(c).isin("true", "True", "TRUE").alias(c))
+            out.append(F.col(q(c)).isin("true", "True", "TRUE").alias(c))
         else:
-            out.append(F.col(c))
+            out.append(F.col(q(c)))
     return df.select(*out)
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", header: bool = True,
-             infer: bool = True, multi_line: bool = False) -> DataFrame:
+             infer: bool = True, multi_line: bool | None = None) -> DataFrame:
     """CSV/TXT with a header row; undecodable bytes replaced; pandas-like types and nulls.
 
-    ``multi_line`` reads fields with line breaks inside quotes; such a file cannot be split.
+    Quoted fields may hold line breaks.  Whether any does is found in a pass over the file
+    (``multi_line`` says so beforehand); if so, the records are put together by many tasks (see
+    ``quoted``), else Spark's reader splits at every line break.  Both give each record to the
+    same parser.
     """
-    raw = (spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
-           .option("inferSchema", False).option("mode", "PERMISSIVE").option("multiLine", multi_line).option("escape", '"').option("nullValue", "\u0000never\u0000")
-           .option("emptyValue", "").csv(path))
+    options = {"sep": sep, "mode": "PERMISSIVE", "escape": '"', "nullValue": "\u0000never\u0000", "emptyValue": ""}
+    reader = spark.read.options(**options).option("header", header).option("encoding", encoding).option("inferSchema", False)
+    records = None if multi_line is False else quoted.quoted_records(spark, path, sep, encoding, always=bool(multi_line))
+    if records is None:
+        raw = reader.csv(path)
+    else:
+        names = reader.option("multiLine", True).csv(path).columns  # reads the first record
+        text = F.regexp_replace("value", "\r$", "")
+        kept = records.where(F.trim("value") != "") if not header else records.where((F.trim("value") != "") & ~F.col("first"))
+        kind = ", ".join(f"c{i} STRING" for i in range(len(names)))
+        raw = kept.select(F.from_csv(text, F.lit(kind), options).alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
     names = [f"Unnamed: {i}" if c == f"_c{i}" else c for i, c in enumerate(raw.columns)]
     raw = raw.toDF(*names)
-    clean = raw.select(*[_na_to_null(c).alias(c) for c in raw.columns])
+    clean = raw.select(*[_na_to_null(q(c)).alias(c) for c in raw.columns])
     return infer_types(clean) if infer else clean
 
 

@@ -20,7 +20,7 @@ CURRENCY = "₹"  # fixed value: the default currency symbol of the KPI sheet
 def write_csv(df: DataFrame, path: str, single_file: bool = False, sep: str = ",") -> str:
     """CSV with a header, UTF-8, no index; ``single_file`` coalesces to one part (small outputs only)."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", "UTF-8").options(**TIMES).csv(path)
+    out.write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').option("encoding", "UTF-8").options(**TIMES).csv(path)
     return path
 
 
