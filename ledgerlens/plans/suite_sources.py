@@ -7,9 +7,6 @@ through both.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import cleaning, kpis
@@ -20,6 +17,10 @@ from ledgerlens.session import scratch_path
 from ledgerlens.sources import catalog, readers, sinks
 
 
+#: Rows of a JSON document, and of an archive, that the queries write.
+DOCUMENT_ROWS, ARCHIVE_ROWS = 100_000, 100_000
+
+
 @register("s1_csv_read", "SELECT * FROM orders")
 def s1_csv_read(spark, sf_dir):
     """Every column goes through the file; the date comes back as text and is parsed again."""
@@ -80,27 +81,39 @@ def s4_json_flatten(spark, sf_dir):
 @register("s4_json_documents", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment "
           "FROM customer")
 def s4_json_documents(spark, sf_dir):
-    """A document per nation; the key that holds the rows and its place differ from document to document."""
+    """Documents of a nation's customers; the key that holds the rows and its place differ from document to document."""
     path = scratch_path(spark, "customer-documents")
     c = table(spark, sf_dir, "customer")
-    docs = c.groupBy("c_nationkey").agg(F.collect_list(F.struct(*c.columns)).alias("rows"))
+    parts = 1 + c.count() // DOCUMENT_ROWS  # a nation's share may be the whole table
+    docs = (c.groupBy("c_nationkey", F.pmod(F.xxhash64("c_custkey"), F.lit(parts)).alias("part"))
+            .agg(F.collect_list(F.struct(*c.columns)).alias("rows")))
     one = F.to_json(F.struct(F.lit(1).alias("meta"), F.col("rows"), F.array(F.lit(0)).alias("spare")))
     other = F.to_json(F.struct(F.col("rows").alias("items"), F.array(F.lit("x")).alias("rows")))
-    text = docs.select("c_nationkey", F.when(F.col("c_nationkey") % 2 == 0, one).otherwise(other).alias("value"))
-    text.withColumnRenamed("c_nationkey", "nation").write.partitionBy("nation").text(path)
-    return readers.read_json(spark, f"{path}/*", multi_line=True).select(*c.columns)
+    text = docs.select(F.col("c_nationkey").alias("nation"), "part", F.when(F.col("c_nationkey") % 2 == 0, one).otherwise(other).alias("value"))
+    text.write.partitionBy("nation", "part").text(path)
+    return readers.read_json(spark, f"{path}/*/*", multi_line=True).select(*c.columns)
+
+
+@register("s4_json_large_documents", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS DOUBLE) AS l_quantity, l_returnflag, "
+          "'a, \"b\" [{' AS note FROM lineitem")
+def s4_json_large_documents(spark, sf_dir):
+    """The whole table as the lists of a few documents, each of which many tasks read."""
+    path = scratch_path(spark, "lineitem-document")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("double").alias("l_quantity"),
+                                                 "l_returnflag", F.lit('a, "b" [{').alias("note"))
+    sinks.write_json_documents(li, path, "rows")
+    kinds = dict(li.dtypes)
+    return readers.read_json(spark, path, multi_line=True).select(*[F.col(x).cast(kinds[x]).alias(x) for x in li.columns])
 
 
 @register("s5_archive_tables", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment "
           "FROM customer")
 def s5_archive_tables(spark, sf_dir):
-    """The table goes into a zip file per task; every archive has a member of the same name."""
+    """The table goes into archives of a bounded number of rows; every archive has a member of the same name."""
     path = scratch_path(spark, "customer-archives")
     c = table(spark, sf_dir, "customer")
-    sinks.write_archives(c.repartition(4, "c_custkey"), path, "customer.csv").collect()
-    tables, failed = readers.archive_tables(spark, path)
-    assert failed.isEmpty()
-    return reduce(DataFrame.unionByName, tables.values())
+    sinks.write_archives(c.repartition(4 + c.count() // ARCHIVE_ROWS, "c_custkey"), path, "customer.csv").collect()
+    return readers.archive_table(spark, path, "customer.csv")
 
 
 @register("s8_sql_over_views", f"WITH orders_fact_2 AS ({ORDERS_FACT_SQL})\n"

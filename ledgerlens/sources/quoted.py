@@ -20,15 +20,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import scratch_path
+from ledgerlens.sources.splits import PIECES_SQL, RESPLIT, batch_of, joined, pieces, retried, runs, with_states
 
 MAPS = "file long, block long, from_outside boolean, from_inside boolean, broken boolean"
-PIECES = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("part", pa.int32()), ("value", pa.string()), ("first", pa.bool_())])
 #: From inside a quoted field up to and with its closing quote.
 _CLOSING = re.compile(r'(?:[^"]++|"")*+"')
 
@@ -53,18 +52,8 @@ def ends_inside(line: str, inside: bool, sep: str) -> bool:
 
 
 def lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """(file, block, value): the lines of all files; ``block`` is where the line's split begins, and rows of a split keep their order."""
-    text = spark.read.option("lineSep", "\n").option("encoding", encoding).text(path)
-    return text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                       F.make_valid_utf8("value").alias("value"))
-
-
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, int]]:
-    """((file, block), first row, end) of each run of rows of one split."""
-    file, block = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-    starts = np.flatnonzero(np.r_[True, (file[1:] != file[:-1]) | (block[1:] != block[:-1])]) if len(file) else []
-    for a, b in zip(starts, [*starts[1:], len(file)]):
-        yield (int(file[a]), int(block[a])), int(a), int(b)
+    """(file, block, value): the lines of all files."""
+    return pieces(spark, path, "\n", encoding)
 
 
 def state_maps(text: DataFrame, sep: str = ",") -> DataFrame:
@@ -79,7 +68,7 @@ def state_maps(text: DataFrame, sep: str = ",") -> DataFrame:
 
         for batch in batches:
             quoted = batch.column(2)
-            for key, a, b in _runs(batch):
+            for key, a, b in runs(batch):
                 if key != now:
                     if now is not None:
                         yield taken()
@@ -126,22 +115,19 @@ def _cut(sep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
             rows.append((*now, part, value, first and part != 0))
             first = first and part == 0
 
-        def taken():
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
-
         def end():
             if held:
                 put(0 if head else 1, "\n".join(held))
 
         for batch in batches:
             begins, values = batch.column(3), batch.column(2)
-            for key, a, b in _runs(batch):
+            for key, a, b in runs(batch):
                 if key != now:
                     if now is not None:
                         end()
                     now, inside = key, begins[a].as_py()
                     if inside is None:
-                        raise ValueError("the files are split in another way than before")
+                        raise ValueError(RESPLIT)
                     held, head, first = [], inside, key[1] == 0
                 for line in values.slice(a, b - a).to_pylist():
                     was, inside = inside, inside if '"' not in line else ends_inside(line, inside, sep)
@@ -153,12 +139,12 @@ def _cut(sep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                         put(0 if head else None, "\n".join(held))
                         held, head = [], False
             if rows:
-                yield taken()
+                yield batch_of(rows)
                 rows.clear()
         if now is not None:
             end()
         if rows:
-            yield taken()
+            yield batch_of(rows)
 
     return run
 
@@ -166,39 +152,24 @@ def _cut(sep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 def records(text: DataFrame, states: DataFrame, sep: str = ",") -> DataFrame:
     """(value, first): the records of all files, line breaks in quoted fields included; ``first`` marks each file's first record.
 
-    ``states`` has one row per split of a file, so a broadcast of it stays a
-    millionth of the data.  Written to the scratch folder at once: a fragment's
-    key must be the one of this very reading.
+    Written to the scratch folder at once: a fragment's key must be the one of this very reading.
     """
     spark = text.sparkSession
-    cut = (text.join(F.broadcast(states), ["file", "block"], "left").select("file", "block", "value", "inside")
-           .mapInArrow(_cut(sep), "file long, block long, part int, value string, first boolean"))
+    cut = with_states(text, states).select("file", "block", "value", "inside").mapInArrow(_cut(sep), PIECES_SQL)
     path = scratch_path(spark, "csv-records")
     cut.write.parquet(path)
-    rows = spark.read.schema(cut.schema).parquet(path)
-    order = Window.partitionBy("file").orderBy("block", "part")
-    fragments = rows.where("part IS NOT NULL").withColumn("record", F.sum("part").over(order))  # a beginning opens the next record
-    joined = fragments.groupBy("file", "record").agg(
-        F.sort_array(F.collect_list(F.struct("block", "part", "value"))).alias("f"), F.bool_or("first").alias("first"))
-    whole = joined.select(F.array_join(F.transform("f", lambda x: x["value"]), "\n").alias("value"), "first")
-    return rows.where("part IS NULL").select("value", "first").unionByName(whole)
+    return joined(spark.read.schema(cut.schema).parquet(path), "\n")
 
 
 def quoted_records(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", always: bool = False) -> DataFrame | None:
-    """The records of CSV files, or None if every line is a record (unless ``always``).
-
-    How files are split follows from the session's cores as well; should that
-    change between the two readings, both are done again.
-    """
-    for attempt in range(3):
+    """The records of CSV files, or None if every line is a record (unless ``always``)."""
+    def read():
         text = lines(spark, path, encoding)
         maps = scratch_path(spark, "csv-maps")
         state_maps(text, sep).write.parquet(maps)
         found = spark.read.parquet(maps)
         if not always and found.where("broken").isEmpty():  # the first split of a file that is left inside shows it
             return None
-        try:
-            return records(text, begins_inside(found), sep)
-        except Exception as failed:
-            if "split in another way" not in str(failed) or attempt == 2:
-                raise
+        return records(text, begins_inside(found), sep)
+
+    return retried(read)

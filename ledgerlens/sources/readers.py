@@ -8,15 +8,9 @@ file of its own.  JSON nested objects are flattened to dotted column names.
 
 from __future__ import annotations
 
-import csv
-import io
-import itertools
-import json
-import zipfile
 from collections import Counter
 from pathlib import PurePosixPath
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +18,7 @@ from pyspark.sql import types as T
 from ledgerlens.functions.exprs import as_number
 from ledgerlens.operators._common import q
 from ledgerlens.session import scratch_path
-from ledgerlens.sources import quoted
+from ledgerlens.sources import archives, documents, quoted
 
 # Text pandas' CSV reader treats as missing by default.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -106,30 +100,13 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """JSON lines (default, splittable) or JSON documents, one per file (``multi_line=True``).
+    """JSON lines (default) or JSON documents, one per file (``multi_line=True``); both are split between tasks.
 
     Each document contributes the elements of its root list, else of its own
     *first* list-valued key (in document order), else itself; nested objects
-    are flattened to dotted names.
+    are flattened to dotted names.  See ``documents``.
     """
-    if not multi_line:
-        return flatten(spark.read.json(path))
-    return _json_rows(document_rows(spark.read.text(path, wholetext=True)))
-
-
-def document_rows(docs: DataFrame) -> DataFrame:
-    """(value): one JSON object per row of the documents in the text column ``value``; scalars become ``{"0": x}``."""
-    member = lambda k: F.expr(f"get_json_object(value, concat('$[\\'', {k}, '\\']'))")
-    keys = docs.withColumn("_keys", F.json_object_keys("value"))
-    lists = keys.withColumn("_list", F.expr(
-        "try_element_at(filter(_keys, k -> startswith(ltrim(get_json_object(value, concat('$[\\'', k, '\\']'))), '[')), 1)"))
-    root = F.ltrim(F.col("value"))
-    found = (F.when(root.startswith("["), F.col("value")).when(F.col("_list").isNotNull(), member("_list"))
-             .when(root.startswith("{"), F.concat(F.lit("["), F.col("value"), F.lit("]"))))
-    bad = F.raise_error(F.lit("not a JSON document"))
-    rows = lists.select(F.explode(F.from_json(F.coalesce(found, bad), "array<string>")).alias("value"))
-    return rows.select(F.when(F.ltrim("value").startswith("{"), F.col("value"))
-                       .otherwise(F.to_json(F.struct(F.col("value").alias("0")))).alias("value"))
+    return _json_rows(documents.elements(spark, path)) if multi_line else flatten(spark.read.json(path))
 
 
 def _json_rows(rows: DataFrame) -> DataFrame:
@@ -139,88 +116,59 @@ def _json_rows(rows: DataFrame) -> DataFrame:
     return flatten(rows.sparkSession.read.json(path))
 
 
-ARCHIVE_SCHEMA = "archive STRING, member STRING, row_no BIGINT, fields ARRAY<STRING>, value STRING, error STRING"
-#: Rows handed over at once by a task that expands an archive.
-_AT_ONCE = 5000
-
-
 def archive_members(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """The records of every CSV/JSON member of the zip files under ``path``, expanded in executor tasks.
+    """The records of every CSV/JSON member of the zip files under ``path`` (a folder or one file); see ``archives``.
 
     CSV records come as ``fields`` (row 0 is the header; quoted line breaks
     stay inside a field), JSON rows as text in ``value`` under the rule of
     :func:`read_json`.  Folders, ``__MACOSX`` entries and other suffixes are
-    skipped.  An archive or member that cannot be read gives one row with
+    skipped.  An archive or member that cannot be read gives a row with
     ``error``, and the others are read on.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-
-    def members(archive, content):
-        try:
-            zf = zipfile.ZipFile(io.BytesIO(content))
-        except zipfile.BadZipFile as broken:
-            yield archive, None, -1, None, None, str(broken)
-            return
-        for info in zf.infolist():
-            name = PurePosixPath(info.filename)
-            kind = name.suffix.lower()
-            if info.is_dir() or info.filename.startswith("__MACOSX") or kind not in (".csv", ".json"):
-                continue
-            try:
-                with zf.open(info) as raw, io.TextIOWrapper(raw, "utf-8", errors="replace", newline="") as text:
-                    if kind == ".csv":
-                        for i, fields in enumerate(csv.reader(text, delimiter=sep)):
-                            if fields:
-                                yield archive, name.name, i, fields, None, None
-                    else:
-                        for i, row in enumerate(_json_elements(text.read())):
-                            yield archive, name.name, i, None, json.dumps(row, ensure_ascii=False), None
-            except (zipfile.BadZipFile, ValueError, csv.Error) as broken:
-                yield archive, name.name, -1, None, None, str(broken)
-
-    def expand(batches):
-        names = [c.split()[0] for c in ARCHIVE_SCHEMA.split(", ")]
-        for pdf in batches:
-            for archive, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = members(archive, content)
-                while block := list(itertools.islice(rows, _AT_ONCE)):
-                    yield pd.DataFrame(block, columns=names)
-
-    return files.mapInPandas(expand, ARCHIVE_SCHEMA)
-
-
-def _json_elements(text: str) -> list:
-    """The rows of one JSON member: a document, or else one value per line."""
-    try:
-        doc = json.loads(text)
-    except ValueError:
-        return [x if isinstance(x, dict) else {"0": x} for x in map(json.loads, filter(str.strip, text.splitlines()))]
-    if isinstance(doc, dict):
-        doc = next((v for v in doc.values() if isinstance(v, list)), [doc])
-    return [x if isinstance(x, dict) else {"0": x} for x in (doc if isinstance(doc, list) else [doc])]
+    spark.dataSource.register(archives.ZipMembers)
+    return spark.read.format(archives.ZipMembers.name()).option("sep", sep).load(path)
 
 
 def archive_tables(spark: SparkSession, path: str, sep: str = ",") -> tuple[dict[str, DataFrame], DataFrame]:
-    """One DataFrame per member, and the (archive, member, error) rows of what could not be read.
+    """One DataFrame per member, and the (archive, member, error) rows of what could not be read and is left out.
 
     Tables are named by member, or ``archive/member`` where archives share a member name.
     """
     store = scratch_path(spark, "archives")
     archive_members(spark, path, sep).write.parquet(store)
     rows = spark.read.parquet(store)
-    heads = rows.where("row_no = 0").select("archive", "member", "fields").collect()  # one row per member
+    failed = rows.where("error IS NOT NULL").select("archive", "member", "error")
+    heads = (rows.where("row_no = 0").join(failed, ["archive", "member"], "left_anti").select("archive", "member", "fields")
+             .orderBy("archive", "member").collect())  # one row per member
     shared = Counter(h["member"] for h in heads)
     out: dict[str, DataFrame] = {}
     for h in heads:
         name = h["member"] if shared[h["member"]] == 1 else f"{PurePosixPath(h['archive']).name}/{h['member']}"
         mine = rows.where((F.col("archive") == h["archive"]) & (F.col("member") == h["member"]))
-        if h["fields"] is None:
-            out[name] = _json_rows(mine.where("row_no >= 0"))
-            continue
-        body = mine.where("row_no > 0").select(*[F.get("fields", F.lit(i)).alias(c or f"Unnamed: {i}")
-                                                for i, c in enumerate(h["fields"])])
-        out[name] = infer_types(body.select(*[_na_to_null(c).alias(c) for c in body.columns]))
-    return out, rows.where("error IS NOT NULL").select("archive", "member", "error")
+        out[name] = _json_rows(mine) if h["fields"] is None else _csv_rows(mine, h["fields"])
+    return out, failed
+
+
+def archive_table(spark: SparkSession, path: str, member: str, sep: str = ",") -> DataFrame:
+    """The rows of one CSV member name in all archives under ``path`` as one table, by the columns of its first header.
+
+    Archives need the same columns (their order is taken from the first); one plan, however many archives there are.
+    """
+    store = scratch_path(spark, "archives")
+    archive_members(spark, path, sep).where(F.col("member") == member).write.parquet(store)
+    rows = spark.read.parquet(store)
+    bad = rows.where("error IS NOT NULL").select("archive", "error").first()
+    if bad is not None:
+        raise ValueError(f"{bad['archive']}: {bad['error']}")
+    heads = rows.where("row_no = 0").groupBy("fields").agg(F.min("archive").alias("archive")).orderBy("archive").limit(2).collect()
+    if len(heads) != 1:
+        raise ValueError(f"{member!r} has {'no' if not heads else 'more than one'} header")
+    return _csv_rows(rows, heads[0]["fields"])
+
+
+def _csv_rows(rows: DataFrame, header: list[str]) -> DataFrame:
+    body = rows.where("row_no > 0").select(*[F.get("fields", F.lit(i)).alias(c or f"Unnamed: {i}") for i, c in enumerate(header)])
+    return infer_types(body.select(*[_na_to_null(q(c)).alias(c) for c in body.columns]))
 
 
 def read_jdbc_tables(spark: SparkSession, url: str, tables: list[str], properties: dict | None = None,

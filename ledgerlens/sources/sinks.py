@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zipfile
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import np_round
+from ledgerlens.operators._common import q
 
 #: Times are written to the microsecond, as Spark keeps them.
 TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -30,21 +32,47 @@ def write_json(df: DataFrame, path: str) -> str:
     return path
 
 
+def write_json_documents(df: DataFrame, path: str, key: str) -> str:
+    """One JSON document per partition: an object whose ``key`` holds the rows."""
+    def wrap(batches):
+        first = True
+        for rows in batches:
+            text = rows["value"].copy()
+            text.iloc[1:] = "," + text.iloc[1:]
+            text.iloc[:1] = (f"{{{json.dumps(key)}:[" if first else ",") + text.iloc[:1]
+            first = first and not len(rows)
+            yield text.to_frame()
+        yield pd.DataFrame({"value": [f"{{{json.dumps(key)}:[]}}" if first else "]}"]})
+
+    rows = df.select(F.to_json(F.struct(*[F.col(q(c)) for c in df.columns]), {"ignoreNullFields": "false", **TIMES}).alias("value"))
+    rows.mapInPandas(wrap, "value STRING").write.mode("overwrite").text(path)
+    return path
+
+
 def write_archives(df: DataFrame, folder: str, member: str) -> DataFrame:
-    """Write each partition of ``df`` as a zip archive with one CSV ``member``; returns the archives' paths when run.
+    """Write each partition of ``df`` as a zip archive with one CSV ``member``, batch by batch; returns the archives' paths when run.
 
-    ``folder`` is a URI that every executor reaches.
+    ``folder`` is a URI that every executor reaches.  An archive appears under its name once it is whole, so a task that
+    is run again replaces what it left.
     """
-    names = df.columns
-
     def write(batches):
-        rows = pd.concat([b for b in batches] or [pd.DataFrame(columns=names)])
-        if len(rows):
-            path = f"{folder}/part-{TaskContext.get().partitionId():05d}.zip"
-            fs, local = FileSystem.from_uri(path if ":" in path else f"file://{path}")
-            fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
-            with fs.open_output_stream(local) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
-                zf.writestr(member, rows.to_csv(index=False))
+        path, zf = f"{folder}/part-{TaskContext.get().partitionId():05d}.zip", None
+        fs, local = FileSystem.from_uri(path if ":" in path else f"file://{path}")
+        for rows in batches:
+            if not len(rows):
+                continue
+            if zf is None:
+                fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
+                unfinished = f"{local}.{TaskContext.get().taskAttemptId()}.part"
+                out = fs.open_output_stream(unfinished)
+                zf = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                text = zf.open(member, "w", force_zip64=True)
+                rows.head(0).to_csv(text, index=False)
+            rows.to_csv(text, index=False, header=False)
+        if zf is not None:
+            for part in (text, zf, out):
+                part.close()
+            fs.move(unfinished, local)
             yield pd.DataFrame({"path": [path]})
 
     return df.mapInPandas(write, "path STRING")

@@ -1,11 +1,14 @@
 """Sources that many tasks read: quoted line breaks, archives, large JSON documents."""
 
 import csv
+import io
+import json
 import random
+import zipfile
 
 import pytest
 
-from ledgerlens.sources import quoted, readers
+from ledgerlens.sources import archives, documents, quoted, readers, sinks, splits
 
 
 def small_splits(spark, size):
@@ -90,3 +93,85 @@ def test_unclosed_quote_and_odd_files(spark, tiny, tmpdir_path):
         f.write(b'a,b\n5,"\xff\n"\n')
     got = sorted(map(tuple, readers.read_csv(spark, tmpdir_path).collect()))
     assert got[-1] == (5, "�\n")
+
+
+def document(rng, rows):
+    """A document's text and its rows under the reader's rule."""
+    def value(depth):
+        return rng.choice([1, -2.5, None, True, "plain", 'q"uo,te', "back\\slash\\", "{[,]}", "é日", ""] +
+                          ([{"k": value(depth + 1), "l,": [value(depth + 1)]}, [value(depth + 1)] * 2] if depth < 3 else []))
+    items = [rng.choice([{"id": i, "v": value(0)}, {"id": i, "w": {"x": value(1)}}]) for i in range(rows)]
+    other = [{"id": -1}]
+    kind = rng.randrange(4)
+    doc = (items if kind == 0 else {"meta": {"a": [1, 2], "b": "["}, "rows": items, "more": other} if kind == 1 else
+           {"rows": items, "z": "]"} if kind == 2 else {"id": 10**6, "note": "x" * rng.randint(0, 3000), "sub": {"l": [1, 2]}})
+    text = json.dumps(doc, ensure_ascii=False, indent=rng.choice([None, None, 2]), separators=rng.choice([None, (",", ":")]))
+    return rng.choice(["", "\n  "]) + text + rng.choice(["", "\n"]), items if kind < 3 else [doc]
+
+
+def test_documents_over_splits(spark, tiny, tmpdir_path):
+    rng = random.Random(4)
+    want = []
+    for k in range(12):
+        text, rows = document(rng, rng.choice([0, 1, 60, 120]))
+        want += rows
+        with open(f"{tmpdir_path}/{k}.json", "w") as f:
+            f.write(text)
+    with open(f"{tmpdir_path}/blank.json", "w") as f:
+        f.write(" \n")
+    assert splits.pieces(spark, tmpdir_path, ",").select("file", "block").distinct().count() > 25
+    got = [json.loads(r.value) for r in documents.elements(spark, tmpdir_path).collect()]
+    assert sorted(map(json.dumps, got)) == sorted(map(json.dumps, want))
+
+
+def test_a_document_of_scalars_and_one_that_is_none(spark, tmpdir_path):
+    with open(f"{tmpdir_path}/a.json", "w") as f:
+        f.write('[1, "two, three", [4, 5], null, {"k": 1}]')
+    assert sorted(r.value for r in documents.elements(spark, tmpdir_path).collect()) == [
+        '{"0":"two, three"}', '{"0":1}', '{"0":[4, 5]}', '{"0":null}', '{"k": 1}']
+    with open(f"{tmpdir_path}/a.json", "w") as f:
+        f.write("hello, world")
+    with pytest.raises(Exception, match="not a JSON document"):
+        documents.elements(spark, tmpdir_path).collect()
+
+
+def test_cutter_takes_text_in_any_chunks():
+    rng = random.Random(8)
+    for _ in range(60):
+        text, rows = document(rng, rng.randint(0, 9))
+        raw = text.encode()
+
+        class Opened(io.BytesIO):
+            def read(self, n=-1):
+                return super().read(rng.randint(1, 40) if n > 0 else n)
+
+        got = [json.loads(x) for x in archives.json_rows(lambda: Opened(raw))]
+        assert got == rows
+
+
+def test_archives_are_read_member_by_member(spark, tmpdir_path):
+    for k in range(5):
+        with zipfile.ZipFile(f"{tmpdir_path}/{k}.zip", "w", zipfile.ZIP_DEFLATED) as zf:
+            zf.writestr("t.csv", "a,b\n" + "".join(f"{k},{i}\n" for i in range(7000)))
+            zf.writestr("sub/lines.json", '{"l": [1]}\n{"l": []}\n')
+            zf.writestr("bad.json", '[{"a": 1}, {"a": ')
+            zf.writestr("words.json", "no json")
+    with open(f"{tmpdir_path}/4.zip", "r+b") as f:
+        f.truncate(100)
+    rows = readers.archive_members(spark, tmpdir_path)
+    assert rows.rdd.getNumPartitions() == 4 * 4 + 1
+    tables, failed = readers.archive_tables(spark, tmpdir_path)
+    assert set(tables) == {f"{k}.zip/{m}" for k in range(4) for m in ("t.csv", "lines.json")}
+    assert sorted(r.member or "" for r in failed.collect()) == ["", *["bad.json"] * 4, *["words.json"] * 4]
+    both = readers.archive_table(spark, f"{tmpdir_path}/3.zip", "t.csv")
+    assert both.count() == 7000 and dict(both.dtypes) == {"a": "bigint", "b": "bigint"}
+    with pytest.raises(ValueError):
+        readers.archive_table(spark, f"{tmpdir_path}/3.zip", "none.csv")
+    assert readers.archive_members(spark, tmpdir_path).where("member = 'lines.json'").count() == 8
+
+
+def test_archive_writer_streams_and_rereads(spark, tmpdir_path):
+    df = spark.range(25_000).selectExpr("id", "concat('v', id, ',\"') AS v").repartition(3)
+    sinks.write_archives(df, f"{tmpdir_path}/z", "t.csv").collect()
+    back = readers.archive_table(spark, f"{tmpdir_path}/z", "t.csv")
+    assert back.exceptAll(df).isEmpty() and back.count() == 25_000
