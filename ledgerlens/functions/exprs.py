@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Text tokens that pandas' astype(str) produces for missing
-# values, and the default date formats tried (in order) when parsing text:
-# an ambiguous date has its month first, as pandas reads it.
+from ledgerlens.functions import dates
+
+# Text tokens that pandas' astype(str) produces for missing values.
 NULL_TEXT_TOKENS = ("nan", "None")
-DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd",
-    "MM-dd-yyyy", "MM/dd/yyyy", "MM.dd.yyyy", "dd-MM-yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "yyyyMMdd",
-    "d MMM yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy",
-)
 # Text treated as true by the generic boolean conversion and by
 # the return-to-origin flag (the latter has no "t").
 BOOL_TRUE_TOKENS = ("1", "true", "yes", "y", "t")
@@ -50,16 +47,18 @@ def as_number(c: str | Column, dt: T.DataType | None = None) -> Column:
     return F.nanvl(out, F.lit(None).cast("double"))
 
 
-def as_timestamp(c: str | Column, dt: T.DataType | None = None, formats=DATE_FORMATS) -> Column:
-    """pandas ``to_datetime(errors='coerce')``: tries each format in order."""
+def as_timestamp(c: str | Column, dt: T.DataType | None = None, formats: Sequence[str] | None = None) -> Column:
+    """pandas ``to_datetime(errors='coerce', format='mixed')``; ``formats`` (Spark patterns, in order) replace the usual shapes."""
     col = F.col(c) if isinstance(c, str) else c
     if isinstance(dt, T.TimestampNTZType):
         return col
     if isinstance(dt, (T.TimestampType, T.DateType)):
         return col.cast("timestamp_ntz")
-    s = F.trim(col.cast("string"))
-    tries = [F.try_to_timestamp(s, F.lit(f)) for f in formats]
-    return F.coalesce(*tries, F.try_to_timestamp(s)).cast("timestamp_ntz")
+    text = col.cast("string")
+    if not formats:
+        return dates.parse(text)
+    tries = [F.try_to_timestamp(F.trim(text), F.lit(f)) for f in formats]
+    return F.coalesce(*[t.cast("timestamp_ntz") for t in tries], dates.parse(text))
 
 
 def null_tokens_to_null(c: Column) -> Column:
@@ -86,11 +85,6 @@ def truthy(c: Column, tokens=BOOL_TRUE_TOKENS) -> Column:
     return F.coalesce(F.lower(c.cast("string")).isin(*tokens), F.lit(False))
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    """Division that yields NULL instead of raising under ANSI mode."""
-    return F.try_divide(a, b)
-
-
 def sum0(c: Column) -> Column:
     """pandas sum: all-null / empty -> 0."""
     return F.coalesce(F.sum(c), F.lit(0.0))

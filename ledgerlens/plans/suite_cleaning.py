@@ -139,7 +139,7 @@ def c7_ffill_per_customer(spark, sf_dir):
                                            partition_by=["customer_id"]))
 
 
-@register("c8_standardize_dates", with_f := None or f"WITH f AS ({ORDERS_FACT_SQL})\n"
+@register("c8_standardize_dates", f"WITH f AS ({ORDERS_FACT_SQL})\n"
           f"SELECT order_id, product, revenue, strftime(order_date, '%d/%m/%Y') AS order_date FROM f")
 def c8_standardize_dates(spark, sf_dir):
     f = orders_fact(spark, sf_dir).select("order_id", "product", "revenue", "order_date")

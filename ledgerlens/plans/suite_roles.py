@@ -139,3 +139,41 @@ def c8_dates_ambiguous(spark, sf_dir):
     FROM orders""")
 def c15_convert_suffixed(spark, sf_dir):
     return cleaning.convert_types(_ambiguous(spark, sf_dir).drop("order_date"), "revenue", "numeric")
+
+
+#: Ways in which people write a date; each names it without doubt.
+_FORMS = ("M/d/yyyy", "yyyy/M/d", "d-MMM-yyyy", "MMM d yyyy", "EEE, d MMM yyyy", "MM/dd/yyyy hh:mm:ss a", "dd-MMM-yy", "EEEE, MMMM d, yyyy", "yyyyMMdd",
+          "yyyy.M.d HH:mm")
+
+
+def _as_written(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(_FORMS):
+        text = F.when(F.col("o_orderkey") % (len(_FORMS) + 1) == i, F.date_format("o_orderdate", form)).otherwise(text)
+    return o.select("o_orderkey", F.coalesce(text, F.lit("no date")).alias("order_date"))
+
+
+@register("c8_dates_as_written", f"SELECT o_orderkey, CASE WHEN o_orderkey % {len(_FORMS) + 1} < {len(_FORMS)} THEN "
+          "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS order_date FROM orders")
+def c8_dates_as_written(spark, sf_dir):
+    """Ten forms in one column, and texts that are none."""
+    return cleaning.standardize_dates(_as_written(spark, sf_dir), ["order_date"])
+
+
+@register("c8_date_shapes", f"""SELECT 'order_date' AS "column", sum(n)::BIGINT AS rows, sum(CASE WHEN k < {len(_FORMS)} THEN n END)::BIGINT AS parsed FROM
+    (SELECT o_orderkey % {len(_FORMS) + 1} AS k, count(*) AS n FROM orders GROUP BY 1)""")
+def c8_date_shapes(spark, sf_dir):
+    """Counts by shape, added up: every value has a shape, and all but the texts that are no date are read."""
+    shapes = cleaning.date_shapes(_as_written(spark, sf_dir), ["order_date"])
+    return shapes.groupBy("column").agg(F.sum("rows").alias("rows"), F.sum("parsed").alias("parsed"))
+
+
+@register("m4_store_codes", _values([("date", "posted"), ("revenue", "ledger")], "role, \"column\""))
+def m4_store_codes(spark, sf_dir):
+    """Four-digit codes are no dates; the column of written dates behind them is."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50 + 1000).cast("string").alias("branch"),
+                                              F.col("o_totalprice").cast("double").alias("ledger"))
+    dated = o.join(_as_written(spark, sf_dir).withColumnRenamed("order_date", "posted"), "o_orderkey").drop("o_orderkey")
+    mapping = roles.auto_map(dated.select("branch", "posted", "ledger"))
+    return _mapping_frame(spark, {r: mapping[r] for r in ("date", "revenue")})
