@@ -24,17 +24,19 @@ are counted at the end of each piece's document (see ``loss_from``).
 from __future__ import annotations
 
 import json
-import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ledgerlens.llm.common import id_and_text, raw
+from ledgerlens.llm.common import id_and_text
+from ledgerlens.llm.words import WordIds, blocks
 
 CAPACITY = 4096
 END = 2
@@ -146,28 +148,43 @@ def split_short(sequence: list[tuple], capacity: int) -> list[list[tuple]]:
     return out
 
 
-#: Tokenizers loaded by this Python worker.
-_LOADED: dict[str, WordIds] = {}
-#: Words looked up at once (a longer text is one block), and parts in one call of the library.
-WORDS_AT_ONCE, RUN = 1 << 17, 1 << 11
+#: Parts in one call of the library.
+RUN = 1 << 11
 #: Fixed value: what the last token of each word ends with in the vocabulary.
 END_OF_WORD = "</w>"
 #: Fixed value: the pattern by which this tokenizer cuts lower-cased text before it merges bytes.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: One part of lower-cased Latin-1 text.
+LATIN_PART = regex.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼-¾]|[!-/:-@\[-`{-~¡-©«¬®-±´¶-¸»¿×÷]+")
 
 
-class WordIds:
-    """Token ids of blank-free words, as little-endian 32-bit bytes.
+#: The same cut as blanks around what is no run of letters, for texts of printable Latin-1 characters and white space.
+CUT = r"'(?:s|t|re|ve|m|ll|d)|[^\s\v\pL\pN]+|\pN"
+#: Texts that need the library's own cut: other characters, or what may be a special token.
+OTHER = r"[^\t\n\v\f\r -~¡-¬®-ÿ]|<\|"
+
+
+def split_parts(texts: pa.Array) -> pa.ListArray:
+    """The parts of each text, lower-cased; texts of other than Latin-1 characters are cut at white space only."""
+    other = pc.match_substring_regex(texts, OTHER)
+    if pc.any(other).as_py():
+        plain, rest = split_parts(texts.filter(pc.invert(other))), pc.ascii_split_whitespace(texts.filter(other))
+        order = np.argsort(np.argsort(np.asarray(other), kind="stable"), kind="stable")
+        return pa.concat_arrays([plain, rest]).take(pa.array(order))
+    return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), CUT, r" \0 "))
+
+
+class NewWords:
+    """Token ids of words and parts not seen before, as little-endian 32-bit bytes.
 
     White space is dropped by this tokenizer before it looks for words, so the
-    ids of a text are those of its words, end to end.  Words of printable
-    Latin-1 characters are cut into the tokenizer's own parts; the parts that
-    are new in a block of texts go to the library in long runs with blanks
-    between them, and the ids are cut again after each token that ends a word.
-    Any other word goes to the library by itself.
+    ids of a text are those of its parts, end to end (see ``words``).  Parts go
+    to the library in long runs with blanks between them, and the ids are cut
+    again after each token that ends a word.  Words that are not known to be one
+    part go to the library by themselves.
     """
 
-    def __init__(self, path: str, limit: int = 1 << 20):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
@@ -178,55 +195,28 @@ class WordIds:
         vocabulary = self._library.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
-        self._limit, self._words, self._parts = limit, {}, {}
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _library_ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def texts(self, words: list[list[bytes]]) -> list[bytes]:
-        """The ids of each text, given its words."""
-        known, cut, whole = self._words, {}, []
-        for table in (known, self._parts):
-            if len(table) > self._limit:
-                table.clear()
-        for w in {w for ws in words for w in ws if w not in known}:
-            text = w.decode()
-            if text.isprintable() and "<|" not in text and max(text) < "\u0100" and unicodedata.is_normalized("NFC", text):
-                low = text.lower()
-                cut[w] = (low,) if low.isalpha() else PARTS.findall(low)
-            else:
-                whole.append(w)
-        new = list({p for parts in cut.values() for p in parts if p not in self._parts})
-        for i in range(0, len(new), RUN):
-            run = new[i: i + RUN]
-            ids = self._encode([" ".join(run)])[0]
+    def encode(self, words: list[str]) -> list[bytes]:
+        found = {}
+        parts = [w for w in words if LATIN_PART.fullmatch(w)]
+        for i in range(0, len(parts), RUN):
+            run = parts[i: i + RUN]
+            ids = self._library_ids([" ".join(run)])[0]
             stops = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
             data = ids.tobytes()
-            self._parts.update(zip(run, (data[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
-        parts = self._parts.__getitem__
-        known.update((w, b"".join(map(parts, ps))) for w, ps in cut.items())
-        known.update((w, self._encode([w.decode()])[0].tobytes()) for w in whole)
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+            found.update(zip(run, (data[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, (ids.tobytes() for ids in self._library_ids(rest)), strict=True))
+        return [found[w] for w in words]
 
 
+@lru_cache(maxsize=4)
 def word_ids(path: str) -> WordIds:
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
-
-
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Ids and words of the rows of a batch, some rows at a time."""
-    ids, words, held = [], [], 0
-    for doc_id, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-        ids.append(doc_id)
-        words.append((text or b"").split())
-        held += len(words[-1])
-        if held >= WORDS_AT_ONCE:
-            yield ids, words
-            ids, words, held = [], [], 0
-    if ids:
-        yield ids, words
+    """The tokenizer of this file, loaded once by a Python worker."""
+    return WordIds(NewWords(path).encode, split_parts)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_limit: int | None = None,
@@ -268,9 +258,12 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, segment
             return batch
 
         for batch in batches:
-            for doc_ids, words in _blocks(batch):
-                for doc_id, text in zip(doc_ids, ids.texts(words), strict=True):
-                    data = text + tail
+            doc_ids = batch.column(0).to_pylist()
+            for first, texts in blocks(batch.column(1)):
+                flat, bounds = ids.ids(texts)
+                block, bounds = flat.tobytes(), (4 * bounds).tolist()
+                for i in range(len(texts)):
+                    doc_id, data = doc_ids[first + i], block[bounds[i]: bounds[i + 1]] + tail
                     number += 1
                     known[number] = [doc_id, data, len(data) // 4]
                     for placed in packer.add(number, len(data) // 4, round(len(data) // 4 * loss_share)):

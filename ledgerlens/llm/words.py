@@ -41,14 +41,19 @@ def gather(table: pa.Array, picks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordIds:
-    """Ids of white-space separated words; ``encode`` gives the little-endian 32-bit ids of words it has not seen."""
+    """Ids of texts by their words.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], kept: int = KEPT):
-        self._encode, self._kept, self._known = encode, kept, {}
+    ``encode`` gives the little-endian 32-bit ids of words it has not seen;
+    ``split`` cuts texts into words whose ids, end to end, are those of the text.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], split: Callable[[pa.Array], pa.ListArray] = pc.ascii_split_whitespace,
+                 kept: int = KEPT):
+        self._encode, self._split, self._kept, self._known = encode, split, kept, {}
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's ids begin (and the last ends)."""
-        words = pc.ascii_split_whitespace(texts)
+        words = self._split(texts)
         coded = words.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
         known = self._known
