@@ -1,9 +1,13 @@
+import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import profiling, reshape, validation
+from ledgerlens.operators import profiling, ranking, reshape, validation
 from ledgerlens.sources.checks import upload_findings
 
+INF = float("inf")
+
 
 def test_quality_score_clean_beats_dirty(spark):
     clean = spark.createDataFrame([(i, i * 2) for i in range(100)], "a bigint, b bigint")
@@ -71,3 +75,50 @@ def test_split_pivot_onehot(spark):
     assert set(pv.columns) == {"g", "a b c", "d"}
     oh = reshape.one_hot(df, "g")
     assert oh.columns[-2:] == ["g_x", "g_y"]
+
+
+def between(values, p):
+    """Linear interpolation; an infinity stands at its own rank, and between two of both signs there is nothing."""
+    v = sorted(values)
+    h = (len(v) - 1) * p
+    a, b = v[int(h)], v[min(len(v) - 1, int(h) + 1)]
+    at = a if h == int(h) or a == b else a + (h - int(h)) * (b - a)
+    return None if at != at else at
+
+
+@pytest.mark.parametrize("extra", [[INF], [-INF], [INF, -INF], [INF] * 70_000, [5e-324, -1.7e308, 1.7e308, INF]])
+def test_quantiles_with_infinities(spark, extra):
+    values = [float(i % 977) for i in range(60_000)] + extra
+    df = spark.createDataFrame(pd.DataFrame({"k": [i % 2 for i in range(len(values))], "x": values}))
+    probs = [0.0, 0.25, 0.5, 0.75, 0.999999, 1.0]
+    assert list(ranking.quantiles(df, ["x"], probs).first()) == pytest.approx([between(values, p) for p in probs])
+    for r in ranking.grouped_quantiles(df, ["k"], "x", probs).collect():
+        assert list(r)[1:] == pytest.approx([between(values[r.k::2], p) for p in probs])
+
+
+def test_quantiles_of_infinities_alone(spark):
+    df = spark.createDataFrame([(INF, -INF, None), (INF, INF, None)], "a double, b double, c double")
+    assert list(ranking.quantiles(df, ["a", "b", "c"], [0.0, 0.5, 1.0]).first()) == [INF, INF, INF, -INF, None, INF, None, None, None]
+
+
+@pytest.mark.parametrize("buckets", [7, 5000])
+def test_many_buckets_equal_a_plain_window(spark, buckets):
+    """Nulls, ties of the first column and both directions; beyond a few hundred bounds a binary search finds the bucket."""
+    rows = spark.range(30_000).selectExpr(
+        "id", "CASE WHEN id % 11 = 0 THEN NULL ELSE hash(id) % 500 END AS a", "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('s', hash(id, 1) % 90) END AS b",
+        "CASE WHEN id % 5 = 0 THEN id END AS v")
+    order = [("a", "desc"), "b", "id"]
+    got = ranking.row_number(rows, order, num_partitions=buckets)
+    plain = F.row_number().over(Window.orderBy(F.col("a").desc_nulls_last(), F.col("b").asc_nulls_first(), "id"))
+    assert got.withColumn("want", plain).where("rn != want").count() == 0 and got.count() == 30_000
+    assert ranking.bucketed(rows, order, buckets).select("_rk_bucket").distinct().count() > min(buckets, 4000) * 0.8
+    filled = ranking.fill(rows, ["v"], ["a", "b", "id"], num_partitions=buckets)
+    w = Window.orderBy(F.col("a").asc_nulls_first(), F.col("b").asc_nulls_first(), "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = rows.withColumn("v", F.last("v", ignorenulls=True).over(w))
+    assert filled.exceptAll(want).isEmpty() and filled.count() == 30_000
+
+
+def test_buckets_follow_the_row_count(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "_ROWS", 50)
+    rows = spark.range(20_000).withColumn("k", F.xxhash64("id"))
+    assert 300 <= ranking.bucketed(rows, ["k"]).select("_rk_bucket").distinct().count() <= 400
