@@ -7,8 +7,8 @@ instead of count_distinct, so it adds no Expand and no extra shuffle.
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ledgerlens.functions.exprs import np_round, is_numeric_type, is_temporal_type, is_text_type, kurt_corrected, skew_corrected
 from ledgerlens.operators import ranking
 from ledgerlens.operators._common import attach, dtypes, empty, q
+from ledgerlens.session import cut_lineage
 
 PROFILE_SCHEMA = ("column STRING, type STRING, non_null BIGINT, nulls BIGINT, null_pct DOUBLE, unique BIGINT, "
                   "unique_pct DOUBLE, min DOUBLE, mean DOUBLE, max DOUBLE, std DOUBLE, sample STRING")
@@ -236,28 +237,60 @@ def numeric_stats(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame) -> DataFrame:
-    """Q5/H6: Pearson r for every ordered pair (pairwise complete), rounded to 3 (booleans excluded)."""
+    """Q5/H6: Pearson r for every ordered pair (pairwise complete), rounded to 3 (booleans excluded).
+
+    Runs one pass when called, however many columns there are: masked Gram matrices per batch, summed.
+    For each pair the sums run over the rows that hold both columns.  Values are taken relative to one of their column's
+    own, so that large values do not cancel.  A task keeps four matrices of columns by columns and hands on a row per
+    column; those are added up by column.
+    """
     cols = number_columns(df)
     if len(cols) < 2:
         return empty(df.sparkSession, "feature_a STRING, feature_b STRING, correlation DOUBLE")
-    types = dtypes(df)
-    pairs = list(combinations(range(len(cols)), 2))
-    wide = df.agg(*[F.corr(_as_double(cols[a], types[cols[a]]), _as_double(cols[b], types[cols[b]])).alias(f"r{a}_{b}")
-                    for a, b in pairs],
-                  *[F.count(_as_double(c, types[c])).alias(f"n{i}") for i, c in enumerate(cols)],
-                  *[F.stddev_samp(_as_double(c, types[c])).alias(f"s{i}") for i, c in enumerate(cols)])
-    entries = []
-    for a in range(len(cols)):
-        for b in range(len(cols)):
-            if a == b:
-                # a column with itself: 1 unless it has no spread
-                val = F.when((F.col(f"n{a}") > 1) & (F.col(f"s{a}") > 0), F.lit(1.0))
-            else:
-                lo, hi = min(a, b), max(a, b)
-                val = F.col(f"r{lo}_{hi}")
-            entries.append(F.struct(F.lit(cols[a]).alias("feature_a"), F.lit(cols[b]).alias("feature_b"),
-                                    np_round(F.nanvl(val, F.lit(None).cast("double")), 3).alias("correlation")))
-    return wide.select(F.inline(F.array(*entries)))
+    types, size = dtypes(df), len(cols)
+    values = df.select(*[_as_double(c, types[c]).alias(f"x{i}") for i, c in enumerate(cols)])
+
+    def any_of(rows, which):
+        return rows.agg(*[F.first(f"x{i}", ignorenulls=True).alias(f"x{i}") for i in which]).first()
+
+    shift = np.array([np.nan if v is None else v for v in any_of(values.limit(1000), range(size))])
+    if np.isnan(shift).any():  # nothing near the beginning
+        late = np.flatnonzero(np.isnan(shift)).tolist()
+        shift[late] = [np.nan if v is None else v for v in any_of(values, late)]
+    shift[~np.isfinite(shift)] = 0.0
+
+    def gram(batches):
+        sums = np.zeros((size, 4, size))
+        for batch in batches:
+            x = np.column_stack([np.asarray(c.fill_null(float("nan")), float) for c in batch.columns]) - shift
+            there = ~np.isnan(x)
+            x[~there] = 0.0
+            mask = there.astype(float)
+            with np.errstate(invalid="ignore"):
+                for k, part in enumerate((mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x)):
+                    sums[:, k] += part  # of a row's values where the other column is there: how many, sum, squares; products
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array([m.tobytes() for m in sums], pa.binary())],
+                                         names=["a", "sums"])
+
+    def added(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for a, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[a] = total.get(a, 0.0) + np.frombuffer(sums).reshape(4, size)
+        for a, m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([a] * size, pa.int32()), pa.array(range(size), pa.int32()), *map(pa.array, m)],
+                                             names=["a", "b", "n", "s", "ss", "p"])
+
+    cells = cut_lineage(values.mapInArrow(gram, "a int, sums binary").repartition("a")
+                        .mapInArrow(added, "a int, b int, n double, s double, ss double, p double"))
+    x, y = cells.alias("x"), cells.select("a", "b", "s", "ss").alias("y")
+    spread = [F.col(f"{t}.ss") - F.try_divide(F.col(f"{t}.s") * F.col(f"{t}.s"), F.col("x.n")) for t in "xy"]
+    known = (F.col("x.n") > 1) & (spread[0] > 1e-13 * F.col("x.ss")) & (spread[1] > 1e-13 * F.col("y.ss"))  # more than rounding
+    r = F.when(known, F.try_divide(F.col("x.p") - F.try_divide(F.col("x.s") * F.col("y.s"), F.col("x.n")), F.sqrt(spread[0] * spread[1])))
+    r = F.when(F.col("x.a") == F.col("x.b"), F.when(known, F.lit(1.0))).otherwise(F.nanvl(r, F.lit(None)))
+    names = F.array(*map(F.lit, cols))
+    return x.join(y, (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).select(
+        F.get(names, F.col("x.a")).alias("feature_a"), F.get(names, F.col("x.b")).alias("feature_b"), np_round(r, 3).alias("correlation"))
 
 
 def strong_correlations(df: DataFrame, threshold: float = 0.5) -> DataFrame:

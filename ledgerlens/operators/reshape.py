@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,11 @@ from ledgerlens.operators import ranking
 from ledgerlens.operators._common import AGG_FUNCS, agg_expr, attach, dtypes, q
 from ledgerlens.operators.cleaning import _as_text
 from ledgerlens.operators.profiling import _present
+from ledgerlens.session import cut_lineage
+
+#: Rows of a key (both sides) below which it is not worth salting.
+LEAST_HOT = 100_000
+
 
 def with_medians(out: DataFrame, rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """``out`` (one row per ``keys``) with the exact median of ``value`` over ``rows``."""
@@ -75,7 +80,8 @@ def merge_datasets(left: DataFrame, right: DataFrame, on: Sequence[str] | str, h
     """Equi-join on shared columns; null keys match null keys; clashes get _x/_y.
 
     ``<=>`` stays an equi-join (Spark plans it on (coalesce(k), isnull(k)))
-    so Catalyst/AQE still choose broadcast or sort-merge and split skewed keys.
+    so Catalyst/AQE still choose broadcast or sort-merge and split skewed keys; a full outer
+    join salts its hot keys itself.
     As in pandas, n null keys on one side and m on the other give n * m rows.
     """
     keys = [on] if isinstance(on, str) else list(on)
@@ -92,9 +98,7 @@ def merge_datasets(left: DataFrame, right: DataFrame, on: Sequence[str] | str, h
         e = F.col(f"_lk{i}").eqNullSafe(F.col(f"_rk{i}"))
         cond = e if cond is None else cond & e
     if how == "full_outer":
-        # a full outer join is not split on a hot key; a left join and an anti join are
-        rest = r.join(l.select(*[f"_lk{i}" for i in range(len(keys))]), cond, "left_anti")
-        j = l.join(r, cond, "left").unionByName(rest, allowMissingColumns=True)
+        j = _salted_outer(l, r, len(keys), cond)
     else:
         j = l.join(r, cond, how)
     if how == "right":
@@ -112,6 +116,40 @@ def merge_datasets(left: DataFrame, right: DataFrame, on: Sequence[str] | str, h
     return j.select(*out_cols)
 
 
+def _salted_outer(l: DataFrame, r: DataFrame, n_keys: int, cond: Column) -> DataFrame:
+    """Full outer join on (``_lk*`` <=> ``_rk*``); adaptive execution does not split such a join, so hot keys are salted.
+
+    One count over the keys of both sides names the keys with more than a task's share of the rows (fewer than four per
+    task; stored, so that its size is known).  Left rows of such a key are dealt to as many salts as its rows fill shares,
+    by a hash of the row; right rows go to each salt.  A copy of a right row that meets no left row in its salt is dropped
+    where the key has left rows, as it meets them in another.
+    """
+    def names(prefix):
+        return [f"{prefix}{i}" for i in range(n_keys)]
+
+    both = (l.select(*[F.col(a).alias(k) for a, k in zip(names("_lk"), names("_hk"), strict=True)], F.lit(1).alias("l"), F.lit(0).alias("r"))
+            .unionByName(r.select(*[F.col(a).alias(k) for a, k in zip(names("_rk"), names("_hk"), strict=True)], F.lit(0).alias("l"), F.lit(1).alias("r"))))
+    counts = cut_lineage(both.groupBy(*names("_hk")).agg(F.sum("l").alias("_hl"), F.sum(F.col("l") + F.col("r")).alias("_hn")))
+    tasks = max(1, int(l.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    share = F.ceil(F.col("_all") / (4 * tasks))
+    hot = cut_lineage(attach(counts, counts.agg(F.sum("_hn").alias("_all"))).where(F.col("_hn") > F.greatest(share, F.lit(LEAST_HOT)))
+                      .select(*names("_hk"), F.ceil(F.col("_hn") / share).cast("int").alias("_salts"), (F.col("_hl") > 0).alias("_meets")))
+
+    def with_hot(side, prefix):
+        on = F.lit(True)
+        for a, k in zip(names(prefix), names("_hk"), strict=True):
+            on = on & F.col(a).eqNullSafe(F.col(k))
+        return side.join(F.broadcast(hot), on, "left")
+
+    salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*[F.col(q(c)) for c in l.columns]), F.col("_salts")).cast("int"))
+    left = with_hot(l, "_lk").withColumn("_ls", salt).withColumn("_there", F.lit(True)).drop(*names("_hk"), "_salts", "_meets")
+    copies = F.when(F.col("_meets"), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
+    right = (with_hot(r, "_rk").withColumn("_rs", F.explode(copies)).withColumn("_must", F.coalesce("_meets", F.lit(False)))
+             .drop(*names("_hk"), "_salts", "_meets"))
+    joined = left.join(right, cond & (F.col("_ls") == F.col("_rs")), "full_outer")
+    return joined.where(F.col("_there").isNotNull() | ~F.col("_must")).drop("_ls", "_rs", "_there", "_must")
+
+
 def split_column(df: DataFrame, column: str, delimiter: str = " ", new_names: Sequence[str] | None = None,
                  width: int | None = None) -> DataFrame:
     """Split text into ``<col>_1..n`` (width = most parts, measured unless given)."""

@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Window
@@ -122,3 +123,45 @@ def test_buckets_follow_the_row_count(spark, monkeypatch):
     monkeypatch.setattr(ranking, "_ROWS", 50)
     rows = spark.range(20_000).withColumn("k", F.xxhash64("id"))
     assert 300 <= ranking.bucketed(rows, ["k"]).select("_rk_bucket").distinct().count() <= 400
+
+
+def test_correlations_of_many_columns(spark, monkeypatch):
+    """Gaps, columns without spread, large offsets; against pandas, and by both ways on the same few columns."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 60)) @ rng.normal(size=(60, 300)) + 1e6 * rng.normal(size=300)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 5], x[:, 6] = 7.5, np.nan
+    x[1:, 8] = np.nan
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(300)])
+    got = profiling.correlation_matrix(spark.createDataFrame(pdf).repartition(5))
+    found = got.toPandas().pivot(index="feature_a", columns="feature_b", values="correlation").loc[pdf.columns, pdf.columns].to_numpy()
+    want = pdf.corr().to_numpy()
+    want[[5, 6, 8]], want[:, [5, 6, 8]] = np.nan, np.nan
+    assert np.array_equal(np.isnan(found), np.isnan(want)) and np.nanmax(np.abs(found - want)) < 6e-4
+    few = spark.createDataFrame(pdf.iloc[:, :9])
+    strong = {(f"c{i}", f"c{j}") for i in range(9) for j in range(i + 1, 9) if abs(np.round(want[i, j], 3)) >= 0.1}
+    assert {(r.feature_a, r.feature_b) for r in profiling.strong_correlations(few, 0.1).collect()} == strong and strong
+
+
+def test_correlations_of_late_values_with_a_large_offset(spark):
+    rows = [(None, None, 1.0)] * 1500 + [(1e9 + i % 3, 2e9 - i % 3, 1.0) for i in range(500)]
+    got = {(r[0], r[1]): r[2] for r in profiling.correlation_matrix(spark.createDataFrame(rows, "a double, b double, c double")).collect()}
+    assert got["a", "b"] == -1.0 and got["a", "a"] == 1.0 and got["c", "c"] is None and got["a", "c"] is None
+
+
+@pytest.mark.parametrize("least", [20, 10**6])
+def test_full_outer_join_with_hot_keys(spark, monkeypatch, least):
+    """Hot keys on both sides, on one side only, and null; two key columns; against pandas."""
+    monkeypatch.setattr(reshape, "LEAST_HOT", least)
+    left = pd.DataFrame({"k": [1] * 400 + [2] * 300 + [None] * 90 + list(range(10, 210)), "g": ["a"] * 990, "v": range(990)}).astype({"k": "Int64"})
+    right = pd.DataFrame({"k": [1, 1, 3] + [4] * 500 + [None] * 3 + list(range(150, 260)), "g": ["a"] * 616, "v": range(616)}).astype({"k": "Int64"})
+    def plain_rows(d):
+        return [tuple(None if pd.isna(x) else x if isinstance(x, str) else int(x) for x in r) for r in d.itertuples(index=False)]
+
+    frames = [spark.createDataFrame(plain_rows(d), "k long, g string, v long") for d in (left, right)]
+    out = reshape.merge_datasets(*frames, ["k", "g"], "outer")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") == 1
+    want = left.merge(right, on=["k", "g"], how="outer")
+    got = [tuple(r) for r in out.select("k", "g", "v_x", "v_y").collect()]
+    assert sorted(got, key=str) == sorted(plain_rows(want), key=str)
