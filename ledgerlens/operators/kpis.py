@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import sum0
 from ledgerlens.operators._common import AGG_FUNCS, agg_expr, empty, num, q, ts
@@ -34,6 +35,24 @@ def period_over_period(df: DataFrame, mapping: dict, role: str = "revenue") -> D
     return _monthly_delta(df, date_c, num(df, val_c), "delta_pct")
 
 
+def _no_slot() -> tuple[Column, Column]:
+    return F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("bits")
+
+
+def _slot(df: DataFrame, c: str) -> tuple[Column, Column, Column]:
+    """(number, text, bits): where a value is counted among different ones.
+
+    64 neighbouring whole numbers share a slot, each with a bit of its own, so
+    dense ids take a 64th of the rows; any other value is a slot by itself.
+    """
+    value, kind = F.col(q(c)), df.schema[c].dataType
+    if isinstance(kind, T.IntegralType):
+        whole = value.cast("long")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), whole.bitwiseAND(63).cast("int"))
+        return F.shiftright(whole, 6).alias("number"), _no_slot()[0], bit.alias("bits")
+    return F.lit(None).cast("long").alias("number"), value.cast("string").alias("text"), _no_slot()[1]
+
+
 def compute_core_kpis(df: DataFrame, mapping: dict) -> DataFrame:
     """K1: the headline KPI rows (seq, name, value, delta_pct) from one scan of the data."""
     rev_c, profit_c, cost_c = mapping.get("revenue"), mapping.get("profit"), mapping.get("cost")
@@ -69,20 +88,19 @@ def compute_core_kpis(df: DataFrame, mapping: dict) -> DataFrame:
         metrics["units"] = num(df, qty_c)
         rows.append(("Units Sold", "units", None))
 
-    # one scan, one shuffle: each row counts once for its month (with its sums), its order and its customer
-    nothing = {m: F.lit(None).cast("double").alias(m) for m in metrics}
-    month = F.date_trunc("month", ts(df, date_c)).cast("string") if date_c else F.lit(None).cast("string")
-    records = [F.struct(F.lit(0).alias("kind"), month.alias("key"), *[v.alias(m) for m, v in metrics.items()])]
-    for kind, c in ((1, order_c), (2, cust_c)):
-        if c:
-            key = F.col(q(c)).cast("string")
-            records.append(F.when(key.isNotNull(), F.struct(F.lit(kind).alias("kind"), key.alias("key"), *nothing.values())))
-    parts = (df.select(F.explode(F.array_compact(F.array(*records))).alias("r")).select("r.*")
-             .groupBy("kind", "key").agg(*[F.sum(m).alias(m) for m in metrics]))
-    by_month = F.struct("key", *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in metrics])
-    months = F.sort_array(F.collect_list(F.when((F.col("kind") == 0) & F.col("key").isNotNull(), by_month)), asc=False)
-    base = parts.agg(*[sum0(F.col(m)).alias(m) for m in metrics], F.count_if(F.col("kind") == 1).cast("double").alias("orders"),
-                     F.count_if(F.col("kind") == 2).cast("double").alias("customers"), months.alias("months"))
+    # one scan, one shuffle: each row counts for its month, with its sums, and for the slots of its order and customer
+    nothing = [F.lit(None).cast("double").alias(m) for m in metrics]
+    when = ts(df, date_c) if date_c else F.lit(None).cast("timestamp")
+    month = (F.year(when) * 12 + F.month(when)).cast("long")
+    slots = [F.struct(F.lit(0).alias("kind"), month.alias("number"), *_no_slot(), *[v.alias(m) for m, v in metrics.items()])]
+    slots += [F.struct(F.lit(kind).alias("kind"), *_slot(df, c), *nothing) for kind, c in ((1, order_c), (2, cust_c)) if c]
+    parts = (df.select(F.inline(F.array(*slots))).where("kind = 0 OR number IS NOT NULL OR text IS NOT NULL")
+             .groupBy("kind", "number", "text").agg(F.bit_or("bits").alias("bits"), *[F.sum(m).alias(m) for m in metrics]))
+    by_month = F.struct("number", *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in metrics])
+    months = F.sort_array(F.collect_list(F.when((F.col("kind") == 0) & F.col("number").isNotNull(), by_month)), asc=False)
+    different = [F.coalesce(F.sum(F.when(F.col("kind") == kind, F.coalesce(F.bit_count("bits"), F.lit(1)))), F.lit(0)).cast("double").alias(name)
+                 for kind, name in ((1, "orders"), (2, "customers"))]
+    base = parts.agg(*[sum0(F.col(m)).alias(m) for m in metrics], *different, months.alias("months"))
     if rev_c:
         base = base.withColumn("rev_mean", F.try_divide("rev", "rev_n"))
         if date_c:
