@@ -246,3 +246,54 @@ def f4_forecast_per_category(spark, sf_dir):
 @register("f4_metrics_per_category", _ridge_sql(EVENTS_FACT_SQL, "e", "date", "day", 7, "category", True))
 def f4_metrics_per_category(spark, sf_dir):
     return rounded(forecast.forecast_many(events_fact(spark, sf_dir), EVENTS_ROLES, ["category"], 7, "D")[1].drop("status"))
+
+
+def _averages_sql(src: str, alias: str, date_col: str, unit: str, periods: int, key: str, metrics: bool) -> str:
+    """Moving average per series: each has its own window."""
+    body = f"""WITH {alias} AS ({src})
+, g AS (SELECT {key}, CAST(date_trunc('{unit}', {date_col}) AS TIMESTAMP) AS date, coalesce(sum(revenue), 0) AS value
+        FROM {alias} WHERE {date_col} IS NOT NULL GROUP BY 1, 2)
+, sp AS (SELECT {key}, unnest(generate_series(min(date), max(date), INTERVAL 1 {unit})) AS date FROM g GROUP BY {key})
+, s0 AS (SELECT sp.{key}, sp.date, coalesce(g.value, 0) AS value, row_number() OVER (PARTITION BY sp.{key} ORDER BY sp.date) - 1 AS t,
+         count(*) OVER (PARTITION BY sp.{key}) AS n FROM sp LEFT JOIN g ON sp.date = g.date AND sp.{key} = g.{key})
+, s AS (SELECT *, greatest(3, least(14, n // 4)) AS w, least({periods}, greatest(1, n // 5)) AS hold FROM s0 WHERE n >= 10)
+, r AS (SELECT a.{key}, a.t, a.date, a.value, a.n, a.w, a.hold, CASE WHEN count(*) >= a.w THEN avg(b.value) END AS roll
+        FROM s a JOIN s b ON a.{key} = b.{key} AND b.t BETWEEN a.t - a.w + 1 AND a.t GROUP BY a.{key}, a.t, a.date, a.value, a.n, a.w, a.hold)
+, m AS (SELECT {key}, avg(CASE WHEN t >= n - w THEN value END) AS tail, avg(CASE WHEN t < w THEN value END) AS head,
+               coalesce(stddev_samp(CASE WHEN t >= n - w THEN value END), 0) AS sd, max(date) AS last, max(n) AS n, sum(value) AS historical_total,
+               avg(CASE WHEN t >= n - hold THEN abs(value - roll) END) AS mae,
+               avg(CASE WHEN t >= n - hold AND value <> 0 THEN abs((value - roll) / value) END) * 100 AS mape_pct FROM r GROUP BY {key})
+, fu AS (SELECT m.*, last + INTERVAL 1 {unit} * i AS date, greatest(0, tail + (tail - head) / n * i) AS fc
+         FROM m, (SELECT unnest(generate_series(1, {periods})) AS i))
+"""
+    if metrics:
+        return body + f"""SELECT {key}, {sig('max(mae)')} AS mae, {sig('max(mape_pct)')} AS mape_pct, {sig('max(historical_total)')} AS historical_total,
+       {sig('sum(fc)')} AS forecast_total, {sig('(avg(fc) - max(tail)) / greatest(max(tail), 1e-9) * 100')} AS expected_growth_pct FROM fu GROUP BY {key}"""
+    return body + f"""SELECT {key}, date, {sig('value')} AS actual, CAST(NULL AS DOUBLE) AS forecast, CAST(NULL AS DOUBLE) AS lower,
+       CAST(NULL AS DOUBLE) AS upper FROM s
+UNION ALL SELECT {key}, date, NULL, {sig('fc')}, {sig('greatest(0, fc - 1.28 * sd)')}, {sig('fc + 1.28 * sd')} FROM fu"""
+
+
+@register("f4_average_per_category", _averages_sql(EVENTS_FACT_SQL, "e", "date", "day", 7, "category", False))
+def f4_average_per_category(spark, sf_dir):
+    """Many series at once: one moving average per event type."""
+    return rounded(forecast.forecast_many(events_fact(spark, sf_dir), EVENTS_ROLES, ["category"], 7, "D", "moving_average")[0])
+
+
+@register("f4_average_metrics_per_region", _averages_sql(ORDERS_FACT_SQL, "f", "order_date", "month", 6, "region", True))
+def f4_average_metrics_per_region(spark, sf_dir):
+    frame = forecast.forecast_many(orders_fact(spark, sf_dir), FACT_ROLES, ["region"], 6, "M", "moving_average")[1]
+    return rounded(frame.drop("status"))
+
+
+@register("f4_forest_per_category", f"""WITH e AS ({EVENTS_FACT_SQL})
+SELECT category, CAST(date_diff('day', min(date), max(date)) + 1 AS BIGINT) AS periods, 7 AS ahead, true AS within, true AS ordered, true AS scored
+FROM e GROUP BY category""")
+def f4_forest_per_category(spark, sf_dir):
+    """A forest per event type: its forecasts are means of history, so they lie within it; bands are ordered; errors exist."""
+    frame, metrics = forecast.forecast_many(events_fact(spark, sf_dir), EVENTS_ROLES, ["category"], 7, "D", "random_forest")
+    seen = frame.groupBy("category").agg(
+        F.count("actual").alias("periods"), F.count("forecast").cast("int").alias("ahead"),
+        ((F.min("forecast") >= F.min("actual")) & (F.max("forecast") <= F.max("actual"))).alias("within"),
+        F.bool_and(F.col("forecast").isNull() | ((F.col("lower") <= F.col("forecast")) & (F.col("forecast") <= F.col("upper")))).alias("ordered"))
+    return seen.join(metrics.select("category", (F.col("mae").isNotNull() & (F.col("status") == "ok")).alias("scored")), "category")

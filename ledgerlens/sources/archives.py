@@ -55,7 +55,7 @@ def _members(uri: str) -> list[Member]:
         with _open(uri) as raw, zipfile.ZipFile(raw) as zf:
             return [Member(uri, i.filename) for i in zf.infolist() if not i.is_dir() and not i.filename.startswith("__MACOSX")
                     and PurePosixPath(i.filename).suffix.lower() in (".csv", ".json")]
-    except (zipfile.BadZipFile, OSError) as broken:
+    except (zipfile.BadZipFile, OSError, ValueError) as broken:
         return [Member(uri, None, str(broken))]
 
 

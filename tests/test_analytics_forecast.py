@@ -112,7 +112,43 @@ def test_many_series_report_short_ones(spark):
     ahead = [r.forecast for r in frame.where("forecast IS NOT NULL").orderBy("date").collect()]
     assert len(ahead) == 5 and all(abs(f - (40 + i)) < 0.5 for i, f in enumerate(ahead))
     with pytest.raises(ValueError):
-        forecast.forecast_many(df, {"date": "d", "revenue": "v"}, ["k"], 5, method="random_forest")
+        forecast.forecast_many(df, {"date": "d", "revenue": "v"}, ["k"], 5, method="arima")
+
+
+def test_forests_of_many_series(spark):
+    """A step in time is found by every series' forest; short series, null keys and the seed."""
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(days=i), float(100 * (i >= 60) + 5 * k)) for k in (1, 2) for i in range(90)]
+    rows += [(None, dt.datetime(2024, 1, 1) + dt.timedelta(days=i), 7.0) for i in range(30)] + [(9, dt.datetime(2024, 1, 1), 1.0)]
+    df = spark.createDataFrame(rows, "k int, d timestamp, v double")
+    def run(seed=42):
+        frame, metrics = forecast.forecast_many(df, {"date": "d", "revenue": "v"}, ["k"], 4, method="random_forest", num_trees=30, seed=seed)
+        return {(r.k, r.date): r.forecast for r in frame.where("forecast IS NOT NULL").collect()}, {r.k: r.status for r in metrics.collect()}
+    ahead, status = run()
+    assert status == {1: "ok", 2: "ok", None: "ok", 9: "too short"} and len(ahead) == 12
+    for (k, _), f in ahead.items():
+        assert f == pytest.approx(7.0 if k is None else 100 + 5 * k, abs=1.5)
+    assert run()[0] == ahead
+
+
+def test_growth_equals_best_cuts_found_by_trial():
+    """One tree of depth 1 and 2 against all cuts tried one by one."""
+    from ledgerlens.operators import forests
+    rng = np.random.default_rng(2)
+    bins, y, w = rng.integers(0, 6, (40, 3)), rng.normal(size=40), rng.integers(0, 3, (1, 40)).astype(float)
+
+    def fit(rows, depth):
+        def cost(r):
+            return 0.0 if not w[0, r].sum() else -((w[0, r] * y[r]).sum() ** 2) / w[0, r].sum()
+        cuts = [(cost(rows[bins[rows, f] <= b]) + cost(rows[bins[rows, f] > b]), f, b) for f in range(3) for b in range(5)
+                if w[0, rows[bins[rows, f] <= b]].sum() and w[0, rows[bins[rows, f] > b]].sum()]
+        if not depth or not cuts or min(cuts)[0] >= cost(rows) - 1e-9:
+            return {int(i): (w[0, rows] * y[rows]).sum() / w[0, rows].sum() for i in rows}
+        _, f, b = min(cuts)
+        return fit(rows[bins[rows, f] <= b], depth - 1) | fit(rows[bins[rows, f] > b], depth - 1)
+
+    for depth in (1, 2, 3):
+        want = fit(np.arange(40), depth)
+        assert forests.grow(bins, y, w, depth) == pytest.approx([want[i] for i in range(40)])
 
 
 def test_json_first_list_key_and_csv(spark, tmpdir_path):
