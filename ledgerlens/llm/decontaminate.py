@@ -1,15 +1,17 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
 1. Words are lower-cased ``[^\\x20\\x09-\\x0D]+``; a shingle is ``shingle`` words
-   (a shorter text: the whole of it).  A window that shares no shingle with any
-   item has similarity 0 to all, so windows are only laid where a shingle of the
-   benchmark occurs: at the start that lines it up with its place in the item,
-   as long as that item.
+   (a shorter text: the whole of it).  A window has as many words as the item, so
+   its similarity follows from the shingles it shares.  The best window can be
+   slid to the right until it begins with a shared shingle or ends with the
+   document, without losing any: those are the starts, and a start is kept only
+   if its window holds as many shared shingles as the similarity needs.  Items of
+   fewer words than a shingle are looked for as runs of just those words.
 2. Every such window gets a 64-bit SimHash over its shingles, repeats included.
 3. Multi-index search: fingerprints are four blocks of 16 bits.  Within a total
-   radius r some block is at most r // 4 bits off, so every item is entered under
-   all block values that far away, and each window looks up its four block
-   values among the items of its size.  No fingerprint within the radius is lost.
+   radius r some block is at most r // 4 bits off.  Half of those bits are turned
+   on the items' side and half on the windows', so the two meet.  No fingerprint
+   within the radius is lost.
 4. Fingerprints of similar windows can lie outside the radius.  Such pairs are
    found by the key shingles of an item: a window as similar as asked misses at
    most the share 1 - similarity of the item's shingles, so it holds at least one
@@ -23,8 +25,9 @@ blocks of a bounded number of rows; more items make more blocks, not larger ones
 
 Defined results: a null or empty document or item matches nothing; a null id
 cannot be reported; rows that repeat a doc_id are reported once, with the best
-window; an empty table gives an empty result; of equal windows the first is
-reported.
+window; an empty table gives an empty result; of equal windows that begin with
+one of the item's shingles, or end the document, the first is reported; a
+document shorter than the item is one window.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from ledgerlens.llm.common import id_and_text, stored
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Of the SimHash search; pairs outside of it are found by key shingles.
-RADIUS = 15
+RADIUS = 19
 #: Benchmark shingles broadcast at once (about 32 bytes a row).
 BLOCK_ROWS = 200_000
 BLOCK_BITS = 16
@@ -118,41 +121,58 @@ def key_shingles(items: DataFrame, similarity: float) -> DataFrame:
             .where(F.col("before") <= F.col("all") * F.lit(1 - similarity) + 1e-6).select("item_id", "size", "h").distinct())
 
 
-def windows(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, start, size, sh): the item-sized windows of the documents that share a shingle with the benchmark."""
-    hashed = (docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-              .select("doc_id", shingles_of(words_of(F.col("text")), shingle).alias("sh")))
-    known = items.select("size", F.posexplode("sh").alias("at", "h")).distinct()
-    found = (in_blocks(hashed.select("doc_id", F.posexplode("sh").alias("p", "h")), known, ["h"], block_rows)
-             .select("doc_id", F.greatest(F.col("p") - F.col("at"), F.lit(0)).alias("start"), "size"))
-    starts = (found.distinct().groupBy("doc_id")
-              .agg(F.collect_list(F.struct("start", "size")).alias("at")))
-    cut = F.expr(f"slice(sh, x.start + 1, greatest(x.size - {shingle - 1}, 1))")
-    return (hashed.join(starts, "doc_id").select("doc_id", "sh", F.explode("at").alias("x"))
-            .select("doc_id", "x.start", "x.size", cut.alias("sh")))
+def windows(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY,
+            block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, start, size, sh, last): the item-sized windows that share enough shingles with items of their size."""
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    hashed = texts.select("doc_id", shingles_of(words_of(F.col("text")), shingle).alias("sh"))
+    known = items.where(F.col("size") >= shingle).select("size", F.explode("sh").alias("h")).distinct()
+    hits = in_blocks(hashed.select("doc_id", F.size("sh").alias("n"), F.posexplode("sh").alias("p", "h")), known, ["h"], block_rows)
+    held = (hits.groupBy("doc_id", "n", "size").agg(F.sort_array(F.collect_set("p")).alias("ps"))  # of one document and size
+            .withColumn("m", F.col("size") - (shingle - 1))
+            .withColumn("c", F.expr(f"greatest(1, cast(ceil({similarity} * (least(n, m) + m) / {1 + similarity} - 1e-9) AS int))")))
+    inner = "filter(sequence(0, size(ps) - 1), i -> ps[i] <= n - m AND get(ps, i + c - 1) < ps[i] + m)"
+    at_end = "if(size(filter(ps, x -> x >= n - m)) >= c, array(greatest(n - m, 0)), cast(array() AS array<int>))"
+    starts = held.select("doc_id", "size", F.explode(F.expr(f"array_union(transform({inner}, i -> ps[i]), {at_end})")).alias("start"))
+    starts = stored(starts.distinct(), "decontaminate-starts")  # few; their size decides how they are joined
+    cut = F.expr(f"slice(sh, start + 1, greatest(size - {shingle - 1}, 1))")
+    found = (texts.join(starts, "doc_id").select("doc_id", "start", "size", shingles_of(words_of(F.col("text")), shingle).alias("sh"))
+             .select("doc_id", "start", "size", cut.alias("sh"), (F.size("sh") <= F.col("start") + F.col("size") - (shingle - 1)).alias("last")))
+    short = items.where(F.col("size") < shingle)
+    for size in sorted(r["size"] for r in short.select("size").distinct().collect()):  # fewer than ``shingle`` sizes
+        words = F.transform(F.array(words_of(F.col("text"))), lambda w: F.when(F.size(w) >= size, F.transform(
+            F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))))
+        runs = texts.select("doc_id", F.posexplode(F.element_at(words, 1)).alias("start", "h"))
+        named = short.where(F.col("size") == size).select(F.element_at("sh", 1).alias("h")).distinct()
+        first = in_blocks(runs, named, ["h"], block_rows).groupBy("doc_id", "h").agg(F.min("start").alias("start"))
+        found = found.unionByName(first.select("doc_id", "start", F.lit(size).alias("size"), F.array("h").alias("sh"), F.lit(False).alias("last")))
+    return found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS,
           id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, item_id, similarity, start, n_words): the best window of each document for each item it holds."""
     items = stored(item_shingles(benchmark, shingle, item_col), "decontaminate-items")
-    laid = stored(windows(id_and_text(docs, id_col, text_col), items, shingle, block_rows)
+    laid = stored(windows(id_and_text(docs, id_col, text_col), items, shingle, similarity, block_rows)
                   .dropDuplicates(["doc_id", "start", "size", "sh"]).withColumn("win", F.xxhash64("doc_id", "start", "size", "sh")),
                   "decontaminate-windows")
     off = radius // 4
-    masks = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= off]
+    turned = [F.explode(F.lit([m for m in range(1 << BLOCK_BITS) if m.bit_count() <= bits]).cast("array<bigint>"))
+              for bits in (off - off // 2, off // 2)]
     entries = (with_fingerprint(items, ["item_id", "size"]).withColumn("x", F.explode(block_values("fp")))
                .select("item_id", "size", F.col("fp").alias("item_fp"), "x.block", F.col("x.value").alias("exact")))
-    near = (entries.withColumn("mask", F.explode(F.lit(masks).cast("array<bigint>")))
+    near = (entries.withColumn("mask", turned[0])
             .select("item_id", "size", "item_fp", "block", F.col("exact").bitwiseXOR(F.col("mask")).alias("value")))
     looked = (with_fingerprint(laid, ["doc_id", "start", "size", "win"]).withColumn("x", F.explode(block_values("fp")))
-              .select("doc_id", "start", "size", "win", "fp", "x.block", "x.value"))
+              .withColumn("mask", turned[1])
+              .select("doc_id", "size", "win", "fp", "x.block", F.col("x.value").bitwiseXOR(F.col("mask")).alias("value")))
     pairs = (looked.join(near, ["size", "block", "value"])
              .where(F.expr(f"bit_count(fp ^ item_fp) <= {int(radius)}")).select("doc_id", "win", "item_id"))
     keys = stored(key_shingles(items, similarity), "decontaminate-keys")
     held = in_blocks(laid.select("doc_id", "win", "size", F.explode(F.array_distinct("sh")).alias("h")), keys, ["size", "h"], block_rows)
     pairs = pairs.unionByName(held.select("doc_id", "win", "item_id")).distinct()
     checked = (pairs.join(laid, ["doc_id", "win"]).join(items.select("item_id", F.col("sh").alias("item_sh")), "item_id")
+               .where("last OR array_contains(item_sh, sh[0])")
                .withColumn("similarity", bag_similarity("sh", "item_sh")).where(F.col("similarity") >= similarity))
     return (checked.groupBy("doc_id", "item_id")
             .agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size")).alias("b"))
@@ -166,5 +186,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     key = F.when(F.col(id_col).cast("long").isNotNull(), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
     marked = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
-    bad = leaks(marked, benchmark, **options).select(F.col("doc_id").alias("__leaks")).distinct()
-    return docs.withColumn("__key", key).join(bad, F.col("__key") == F.col("__leaks"), "left_anti").select(docs.columns)
+    bad = leaks(marked, benchmark, **options).select(F.col("doc_id").alias("leak")).distinct()
+    rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"))  # no name of the table can clash
+    return rows.join(bad, F.col("key") == F.col("leak"), "left_anti").select("row.*")
