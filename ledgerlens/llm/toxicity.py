@@ -84,7 +84,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic", sam
     marks = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
              .where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    return id_and_text(docs, id_col, text_col).join(marks, "doc_id").select("text", "label")
+    # at most ``sample`` pairs of numbers, a few MB: the texts stay where they are
+    return id_and_text(docs, id_col, text_col).join(F.broadcast(marks), "doc_id").select("text", "label")
 
 
 def fit(texts: DataFrame, alpha: float = 1.0, penalty: float = 1e-3, steps: int = 150) -> Model:
