@@ -276,5 +276,6 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, segment
                 emit(part)
         if rows[0]:
             yield taken()
+        ids.forget()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)

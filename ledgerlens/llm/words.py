@@ -51,6 +51,10 @@ class WordIds:
                  kept: int = KEPT):
         self._encode, self._split, self._kept, self._known = encode, split, kept, {}
 
+    def forget(self) -> None:
+        """Drop the words kept, for a worker process that goes on with other work."""
+        self._known.clear()
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's ids begin (and the last ends)."""
         words = self._split(texts)
