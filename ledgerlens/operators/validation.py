@@ -15,7 +15,7 @@ def _rules(df: DataFrame, mapping: dict, as_of: Column) -> list[tuple[str, Colum
     """(name, predicate, severity, description) for the row-level checks that apply."""
     rev, profit, cost = mapping.get("revenue"), mapping.get("profit"), mapping.get("cost")
     qty, date = mapping.get("quantity"), mapping.get("date")
-    rules = []
+    rules = []  # fixed values: the names, severities and descriptions of the report
     if rev:
         rules.append(("Negative Revenue", num(df, rev) < 0, "critical", f"Rows where '{rev}' is negative."))
     if profit:

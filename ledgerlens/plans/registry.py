@@ -52,13 +52,14 @@ def np_round_sql(expr: str, digits: int) -> str:
     return f"(round_even(CAST(({expr}) AS DOUBLE) * {p}, 0) / {p})"
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every DOUBLE column half-even on the binary value (numpy ``round``).
+def rounded(df: DataFrame, digits: int = DIGITS, **fine: int) -> DataFrame:
+    """Round every DOUBLE column half-even on the binary value (numpy ``round``); ``fine`` has other digits per column.
 
     Money is in cents, so a double sum sits on the cent grid up to noise far
     below half a cent and rounds identically whatever the order of addition.
+    Values without a unit (scores, shares, coefficients) take more digits.
     """
-    return df.select(*[np_round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+    return df.select(*[np_round(F.col(f.name), fine.get(f.name, digits)).alias(f.name) if isinstance(f.dataType, T.DoubleType)
                        else F.col(f.name) for f in df.schema.fields])
 
 

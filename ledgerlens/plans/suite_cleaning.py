@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import cleaning
@@ -300,3 +301,44 @@ def c18_step_message_imputed(spark, sf_dir):
     d = dirty_fact(spark, sf_dir)
     filled = cleaning.handle_missing(cleaning.handle_missing(d, "zero", ["discount"]), "constant", ["region"], fill_value="x")
     return cleaning.step_message(d, filled, "Imputed {cells} cells.")
+
+
+_BOUNDS = """, b AS (SELECT quantile_cont(revenue, 0.25) - 1.5 * (quantile_cont(revenue, 0.75) - quantile_cont(revenue, 0.25)) AS lo,
+  quantile_cont(revenue, 0.75) + 1.5 * (quantile_cont(revenue, 0.75) - quantile_cont(revenue, 0.25)) AS hi FROM d)
+"""
+
+
+@register("c18_observed_messages", D(_BOUNDS + """SELECT 1 AS step, 'Clipped ' || format('{:,}', count(*)) || ' cells.' AS message FROM d, b WHERE revenue < lo OR revenue > hi
+UNION ALL SELECT 2, 'Removed ' || format('{:,}', count(*)) || ' rows.' FROM d, b WHERE revenue < lo OR revenue > hi
+UNION ALL SELECT 3, 'Imputed ' || format('{:,}', count(*) - count(discount)) || ' missing values.' FROM d
+UNION ALL SELECT 4, 'Removed ' || format('{:,}', (SELECT count(*) FROM d) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d) x)) || ' duplicates.'"""))
+def c18_observed_messages(spark, sf_dir):
+    """Each step runs once, and its message is what was observed on the way."""
+    d = dirty_fact(spark, sf_dir)
+    steps = [(lambda o: cleaning.remove_outliers(d, ["revenue"], "iqr", 1.5, "clip", seen=o), "Clipped {cells} cells."),
+             (lambda o: cleaning.remove_outliers(d, ["revenue"], "iqr", 1.5, "remove", seen=o), "Removed {n} rows."),
+             (lambda o: cleaning.handle_missing(d, "mean", ["discount"], seen=o), "Imputed {cells} missing values."),
+             (lambda o: cleaning.remove_duplicates(d, seen=o), "Removed {n} duplicates.")]
+    said = []
+    for i, (step, template) in enumerate(steps, start=1):
+        seen = Observation()
+        step(seen).write.format("noop").mode("overwrite").save()
+        said.append((i, cleaning.step_text(seen, template)))
+    return spark.createDataFrame(said, "step INT, message STRING")
+
+
+@register("c4_fill_mean_totals", D("""SELECT region, count(*) AS rows, count(discount) AS given,
+    """ + sig("sum(coalesce(discount, (SELECT avg(discount) FROM d)))") + " AS discount FROM d GROUP BY region"))
+def c4_fill_mean_totals(spark, sf_dir):
+    """The filled column, summed per region: few rows whatever the table's size."""
+    d = dirty_fact(spark, sf_dir)
+    filled = cleaning.handle_missing(d.withColumn("before", F.col("discount")), "mean", ["discount"])
+    return rounded(filled.groupBy("region").agg(F.count("*").alias("rows"), F.count("before").alias("given"), F.sum("discount").alias("discount")))
+
+
+@register("c12_outliers_zscore_totals", D(""", s AS (SELECT avg(revenue) AS m, stddev_samp(revenue) AS v, avg(cost) AS mc, stddev_samp(cost) AS vc FROM d)
+SELECT category, count(*) AS rows, """ + sig("sum(revenue)") + """ AS revenue FROM d, s
+WHERE NOT coalesce(abs(revenue - m) > 2 * v, false) AND NOT coalesce(abs(cost - mc) > 2 * vc, false) GROUP BY category"""))
+def c12_outliers_zscore_totals(spark, sf_dir):
+    kept = cleaning.remove_outliers(dirty_fact(spark, sf_dir), ["revenue", "cost"], "zscore", 2.0, "remove")
+    return rounded(kept.groupBy("category").agg(F.count("*").alias("rows"), F.sum("revenue").alias("revenue")))

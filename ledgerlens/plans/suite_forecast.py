@@ -28,9 +28,9 @@ _ZE = "(revenue - m) / CASE WHEN sd = 0 THEN 1.0 ELSE sd END"
 
 
 @register("a1_zscore_anomalies", EV(
-    _Z + f"SELECT event_id, category, {sig('revenue')} AS revenue, {sig(_ZE)} AS _zscore FROM e, s WHERE abs({_ZE}) > 3"))
+    _Z + f"SELECT event_id, category, {sig('revenue')} AS revenue, {sig(_ZE, 6)} AS _zscore FROM e, s WHERE abs({_ZE}) > 3"))
 def a1_zscore_anomalies(spark, sf_dir):
-    return rounded(anomalies.detect_zscore(_rows(spark, sf_dir), "revenue", 3.0))
+    return rounded(anomalies.detect_zscore(_rows(spark, sf_dir), "revenue", 3.0), _zscore=6)
 
 
 _IQR = ", q AS (SELECT quantile_cont(revenue, 0.25) AS q1, quantile_cont(revenue, 0.75) AS q3 FROM e)\n"
@@ -71,17 +71,17 @@ def _daily_sql(src: str, alias: str, threshold: float) -> str:
                count(*) OVER () AS dates FROM d
         WINDOW w AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
 , z AS (SELECT date, value, CASE WHEN n >= 3 THEN (value - m) / nullif(s, 0) END AS z_score, dates FROM r)
-SELECT date, {sig('value')} AS value, {sig('z_score')} AS z_score FROM z WHERE dates >= 8 AND abs(z_score) > {threshold}"""
+SELECT date, {sig('value')} AS value, {sig('z_score', 6)} AS z_score FROM z WHERE dates >= 8 AND abs(z_score) > {threshold}"""
 
 
 @register("a4_daily_anomalies_events", _daily_sql(EVENTS_FACT_SQL, "e", 2.0))
 def a4_daily_anomalies_events(spark, sf_dir):
-    return rounded(anomalies.detect_time_series_anomalies(events_fact(spark, sf_dir), EVENTS_ROLES, 2.0))
+    return rounded(anomalies.detect_time_series_anomalies(events_fact(spark, sf_dir), EVENTS_ROLES, 2.0), z_score=6)
 
 
 @register("a4_daily_anomalies_orders", _daily_sql(ORDERS_FACT_SQL, "f", 2.0))
 def a4_daily_anomalies_orders(spark, sf_dir):
-    return rounded(anomalies.detect_time_series_anomalies(orders_fact(spark, sf_dir), FACT_ROLES, 2.0))
+    return rounded(anomalies.detect_time_series_anomalies(orders_fact(spark, sf_dir), FACT_ROLES, 2.0), z_score=6)
 
 
 @register("a5_anomaly_summary", EV(

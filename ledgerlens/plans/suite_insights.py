@@ -72,9 +72,9 @@ def h2_box_outliers(spark, sf_dir):
 
 @register("h3_pie_shares", EV(f"""
 , g AS (SELECT category, coalesce(sum(revenue), 0) AS revenue FROM e GROUP BY category)
-SELECT category, {sig('revenue')} AS revenue, {sig('revenue / (SELECT sum(revenue) FROM g) * 100')} AS share_pct FROM g"""))
+SELECT category, {sig('revenue')} AS revenue, {sig('revenue / (SELECT sum(revenue) FROM g) * 100', 6)} AS share_pct FROM g"""))
 def h3_pie_shares(spark, sf_dir):
-    return rounded(charts.pie_shares(events_fact(spark, sf_dir), "category", "revenue"))
+    return rounded(charts.pie_shares(events_fact(spark, sf_dir), "category", "revenue"), share_pct=6)
 
 
 @register("h4_hierarchy", FF(f"""

@@ -87,7 +87,7 @@ def _stats_sql():
         x = _dbl(c)
 
         def r3(e):
-            return sig(f"round_even({e}, 3)")
+            return sig(f"round_even({e}, 3)", 3)
         parts.append(
             f"SELECT '{c}' AS column, {r3(f'count({x})')} AS count, {r3(f'avg({x})')} AS mean, "
             f"{r3(f'stddev_samp({x})')} AS std, {r3(f'min({x})')} AS min, {r3(f'quantile_cont({x}, 0.25)')} AS p25, "
@@ -99,7 +99,7 @@ def _stats_sql():
 
 @register("q4_numeric_stats", _stats_sql())
 def q4_numeric_stats(spark, sf_dir):
-    return rounded(profiling.numeric_stats(dirty_fact(spark, sf_dir)))
+    return rounded(profiling.numeric_stats(dirty_fact(spark, sf_dir)), 3)
 
 
 def _corr_sql(strong: float | None = None):
@@ -115,25 +115,25 @@ def _corr_sql(strong: float | None = None):
                          f"round_even(CASE WHEN isnan({v}) THEN NULL ELSE {v} END, 3) AS correlation FROM d")
     u = "\nUNION ALL\n".join(parts)
     if strong is None:
-        return with_dirty(f"SELECT feature_a, feature_b, {sig('correlation')} AS correlation FROM ({u}) m")
-    return with_dirty(f"SELECT feature_a, feature_b, {sig('correlation')} AS correlation FROM ({u}) m "
+        return with_dirty(f"SELECT feature_a, feature_b, {sig('correlation', 3)} AS correlation FROM ({u}) m")
+    return with_dirty(f"SELECT feature_a, feature_b, {sig('correlation', 3)} AS correlation FROM ({u}) m "
                       f"WHERE ia < ib AND abs(correlation) >= {strong}")
 
 
 @register("q5_correlation_matrix", _corr_sql())
 def q5_correlation_matrix(spark, sf_dir):
-    return rounded(profiling.correlation_matrix(dirty_fact(spark, sf_dir)))
+    return rounded(profiling.correlation_matrix(dirty_fact(spark, sf_dir)), 3)
 
 
 @register("q5_strong_pairs", _corr_sql(0.5))
 def q5_strong_pairs(spark, sf_dir):
-    return rounded(profiling.strong_correlations(dirty_fact(spark, sf_dir), 0.5))
+    return rounded(profiling.strong_correlations(dirty_fact(spark, sf_dir), 0.5), 3)
 
 
 @register("h6_correlation_heatmap", _corr_sql())
 def h6_correlation_heatmap(spark, sf_dir):
     # the heatmap data is the full matrix (threshold 0)
-    return rounded(profiling.correlation_matrix(dirty_fact(spark, sf_dir)))
+    return rounded(profiling.correlation_matrix(dirty_fact(spark, sf_dir)), 3)
 
 
 @register("q6_missing_summary", with_dirty("SELECT * FROM (" + "\nUNION ALL\n".join(

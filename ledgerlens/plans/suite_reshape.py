@@ -118,16 +118,16 @@ def t5_bin_column_labels(spark, sf_dir):
 
 @register("t6_normalize_minmax", FF(
     ", s AS (SELECT min(revenue) AS a, max(revenue) - min(revenue) AS b FROM f)\n"
-    f"SELECT order_id, {sig('revenue')} AS revenue, {sig('(revenue - a) / CASE WHEN b = 0 THEN 1.0 ELSE b END')} AS revenue_norm FROM f, s"))
+    f"SELECT order_id, {sig('revenue')} AS revenue, {sig('(revenue - a) / CASE WHEN b = 0 THEN 1.0 ELSE b END', 6)} AS revenue_norm FROM f, s"))
 def t6_normalize_minmax(spark, sf_dir):
-    return rounded(reshape.normalize_column(orders_fact(spark, sf_dir).select("order_id", "revenue"), "revenue"))
+    return rounded(reshape.normalize_column(orders_fact(spark, sf_dir).select("order_id", "revenue"), "revenue"), revenue_norm=6)
 
 
 @register("t6_normalize_zscore", FF(
     ", s AS (SELECT avg(revenue) AS a, stddev_samp(revenue) AS b FROM f)\n"
-    f"SELECT order_id, {sig('revenue')} AS revenue, {sig('(revenue - a) / CASE WHEN b = 0 THEN 1.0 ELSE b END')} AS revenue_norm FROM f, s"))
+    f"SELECT order_id, {sig('revenue')} AS revenue, {sig('(revenue - a) / CASE WHEN b = 0 THEN 1.0 ELSE b END', 6)} AS revenue_norm FROM f, s"))
 def t6_normalize_zscore(spark, sf_dir):
-    return rounded(reshape.normalize_column(orders_fact(spark, sf_dir).select("order_id", "revenue"), "revenue", "zscore"))
+    return rounded(reshape.normalize_column(orders_fact(spark, sf_dir).select("order_id", "revenue"), "revenue", "zscore"), revenue_norm=6)
 
 
 @register("t7_calculated_column", FF(
@@ -155,3 +155,13 @@ SELECT d.order_id, d.region, CAST(coalesce(c.code, -1) AS BIGINT) AS region_enco
 def t9_label_encode(spark, sf_dir):
     d = dirty_fact(spark, sf_dir)
     return reshape.encode_categorical(d, "region", "label", ORDER).select("order_id", "region", "region_encoded")
+
+
+@register("t9_label_codes", D(f"""
+, r AS (SELECT region, row_number() OVER (ORDER BY {_ORD}) AS rn FROM d)
+, c AS (SELECT region, row_number() OVER (ORDER BY min(rn)) - 1 AS code, count(*) AS rows FROM r WHERE region IS NOT NULL GROUP BY region)
+SELECT region, CAST(code AS BIGINT) AS region_encoded, rows FROM c UNION ALL SELECT NULL, -1, count(*) FROM d WHERE region IS NULL HAVING count(*) > 0"""))
+def t9_label_codes(spark, sf_dir):
+    """One row per code: the value it stands for and how often it occurs."""
+    coded = reshape.encode_categorical(dirty_fact(spark, sf_dir), "region", "label", ORDER)
+    return coded.groupBy("region", "region_encoded").agg(F.count("*").alias("rows"))

@@ -27,7 +27,7 @@ def upload_findings(df: DataFrame) -> DataFrame:
     const_names = F.filter(F.array(*[F.when(f == 1, F.lit(n)) for f, n in zip(flags, names)]), lambda x: x.isNotNull())
     unnamed = [n for n in names if str(n).startswith("Unnamed")]
     loaded = F.concat(F.lit("Loaded "), _fmt_int(rows), F.lit(" rows x "), F.lit(str(len(names))), F.lit(" columns."))
-    entries = [
+    entries = [  # fixed values: the texts of the findings
         _row(1, "ok", loaded, rows > 0),
         _row(2, "warn",
                  F.lit(f"{len(unnamed)} unnamed column(s) detected — consider renaming or dropping."),

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ledgerlens.functions.exprs import sum0
 from ledgerlens.operators._common import num, ts
 
-WINDOWS = {"D": "1 day", "W": "1 week", "M": "31 days"}
+WINDOWS = {"D": "1 day", "W": "1 week"}
 
 
 def revenue_by_period_stream(spark: SparkSession, source_dir: str, schema: T.StructType, mapping: dict,
