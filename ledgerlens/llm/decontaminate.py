@@ -187,5 +187,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     key = F.when(F.col(id_col).cast("long").isNotNull(), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
     marked = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
     bad = leaks(marked, benchmark, **options).select(F.col("doc_id").alias("leak")).distinct()
-    rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"))  # no name of the table can clash
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name of the table can clash
     return rows.join(bad, F.col("key") == F.col("leak"), "left_anti").select("row.*")

@@ -197,14 +197,19 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str =
     """``docs`` with one document of each group, the one with the smallest id; every column stays.
 
     Documents are told apart by id and text: rows that share only the id are judged each by its own
-    fingerprint, rows equal in both leave one row; rows without an id are kept.
+    fingerprint; of rows equal in both the one with the least hash of all its columns stays; rows without
+    an id are kept.
     """
     fps = stored(fingerprints(docs, shingle, id_col, text_col, mark=True).where("doc_id IS NOT NULL"), "simhash")
     classes = stored(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "fp", "mark")).alias("first"))
                      .select("fp", F.col("fp").alias("rep"), "first"), "simhash-classes")
     joined = components(linked_classes(classes, distance))
     best = (classes.join(joined, classes["rep"] == joined["node"], "left").groupBy(F.coalesce("component", "rep"))
-            .agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.mark").alias("__mark")))
-    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__mark", F.xxhash64(F.col(text_col).cast("string")))
-    kept = keyed.where("__id IS NOT NULL").join(best, ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"])
-    return kept.select(docs.columns).unionByName(keyed.where("__id IS NULL").select(docs.columns))
+            .agg(F.min("first").alias("first")).select("first.doc_id", "first.mark"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"),
+                        F.struct(*columns).alias("row"))  # no name of the table can clash
+    plain = [F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind]
+    kept = (keyed.where("doc_id IS NOT NULL").join(best, ["doc_id", "mark"], "left_semi").groupBy("doc_id", "mark")
+            .agg(F.min_by("row", F.xxhash64(*plain)).alias("row")))
+    return kept.select("row.*").unionByName(docs.where(F.col(id_col).cast("long").isNull()))

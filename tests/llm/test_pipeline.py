@@ -92,3 +92,18 @@ def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
     left = decontaminate.without_leaks(docs, bench)
     assert left.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted(r for r in rows if r[1] != item)
+
+
+def test_stages_keep_columns_whatever_their_names(spark):
+    names = ["__id", "__mark", "__masked", "__key", "row", "key", "masked", "leak", "mark", "a.b"]
+    schema = "doc_id long, text string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(1, "some words of a text " * 5, 7, *names), (2, None, None, *names), (None, "", 0, *names), (3, 'password = "S3cr3t!9xyz"', 5, *names)]
+    rows += [(1, "some words of a text " * 5, 7, *["other"] * len(names))]
+    docs = spark.createDataFrame(rows, schema)
+    first = sorted(map(tuple, simhash_dedup.keep_one(docs).collect()), key=str)
+    assert first == sorted(map(tuple, simhash_dedup.keep_one(docs.repartition(3)).collect()), key=str) and len(first) == 4
+    masked = corpus_pipeline.mask_secrets(spark, docs, "")
+    assert masked.columns == docs.columns and masked.count() == 5 and masked.where("`a.b` IS NULL").count() == 0
+    bench = spark.createDataFrame([(1, "nothing of this is in there at all")], "item_id long, text string")
+    left = decontaminate.without_leaks(docs, bench)
+    assert left.columns == docs.columns and left.count() == 5
