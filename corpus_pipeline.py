@@ -10,6 +10,13 @@ stage keeps it passes on with every column.
 * decontaminate: documents that hold a benchmark item go.
 * secrets: secrets in the texts are masked; ``n_chars`` follows the text.
 * packing: the documents become sequences of token ids.
+
+Defined results: a null or empty text is scored, kept, masked to itself and packed
+as its end token; rows without an id cannot be named, so near-dedup and
+decontamination keep them; rows that share an id are judged each by its own text,
+and of rows equal in id and text one stays, the same on every run; an empty table
+gives an empty result; texts are worked on whole, whatever their length; further
+columns pass through every stage but the last, and none of their names can clash.
 """
 
 from __future__ import annotations
@@ -37,12 +44,15 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a secret keep their text and ``n_chars`` as they are."""
-    masked = docs.withColumn("__masked", secret_scan.masked_column(spark, queries.secret_model(docs)))
-    if "n_chars" in docs.columns:
+    masked = secret_scan.masked_column(spark, queries.secret_model(docs))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), masked.alias("masked"))  # no name can clash
+    own = {c: F.col("row")[c] for c in docs.columns}
+    changed = ~F.col("masked").eqNullSafe(own["text"])
+    new = {"text": F.col("masked")}
+    if "n_chars" in own:
         kind = docs.schema["n_chars"].dataType
-        changed = ~F.col("__masked").eqNullSafe(F.col("text"))
-        masked = masked.withColumn("n_chars", F.when(changed, F.length("__masked").cast(kind)).otherwise(F.col("n_chars")))
-    return masked.withColumn("text", F.col("__masked")).select(docs.columns)
+        new["n_chars"] = F.when(changed, F.length("masked").cast(kind)).otherwise(own["n_chars"])
+    return rows.select(*[(own | new)[c].alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
