@@ -15,6 +15,7 @@ from ledgerlens.llm import (
     decontaminate,
     language_id,
     merkle,
+    oracles,
     packing,
     secret_scan,
     simhash_dedup,
@@ -154,4 +155,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_bpe_codec": op13_bpe_codec,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.OP1,
+    "op9_warc": oracles.OP9,
+    "op12_merkle_manifest": oracles.OP12,
+}
