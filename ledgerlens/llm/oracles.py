@@ -55,3 +55,42 @@ OP12 = f"""WITH RECURSIVE d AS (SELECT *, CAST(doc_id AS VARCHAR) AS s, {_leaf('
 SELECT l.doc_id, l.leaf, sub.node AS subroot, r.node AS root, sha256(coalesce(p.sibs, '')) AS proof_sha256, top.node AS folded_root, top.node = r.node AS verified, l.pos AS position
 FROM l JOIN sub ON sub.g = l.g JOIN (SELECT node FROM u WHERE n = 1) r ON true LEFT JOIN proof p ON p.g = l.g AND p.leaf_pos = l.pos
 JOIN top ON top.g = l.g AND top.pos = l.pos"""
+
+#: One row of a conversation at a time: the cheapest (cost, audit, turns) to each state (0 start, 1 after system, 2 after user,
+#: 3 after assistant), with the insertions before a row, and those behind the last.
+OP11 = rf"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations)
+, k AS (SELECT *, {_CRC} % 20 AS kind FROM c)
+, rows_ AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN kind = 0 THEN 0 WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k)
+, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS later,
+        regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final FROM rows_)
+, f AS (SELECT *, CASE WHEN final = '' THEN 'b' WHEN later THEN 'd' WHEN final NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+        lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair, count(*) OVER (PARTITION BY conv_id) AS n FROM o)
+, ins(p, q, cost, audit, said) AS (VALUES (0, 0, 0, '', ''), (0, 2, 2, 'I', 'user:' || chr(10)), (0, 3, 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+        (1, 1, 0, '', ''), (1, 2, 2, 'I', 'user:' || chr(10)), (1, 3, 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+        (2, 2, 0, '', ''), (2, 3, 2, 'I', 'assistant:' || chr(10)), (3, 2, 2, 'I', 'user:' || chr(10)), (3, 3, 0, '', ''))
+, go(initial, p, q) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3))
+, edits AS (SELECT conv_id, i, z.p AS p, z.p AS q, 3 AS cost, 'D' AS audit, '' AS said FROM f CROSS JOIN (VALUES (0), (1), (2), (3)) z(p)
+        UNION ALL SELECT conv_id, i, p, q, CASE WHEN fault = 't' THEN 1 ELSE 0 END, 'K', role || ':' || text || chr(10)
+        FROM f JOIN go ON initial = role[1] WHERE fault IN ('', 't')
+        UNION ALL SELECT conv_id, i, p, q, CASE WHEN fault = 't' THEN 3 ELSE 2 END, 'R', CASE initial WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text || chr(10)
+        FROM f JOIN go ON initial IN ('u', 'a') WHERE fault IN ('', 't'))
+, best AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, {{'cost': 0, 'audit': '', 'said': ''}} AS b FROM f
+        UNION ALL SELECT x.conv_id, x.i + 1, e.q,
+        min({{'cost': x.b.cost + ins.cost + e.cost, 'audit': x.b.audit || ins.audit || e.audit, 'said': x.b.said || ins.said || e.said}})
+        FROM best x JOIN ins ON ins.p = x.q JOIN edits e ON e.conv_id IS NOT DISTINCT FROM x.conv_id AND e.i = x.i + 1 AND e.p = ins.q
+        GROUP BY x.conv_id, x.i, e.q)
+, done AS (SELECT x.conv_id, min({{'cost': x.b.cost + ins.cost, 'audit': x.b.audit || ins.audit, 'said': x.b.said || ins.said}}) AS b
+        FROM best x JOIN ins ON ins.p = x.q AND ins.q IN (0, 3) JOIN (SELECT DISTINCT conv_id, n FROM f) m ON m.conv_id IS NOT DISTINCT FROM x.conv_id AND x.i = m.n
+        GROUP BY x.conv_id)
+, facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(CASE WHEN fault = 'b' THEN 1 ELSE 0 END) AS blank,
+        sum(CASE WHEN fault = 'd' THEN 1 ELSE 0 END) AS duplicate, sum(CASE WHEN fault = 't' THEN 1 ELSE 0 END) AS truncated,
+        sum(CASE WHEN i > 1 AND coalesce(pair, '') NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(done.b.cost, 0) AS BIGINT) AS cost,
+       coalesce(done.b.audit, '') AS audit, sha256(coalesce(CASE WHEN done.b.said = '' THEN '' ELSE left(done.b.said, length(done.b.said) - 1) END, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id"""

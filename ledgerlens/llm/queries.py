@@ -158,5 +158,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.OP1,
     "op9_warc": oracles.OP9,
+    "op11_conversation_repair": oracles.OP11,
     "op12_merkle_manifest": oracles.OP12,
 }
