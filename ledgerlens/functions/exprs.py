@@ -78,7 +78,8 @@ def py_capitalize(c: Column) -> Column:
 
 def squeeze_spaces(c: Column) -> Column:
     """strip + collapse inner whitespace runs (tabs, newlines and Unicode spaces included)."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    odd = c.rlike(r"[^ -~]|  |^ | $")  # no other text has anything to squeeze; the Unicode pattern is slow
+    return F.when(odd, F.trim(F.regexp_replace(c, r"(?U)\s+", " "))).otherwise(c)
 
 
 def truthy(c: Column, tokens=BOOL_TRUE_TOKENS) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ledgerlens.functions.exprs import as_number, np_round, sum0
 from ledgerlens.operators import ranking
 from ledgerlens.operators._common import attach, dtypes, empty, num, ts
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import stored
 
 
 def zscore_column(df: DataFrame, column: str) -> DataFrame:
@@ -188,6 +188,7 @@ def detect_isolation_forest(df: DataFrame, columns: Sequence[str], contamination
     """
     types = dtypes(df)
     feats = [F.coalesce(as_number(F.col(c), types[c]), F.lit(0.0)) for c in columns]
+    df = stored(df)  # read by the count, the samples and the scores
     n = df.count()
     if n < 10:
         return df.limit(0).withColumn("_anomaly_score", F.lit(None).cast("double"))
@@ -214,8 +215,8 @@ def detect_isolation_forest(df: DataFrame, columns: Sequence[str], contamination
         cn = np.mean([_c(size) for _, size in bc.value])
         return pd.Series(-(2.0 ** (-total / len(bc.value) / cn)))
 
-    # scored once and checkpointed: the cutoff and the final filter would otherwise each run the trees again
-    scored = cut_lineage(df.withColumn("_raw", score(*feats)))
+    # scored once and stored: the cutoff and the final filter would otherwise each run the trees again
+    scored = stored(df.withColumn("_raw", score(*feats)))
     cut = ranking.quantiles(scored, ["_raw"], [contamination]).select(F.col("_raw_q0").alias("_cut"))
     return (attach(scored, cut)
                   .withColumn("_anomaly_score", F.col("_raw") - F.col("_cut"))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ledgerlens.functions.exprs import np_round, is_numeric_type, is_temporal_type, is_text_type, kurt_corrected, skew_corrected
 from ledgerlens.operators import ranking
 from ledgerlens.operators._common import attach, dtypes, empty, q
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import cut_lineage, stored
 
 PROFILE_SCHEMA = ("column STRING, type STRING, non_null BIGINT, nulls BIGINT, null_pct DOUBLE, unique BIGINT, "
                   "unique_pct DOUBLE, min DOUBLE, mean DOUBLE, max DOUBLE, std DOUBLE, sample STRING")
@@ -207,11 +207,15 @@ def top_values(counts: DataFrame, k: int = 3) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame) -> DataFrame:
-    """Q4: describe() + bias-corrected skew/kurtosis + zero count, rounded to 3 (booleans excluded)."""
+    """Q4: describe() + bias-corrected skew/kurtosis + zero count, rounded to 3 (booleans excluded).
+
+    The numbers are stored when called, as their quantiles read them several times.
+    """
     cols = number_columns(df)
     if not cols:
         return empty(df.sparkSession, "column STRING")
     types = dtypes(df)
+    df = stored(df.select(*[F.col(q(c)) for c in cols]))
     aggs = []
     for i, c in enumerate(cols):
         d = _as_double(c, types[c])
@@ -239,7 +243,8 @@ def numeric_stats(df: DataFrame) -> DataFrame:
 def correlation_matrix(df: DataFrame) -> DataFrame:
     """Q5/H6: Pearson r for every ordered pair (pairwise complete), rounded to 3 (booleans excluded).
 
-    Runs one pass when called, however many columns there are: masked Gram matrices per batch, summed.
+    Stores the numbers and runs one pass over them when called, however many columns there are: masked Gram matrices per
+    batch, summed.
     For each pair the sums run over the rows that hold both columns.  Values are taken relative to one of their column's
     own, so that large values do not cancel.  A task keeps four matrices of columns by columns and hands on a row per
     column; those are added up by column.
@@ -248,7 +253,7 @@ def correlation_matrix(df: DataFrame) -> DataFrame:
     if len(cols) < 2:
         return empty(df.sparkSession, "feature_a STRING, feature_b STRING, correlation DOUBLE")
     types, size = dtypes(df), len(cols)
-    values = df.select(*[_as_double(c, types[c]).alias(f"x{i}") for i, c in enumerate(cols)])
+    values = stored(df.select(*[_as_double(c, types[c]).alias(f"x{i}") for i, c in enumerate(cols)]))
 
     def any_of(rows, which):
         return rows.agg(*[F.first(f"x{i}", ignorenulls=True).alias(f"x{i}") for i in which]).first()

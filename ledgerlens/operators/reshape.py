@@ -14,7 +14,7 @@ from ledgerlens.operators import ranking
 from ledgerlens.operators._common import AGG_FUNCS, agg_expr, attach, dtypes, q
 from ledgerlens.operators.cleaning import _as_text
 from ledgerlens.operators.profiling import _present
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import cut_lineage, stored
 
 #: Rows of a key (both sides) below which it is not worth salting.
 LEAST_HOT = 100_000
@@ -217,11 +217,12 @@ def one_hot(df: DataFrame, column: str, values: Sequence | None = None) -> DataF
 
 
 def label_encode(df: DataFrame, column: str, order_by: Sequence[str]) -> DataFrame:
-    """Codes in order of first appearance (by ``order_by``), null -> -1."""
-    first = (df.where(F.col(column).isNotNull())
-               .groupBy(F.col(column).alias("_le_v"))
-               .agg(F.min(F.struct(*[F.col(c).alias(f"_le_o{i}") for i, c in enumerate(order_by)])).alias("_le_first"))
-               .select("_le_v", "_le_first.*"))
+    """Codes in order of first appearance (by ``order_by``), null -> -1.  Stores the rows, and each value's first place, when called."""
+    df = stored(df)
+    first = cut_lineage(df.where(F.col(column).isNotNull())
+                        .groupBy(F.col(column).alias("_le_v"))
+                        .agg(F.min(F.struct(*[F.col(c).alias(f"_le_o{i}") for i, c in enumerate(order_by)])).alias("_le_first"))
+                        .select("_le_v", "_le_first.*"))
     codes = ranking.row_number(first, [*[f"_le_o{i}" for i in range(len(order_by))], "_le_v"], out="_le_rn").select(
         "_le_v", (F.col("_le_rn") - 1).alias("_le_code"))
     j = df.join(codes, df[column] == codes["_le_v"], "left")

@@ -9,6 +9,7 @@ from ledgerlens.operators import cleaning
 from ledgerlens.plans.facts import (DIRTY_FACT_SQL, FACT_SCHEMA, ORDERS_FACT_SQL, TEXT_FACT_SQL, dirty_fact,
                                     orders_fact, text_fact)
 from ledgerlens.plans.registry import register, rounded, sig
+from ledgerlens.session import stored
 
 COLS = [c for c, _ in FACT_SCHEMA]
 TYPES = dict(FACT_SCHEMA)
@@ -313,11 +314,11 @@ UNION ALL SELECT 2, 'Removed ' || format('{:,}', count(*)) || ' rows.' FROM d, b
 UNION ALL SELECT 3, 'Imputed ' || format('{:,}', count(*) - count(discount)) || ' missing values.' FROM d
 UNION ALL SELECT 4, 'Removed ' || format('{:,}', (SELECT count(*) FROM d) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d) x)) || ' duplicates.'"""))
 def c18_observed_messages(spark, sf_dir):
-    """Each step runs once, and its message is what was observed on the way."""
-    d = dirty_fact(spark, sf_dir)
-    steps = [(lambda o: cleaning.remove_outliers(d, ["revenue"], "iqr", 1.5, "clip", seen=o), "Clipped {cells} cells."),
-             (lambda o: cleaning.remove_outliers(d, ["revenue"], "iqr", 1.5, "remove", seen=o), "Removed {n} rows."),
-             (lambda o: cleaning.handle_missing(d, "mean", ["discount"], seen=o), "Imputed {cells} missing values."),
+    """The fact is stored once; each step runs once over it, and its message is what was observed on the way."""
+    d = stored(dirty_fact(spark, sf_dir))
+    steps = [(lambda o: cleaning.remove_outliers(d, ["revenue"], "iqr", 1.5, "clip", seen=o, keep=False), "Clipped {cells} cells."),
+             (lambda o: cleaning.remove_outliers(d, ["revenue"], "iqr", 1.5, "remove", seen=o, keep=False), "Removed {n} rows."),
+             (lambda o: cleaning.handle_missing(d, "mean", ["discount"], seen=o, keep=False), "Imputed {cells} missing values."),
              (lambda o: cleaning.remove_duplicates(d, seen=o), "Removed {n} duplicates.")]
     said = []
     for i, (step, template) in enumerate(steps, start=1):

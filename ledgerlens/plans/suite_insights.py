@@ -155,8 +155,9 @@ def i3_category_concentration(spark, sf_dir):
 @register("i4_top_region_product", D(_named(_top("region", 5, "top_region") + "\nUNION ALL\n" + _top("product", 6, "top_product"))))
 def i4_top_region_product(spark, sf_dir):
     d = dirty_fact(spark, sf_dir)
-    return rounded(insights.top_entity(d, FACT_ROLES_WITH_PROFIT, "region", 5)
-                   .unionByName(insights.top_entity(d, FACT_ROLES_WITH_PROFIT, "product", 6)))
+    sums = insights.summary(d, FACT_ROLES_WITH_PROFIT)
+    return rounded(insights.top_entity(d, FACT_ROLES_WITH_PROFIT, "region", 5, sums)
+                   .unionByName(insights.top_entity(d, FACT_ROLES_WITH_PROFIT, "product", 6, sums)))
 
 
 @register("i5_profitability", D(_named(_I5)))

@@ -59,6 +59,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/ledgerlens/{name}-{os.getpid()}-{os.urandom(4).hex()}"
 
 
+def stored(df):
+    """``df`` as a columnar table under the shared ``spark.checkpoint.dir`` (runs a job now).
+
+    Used where a step reads its input more than once: what the input is made of
+    (joins, shuffles) runs once, and each reading takes only the columns it
+    needs.  The columns are named by their place in the files, so any name will do.
+    """
+    path = scratch_path(df.sparkSession, "stored")
+    kinds = [f.dataType.simpleString() for f in df.schema.fields]
+    if any(word in kind for kind in kinds for word in ("void", "interval", "variant")):  # not for files
+        return cut_lineage(df)
+    names = [f"c{i}" for i in range(len(kinds))]
+    plain = df.toDF(*names)
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (runs a job now).
 

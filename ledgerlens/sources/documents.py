@@ -6,6 +6,8 @@ stand.  A split cannot tell whether it begins inside a string or how deep, but
 what it does to both is known from its text alone: the parity of its quotes, and
 the brackets it opens for either beginning.
 
+0. the pieces between commas are read once, and stored as blocks of about a
+   megabyte; what follows treats each block as a split of its own;
 1. each task reduces its splits to (parity, depth gained from outside a string,
    depth gained from inside one); a prefix scan over the splits of a file gives
    where each begins;
@@ -14,7 +16,7 @@ the brackets it opens for either beginning.
 3. each task cuts its splits into the list's elements; an element over several
    splits is put together by key, so no task holds more than an element.
 
-The scan itself is a few array operations over the bytes of a block.
+The scan itself is a few array operations over the quotes, brackets and commas of a block.
 """
 
 from __future__ import annotations
@@ -23,24 +25,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import scratch_path
 from ledgerlens.sources.splits import PIECES_SQL, RESPLIT, batch_of, joined, pieces, retried, runs, with_states
 
 BEFORE, WITHIN, BEHIND = range(3)
+#: Characters of a block; the piece that reaches them ends it.
+CHUNK = 1 << 20
 _MAPS = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("parity", pa.int32()), ("outside", pa.int64()), ("inside", pa.int64()),
                    ("root", pa.string())])
 _LISTS = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("opens", pa.bool_()), ("shut", pa.bool_()), ("closes", pa.bool_())])
 
 
-def _steps(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, whether a quote count up to each is odd, and +1 / -1 at brackets.  No escape may be cut at the ends."""
+_STEP = np.zeros(256, np.int8)
+_STEP[[91, 123]], _STEP[[93, 125]] = 1, -1
+_MARK = _STEP != 0
+_MARK[[34, 44]] = True
+
+
+def _steps(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the first byte and all quotes, brackets and commas: places, bytes, whether a quote count up to each is odd, +1 / -1 at brackets.
+
+    No escape may be cut at the ends.
+    """
     codes = np.frombuffer(text.replace(b"\\\\", b"..").replace(b'\\"', b".."), np.uint8)
+    marked = _MARK[codes]
+    marked[:1] = True
+    at = np.flatnonzero(marked)
+    codes = codes[at]
     odd = np.logical_xor.accumulate(codes == 34) if len(codes) else np.zeros(0, bool)
-    steps = ((codes == 91) | (codes == 123)).astype(np.int8) - ((codes == 93) | (codes == 125))
-    return codes, odd, steps
+    return at, codes, odd, _STEP[codes]
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, bytes]]:
@@ -58,23 +75,26 @@ class Cutter:
 
     def feed(self, text: bytes) -> list[bytes]:
         """The elements that end in this text."""
-        codes, odd, steps = _steps(text)
+        at, codes, odd, steps = _steps(text)
         outside = odd == self.inside
         after = self.depth + np.cumsum(np.where(outside, steps, 0), dtype=np.int64)
         if len(codes):
             self.inside, self.depth = bool(odd[-1] != self.inside), int(after[-1])
-        start, out = 0, []
+        start, mark, out = 0, 0, []
         if self.state == BEFORE:
             opened = np.flatnonzero((codes == 91) & outside & (after == self.level))
             if not len(opened):
                 return out
-            start, self.state = int(opened[0]) + 1, WITHIN
+            mark, self.state = int(opened[0]) + 1, WITHIN
+            start = int(at[opened[0]]) + 1
         if self.state == WITHIN:
-            closed = np.flatnonzero(after[start:] < self.level)
-            stop = start + int(closed[0]) if len(closed) else len(text)
-            for comma in np.flatnonzero((codes[start:stop] == 44) & outside[start:stop] & (after[start:stop] == self.level)):
-                out.append(b"".join([*self.held, text[start: start + int(comma)]]) if not out else text[last: start + int(comma)])
-                last = start + int(comma) + 1
+            closed = np.flatnonzero(after[mark:] < self.level)
+            end = mark + int(closed[0]) if len(closed) else len(at)
+            stop = int(at[end]) if len(closed) else len(text)
+            commas = (codes[mark:end] == 44) & outside[mark:end] & (after[mark:end] == self.level)
+            for comma in at[mark:end][commas].tolist():
+                out.append(b"".join([*self.held, text[start:comma]]) if not out else text[last:comma])
+                last = comma + 1
             rest = text[last if out else start: stop]
             self.held = [rest] if out else [*self.held, rest]
             if len(closed):
@@ -91,13 +111,43 @@ class Root:
 
     def end(self, text: bytes) -> int | None:
         """Place behind the bracket that closes the root, if it is in this text."""
-        codes, odd, steps = _steps(text)
+        at, codes, odd, steps = _steps(text)
         moved = np.where(odd == self.inside, steps, 0)
         after = self.depth + np.cumsum(moved, dtype=np.int64)
         closed = np.flatnonzero((after == 0) & (moved < 0))
         if len(codes):
             self.inside, self.depth = bool(odd[-1] != self.inside), int(after[-1])
-        return int(closed[0]) + 1 if len(closed) else None
+        return int(at[closed[0]]) + 1 if len(closed) else None
+
+
+def _chunks(text: DataFrame) -> DataFrame:
+    """(file, block, value): the pieces of each split, in order, joined to blocks of about ``CHUNK`` characters.
+
+    A block's number is twice the byte at which its split begins, for blocks behind the first plus twice the pieces before
+    it less one: numbers rise along a file, as a piece and its comma take at least a byte.
+    """
+    def run(batches):
+        now, held, size, before, count = None, [], 0, 0, 0
+
+        def block():
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([2 * (now[1] + before) - (before > 0)], pa.int64()),
+                                               pa.array([",".join(held)], pa.string())], names=["file", "block", "value"])
+
+        for batch in batches:
+            for key, a, b in runs(batch):
+                if key != now:
+                    if held:
+                        yield block()
+                    now, held, size, before, count = key, [], 0, 0, 0
+                held.append(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(2).slice(a, b - a)), ",")[0].as_py())
+                size, count = size + len(held[-1]) + 1, count + b - a
+                if size >= CHUNK:
+                    yield block()
+                    held, size, before = [], 0, count
+        if held:
+            yield block()
+
+    return text.mapInArrow(run, "file long, block long, value string")
 
 
 def _maps(text: DataFrame) -> DataFrame:
@@ -110,11 +160,11 @@ def _maps(text: DataFrame) -> DataFrame:
                     if now is not None:
                         done.append((*now, parity, outside, inside, root))
                     now, parity, outside, inside, root = key, 0, 0, 0, None
-                _, odd, steps = _steps(block)
+                _, _, odd, steps = _steps(block)
                 here = [int(steps[~odd].sum(dtype=np.int64)), int(steps[odd].sum(dtype=np.int64))]
                 outside, inside = outside + here[parity], inside + here[1 - parity]
                 parity ^= int(odd[-1])
-                if root is None and key[1] == 0:
+                if root is None:
                     root = block[:-1].decode().lstrip("\ufeff \t\r\n")[:1] or None
             if done:
                 yield batch_of(done, _MAPS)
@@ -132,7 +182,7 @@ def _begins(maps: DataFrame) -> DataFrame:
     gained = F.when(F.col("in"), F.col("inside")).otherwise(F.col("outside"))
     return (at.withColumn("gained", gained)
             .select("file", "block", F.col("in").alias("inside"), F.coalesce(F.sum("gained").over(before), F.lit(0)).alias("depth"),
-                    F.max("root").over(Window.partitionBy("file")).alias("root")))
+                    F.min_by("root", F.when(F.col("root").isNotNull(), F.col("block"))).over(Window.partitionBy("file")).alias("root")))
 
 
 def _lists(text: DataFrame, begins: DataFrame) -> DataFrame:
@@ -148,7 +198,7 @@ def _lists(text: DataFrame, begins: DataFrame) -> DataFrame:
                     now, inside, depth, seen = key, batch.column(3)[a].as_py(), batch.column(4)[a].as_py(), [False, False, False]
                     if inside is None:
                         raise ValueError(RESPLIT)
-                codes, odd, steps = _steps(block)
+                _, codes, odd, steps = _steps(block)
                 outside = odd == inside
                 after = depth + np.cumsum(np.where(outside, steps, 0), dtype=np.int64)
                 low = np.flatnonzero(after < 2)
@@ -215,17 +265,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(rows)
 
 
-def as_objects(value: Column) -> Column:
+def as_objects(found: DataFrame) -> DataFrame:
     """Elements as JSON objects on one line; one that is none becomes ``{"0": x}``."""
-    text = F.trim(F.translate(F.regexp_replace(value, r",\s*$", ""), "\r\n\t", "   "))  # line breaks stand outside strings only
-    return F.when(text.startswith("{"), text).otherwise(F.concat(F.lit('{"0":'), text, F.lit("}")))
+    value = F.col("value")
+    ended = F.rtrim(value, F.lit(" \t\n\x0b\f\r")).endswith(",")  # few do, and few hold line breaks, which stand outside strings only
+    text = F.when(ended, F.regexp_replace(value, r",\s*$", "")).otherwise(value)
+    breaks = F.contains(value, F.lit("\n")) | F.contains(value, F.lit("\r")) | F.contains(value, F.lit("\t"))
+    text = F.trim(F.when(breaks, F.translate(text, "\r\n\t", "   ")).otherwise(text))
+    wrapped = F.concat(F.lit('{"0":'), F.col("value"), F.lit("}"))
+    return found.select(text.alias("value")).select(F.when(F.col("value").startswith("{"), F.col("value")).otherwise(wrapped).alias("value"))
 
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
     """(value): one JSON object per row of the documents, one document per file."""
     def read():
-        text = pieces(spark, path, ",")
-        maps, lists, cut = (scratch_path(spark, f"json-{n}") for n in ("maps", "lists", "cut"))
+        chunks, maps, lists, cut = (scratch_path(spark, f"json-{n}") for n in ("chunks", "maps", "lists", "cut"))
+        _chunks(pieces(spark, path, ",")).write.parquet(chunks)
+        text = spark.read.schema("file long, block long, value string").parquet(chunks)
         _maps(text).write.parquet(maps)
         begins = _begins(spark.read.parquet(maps)).where("root IS NOT NULL")
         _lists(text, begins).write.parquet(lists)
@@ -236,4 +292,4 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
         return joined(spark.read.schema(PIECES_SQL).parquet(cut), "")
 
     found = retried(read)
-    return found.where(F.trim(F.translate("value", "\r\n\t,", "")) != "").select(as_objects(F.col("value")).alias("value"))
+    return as_objects(found.where(F.ltrim("value", F.lit(" \r\n\t,")) != ""))

@@ -6,6 +6,8 @@ import json
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,17 +37,19 @@ def write_json(df: DataFrame, path: str) -> str:
 def write_json_documents(df: DataFrame, path: str, key: str) -> str:
     """One JSON document per partition: an object whose ``key`` holds the rows."""
     def wrap(batches):
-        first = True
+        head, first = f"{{{json.dumps(key)}:[", True
         for rows in batches:
-            text = rows["value"].copy()
-            text.iloc[1:] = "," + text.iloc[1:]
-            text.iloc[:1] = (f"{{{json.dumps(key)}:[" if first else ",") + text.iloc[:1]
-            first = first and not len(rows)
-            yield text.to_frame()
-        yield pd.DataFrame({"value": [f"{{{json.dumps(key)}:[]}}" if first else "]}"]})
+            if not rows.num_rows:
+                continue
+            text = pc.binary_join_element_wise("", rows.column(0), ",")
+            if first:
+                text = pa.concat_arrays([pa.array([head + rows.column(0)[0].as_py()], text.type), text.slice(1)])
+            first = False
+            yield pa.RecordBatch.from_arrays([text], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([head + "]}" if first else "]}"])], names=["value"])
 
     rows = df.select(F.to_json(F.struct(*[F.col(q(c)) for c in df.columns]), {"ignoreNullFields": "false", **TIMES}).alias("value"))
-    rows.mapInPandas(wrap, "value STRING").write.mode("overwrite").text(path)
+    rows.mapInArrow(wrap, "value STRING").write.mode("overwrite").text(path)
     return path
 
 
