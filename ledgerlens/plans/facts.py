@@ -1,12 +1,15 @@
 """Fact tables built from the TPC-H-like star schema.
 
 ``orders_fact`` denormalises lineitem with its order, customer, nation, part
-and supplier.  Only ``nation`` is broadcast explicitly (25 rows by definition);
-the other joins are left to Catalyst/AQE, which broadcasts a side only when its
-measured size is under ``spark.sql.autoBroadcastJoinThreshold`` and otherwise
-plans a sort-merge join on the key.  Orders meet customers before lineitem, and
-the tables that add names come last, so that the rows of lineitem are shuffled
-while they are narrow.
+and supplier.  ``nation`` (25 rows by definition) and up to ``SUPPLIERS``
+suppliers are broadcast explicitly; the other joins are left to Catalyst/AQE,
+which broadcasts a side only when its measured size is under
+``spark.sql.autoBroadcastJoinThreshold`` and otherwise plans a sort-merge join
+on the key.  Rows of lineitem are shuffled while they are narrow, twice at most
+with that few suppliers: what a row gives alone is computed first, the price
+becomes the cost where the part is met, orders meet customers before lineitem,
+and names of suppliers and nations come last.  The fact ends up dealt and sorted
+by order, so that stored copies are small.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ EVENTS_ROLES = {
     "region": None,
 }
 
+#: Suppliers (key and name, some tens of bytes each) that are sent to every task; with more, lineitem is shuffled for them, too.
+SUPPLIERS = 500_000
+
+
 def cents(expr: str) -> str:
     """Money rounded to cents, binary half-even (same arithmetic as ``np_round(x, 2)``)."""
     return f"(round_even(CAST(({expr}) AS DOUBLE) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE))"
@@ -86,29 +93,38 @@ def orders_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     na = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     pa = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
     su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    lines = li.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity",
+        np_round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("rev"),
+        (F.col("l_returnflag") == "R").alias("rto"), F.to_date("l_shipdate").alias("shipped"),
+        F.rint(F.col("l_discount") * 100.0).alias("discount"))
+    if few := su.count() <= SUPPLIERS:
+        su = F.broadcast(su)
+    else:
+        lines = lines.join(su, lines.l_suppkey == su.s_suppkey)
+    priced = lines.join(pa, lines.l_partkey == pa.p_partkey).withColumn(
+        "cost", np_round(F.col("l_quantity") * F.col("p_retailprice"), 2)).drop("l_partkey", "p_partkey", "p_retailprice")
     placed = od.join(cu, od.o_custkey == cu.c_custkey)
-    j = (li.join(placed, li.l_orderkey == placed.o_orderkey)
-           .join(su, li.l_suppkey == su.s_suppkey)
-           .join(pa, li.l_partkey == pa.p_partkey)
-           .join(F.broadcast(na), placed.c_nationkey == na.n_nationkey))
-    rev = np_round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2)
-    cost = np_round(F.col("l_quantity") * F.col("p_retailprice"), 2)
+    j = priced.join(placed, priced.l_orderkey == placed.o_orderkey)
+    if few:
+        j = j.join(su, j.l_suppkey == su.s_suppkey)
+    j = j.join(F.broadcast(na), j.c_nationkey == na.n_nationkey)
     return j.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").alias("order_date"),
-        rev.alias("revenue"),
-        cost.alias("cost"),
-        (rev - cost).alias("profit"),
+        F.col("rev").alias("revenue"),
+        "cost",
+        (F.col("rev") - F.col("cost")).alias("profit"),
         F.col("l_quantity").alias("quantity"),
         F.col("p_name").alias("product"),
         F.col("p_brand").alias("category"),
         F.col("n_name").alias("region"),
         F.col("s_name").alias("courier"),
         F.col("o_orderpriority").alias("shipping_mode"),
-        (F.col("l_returnflag") == "R").alias("rto"),
-        F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")).alias("delivery_days"),
-        F.rint(F.col("l_discount") * 100.0).alias("discount"),
+        "rto",
+        F.datediff("shipped", F.to_date("o_orderdate")).alias("delivery_days"),
+        "discount",
     )
 
 
