@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.words import blocks
 from ledgerlens.session import scratch_path
 
 
@@ -55,6 +56,17 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable
     return run
 
 
+def per_block(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator], Iterator]:
+    """:func:`per_batch`, but ``fn`` sees a few megabytes of text (column 1) at a time, so what it holds does not follow the rows of a batch."""
+    def run(batches):
+        for batch in batches:
+            for start, texts in blocks(batch.column(1)):
+                out = fn(batch.slice(start, len(texts)))
+                if out is not None and out.num_rows:
+                    yield out
+    return run
+
+
 def fold(id_col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id falls in fold 0."""
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Memo, id_and_text, offsets, per_batch, raw, release, stored
+from ledgerlens.llm.common import Memo, id_and_text, offsets, per_block, raw, release, stored
 
 #: Perfect difference sets, by period.
 DIFFERENCE_SETS = {
@@ -101,10 +101,12 @@ def _mark(text: bytes | None) -> int:
 
 
 def _meta(batch: pa.RecordBatch) -> pa.RecordBatch:
-    words = [(t or b"").split() for t in raw(batch.column(1))]
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array([len(w) for w in words], pa.int64()),
-         pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary())], ["doc_id", "n_words", "sha"])
+    sizes, shas = [], []
+    for text in raw(batch.column(1)):
+        words = (text or b"").split()
+        sizes.append(len(words))
+        shas.append(hashlib.sha256(b" ".join(words)).digest())
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary())], ["doc_id", "n_words", "sha"])
 
 
 def anchors(texts: DataFrame, window: int) -> DataFrame:
@@ -127,7 +129,7 @@ def anchors(texts: DataFrame, window: int) -> DataFrame:
             [pa.array(_mixed(rolled(flat, span, _BASES[0])[at])), batch.column(0).take(pa.array(doc[at])), pa.array(place[at])],
             ["anchor", "doc_id", "place"])
 
-    return texts.mapInArrow(per_batch(run), "anchor long, doc_id long, place long")
+    return texts.mapInArrow(per_block(run), "anchor long, doc_id long, place long")
 
 
 def _windows(found: DataFrame, window: int) -> DataFrame:
@@ -158,7 +160,7 @@ def _windows(found: DataFrame, window: int) -> DataFrame:
             [pa.array(one), pa.array(two), batch.column(0).take(pa.array(doc[pick])),
              pa.array(marks[doc[pick]] | (pick - starts[doc[pick]]))], ["w1", "w2", "doc_id", "place"])
 
-    return found.mapInArrow(per_batch(run), "w1 long, w2 long, doc_id long, place long")
+    return found.mapInArrow(per_block(run), "w1 long, w2 long, doc_id long, place long")
 
 
 def _cut(found: DataFrame, window: int) -> DataFrame:
@@ -184,7 +186,7 @@ def _cut(found: DataFrame, window: int) -> DataFrame:
             [batch.column(0), pa.array(whole, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, kind),
              pa.array(shas, pa.binary())], ["doc_id", "sha", "n_removed", "spans", "kept_sha"])
 
-    return found.mapInArrow(per_batch(run), "doc_id long, sha binary, n_removed long,"
+    return found.mapInArrow(per_block(run), "doc_id long, sha binary, n_removed long,"
                             " spans array<struct<start: long, end: long>>, kept_sha binary")
 
 
@@ -214,7 +216,7 @@ def repeated_words(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     ``spans`` are [start, end) word positions, null where a whole copy goes.
     """
     texts = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    meta = stored(texts.mapInArrow(per_batch(_meta), "doc_id long, n_words long, sha binary"), "substring-meta")
+    meta = stored(texts.mapInArrow(per_block(_meta), "doc_id long, n_words long, sha binary"), "substring-meta")
     first = meta.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
     rows = stored(meta.join(first, "sha"), "substring-rows")
 
