@@ -18,6 +18,8 @@ from ledgerlens.session import cut_lineage, stored
 
 #: Rows of a key (both sides) below which it is not worth salting.
 LEAST_HOT = 100_000
+#: Different values of a column, whose codes are sent to every task; with more, rows are shuffled for them.
+CODES = 500_000
 
 
 def with_medians(out: DataFrame, rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -219,12 +221,18 @@ def one_hot(df: DataFrame, column: str, values: Sequence | None = None) -> DataF
 def label_encode(df: DataFrame, column: str, order_by: Sequence[str]) -> DataFrame:
     """Codes in order of first appearance (by ``order_by``), null -> -1.  Stores the rows, and each value's first place, when called."""
     df = stored(df)
-    first = cut_lineage(df.where(F.col(column).isNotNull())
-                        .groupBy(F.col(column).alias("_le_v"))
+    known, lead = df.where(F.col(column).isNotNull()), F.col(order_by[0])
+    # a value's first row is among those with its least (or no) first order column; by whole keys, all rows would have to be sorted
+    least = cut_lineage(known.groupBy(F.col(column).alias("_le_v")).agg(F.min(lead).alias("_le_lead")))
+    few = least.count() <= CODES
+    on = (F.col(column) == F.col("_le_v")) & (lead.isNull() | lead.eqNullSafe(F.col("_le_lead")))
+    known = known.join(F.broadcast(least) if few else least, on, "left_semi")
+    first = cut_lineage(known.groupBy(F.col(column).alias("_le_v"))
                         .agg(F.min(F.struct(*[F.col(c).alias(f"_le_o{i}") for i, c in enumerate(order_by)])).alias("_le_first"))
                         .select("_le_v", "_le_first.*"))
     codes = ranking.row_number(first, [*[f"_le_o{i}" for i in range(len(order_by))], "_le_v"], out="_le_rn").select(
         "_le_v", (F.col("_le_rn") - 1).alias("_le_code"))
+    codes = F.broadcast(codes) if few else codes
     j = df.join(codes, df[column] == codes["_le_v"], "left")
     return j.withColumn(f"{column}_encoded", F.coalesce(F.col("_le_code"), F.lit(-1)).cast("long")).drop("_le_v", "_le_code")
 
