@@ -1,20 +1,21 @@
 """JSON documents larger than a row, read by many tasks.
 
 A document contributes the elements of its root list, else of the first list
-among its own keys, else itself.  Files are split at commas, wherever those
-stand.  A split cannot tell whether it begins inside a string or how deep, but
-what it does to both is known from its text alone: the parity of its quotes, and
-the brackets it opens for either beginning.
-
-0. the pieces between commas are read once, and stored as blocks of about a
-   megabyte; what follows treats each block as a split of its own;
-1. each task reduces its splits to (parity, depth gained from outside a string,
-   depth gained from inside one); a prefix scan over the splits of a file gives
-   where each begins;
+among its own keys, else itself.  Files are split at line breaks if no line is
+longer than ``LINE``, else at commas, wherever those stand.  A split cannot tell
+whether it begins inside a string or how deep, but what it does to both is known
+from its text alone: the parity of its quotes, and the brackets it opens for
+either beginning.
+
+1. the pieces between separators are read once, and stored as blocks of about a
+   megabyte; what follows treats each block as a split of its own.  With each go
+   its parity, the depth gained and the least depth, from outside a string and
+   from inside one; a prefix scan over the blocks of a file gives where each begins;
 2. for documents that are objects, each task says whether the first list opens
-   or closes in a split;
-3. each task cuts its splits into the list's elements; an element over several
-   splits is put together by key, so no task holds more than an element.
+   or closes in a block; only blocks that come down to the root's keys can do so;
+3. each task cuts its blocks into the list's elements, those of a block as the
+   lines of one row; an element over several blocks is put together by key, so no
+   task holds more than a block or an element.
 
 The scan itself is a few array operations over the quotes, brackets and commas of a block.
 """
@@ -30,13 +31,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import scratch_path
-from ledgerlens.sources.splits import PIECES_SQL, RESPLIT, batch_of, joined, pieces, retried, runs, with_states
+from ledgerlens.sources.splits import PIECES, PIECES_SQL, RESPLIT, batch_of, joined, pieces, runs, with_states
 
 BEFORE, WITHIN, BEHIND = range(3)
 #: Characters of a block; the piece that reaches them ends it.
 CHUNK = 1 << 20
-_MAPS = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("parity", pa.int32()), ("outside", pa.int64()), ("inside", pa.int64()),
-                   ("root", pa.string())])
+#: Bytes of a line from which on a file's lines are no pieces.
+LINE = 1 << 20
+_CHUNKS = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("value", pa.string()), ("parity", pa.int32()), ("outside", pa.int64()),
+                     ("inside", pa.int64()), ("low_outside", pa.int64()), ("low_inside", pa.int64()), ("root", pa.string()),
+                     ("bytes", pa.int64())])
+_CHUNKS_SQL = ("file long, block long, value string, parity int, outside long, inside long, low_outside long, low_inside long, root string, "
+               "bytes long")
+#: Fragments as in ``PIECES``; a row without part has whole elements as objects, one per line.
+_CUT, _CUT_SQL = PIECES.append(pa.field("lines", pa.string())), PIECES_SQL + ", lines string"
+#: Spark holds thousands of rows of a row group at once; of blocks these are so few.
+_FEW = {"parquet.block.row.count.limit": 16}
 _LISTS = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("opens", pa.bool_()), ("shut", pa.bool_()), ("closes", pa.bool_())])
 
 
@@ -44,6 +54,7 @@ _STEP = np.zeros(256, np.int8)
 _STEP[[91, 123]], _STEP[[93, 125]] = 1, -1
 _MARK = _STEP != 0
 _MARK[[34, 44]] = True
+_BLANKS = bytes.maketrans(b"\r\n\t", b"   ")
 
 
 def _steps(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,9 +72,9 @@ def _steps(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, bytes]]:
-    """((file, block), first row, text) of each run; a comma ends the text, also behind a file's last piece."""
-    for key, a, b in runs(batch):
-        yield key, a, ",".join(batch.column(2).slice(a, b - a).to_pylist()).encode() + b","
+    """((file, block), row, text) of each block; the separator ends the text, also behind a file's last piece."""
+    for row, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        yield key, row, batch.column(2)[row].as_buffer().to_pybytes()
 
 
 class Cutter:
@@ -73,33 +84,41 @@ class Cutter:
         self.level, self.state, self.inside, self.depth = level, state, inside, depth
         self.held: list[bytes] = []
 
-    def feed(self, text: bytes) -> list[bytes]:
-        """The elements that end in this text."""
+    def own(self, text: bytes) -> tuple[int, np.ndarray, int, bool] | None:
+        """Where the list's part of this text begins, its commas, where it ends, and whether the list closes there; None if there is no part."""
         at, codes, odd, steps = _steps(text)
         outside = odd == self.inside
         after = self.depth + np.cumsum(np.where(outside, steps, 0), dtype=np.int64)
         if len(codes):
             self.inside, self.depth = bool(odd[-1] != self.inside), int(after[-1])
-        start, mark, out = 0, 0, []
+        start, mark = 0, 0
         if self.state == BEFORE:
             opened = np.flatnonzero((codes == 91) & outside & (after == self.level))
             if not len(opened):
-                return out
+                return None
             mark, self.state = int(opened[0]) + 1, WITHIN
             start = int(at[opened[0]]) + 1
-        if self.state == WITHIN:
-            closed = np.flatnonzero(after[mark:] < self.level)
-            end = mark + int(closed[0]) if len(closed) else len(at)
-            stop = int(at[end]) if len(closed) else len(text)
-            commas = (codes[mark:end] == 44) & outside[mark:end] & (after[mark:end] == self.level)
-            for comma in at[mark:end][commas].tolist():
-                out.append(b"".join([*self.held, text[start:comma]]) if not out else text[last:comma])
-                last = comma + 1
-            rest = text[last if out else start: stop]
-            self.held = [rest] if out else [*self.held, rest]
-            if len(closed):
-                out.append(b"".join(self.held))
-                self.held, self.state = [], BEHIND
+        if self.state == BEHIND:
+            return None
+        closed = np.flatnonzero(after[mark:] < self.level)
+        end = mark + int(closed[0]) if len(closed) else len(at)
+        stop = int(at[end]) if len(closed) else len(text)
+        commas = (codes[mark:end] == 44) & outside[mark:end] & (after[mark:end] == self.level)
+        if len(closed):
+            self.state = BEHIND
+        return start, at[mark:end][commas], stop, bool(len(closed))
+
+    def feed(self, text: bytes) -> list[bytes]:
+        """The elements that end in this text."""
+        found, out = self.own(text), []
+        if found is None:
+            return out
+        start, commas, stop, closed = found
+        for end in [*commas.tolist(), *[stop] * closed]:
+            out.append(b"".join([*self.held, text[start:end]]) if self.held else text[start:end])
+            self.held, start = [], end + 1
+        if not closed:
+            self.held.append(text[start:stop])
         return out
 
 
@@ -120,18 +139,23 @@ class Root:
         return int(at[closed[0]]) + 1 if len(closed) else None
 
 
-def _chunks(text: DataFrame) -> DataFrame:
-    """(file, block, value): the pieces of each split, in order, joined to blocks of about ``CHUNK`` characters.
+def _chunks(text: DataFrame, separator: str) -> DataFrame:
+    """``_CHUNKS``: the pieces of each split, in order, joined to blocks of about ``CHUNK`` characters, and what each does to the state.
 
     A block's number is twice the byte at which its split begins, for blocks behind the first plus twice the pieces before
-    it less one: numbers rise along a file, as a piece and its comma take at least a byte.
+    it less one: numbers rise along a file, as a piece and its separator take at least a byte.
     """
     def run(batches):
         now, held, size, before, count = None, [], 0, 0, 0
 
         def block():
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([2 * (now[1] + before) - (before > 0)], pa.int64()),
-                                               pa.array([",".join(held)], pa.string())], names=["file", "block", "value"])
+            value = separator.join(held) + separator
+            raw = value.encode()
+            _, _, odd, steps = _steps(raw)
+            outside, inside = (np.cumsum(np.where(part, steps, 0), dtype=np.int64) for part in (~odd, odd))
+            row = (now[0], 2 * (now[1] + before) - (before > 0), value, int(odd[-1]), int(outside[-1]), int(inside[-1]),
+                   min(0, int(outside.min())), min(0, int(inside.min())), value[:-1].lstrip("\ufeff \t\r\n")[:1] or None, len(raw))
+            return batch_of([row], _CHUNKS)
 
         for batch in batches:
             for key, a, b in runs(batch):
@@ -139,7 +163,8 @@ def _chunks(text: DataFrame) -> DataFrame:
                     if held:
                         yield block()
                     now, held, size, before, count = key, [], 0, 0, 0
-                held.append(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(2).slice(a, b - a)), ",")[0].as_py())
+                held.append(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(2).slice(a, b - a)),
+                                           separator)[0].as_py())
                 size, count = size + len(held[-1]) + 1, count + b - a
                 if size >= CHUNK:
                     yield block()
@@ -147,74 +172,59 @@ def _chunks(text: DataFrame) -> DataFrame:
         if held:
             yield block()
 
-    return text.mapInArrow(run, "file long, block long, value string")
+    return text.mapInArrow(run, _CHUNKS_SQL)
 
 
-def _maps(text: DataFrame) -> DataFrame:
-    def run(batches):
-        now, parity, outside, inside, root = None, 0, 0, 0, None
-        for batch in batches:
-            done = []
-            for key, _, block in _blocks(batch):
-                if key != now:
-                    if now is not None:
-                        done.append((*now, parity, outside, inside, root))
-                    now, parity, outside, inside, root = key, 0, 0, 0, None
-                _, _, odd, steps = _steps(block)
-                here = [int(steps[~odd].sum(dtype=np.int64)), int(steps[odd].sum(dtype=np.int64))]
-                outside, inside = outside + here[parity], inside + here[1 - parity]
-                parity ^= int(odd[-1])
-                if root is None:
-                    root = block[:-1].decode().lstrip("\ufeff \t\r\n")[:1] or None
-            if done:
-                yield batch_of(done, _MAPS)
-        if now is not None:
-            yield batch_of([(*now, parity, outside, inside, root)], _MAPS)
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks, stored; of lines if these make up all bytes of every file (the reader leaves out longer lines), else of what is between commas."""
+    for separator, longest in (("\n", LINE), (",", None)):
+        store = scratch_path(spark, "json-chunks")
+        _chunks(pieces(spark, path, separator, longest=longest), separator).write.options(**_FEW).parquet(store)
+        blocks = spark.read.schema(_CHUNKS_SQL).parquet(store)
+        if longest is None or _whole(spark, path, blocks):
+            return blocks
+
 
-    return text.mapInArrow(run, "file long, block long, parity int, outside long, inside long, root string")
+def _whole(spark: SparkSession, path: str, blocks: DataFrame) -> bool:
+    """Whether the blocks hold all bytes of each file; its last line may end without a line break."""
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("_metadata.file_path").alias("file"), "length")  # no content is read
+    read = files.join(blocks.groupBy("file").agg(F.sum("bytes").alias("bytes")), "file", "left")
+    return read.where(~F.coalesce("bytes", F.lit(0)).between(F.col("length"), F.col("length") + 1)).isEmpty()
 
 
 def _begins(maps: DataFrame) -> DataFrame:
-    """(file, block, inside, depth, root): the prefix scan over the splits of each file."""
+    """(file, block, inside, depth, low, root): the prefix scan over the blocks of each file; ``low`` is a block's least depth."""
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     at = maps.withColumn("in", F.coalesce(F.sum("parity").over(before) % 2 == 1, F.lit(False)))
     gained = F.when(F.col("in"), F.col("inside")).otherwise(F.col("outside"))
+    depth = F.coalesce(F.sum("gained").over(before), F.lit(0))
     return (at.withColumn("gained", gained)
-            .select("file", "block", F.col("in").alias("inside"), F.coalesce(F.sum("gained").over(before), F.lit(0)).alias("depth"),
+            .select("file", "block", F.col("in").alias("inside"), depth.alias("depth"),
+                    (depth + F.when(F.col("in"), F.col("low_inside")).otherwise(F.col("low_outside"))).alias("low"),
                     F.min_by("root", F.when(F.col("root").isNotNull(), F.col("block"))).over(Window.partitionBy("file")).alias("root")))
 
 
 def _lists(text: DataFrame, begins: DataFrame) -> DataFrame:
-    """Per split of a document that is an object: whether a list of its own opens there, is shut behind that, or one from before closes."""
+    """Per block of a document that is an object: whether a list of its own opens there, is shut behind that, or one from before closes.
+
+    None of that happens in a block that stays within the values of the root's keys; such blocks are left out.
+    """
     def run(batches):
-        now, inside, depth, seen = None, False, 0, [False, False, False]
         for batch in batches:
             done = []
-            for key, a, block in _blocks(batch):
-                if key != now:
-                    if now is not None:
-                        done.append((*now, *seen))
-                    now, inside, depth, seen = key, batch.column(3)[a].as_py(), batch.column(4)[a].as_py(), [False, False, False]
-                    if inside is None:
-                        raise ValueError(RESPLIT)
+            for key, row, block in _blocks(batch):
+                inside, depth = batch.column(3)[row].as_py(), batch.column(4)[row].as_py()
                 _, codes, odd, steps = _steps(block)
                 outside = odd == inside
                 after = depth + np.cumsum(np.where(outside, steps, 0), dtype=np.int64)
                 low = np.flatnonzero(after < 2)
                 opened = np.flatnonzero((codes == 91) & outside & (after == 2))
-                if seen[0]:
-                    seen[1] = seen[1] or bool(len(low))
-                elif len(opened):
-                    seen[0], seen[1] = True, bool(len(low) and low[-1] > opened[0])
-                seen[2] = seen[2] or bool(len(low))
-                inside, depth = bool(odd[-1] != inside), int(after[-1])
+                done.append((*key, bool(len(opened)), bool(len(opened) and len(low) and low[-1] > opened[0]), bool(len(low))))
             if done:
                 yield batch_of(done, _LISTS)
-        if now is not None:
-            yield batch_of([(*now, *seen)], _LISTS)
 
-    objects = begins.where("root = '{'").withColumn("known", F.lit(True))
+    objects = begins.where("root = '{' AND low < 2")
     return (text.join(F.broadcast(objects), ["file", "block"]).select("file", "block", "value", "inside", "depth")
             .mapInArrow(run, "file long, block long, opens boolean, shut boolean, closes boolean"))
 
@@ -233,36 +243,54 @@ def _states(begins: DataFrame, lists: DataFrame) -> DataFrame:
     return placed.select("file", "block", "inside", "depth", level.alias("level"), state.alias("state"), "root")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, cutter, head, whole = None, None, False, []
+def _lines(block: bytes, starts: np.ndarray, ends: np.ndarray) -> str:
+    """Elements that follow each other as objects, one per line; behind each stands a byte that is not blank."""
+    low = int(starts[0])
+    text = np.frombuffer(block[low:int(ends[-1]) + 1].translate(_BLANKS), np.uint8)
+    at = starts - low
+    while (blank := text[at] == 32).any():
+        at = at + blank
+    if (text[at] == 123).all():
+        text = text.copy()
+        text[ends - low] = 10
+        return text[:-1].tobytes().decode()
+    kept = (block[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    return b"\n".join(_object(x) for x in kept if x.strip(b" \r\n\t,")).decode()
+
 
-    def end():
-        if cutter is None:  # a document that is a row itself goes on as one fragment per split
-            return [(*now, int(now[1] == 0), b"".join(whole).decode(), False)]
-        return [(*now, 0 if head else 1, b"".join(cutter.held).decode(), False)] if cutter.state == WITHIN else []
+def _object(element: bytes) -> bytes:
+    """What ``as_objects`` makes of a whole element."""
+    text = element.translate(_BLANKS).strip(b" ")
+    return text if text.startswith(b"{") else b'{"0":' + text + b"}"
 
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for key, a, block in _blocks(batch):
-            if key != now:
-                if now is not None:
-                    rows += end()
-                inside, depth, level, state, root = (batch.column(i)[a].as_py() for i in range(3, 8))
-                if inside is None:
-                    raise ValueError(RESPLIT)
-                if root not in ("[", "{"):
-                    raise ValueError("not a JSON document")
-                now, cutter, head, whole = key, Cutter(level, state, inside, depth) if level else None, state == WITHIN, []
-            if cutter is None:
-                whole.append(block)
+        for key, row, block in _blocks(batch):
+            inside, depth, level, state, root = (batch.column(i)[row].as_py() for i in range(3, 8))
+            if inside is None:
+                raise ValueError(RESPLIT)
+            if root not in ("[", "{"):
+                raise ValueError("not a JSON document")
+            if not level:  # a document that is a row itself goes on as one fragment per block
+                yield batch_of([(*key, int(key[1] == 0), block.decode(), False, None)], _CUT)
+                continue
+            found = Cutter(level, state, inside, depth).own(block)
+            if found is None:
                 continue
-            for element in cutter.feed(block):
-                rows.append((*now, 0 if head else None, element.decode(), False))
-                head = False
-        if rows:
-            yield batch_of(rows)
-    if now is not None and (rows := end()):
-        yield batch_of(rows)
+            start, commas, stop, closed = found
+            starts, ends, head = np.r_[start, commas + 1], np.r_[commas, stop], state == WITHIN
+            parts = [None] * len(ends)
+            if not closed:
+                parts[-1] = 1
+            if head:
+                parts[0] = 0
+            rows = [(*key, part, block[a:b].decode(), False, None) for part, a, b in zip(parts, starts.tolist(), ends.tolist(), strict=True)
+                    if part is not None]
+            whole = slice(int(head), len(ends) - (not closed))
+            if len(ends[whole]):
+                rows.append((*key, None, None, False, _lines(block, starts[whole], ends[whole])))
+            yield batch_of(rows, _CUT)
 
 
 def as_objects(found: DataFrame) -> DataFrame:
@@ -276,20 +304,23 @@ def as_objects(found: DataFrame) -> DataFrame:
     return found.select(text.alias("value")).select(F.when(F.col("value").startswith("{"), F.col("value")).otherwise(wrapped).alias("value"))
 
 
+def element_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the rows of the documents, one document per file, as JSON objects on a line each; a value holds one line or many."""
+    lists, cut = (scratch_path(spark, f"json-{n}") for n in ("lists", "cut"))
+    blocks = _stored(spark, path)
+    text = blocks.select("file", "block", "value")
+    begins = _begins(blocks).where("root IS NOT NULL")
+    _lists(text, begins).write.parquet(lists)
+    states = _states(begins, spark.read.parquet(lists))
+    blank = text.join(F.broadcast(begins.select("file").distinct()), "file", "left_semi")  # files of blanks alone have no root
+    with_states(blank, states).select("file", "block", "value", "inside", "depth", "level", "state", "root").mapInArrow(
+        _cut, _CUT_SQL).write.options(**_FEW).parquet(cut)
+    rows = spark.read.schema(_CUT_SQL).parquet(cut)
+    single = joined(rows.where("part IS NOT NULL"), "")
+    return (rows.where("part IS NULL AND lines != ''").select(F.col("lines").alias("value"))
+            .unionByName(as_objects(single.where(F.ltrim("value", F.lit(" \r\n\t,")) != ""))))
+
+
 def elements(spark: SparkSession, path: str) -> DataFrame:
     """(value): one JSON object per row of the documents, one document per file."""
-    def read():
-        chunks, maps, lists, cut = (scratch_path(spark, f"json-{n}") for n in ("chunks", "maps", "lists", "cut"))
-        _chunks(pieces(spark, path, ",")).write.parquet(chunks)
-        text = spark.read.schema("file long, block long, value string").parquet(chunks)
-        _maps(text).write.parquet(maps)
-        begins = _begins(spark.read.parquet(maps)).where("root IS NOT NULL")
-        _lists(text, begins).write.parquet(lists)
-        states = _states(begins, spark.read.parquet(lists))
-        blank = text.join(F.broadcast(begins.select("file").distinct()), "file", "left_semi")  # files of blanks alone have no root
-        with_states(blank, states).select("file", "block", "value", "inside", "depth", "level", "state", "root").mapInArrow(
-            _cut, PIECES_SQL).write.parquet(cut)
-        return joined(spark.read.schema(PIECES_SQL).parquet(cut), "")
-
-    found = retried(read)
-    return as_objects(found.where(F.ltrim("value", F.lit(" \r\n\t,")) != ""))
+    return element_lines(spark, path).select(F.explode(F.split("value", "\n")).alias("value")).select(F.trim("value").alias("value"))

@@ -106,11 +106,11 @@ def read_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataF
     *first* list-valued key (in document order), else itself; nested objects
     are flattened to dotted names.  See ``documents``.
     """
-    return _json_rows(documents.elements(spark, path)) if multi_line else flatten(spark.read.json(path))
+    return _json_rows(documents.element_lines(spark, path)) if multi_line else flatten(spark.read.json(path))
 
 
 def _json_rows(rows: DataFrame) -> DataFrame:
-    """Rows of JSON text as a flat table: written once as JSON lines, so that Spark finds the columns of all of them."""
+    """Rows of JSON text, one line or many, as a flat table: written once as JSON lines, so that Spark finds the columns of all of them."""
     path = scratch_path(rows.sparkSession, "json-rows")
     rows.select("value").write.text(path)
     return flatten(rows.sparkSession.read.json(path))

@@ -20,11 +20,16 @@ PIECES_SQL = "file long, block long, part int, value string, first boolean"
 RESPLIT = "the files are split in another way than before"
 
 
-def pieces(spark: SparkSession, path: str, separator: str, encoding: str = "utf-8") -> DataFrame:
-    """(file, block, value): the pieces of all files between ``separator``."""
-    text = spark.read.option("lineSep", separator).option("encoding", encoding).text(path)
-    return text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                       F.make_valid_utf8("value").alias("value"))
+def pieces(spark: SparkSession, path: str, separator: str, encoding: str = "utf-8", longest: int | None = None) -> DataFrame:
+    """(file, block, value): the pieces of all files between ``separator``.
+
+    Pieces of ``longest`` bytes or more are left out, and never held whole.
+    """
+    reader = spark.read.option("lineSep", separator).option("encoding", encoding)
+    if longest is not None:
+        reader = reader.option("mapreduce.input.linerecordreader.line.maxlength", longest)
+    return reader.text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                    F.make_valid_utf8("value").alias("value"))
 
 
 def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, int]]:
