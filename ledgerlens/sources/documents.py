@@ -15,7 +15,8 @@ either beginning.
    or closes in a block; only blocks that come down to the root's keys can do so;
 3. each task cuts its blocks into the list's elements, those of a block as the
    lines of one row; an element over several blocks is put together by key, so no
-   task holds more than a block or an element.
+   task holds more than a block or an element.  Step 1 cuts already as if each
+   block began between elements; what began otherwise is cut again here.
 
 The scan itself is a few array operations over the quotes, brackets and commas of a block.
 """
@@ -38,11 +39,15 @@ BEFORE, WITHIN, BEHIND = range(3)
 CHUNK = 1 << 20
 #: Bytes of a line from which on a file's lines are no pieces.
 LINE = 1 << 20
-_CHUNKS = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("value", pa.string()), ("parity", pa.int32()), ("outside", pa.int64()),
-                     ("inside", pa.int64()), ("low_outside", pa.int64()), ("low_inside", pa.int64()), ("root", pa.string()),
-                     ("bytes", pa.int64())])
-_CHUNKS_SQL = ("file long, block long, value string, parity int, outside long, inside long, low_outside long, low_inside long, root string, "
-               "bytes long")
+#: A block's text; or, where it can be cut as if it began between elements, what stands before its first comma, its whole elements
+#: as objects, one per line, and what stands behind its last comma.
+_CHUNKS = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("value", pa.string()), ("head", pa.string()), ("lines", pa.string()),
+                     ("tail", pa.string()), ("parity", pa.int32()), ("outside", pa.int64()), ("inside", pa.int64()),
+                     ("low_outside", pa.int64()), ("low_inside", pa.int64()), ("root", pa.string()), ("bytes", pa.int64())])
+_CHUNKS_SQL = ("file long, block long, value string, head string, lines string, tail string, parity int, outside long, inside long, "
+               "low_outside long, low_inside long, root string, bytes long")
+#: The text of a block that was cut, up to blanks.
+_TEXT = "coalesce(value, concat(head, ',', translate(lines, '\n', ','), ',', tail))"
 #: Fragments as in ``PIECES``; a row without part has whole elements as objects, one per line.
 _CUT, _CUT_SQL = PIECES.append(pa.field("lines", pa.string())), PIECES_SQL + ", lines string"
 #: Spark holds thousands of rows of a row group at once; of blocks these are so few.
@@ -52,8 +57,8 @@ _LISTS = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("opens", pa.bo
 
 _STEP = np.zeros(256, np.int8)
 _STEP[[91, 123]], _STEP[[93, 125]] = 1, -1
-_MARK = _STEP != 0
-_MARK[[34, 44]] = True
+#: 1 for quotes, brackets and commas.
+_MARKS = bytes(x in b'",[]{}' for x in range(256))
 _BLANKS = bytes.maketrans(b"\r\n\t", b"   ")
 
 
@@ -62,15 +67,21 @@ def _steps(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
     No escape may be cut at the ends.
     """
-    codes = np.frombuffer(text.replace(b"\\\\", b"..").replace(b'\\"', b".."), np.uint8)
-    marked = _MARK[codes]
+    if b"\\" in text:
+        text = text.replace(b"\\\\", b"..").replace(b'\\"', b"..")
+    marked = np.frombuffer(bytearray(text.translate(_MARKS)), bool)
     marked[:1] = True
     at = np.flatnonzero(marked)
-    codes = codes[at]
-    odd = np.logical_xor.accumulate(codes == 34) if len(codes) else np.zeros(0, bool)
+    codes = np.frombuffer(text, np.uint8)[at]
+    odd = (np.add.accumulate((codes == 34).view(np.uint8), dtype=np.uint8) & 1).view(bool)
     return at, codes, odd, _STEP[codes]
 
 
+def _depths(steps: np.ndarray, counted: np.ndarray, depth: int = 0) -> np.ndarray:
+    """The depth behind each mark, of the steps that are counted."""
+    return np.cumsum(steps * counted, dtype=np.int32 if len(steps) + abs(depth) < 1 << 31 else np.int64) + depth
+
+
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, bytes]]:
     """((file, block), row, text) of each block; the separator ends the text, also behind a file's last piece."""
     for row, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
@@ -88,7 +99,7 @@ class Cutter:
         """Where the list's part of this text begins, its commas, where it ends, and whether the list closes there; None if there is no part."""
         at, codes, odd, steps = _steps(text)
         outside = odd == self.inside
-        after = self.depth + np.cumsum(np.where(outside, steps, 0), dtype=np.int64)
+        after = _depths(steps, outside, self.depth)
         if len(codes):
             self.inside, self.depth = bool(odd[-1] != self.inside), int(after[-1])
         start, mark = 0, 0
@@ -139,6 +150,26 @@ class Root:
         return int(at[closed[0]]) + 1 if len(closed) else None
 
 
+def _objects(block: bytes, starts: np.ndarray, ends: np.ndarray) -> str | None:
+    """Elements that follow each other, one per line, if each of them begins as an object; behind each stands a byte that is not blank."""
+    low = int(starts[0])
+    text = np.frombuffer(block[low:int(ends[-1]) + 1].translate(_BLANKS), np.uint8)
+    at = starts - low
+    while (blank := text[at] == 32).any():
+        at = at + blank
+    if (text[at] != 123).any():
+        return None
+    text = text.copy()
+    text[ends - low] = 10
+    return text[:-1].tobytes().decode()
+
+
+def _guess(block: bytes, commas: np.ndarray) -> tuple[str, str, str] | None:
+    """(head, lines, tail) of a block that is cut at these commas, if it has whole elements and all are objects."""
+    lines = _objects(block, commas[:-1] + 1, commas[1:]) if len(commas) > 1 else None
+    return None if lines is None else (block[:commas[0]].decode(), lines, block[commas[-1] + 1:].decode())
+
+
 def _chunks(text: DataFrame, separator: str) -> DataFrame:
     """``_CHUNKS``: the pieces of each split, in order, joined to blocks of about ``CHUNK`` characters, and what each does to the state.
 
@@ -151,10 +182,12 @@ def _chunks(text: DataFrame, separator: str) -> DataFrame:
         def block():
             value = separator.join(held) + separator
             raw = value.encode()
-            _, _, odd, steps = _steps(raw)
-            outside, inside = (np.cumsum(np.where(part, steps, 0), dtype=np.int64) for part in (~odd, odd))
-            row = (now[0], 2 * (now[1] + before) - (before > 0), value, int(odd[-1]), int(outside[-1]), int(inside[-1]),
-                   min(0, int(outside.min())), min(0, int(inside.min())), value[:-1].lstrip("\ufeff \t\r\n")[:1] or None, len(raw))
+            at, codes, odd, steps = _steps(raw)
+            outside, inside = _depths(steps, ~odd), _depths(steps, odd)
+            low = min(0, int(outside.min()))
+            cut = _guess(raw, at[(codes == 44) & ~odd & (outside == 0)]) if not low else None
+            row = (now[0], 2 * (now[1] + before) - (before > 0), *((None, *cut) if cut else (value, None, None, None)), int(odd[-1]),
+                   int(outside[-1]), int(inside[-1]), low, min(0, int(inside.min())), value[:-1].lstrip("\ufeff \t\r\n")[:1] or None, len(raw))
             return batch_of([row], _CHUNKS)
 
         for batch in batches:
@@ -163,12 +196,16 @@ def _chunks(text: DataFrame, separator: str) -> DataFrame:
                     if held:
                         yield block()
                     now, held, size, before, count = key, [], 0, 0, 0
-                held.append(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(2).slice(a, b - a)),
-                                           separator)[0].as_py())
-                size, count = size + len(held[-1]) + 1, count + b - a
-                if size >= CHUNK:
-                    yield block()
-                    held, size, before = [], 0, count
+                values = batch.column(2).slice(a, b - a)
+                ends = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False) + 1, dtype=np.int64)
+                edges = np.r_[0, np.flatnonzero(np.diff(ends // CHUNK)) + 1, b - a]
+                for part, more in zip(pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values), separator),
+                                      np.diff(edges).tolist(), strict=True):
+                    held.append(part.as_py())
+                    size, count = size + len(held[-1]) + 1, count + more
+                    if size >= CHUNK:
+                        yield block()
+                        held, size, before = [], 0, count
         if held:
             yield block()
 
@@ -217,7 +254,7 @@ def _lists(text: DataFrame, begins: DataFrame) -> DataFrame:
                 inside, depth = batch.column(3)[row].as_py(), batch.column(4)[row].as_py()
                 _, codes, odd, steps = _steps(block)
                 outside = odd == inside
-                after = depth + np.cumsum(np.where(outside, steps, 0), dtype=np.int64)
+                after = _depths(steps, outside, depth)
                 low = np.flatnonzero(after < 2)
                 opened = np.flatnonzero((codes == 91) & outside & (after == 2))
                 done.append((*key, bool(len(opened)), bool(len(opened) and len(low) and low[-1] > opened[0]), bool(len(low))))
@@ -244,16 +281,9 @@ def _states(begins: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def _lines(block: bytes, starts: np.ndarray, ends: np.ndarray) -> str:
-    """Elements that follow each other as objects, one per line; behind each stands a byte that is not blank."""
-    low = int(starts[0])
-    text = np.frombuffer(block[low:int(ends[-1]) + 1].translate(_BLANKS), np.uint8)
-    at = starts - low
-    while (blank := text[at] == 32).any():
-        at = at + blank
-    if (text[at] == 123).all():
-        text = text.copy()
-        text[ends - low] = 10
-        return text[:-1].tobytes().decode()
+    """Elements that follow each other as objects, one per line."""
+    if (lines := _objects(block, starts, ends)) is not None:
+        return lines
     kept = (block[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
     return b"\n".join(_object(x) for x in kept if x.strip(b" \r\n\t,")).decode()
 
@@ -308,16 +338,23 @@ def element_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value): the rows of the documents, one document per file, as JSON objects on a line each; a value holds one line or many."""
     lists, cut = (scratch_path(spark, f"json-{n}") for n in ("lists", "cut"))
     blocks = _stored(spark, path)
-    text = blocks.select("file", "block", "value")
+    text = blocks.select("file", "block", F.expr(_TEXT).alias("value"))
     begins = _begins(blocks).where("root IS NOT NULL")
     _lists(text, begins).write.parquet(lists)
-    states = _states(begins, spark.read.parquet(lists))
-    blank = text.join(F.broadcast(begins.select("file").distinct()), "file", "left_semi")  # files of blanks alone have no root
-    with_states(blank, states).select("file", "block", "value", "inside", "depth", "level", "state", "root").mapInArrow(
+    states = _states(begins, spark.read.parquet(lists)).withColumn(
+        "guessed", (F.col("level") > 0) & (F.col("state") == WITHIN) & ~F.col("inside") & (F.col("depth") == F.col("level")))
+    kept = blocks.select("file", "block", "value", "head", "lines", "tail").join(
+        F.broadcast(begins.select("file").distinct()), "file", "left_semi")  # files of blanks alone have no root
+    right = with_states(kept.where("lines IS NOT NULL"), states).where("guessed")
+    ends = right.select("file", "block", F.explode(F.array(*[F.struct(F.lit(part).alias("part"), F.col(c).alias("value"))
+                                                             for part, c in enumerate(("head", "tail"))])).alias("e"))
+    again = with_states(kept, states).where("lines IS NULL OR guessed IS NULL OR NOT guessed")
+    again.select("file", "block", F.expr(_TEXT).alias("value"), "inside", "depth", "level", "state", "root").mapInArrow(
         _cut, _CUT_SQL).write.options(**_FEW).parquet(cut)
     rows = spark.read.schema(_CUT_SQL).parquet(cut)
-    single = joined(rows.where("part IS NOT NULL"), "")
-    return (rows.where("part IS NULL AND lines != ''").select(F.col("lines").alias("value"))
+    parts = rows.where("part IS NOT NULL").select("file", "block", "part", "value", "first")
+    single = joined(parts.unionByName(ends.select("file", "block", "e.part", "e.value", F.lit(False).alias("first"))), "")
+    return (right.select(F.col("lines").alias("value")).unionByName(rows.where("part IS NULL AND lines != ''").select(F.col("lines").alias("value")))
             .unionByName(as_objects(single.where(F.ltrim("value", F.lit(" \r\n\t,")) != ""))))
 
 

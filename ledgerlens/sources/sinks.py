@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zipfile
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +19,8 @@ from ledgerlens.operators._common import q
 
 #: Times are written to the microsecond, as Spark keeps them.
 TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+#: Bytes of a document's line, about; rows that are larger have lines of their own.
+LINE_BYTES = 1 << 16
 CURRENCY = "₹"  # fixed value: the default currency symbol of the KPI sheet
 
 
@@ -35,15 +38,18 @@ def write_json(df: DataFrame, path: str) -> str:
 
 
 def write_json_documents(df: DataFrame, path: str, key: str) -> str:
-    """One JSON document per partition: an object whose ``key`` holds the rows."""
+    """One JSON document per partition: an object whose ``key`` holds the rows, many on a line."""
     def wrap(batches):
         head, first = f"{{{json.dumps(key)}:[", True
         for rows in batches:
             if not rows.num_rows:
                 continue
-            text = pc.binary_join_element_wise("", rows.column(0), ",")
+            size = np.cumsum(pc.binary_length(rows.column(0)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            edges = np.r_[0, np.flatnonzero(np.diff(size // LINE_BYTES)) + 1, len(size)]
+            lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), rows.column(0)), ",")
+            text = pc.binary_join_element_wise("", lines, ",")
             if first:
-                text = pa.concat_arrays([pa.array([head + rows.column(0)[0].as_py()], text.type), text.slice(1)])
+                text = pa.concat_arrays([pa.array([head + lines[0].as_py()], text.type), text.slice(1)])
             first = False
             yield pa.RecordBatch.from_arrays([text], names=["value"])
         yield pa.RecordBatch.from_arrays([pa.array([head + "]}" if first else "]}"])], names=["value"])

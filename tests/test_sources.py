@@ -175,3 +175,53 @@ def test_archive_writer_streams_and_rereads(spark, tmpdir_path):
     sinks.write_archives(df, f"{tmpdir_path}/z", "t.csv").collect()
     back = readers.archive_table(spark, f"{tmpdir_path}/z", "t.csv")
     assert back.exceptAll(df).isEmpty() and back.count() == 25_000
+
+
+def test_elements_go_on_as_lines_of_many(spark, tmpdir_path):
+    rows = [{"id": i, "note": 'a, "b" [{', "of": [i, {"k": None}]} for i in range(30_000)]
+    with open(f"{tmpdir_path}/a.json", "w") as f:
+        f.write('{"meta": [],\n "x": 1}')
+    with open(f"{tmpdir_path}/b.json", "w") as f:
+        f.write('{"n": {"of": [1]}, "rows":\n[' + "\n,\t".join(map(json.dumps, rows)) + "\n], \"more\": [{}]}\n")
+    lines = documents.element_lines(spark, tmpdir_path)
+    assert lines.count() < 30
+    got = [json.loads(r.value) for r in documents.elements(spark, tmpdir_path).collect()]
+    assert sorted(got, key=lambda x: x["id"]) == rows  # the first document's own list is empty
+
+
+@pytest.mark.parametrize(("chunk", "longest"), [(300, 40), (5000, 1 << 20)])
+def test_blocks_of_any_size_and_lines_too_long(spark, tiny, tmpdir_path, monkeypatch, chunk, longest):
+    """Lines of ``longest`` bytes are left out, so such files are read by commas; a file that is one such line has no piece at all."""
+    monkeypatch.setattr(documents, "LINE", longest)
+    monkeypatch.setattr(documents, "CHUNK", chunk)
+    rng = random.Random(chunk + longest)
+    want = []
+    for k in range(5):
+        text, rows = document(rng, rng.choice([0, 1, 30, 60]))
+        want += rows
+        with open(f"{tmpdir_path}/{k}.json", "w") as f:
+            f.write(text)
+    mixed = [1, {"a": 1}, "x, y", {"b": [{}, 2]}, [3], None] * 20
+    with open(f"{tmpdir_path}/mixed.json", "w") as f:
+        f.write(json.dumps(mixed, ensure_ascii=False, indent=1))
+    want += [x if isinstance(x, dict) else {"0": x} for x in mixed]
+    got = [json.loads(r.value) for r in documents.elements(spark, tmpdir_path).collect()]
+    assert sorted(map(json.dumps, got)) == sorted(map(json.dumps, want))
+
+
+def test_one_long_line_alone_is_read_by_commas(spark, tmpdir_path):
+    rows = [{"id": i, "t": "x" * 90} for i in range(20_000)]
+    with open(f"{tmpdir_path}/a.json", "w") as f:
+        json.dump(rows, f)
+    assert splits.pieces(spark, tmpdir_path, "\n", longest=documents.LINE).count() == 0
+    df = readers.read_json(spark, tmpdir_path, multi_line=True)
+    assert df.selectExpr("count(*)", "sum(id)", "min(length(t))").first() == (20_000, sum(range(20_000)), 90)
+
+
+def test_written_documents_have_many_rows_on_a_line(spark, tmpdir_path):
+    df = spark.range(5000).selectExpr("id", "repeat('w', IF(id = 7, 100000, 30)) AS w").repartition(3)
+    sinks.write_json_documents(df, f"{tmpdir_path}/d", "rows")
+    text = spark.read.text(f"{tmpdir_path}/d", wholetext=True).collect()
+    assert sorted(r["id"] for t in text for r in json.loads(t.value)["rows"]) == list(range(5000))
+    assert spark.read.text(f"{tmpdir_path}/d").count() < 30
+    assert readers.read_json(spark, f"{tmpdir_path}/d", multi_line=True).selectExpr("count(*)", "sum(length(w))").first() == (5000, 30 * 4999 + 100_000)
